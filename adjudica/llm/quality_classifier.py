@@ -1,6 +1,6 @@
 """Quality classifier: random Fourier features, ridge normal equations, isotonic calibration.
 
-1. Document statistics of the whole text in built-in functions (no text leaves the JVM).
+1. Fourteen statistics of each whole text, in Arrow batches.
 2. z = sqrt(2/D) cos(W x + b) approximates a Gaussian kernel over standardised statistics;
    W and b come from a seed, so every task draws the same ones.
 3. Each partition sums z z' and z y; Spark adds the partial sums; the driver solves one
@@ -19,41 +19,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, count_of, cut, text_of, words
+from .common import WORD, cut, text_of
 from .quality_rules import STOP_WORDS, SYMBOLS
 
 FEATURES, SEED, RIDGE, BINS = 192, 20240601, 1e-3, 1000
-DIGITS, PUNCTUATION, CAPITALS = "0123456789", ".,;:!?()\"'-", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+NAMES = ("words", "word_length", "symbols", "distinct_words", "distinct_triples", "distinct_lines", "line_length", "stop_words", "digits", "capitals", "punctuation", "non_ascii", "exclamations", "bars")
+STOP = frozenset(STOP_WORDS.split())
+CLASSES = [np.frombuffer(x, np.uint8) for x in (SYMBOLS.encode(), b"0123456789", bytes(range(65, 91)), b".,;:!?()\"'-", b"!", b"|")]
+
+
+def describe(text: str) -> tuple[float, ...]:
+    """Bounded ratios and logarithms of counts of a whole text, in the order of ``NAMES``."""
+    w = WORD.findall(text)
+    rows = [x for x in text.split("\n") if WORD.search(x)]
+    raw = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
+    symbols, digits, capitals, marks, shouts, bars = (int(raw[c].sum()) for c in CLASSES)
+    n, chars, n_lines = max(len(w), 1), max(len(text), 1), max(len(rows), 1)
+    triples = len(set(zip(w, w[1:], w[2:], strict=False))) / (len(w) - 2) if len(w) > 2 else 1.0
+    return (
+        np.log1p(len(w)), np.log1p(sum(map(len, w)) / n), np.log1p(10 * symbols / n), len(set(w)) / n, triples, len(set(rows)) / n_lines,
+        np.log1p(n / n_lines), sum(x.lower() in STOP for x in w) / n, np.log1p(100 * digits / chars), np.log1p(100 * capitals / chars),
+        np.log1p(100 * marks / chars), int(raw[128:].sum()) / chars, shouts / n, bars / n,
+    )
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_id`` and ``_x``, an array of bounded ratios and logarithms of counts."""
-    t, w, n = F.col("_t"), F.col("_w"), F.greatest(F.size("_w"), F.lit(1))
-    df = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
-    df = df.select("_id", "_t", words(t).alias("_w"), F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0).alias("_l"))
-    chars = F.greatest(F.char_length(t), F.lit(1))
-    lines = F.greatest(F.size("_l"), F.lit(1))
-    triples = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    x: list[Column] = [
-        F.log1p(F.size(w)),
-        F.log1p(F.char_length(F.translate(t, SPACES, "")) / n),
-        F.log1p(10 * count_of(t, SYMBOLS) / n),
-        F.size(F.array_distinct(w)) / n,
-        F.when(F.size(w) >= 3, F.size(F.array_distinct(triples)) / (F.size(w) - 2)).otherwise(F.lit(1.0)),
-        F.size(F.array_distinct("_l")) / lines,
-        F.log1p(n / lines),
-        F.size(F.filter(w, lambda v: F.lower(v).isin(sorted(set(STOP_WORDS.split()))))) / n,
-        F.log1p(100 * count_of(t, DIGITS) / chars),
-        F.log1p(100 * count_of(t, CAPITALS) / chars),
-        F.log1p(100 * count_of(t, PUNCTUATION) / chars),
-        (F.octet_length(t) - F.char_length(t)) / chars,
-        count_of(t, "!") / n,
-        count_of(t, "|") / n,
-    ]
-    return df.select("_id", F.array(*(v.cast("double") for v in x)).alias("_x"))
+    """``_id`` and ``_x``, the statistics of each row's text."""
+
+    @F.pandas_udf("array<double>")
+    def described(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.array(describe(t), dtype=float) for t in texts])
+
+    return docs.select(F.col(id_col).alias("_id"), described(text_of(text_col)).alias("_x"))
 
 
 def draw(n: int, features: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +94,7 @@ class Scorer:
 
 def fit(rows: DataFrame, features: int = FEATURES, seed: int = SEED, ridge: float = RIDGE) -> Scorer | None:
     """Fit to ``rows`` (``_x``, ``_y``); None without rows."""
-    size = len(statistics_names())
+    size = len(NAMES)
     stats = rows.select(F.posexplode("_x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("i").collect()
     if not stats:
         return None
@@ -129,10 +129,6 @@ def fit(rows: DataFrame, features: int = FEATURES, seed: int = SEED, ridge: floa
     return model
 
 
-def statistics_names() -> list[str]:
-    return ["words", "word_length", "symbols", "distinct_words", "distinct_triples", "distinct_lines", "line_length", "stop_words", "digits", "capitals", "punctuation", "non_ascii", "exclamations", "bars"]
-
-
 def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, threshold: float = 0.3, features: int = FEATURES) -> DataFrame:
     """``id_col``, ``held_out``, ``score``, ``predicted``: labels are learnt outside fold 0 of crc32(id)."""
     df = statistics(docs, id_col, text_col)

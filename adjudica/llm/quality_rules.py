@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, count_of, text_of, words
+from .common import lines, text_of, words
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of English, German, French and Spanish.
@@ -37,8 +37,9 @@ THRESHOLDS = (
 BASE = (("n_words", "one", 5000, None), ("n_repeat_words", "n_words", None, 50))
 
 
-def repeated(w: Column) -> Column:
-    """Words covered by three-word windows that occur at least twice.
+def repeated(w: Column) -> tuple[Column, Column]:
+    """Windows of a text in order of their words (null where none repeats), and, from column
+    ``_sorted``, the places of those with an equal neighbour.
 
     Windows sort by (hash, words, place), so equal ones stand side by side; a cheap look at
     distinct hashes spares the sort where no window can repeat.
@@ -60,14 +61,14 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """``id_col`` and the counts above, a row for each row."""
     text = F.col("_t")
     df = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
-    df = df.select("_id", "_t", words(text).alias("_w"), F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0).alias("_l"))
+    df = df.select("_id", "_t", words(text).alias("_w"), lines(text).alias("_l"))
     first, places = repeated(F.col("_w"))
     stop = sorted(set(STOP_WORDS.split()))
     df = df.select(
         "_id",
         F.size("_w").cast("long").alias("n_words"),
-        F.char_length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        count_of(text, SYMBOLS).alias("n_symbols"),
+        F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("_w", lambda x: F.lower(x).isin(stop))).cast("long").alias("n_stop"),
