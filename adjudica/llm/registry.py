@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import minhash_dedup as op4
 from . import quality_classifier as op2
 from . import quality_rules as op7
 from . import secret_scan as op5
+from . import suffix_dedup as op1
 from . import token_counts as op10
 from .common import table
 
@@ -19,10 +21,18 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.secret_scan(table(spark, sf_dir, "documents"))
 
