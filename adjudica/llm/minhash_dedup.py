@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_of
 from .graph import connected_components
+from .regions import Union, region_links, regions_of
 
 TREES, DEPTH, SEED, REGION, PERCENT = 24, 4, 7, 512, 80
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -129,69 +130,31 @@ def forest(nodes: DataFrame) -> DataFrame:
     return found.where("part < 0").select("a", "b").unionByName(ends.select("a", "b"))
 
 
-def links(node: list[bytes], sets: list[np.ndarray], side: list[int], percent: int) -> list[tuple[bytes, bytes]]:
-    """Confirmed links that span the components of a group.
-
-    Sides all 0: every pair is a candidate; otherwise pairs of a 1 and a 0 with other nodes.
-    """
-    n, up = len(node), list(range(len(node)))
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    out = []
-
-    def join(i: int, j: int) -> None:
-        p, q = root(i), root(j)
-        if p != q:
-            up[p] = q
-            out.append((node[i], node[j]))
-
-    size, mixed, side = np.array([len(s) for s in sets]), any(side), np.array(side)
-    values, place = np.unique(np.concatenate(sets), return_inverse=True)
-    if n * len(values) <= 30_000_000:
-        x = np.zeros((n, len(values)), np.float32)
-        x[np.repeat(np.arange(n), size), place] = 1
-        both = (x @ x.T).astype(np.int64)
-        good = np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1)
-        if mixed:
-            good &= side[:, None] != side[None, :]
-        for i, j in np.argwhere(good):
-            join(int(i), int(j))
-        return out
-    for i in range(n):
-        for j in range(i):
-            if not (mixed and side[i] == side[j]) and 100 * min(size[i], size[j]) >= percent * max(size[i], size[j]) and root(i) != root(j):
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (size[i] + size[j] - both):
-                    join(i, j)
-    return out
-
-
-def confirmed(groups: DataFrame, percent: int) -> DataFrame:
-    """Links of groups: rows ``g``, ``side``, ``node`` and ``set``, dealt by ``g`` and streamed in its order."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def done(rows: list) -> pd.DataFrame:
-            node, side = [r[2] for r in rows], [r[1] for r in rows]
-            found = links(node, [np.frombuffer(r[3], np.uint64) for r in rows], side, percent) if len(rows) > 1 else []
-            return pd.DataFrame(found, columns=["a", "b"])
-
-        key, rows = None, []
-        for x in batches:
-            for r in zip(x["g"], x["side"], x["node"], x["set"], strict=True):
-                if r[0] != key and rows:
-                    yield done(rows)
-                    rows = []
-                key = r[0]
-                rows.append(r)
-        if rows:
-            yield done(rows)
-
-    return groups.select("g", "side", "node", "set").repartition("g").sortWithinPartitions("g").mapInPandas(run, "a binary, b binary")
+def set_linker(percent: int):
+    """Links of packed shingle sets: all pairs by one product of 0/1 matrices, or pair by pair where that is too wide."""
+
+    def link(bodies: list[bytes], side: list[int], found: Union) -> None:
+        sets = [np.frombuffer(b, np.uint64) for b in bodies]
+        n, mixed, size, side = len(sets), any(side), np.array([len(s) for s in sets]), np.array(side)
+        values, place = np.unique(np.concatenate(sets), return_inverse=True)
+        if n * len(values) <= 30_000_000:
+            x = np.zeros((n, len(values)), np.float32)
+            x[np.repeat(np.arange(n), size), place] = 1
+            both = (x @ x.T).astype(np.int64)
+            good = np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1)
+            if mixed:
+                good &= side[:, None] != side[None, :]
+            for i, j in np.argwhere(good):
+                found.join(int(i), int(j))
+            return
+        for i in range(n):
+            for j in range(i):
+                if not (mixed and side[i] == side[j]) and 100 * min(size[i], size[j]) >= percent * max(size[i], size[j]) and found.apart(i, j):
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (size[i] + size[j] - both):
+                        found.join(i, j)
+
+    return link
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = PERCENT, region: int = REGION) -> DataFrame:
@@ -199,10 +162,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
     rows = cut(signed(docs, k))
     nodes = cut(rows.where("node is not null and _id is not null").groupBy("node").agg(F.min("_id").alias("rep"), F.first("sig").alias("sig")))
-    regions = connected_components(forest(nodes))
-    sizes = regions.groupBy("root").agg(F.count("*").alias("size"))
-    chunk = lambda i: F.pmod(F.xxhash64(F.substring("sig", 1 + 4 * i, 4), F.col("node")), F.ceil(F.col("size") / region))
-    regions = regions.join(sizes, "root").join(nodes, "node").select("root", "node", "rep", "size", *(chunk(i).alias(f"c{i}") for i in range(3)))
+    regions = regions_of(forest(nodes), region).join(nodes.drop("sig"), "node")
 
     # Full sets of the nodes of all regions, from the text of one document each.
     @F.pandas_udf("struct<node:binary,set:binary>")
@@ -213,27 +173,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     wanted = regions.select(F.col("rep").alias("_id"), F.col("node").alias("_want"))
     texts = docs.join(wanted, "_id").select("_want", whole("_t").alias("x")).where("x.node = _want").select("x.*").dropDuplicates(["node"])
-    regions = cut(regions.join(texts, "node"))
-
-    group = lambda *c: F.concat_ws(":", F.base64("root"), *(F.col(x).cast("string") if isinstance(x, str) else x for x in c))
-    tables = [regions.select(group(F.lit("0"), "c0").alias("g"), F.lit(0).alias("side"), "node", "set")]
-    hot = regions.where(F.col("size") > region)
-    tables += [hot.select(group(F.lit(str(i)), f"c{i}").alias("g"), F.lit(0).alias("side"), "node", "set") for i in (1, 2)]
-    first = tables[0].unionByName(tables[1]).unionByName(tables[2])
-    links1 = cut(confirmed(first, percent))
-    if hot.limit(1).count():
-        # Outside the largest component of its region: blocks of those against every chunk.
-        parts = connected_components(links1).withColumnRenamed("root", "comp")
-        named = hot.join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        core = named.groupBy("root", "comp").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("comp", F.struct("n", "comp")).alias("core"))
-        named = named.join(core, "root")
-        loose = named.where("comp <> core").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / region)))
-        blocks = loose.select("root", "block").distinct()
-        chunks = named.select("root", "c0").distinct()
-        side1 = loose.join(chunks, "root").select(group(F.lit("x"), "block", "c0").alias("g"), F.lit(1).alias("side"), "node", "set")
-        side0 = named.join(blocks, "root").select(group(F.lit("x"), "block", "c0").alias("g"), F.lit(0).alias("side"), "node", "set")
-        links1 = links1.unionByName(cut(confirmed(side1.unionByName(side0), percent)))
-    comp = connected_components(links1)
+    links = region_links(cut(regions.join(texts.withColumnRenamed("set", "body"), "node")), set_linker(percent), region)
+    comp = connected_components(links)
     named = nodes.select("node", "rep").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = comp.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("least"))
     named = named.join(least, "root", "left").select("node", F.coalesce("least", "rep").alias("least"))
