@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontamination as op6
 from . import html_text as op8
 from . import line_dedup as op9
 from . import minhash_dedup as op4
+from . import mixing as op3
 from . import quality_classifier as op2
 from . import quality_rules as op7
 from . import secret_scan as op5
@@ -32,6 +34,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id").distinct()
+    return op3.mixing(docs, docs.join(labels, "doc_id", "left_semi").select("doc_id", F.col("lang").alias("domain")))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
@@ -61,7 +68,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    import corpus_pipeline
+
+    own = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
