@@ -131,12 +131,10 @@ def fit(rows: DataFrame, features: int = FEATURES, seed: int = SEED, ridge: floa
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, threshold: float = 0.3, features: int = FEATURES) -> DataFrame:
     """``id_col``, ``held_out``, ``score``, ``predicted``: labels are learnt outside fold 0 of crc32(id)."""
-    df = statistics(docs, id_col, text_col)
+    df = cut(statistics(docs, id_col, text_col))  # narrow: texts are read once and never shuffled
     held = F.coalesce(F.crc32(F.col("_id").cast("string")) % folds == 0, F.lit(False))
     y = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").where(~held)
-    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    known = statistics(text.join(y.select("_id").distinct(), "_id", "left_semi"), "_id", "_text").join(y, "_id")
-    model = fit(cut(known.select("_x", "_y")), features)
+    model = fit(cut(df.join(y, "_id").select("_x", "_y")), features)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
