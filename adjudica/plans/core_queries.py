@@ -104,7 +104,7 @@ def repetition_groups(spark, sf_dir):
 _rep_metrics = [E.Metric("strict_complete_repetition_consistency", None, "strict_n", "INSUFFICIENT_ELIGIBLE_UNITS", "case when strict_n > 0 then s60 / cast(60 * strict_n as double) end"), E.Metric("conditional_returned_judgment_consistency", None, "conditional_n", "INSUFFICIENT_ELIGIBLE_UNITS", "case when conditional_n > 0 then c60 / cast(60 * conditional_n as double) end")]
 
 
-@query(duck(f"with {_groups}, " + metric_sql("select judge, count(*) as eligible_n, count(*) filter (where ok and valid_n = 5) as strict_n, count(*) filter (where ok) as conditional_n, sum(modal * 60 // valid_n) filter (where ok and valid_n = 5) as s60, sum(modal * 60 // valid_n) filter (where ok) as c60 from (select *, exact and n_repetitions = 5 and valid_n > 0 as ok from h) group by grouping sets ((), (judge))", ["judge"], _rep_metrics, ())))
+@query(duck(f"with {_groups}, " + metric_sql("select judge, count(*) as eligible_n, count(*) filter (where ok and valid_n = 5) as strict_n, count(*) filter (where ok) as conditional_n, sum(modal * 60 // nullif(valid_n, 0)) filter (where ok and valid_n = 5) as s60, sum(modal * 60 // nullif(valid_n, 0)) filter (where ok) as c60 from (select *, exact and n_repetitions = 5 and valid_n > 0 as ok from h) group by grouping sets ((), (judge))", ["judge"], _rep_metrics, ())))
 def repeatability(spark, sf_dir):
     return E.repeatability(table(spark, sf_dir, "repetitions"), ["answer_a_id", "answer_b_id", "judge", "route"])
 
