@@ -164,15 +164,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = cut(rows.where("node is not null and _id is not null").groupBy("node").agg(F.min("_id").alias("rep"), F.first("sig").alias("sig")))
     regions = regions_of(forest(nodes), region).join(nodes.drop("sig"), "node")
 
-    # Full sets of the nodes of all regions, from the text of one document each.
-    @F.pandas_udf("struct<node:binary,set:binary>")
-    def whole(texts: pd.Series) -> pd.DataFrame:
+    # Full sets of the nodes of all regions, from the text of one document each. A map over
+    # batches stays above the join, so only those texts are shingled again.
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHashes()
-        sets = [shingles(t, k, memo) for t in texts]
-        return pd.DataFrame({"node": [digest(g) for g in sets], "set": [g.tobytes() for g in sets]})
+        for x in batches:
+            sets = [shingles(t, k, memo) for t in x["_t"]]
+            y = pd.DataFrame({"node": [digest(g) for g in sets], "set": [g.tobytes() for g in sets]})
+            yield y[(x["_want"] == y["node"]).to_numpy()]
 
     wanted = regions.select(F.col("rep").alias("_id"), F.col("node").alias("_want"))
-    texts = docs.join(wanted, "_id").select("_want", whole("_t").alias("x")).where("x.node = _want").select("x.*").dropDuplicates(["node"])
+    texts = docs.join(wanted, "_id").select("_want", "_t").mapInPandas(whole, "node binary, set binary").dropDuplicates(["node"])
     links = region_links(cut(regions.join(texts.withColumnRenamed("set", "body"), "node")), set_linker(percent), region)
     comp = connected_components(links)
     named = nodes.select("node", "rep").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
