@@ -6,10 +6,10 @@ judged on the input. The suffixes are sampled without loss:
 1. Every string of ``length`` bytes owns one suffix, its anchor: the place, among those where
    its grams of ``GRAM`` bytes begin, whose gram hash is least. Equal strings have their anchor
    at the same offset, so only anchors (about 1 in 137 places) need sorting.
-2. Anchors whose gram hash occurs at one place only are dropped. The rest bring their suffix
-   (``length`` bytes from the anchor) and what stands before it (``length - GRAM`` bytes). Equal
-   strips fall together in a partially aggregated grouping.
-3. Distinct strips are range-partitioned by the leading bytes of their suffix, with splitters
+2. Anchors whose gram hash occurs at one place only are dropped. The strip of an anchor is its
+   suffix (``length`` bytes) and what stands before it (``length - GRAM`` bytes). Strips that occur
+   twice are covered whole; digests alone show that.
+3. Where a gram has other strips as well, the distinct ones are range-partitioned by the leading bytes of their suffix, with splitters
    that Spark samples. As splitters are whole grams, and matching suffixes agree in a whole
    gram, no match stands on both sides of a boundary. Each bucket sorts its suffixes, and its
    reversed left contexts, by multikey quicksort. With both LCP arrays the strips that agree on
@@ -116,10 +116,16 @@ def covered(left: list[bytes], right: list[bytes], length: int, gram: int) -> tu
     return most, least
 
 
-def spans_of(intervals: list, n: int) -> np.ndarray:
-    """Disjoint covered runs, in order, of a list of (start, end)."""
+def strip_of(raw: bytes, at: int, width: int, length: int) -> bytes:
+    """Digest of an anchor's strip: what stands before it and its suffix."""
+    start = max(0, at - width)
+    return blake2b(raw[start : at + length], digest_size=16, salt=(at - start).to_bytes(8, "big")).digest()
+
+
+def spans_of(intervals: list, n: int) -> list[list[int]]:
+    """Disjoint covered runs, in order, of a list of (start, end), within a text of n bytes."""
     out: list[list[int]] = []
-    for s, e in sorted(intervals):
+    for s, e in sorted((s, min(e, n)) for s, e in intervals):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
@@ -127,6 +133,17 @@ def spans_of(intervals: list, n: int) -> np.ndarray:
     return out
 
 
+def crowded_reach(unique: DataFrame, length: int, width: int) -> DataFrame:
+    """The same as ``covered`` for grams of any number of strips: their strings meet in a partially aggregated grouping."""
+    size = F.length("pre")
+    offsets = F.sequence(F.greatest(F.lit(0), F.lit(length) - F.length("suffix")), F.least(F.lit(width), size))
+    strings = unique.select("strip", "twice", "gram", size.alias("before"), F.concat("pre", "suffix").alias("s"), F.explode(offsets).alias("o"))
+    # Gram and offset belong to the key: overlapping strips of one place hold the same string at other offsets.
+    strings = strings.select("strip", "o", "twice", F.unhex(F.sha2(F.concat(F.col("gram"), F.encode(F.col("o").cast("string"), "UTF-8"), F.lit(b":"), F.substring(F.col("s"), F.col("before") - F.col("o") + 1, F.lit(length))), 256)).alias("string"))
+    again = strings.groupBy("string").agg(F.min("strip").alias("x"), F.max("strip").alias("y")).where("x < y").select("string")
+    return strings.where("not twice").join(again, "string").groupBy("strip").agg(F.max("o").cast("long").alias("before"), (length - F.min("o")).cast("long").alias("after"))
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot_strips: int = HOT, with_text: bool = False) -> DataFrame:
     """``id_col``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``; a row for each row."""
     width = length - gram
@@ -137,43 +154,49 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
+            grams, places, texts, strips = [], [], [], []
             for t in x["_t"]:
                 raw = t.encode("utf-8", "surrogatepass")
                 at, h = anchors(np.frombuffer(raw, np.uint8), length, gram)
                 if len(at):
-                    yield pd.DataFrame({"gram": h, "at": at, "text": sha256(raw).digest()[:16]})
-
-    places = docs.select("_t").mapInPandas(found, "gram long, at long, text binary")
+                    grams.append(h)
+                    places.append(at)
+                    texts += [sha256(raw).digest()[:16]] * len(at)
+                    strips += [strip_of(raw, i, width, length) for i in at.tolist()]
+            if grams:
+                yield pd.DataFrame({"gram": np.concatenate(grams), "at": np.concatenate(places), "text": texts, "strip": strips})
+
+    places = docs.select("_t").mapInPandas(found, "gram long, at long, text binary, strip binary")
     place = F.xxhash64("text", "at")
     hot = places.groupBy("gram").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x < y").select("gram")
+    hot = cut(places.join(hot, "gram").dropDuplicates(["text", "at"]))
     copies = rows.groupBy("text").agg(F.min("_k").alias("_k"), F.count("*").alias("copies"))
-    wanted = places.join(hot, "gram").groupBy("text").agg(F.collect_set("at").alias("at")).join(copies, "text").select("text", "_k", "at")
 
-    def strips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Strips at several places are covered whole; single ones of a gram with other strips need their bytes.
+    known = cut(hot.groupBy("strip").agg(F.min(F.struct("text", "at")).alias("rep"), F.count("*").alias("n"), F.first("gram").alias("gram")))
+    mixed = known.groupBy("gram").agg(F.count("*").alias("strips"), F.min("n").alias("least")).where("strips > 1 and least = 1").select("gram", "strips")
+    asked = known.join(mixed, "gram").select(F.col("rep.text").alias("text"), F.struct(F.col("rep.at").alias("at"), (F.col("n") > 1).alias("twice"), (F.col("strips") > hot_strips).alias("crowded")).alias("x"))
+    asked = asked.groupBy("text").agg(F.collect_list("x").alias("xs")).join(copies, "text").select("text", "_k", "xs")
+
+    def fetched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            for t, text, at in zip(x["_t"], x["text"], x["at"], strict=True):
+            out = []
+            for t, text, xs in zip(x["_t"], x["text"], x["xs"], strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
-                if sha256(raw).digest()[:16] != text:
-                    continue
-                lefts = [raw[max(0, a - width) : a] for a in at]
-                rights = [raw[a : a + length] for a in at]
-                strip = [blake2b(lf + b"|" + r, digest_size=16, salt=len(lf).to_bytes(8, "big")).digest() for lf, r in zip(lefts, rights, strict=True)]
-                yield pd.DataFrame({"strip": strip, "text": text, "at": np.asarray(at), "pre": lefts, "suffix": rights})
+                if sha256(raw).digest()[:16] == text:
+                    for i, twice, crowded in ((r["at"], r["twice"], r["crowded"]) for r in xs):
+                        out.append((strip_of(raw, i, width, length), raw[max(0, i - width) : i], raw[i : i + length], raw[i : i + gram], twice, crowded))
+            yield pd.DataFrame(out, columns=["strip", "pre", "suffix", "gram", "twice", "crowded"])
 
-    each = texts.join(wanted, "_k").mapInPandas(strips, "strip binary, text binary, at long, pre binary, suffix binary")
-    unique = cut(each.groupBy("strip").agg(F.first("pre").alias("pre"), F.first("suffix").alias("suffix"), F.min(place).alias("x"), F.max(place).alias("y")).select("strip", "pre", "suffix", (F.col("x") < F.col("y")).alias("twice"), F.substring("suffix", 1, gram).alias("gram")))
-    crowded = unique.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot_strips).select("gram")
+    unique = texts.join(asked, "_k").select("_t", "text", "xs").mapInPandas(fetched, "strip binary, pre binary, suffix binary, gram binary, twice boolean, crowded boolean")
 
     def bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def solve(held: list[pd.DataFrame]) -> pd.DataFrame:
             x = pd.concat(held)
             pre, suffix = x["pre"].tolist(), x["suffix"].tolist()
             most, least = covered(pre, suffix, length, gram)
-            twice = x["twice"].to_numpy(bool)
-            before = np.where(twice, [len(p) for p in pre], most)
-            after = np.where(twice, [len(s) for s in suffix], length - least)
-            keep = twice | (most >= 0)
-            return pd.DataFrame({"strip": x["strip"].to_numpy()[keep], "before": before[keep], "after": after[keep]})
+            keep = (most >= 0) & ~x["twice"].to_numpy(bool)
+            return pd.DataFrame({"strip": x["strip"].to_numpy()[keep], "before": most[keep], "after": length - least[keep]})
 
         held, size, last = [], 0, None
         for x in batches:
@@ -196,18 +219,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield solve(held)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    calm = unique.join(crowded, "gram", "left_anti").repartitionByRange(parts, "gram").sortWithinPartitions("gram")
+    calm = unique.where("not crowded").repartitionByRange(parts, "gram").sortWithinPartitions("gram")
     result = calm.select("strip", "pre", "suffix", "twice", "gram").mapInPandas(bucket, "strip binary, before long, after long")
 
-    strip = F.concat("pre", "suffix")
-    size = F.length("pre")
-    offsets = F.sequence(F.greatest(F.lit(0), F.lit(length) - F.length("suffix")), F.least(F.lit(width), size))
-    strings = unique.join(crowded, "gram", "left_semi").select("strip", "twice", size.alias("before"), F.length("suffix").alias("after"), strip.alias("s"), F.explode(offsets).alias("o"))
-    strings = strings.select("strip", "o", "twice", "before", "after", F.unhex(F.sha2(F.substring(F.col("s"), F.col("before") - F.col("o") + 1, F.lit(length)), 256)).alias("string"))
-    again = strings.groupBy("string").agg(F.min("strip").alias("x"), F.max("strip").alias("y"), F.max("twice").alias("twice")).where("x < y or twice").select("string")
-    crowd = strings.join(again, "string").groupBy("strip").agg(F.when(F.max("twice"), F.max("before")).otherwise(F.max("o")).cast("long").alias("before"), F.when(F.max("twice"), F.max("after")).otherwise(length - F.min("o")).cast("long").alias("after"))
+    if mixed.where(F.col("strips") > hot_strips).limit(1).count():
+        result = result.unionByName(crowded_reach(unique.where("crowded"), length, width))
 
-    intervals = each.select("strip", "text", "at").distinct().join(result.unionByName(crowd), "strip").groupBy("text").agg(F.collect_set(F.struct((F.col("at") - F.col("before")).alias("s"), (F.col("at") + F.col("after")).alias("e"))).alias("spans"))
+    whole = known.where("n > 1").select("strip", F.lit(width).cast("long").alias("before"), F.lit(length).cast("long").alias("after"))
+    reach = cut(whole.unionByName(result))
+    alone = copies.where("copies = 1").select("text")
+    intervals = hot.select("strip", "text", "at").join(alone, "text").join(reach, "strip").groupBy("text").agg(F.collect_set(F.struct(F.greatest(F.lit(0), F.col("at") - F.col("before")).alias("s"), (F.col("at") + F.col("after")).alias("e"))).alias("spans"))
     single = copies.where("copies = 1").join(intervals, "text").select("text", "_k", "spans")
 
     def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,7 +248,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.DataFrame(got, columns=["text", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     partly = texts.join(single, "_k").mapInPandas(kept, "text binary, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["text"])
-    out = rows.join(copies.where(f"copies > 1").select("text", "copies"), "text", "left").join(partly, "text", "left")
+    out = rows.join(copies.where("copies > 1").select("text", "copies"), "text", "left").join(partly, "text", "left")
     gone = F.col("copies").isNotNull() & (F.col("n") >= length)
     columns = [
         F.col("_id").alias(id_col),
