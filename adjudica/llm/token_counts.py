@@ -44,6 +44,8 @@ def model(path: str):
     # A pre-token is given without its first mark: the library puts one in front of each text.
     alone = [p[1:].replace(MARK, " ") for p in pieces if p[0] == MARK]
     single = frozenset(x for x, ids in zip(alone, sp.encode(alone), strict=True) if len(ids) == 1 and x)
+    if MARK in pieces:
+        single |= {""}  # a last space alone is the mark itself
     return sp, single, apart and plain
 
 
