@@ -20,9 +20,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import md5
-from itertools import pairwise
+from itertools import combinations, pairwise
 from os.path import commonprefix
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -47,7 +48,7 @@ def segments(length: int, n: int) -> list[tuple[int, int]]:
 
 
 def keys(line: str, edits: int) -> tuple[list[int], list[int]]:
-    """Hashes that a line indexes and those that it probes."""
+    """Hashes that a line indexes, and those that it probes besides (its own stand for both)."""
     n, size = edits + 1, len(line)
     code = lambda length, i, s: xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), length * 64 + i) - 2**63
     own = [code(size, i, line[p : p + k]) for i, (p, k) in enumerate(segments(size, n))]
@@ -57,7 +58,7 @@ def keys(line: str, edits: int) -> tuple[list[int], list[int]]:
         for i, (p, k) in enumerate(segments(length, n)):
             low, high = max(p - i, p + gap - (edits - i), 0), min(p + i, p + gap + (edits - i), size - k)
             probes.update(code(length, i, line[q : q + k]) for q in range(low, high + 1))
-    return own, list(probes)
+    return own, list(probes.difference(own))
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -109,49 +110,68 @@ def near_links(lines: DataFrame, edits: int, many: int = MANY, region: int = REG
     """Links ``a``-``b`` (digests) that span the classes of ``line``s."""
 
     def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done: set[bytes] = set()
+        done: set[int] = set()
         for x in batches:
-            rows = []
+            key, node, sizes = [], [], []
             for line in x["line"]:
-                digest = md5(line.encode("utf-8", "surrogatepass")).digest()[:8]
-                if digest in done:
+                number = int.from_bytes(md5(line.encode("utf-8", "surrogatepass")).digest()[:8], "big", signed=True)
+                if number in done:
                     continue
                 if len(done) > 300_000:
                     done.clear()
-                done.add(digest)
-                node = int.from_bytes(digest, "big", signed=True)
+                done.add(number)
                 own, probes = keys(line, edits)
-                rows += [(k, node, True) for k in own] + [(k, node, False) for k in probes]
-            yield pd.DataFrame(rows, columns=["key", "node", "own"])
+                key += own
+                key += probes
+                node.append(number)
+                sizes += (len(own), len(probes))
+            sizes = np.array(sizes, np.int64)
+            yield pd.DataFrame({"key": np.array(key, np.int64), "node": np.repeat(np.repeat(np.array(node, np.int64), 2), sizes), "own": np.repeat(np.arange(len(sizes)) % 2 == 0, sizes)})
 
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pairs of a small key, a chain of a large one. Only as many lines as ``many`` are held."""
-        key, own, probes, count, out = None, set(), set(), 0, []
-
-        def flush() -> None:
-            out.extend((min(a, b), max(a, b), False) for a in own for b in probes if a != b)
+        """Pairs of a small key, a chain of a large one. Only as many lines as ``many`` are held.
+
+        Rows come by key and node. A key that stands alone in its batch is passed over at once;
+        the last key of a batch waits for the next one.
+        """
+        out: list[tuple[int, int, bool]] = []
+        key = last = None
+        lines_of: dict[int, bool] = {}  # of the open key: whether the line owns it
+        chained = False
+
+        def close() -> None:
+            if not chained and len(lines_of) > 1:
+                for a, b in combinations(sorted(lines_of), 2):
+                    if lines_of[a] or lines_of[b]:
+                        out.append((a, b, False))
 
         for x in batches:
-            for k, node, mine in zip(x["key"].tolist(), x["node"].tolist(), x["own"].tolist(), strict=True):
-                if k != key:
-                    if count <= many:
-                        flush()
-                    key, own, probes, count, last = k, set(), set(), 0, None
-                (own if mine else probes).add(node)
-                count = len(own | probes) if count <= many else count
-                if count > many:
-                    if last is None:
-                        chain = sorted(own | probes)
-                        out.extend((a, b, True) for a, b in pairwise(chain))
-                        last = chain[-1]
-                    elif node != last:
-                        out.append((min(last, node), max(last, node), True))
-                        last = node
-                    own, probes = {0}, {0}
+            k, node, own = x["key"].to_numpy(), x["node"].to_numpy(), x["own"].to_numpy()
+            if not len(k):
+                continue
+            twin = np.zeros(len(k), bool)
+            differ = (k[1:] == k[:-1]) & (node[1:] != node[:-1])
+            same = np.concatenate([[True], k[1:] != k[:-1]]).cumsum() - 1
+            twin = (np.bincount(same[1:], differ, minlength=same[-1] + 1) > 0)[same]
+            twin |= (same == 0) | (same == same[-1])
+            for kk, n, mine in zip(k[twin].tolist(), node[twin].tolist(), own[twin].tolist(), strict=True):
+                if kk != key:
+                    close()
+                    key, lines_of, chained, last = kk, {}, False, None
+                if chained:
+                    if n != last:
+                        out.append((min(last, n), max(last, n), True))
+                        last = n
+                    continue
+                lines_of[n] = lines_of.get(n, False) or mine
+                if len(lines_of) > many:
+                    chained, chain = True, sorted(lines_of)
+                    out.extend((a, b, True) for a, b in pairwise(chain))
+                    last = chain[-1]
+                    lines_of = {}
             yield pd.DataFrame(out, columns=["x", "y", "chain"])
-            out = []
-        if count <= many:
-            flush()
+            out.clear()
+        close()
         yield pd.DataFrame(out, columns=["x", "y", "chain"])
 
     rows = lines.select("line").mapInPandas(emitted, "key long, node long, own boolean")
@@ -176,16 +196,16 @@ def near_links(lines: DataFrame, edits: int, many: int = MANY, region: int = REG
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``id_col``, ``n_lines`` (non-blank), ``n_removed``, ``removed`` (line numbers) and ``text`` (the rest)."""
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
-    docs = docs.withColumn("_d", F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("_id").cast("string"), F.lit("-")), F.coalesce("_t", F.lit(""))))))
+    docs = docs.withColumn("_d", F.xxhash64(F.to_json(F.struct("_id")), F.coalesce("_t", F.lit(""))))
     every = docs.select("_id", "_d", F.posexplode(F.split(F.coalesce("_t", F.lit("")), "\n")).alias("no", "_l")).withColumn("line", F.btrim("_l", F.lit(SPACES))).where(F.char_length("line") >= min_chars)
     place = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_d").alias("d"), F.col("no").alias("no"))
-    lines = every.select("_d", "no", F.unhex(F.md5("line")).alias("node"), place.alias("place"))
+    lines = every.select(F.unhex(F.md5("line")).alias("node"), place.alias("place"))
     first = cut(lines.groupBy("node").agg(F.min("place").alias("first"), F.count("*").alias("n")))
     classes = connected_components(near_links(every.select("line"), edits))
     joined = classes.join(first, "node")
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
     shared = joined.join(least, "root").select("node", "least").unionByName(first.where("n > 1").join(classes, "node", "left_anti").select("node", F.col("first").alias("least")))
-    gone = lines.join(shared, "node").where("place <> least").groupBy("_d").agg(F.sort_array(F.collect_set("no")).alias("removed"))
+    gone = lines.join(shared, "node").where("place <> least").groupBy(F.col("place.i").alias("_i"), F.col("place.d").alias("_d")).agg(F.sort_array(F.collect_set("place.no")).alias("removed"))
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, removed: pd.Series) -> pd.Series:
@@ -198,6 +218,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop))
         return pd.Series(out, dtype=object)
 
-    out = docs.join(gone, "_d", "left")
+    out = docs.join(gone, (docs["_d"] == gone["_d"]) & docs["_id"].eqNullSafe(gone["_i"]), "left")
     filled = F.size(F.filter(F.split(F.coalesce("_t", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
     return out.select(F.col("_id").alias(id_col), filled.alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"), rest("_t", "removed").alias("text"))
