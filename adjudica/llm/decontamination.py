@@ -5,8 +5,8 @@ item lies whole in some passage. Scores are BM25 divided by the item's score aga
 all items at ``least`` or more are retrieved:
 
 1. Terms are split as in MaxScore: those with the largest document frequency whose scores
-   together stay under ``least`` for every item cannot lift an item over the threshold alone.
-   One vectorised pass over a batch bounds the score of each (passage, item) with another term.
+   together stay under half of ``least`` for every item are weak, the rest strong. One vectorised
+   pass over a text bounds the score of each (passage, item) by its strong terms.
 2. Passages with a bound over the threshold go through block-max WAND: cursors sorted by
    item, a pivot by list bounds, a skip where the bounds of the current blocks are too low.
 3. A retrieved item counts if enough word pairs of its question (all but the last sentence) and
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -70,23 +71,23 @@ class Index:
             whole = sum(own.values())
             for w, s in own.items():
                 lists[self.vocabulary.setdefault(w, len(self.vocabulary))].append((n, s / whole))
-        self.items = [np.array([n for n, _ in lists[t]]) for t in range(len(self.vocabulary))]
-        self.scores = [np.array([s for _, s in lists[t]]) for t in range(len(self.vocabulary))]
-        self.most = np.array([s.max() for s in self.scores])
-        self.blocks = [np.maximum.reduceat(s, np.arange(0, len(s), BLOCK)) for s in self.scores]
+        self.items = [[n for n, _ in lists[t]] for t in range(len(self.vocabulary))]
+        self.scores = [[s for _, s in lists[t]] for t in range(len(self.vocabulary))]
+        self.most = [max(s) for s in self.scores]
+        self.blocks = [[max(s[i : i + BLOCK]) for i in range(0, len(s), BLOCK)] for s in self.scores]
         self.window = max(64, 2 * longest)
-        # Terms that cannot reach the threshold without another one.
+        # Terms that together reach half of the threshold at most: a hit needs as much from others.
         weak = np.zeros(len(items))
         self.strong = np.ones(len(self.vocabulary), bool)
         for t in sorted(range(len(self.vocabulary)), key=lambda t: -len(self.items[t])):
-            if (weak[self.items[t]] + self.scores[t]).max() >= least - 1e-9:
+            if (weak[self.items[t]] + self.scores[t]).max() >= least / 2:
                 break
             weak[self.items[t]] += self.scores[t]
             self.strong[t] = False
         self.weak = weak
         self.start = np.concatenate([[0], np.cumsum([len(x) for x in self.items])])
-        self.flat_items = np.concatenate(self.items) if self.items else np.empty(0, int)
-        self.flat_scores = np.concatenate(self.scores) if self.scores else np.empty(0)
+        self.flat_items = np.array([i for x in self.items for i in x], np.int64)
+        self.flat_scores = np.array([s for x in self.scores for s in x])
 
     def suspects(self, at: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
         """Passages that may hold an item, by the bound over strong terms at places ``at`` of a text of ``n`` words."""
@@ -94,12 +95,17 @@ class Index:
         last = max(0, -(-(n - self.window) // hop))
         keep = self.strong[term]
         at, term = at[keep], term[keep]
+        if not len(at):
+            return at
+        k = at // hop
+        passage = np.concatenate([np.minimum(k, last), np.clip(k - 1, 0, last)])
+        once = np.unique(passage * len(self.items) + np.tile(term, 2))  # each term counts once in a passage
+        passage, term = once // len(self.items), once % len(self.items)
         size = self.start[term + 1] - self.start[term]
         where = np.repeat(self.start[term] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        item, score, k = self.flat_items[where], self.flat_scores[where], np.repeat(at // hop, size)
-        key = np.concatenate([np.minimum(k, last), np.clip(k - 1, 0, last)]) * len(self.ids) + np.tile(item, 2)
-        u, inverse = np.unique(key, return_inverse=True)
-        bound = np.bincount(inverse, np.tile(score, 2)) + self.weak[u % len(self.ids)]
+        item, score = self.flat_items[where], self.flat_scores[where]
+        u, inverse = np.unique(np.repeat(passage, size) * len(self.ids) + item, return_inverse=True)
+        bound = np.bincount(inverse, score) + self.weak[u % len(self.ids)]
         return np.unique(u[bound >= self.least - 1e-9] // len(self.ids))
 
     def wand(self, query: set[int]) -> list[tuple[int, float]]:
@@ -122,7 +128,7 @@ class Index:
                 pivot += 1
             tight, limit = 0.0, math.inf
             for c in cursors[: pivot + 1]:
-                c[0] += int(np.searchsorted(self.items[c[1]][c[0] :], target))
+                c[0] = bisect_left(self.items[c[1]], target, c[0])
                 if c[0] < len(self.items[c[1]]):
                     block = c[0] // BLOCK
                     tight += self.blocks[c[1]][block]
@@ -132,14 +138,13 @@ class Index:
                 live = [c for c in cursors[: pivot + 1] if c[0] < len(self.items[c[1]]) and doc(c) == target]
                 score = sum(self.scores[c[1]][c[0]] for c in live)
                 if score >= floor:
-                    out.append((int(target), float(score)))
+                    out.append((target, score))
                 skip = target + 1
             else:
                 ahead = doc(cursors[pivot + 1]) if pivot + 1 < len(cursors) else math.inf
                 skip = max(target + 1, min(limit + 1, ahead))
             for c in cursors[: pivot + 1]:
-                rest = self.items[c[1]][c[0] :]
-                c[0] += int(np.searchsorted(rest, skip)) if skip != math.inf else len(rest)
+                c[0] = bisect_left(self.items[c[1]], skip, c[0])
 
     def search(self, text: str, question: float, answer: float) -> list[tuple]:
         """(item id, score, question share, answer share) of verified items, best passage of each."""
