@@ -193,9 +193,9 @@ def near_links(lines: DataFrame, edits: int, many: int = MANY, region: int = REG
     return direct.unionByName(region_links(chained, line_linker(edits), region))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``id_col``, ``n_lines`` (non-blank), ``n_removed``, ``removed`` (line numbers) and ``text`` (the rest)."""
-    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, also: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, ``n_lines`` (non-blank), ``n_removed``, ``removed`` (line numbers), ``text`` (the rest) and the columns ``also``."""
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"), *(F.col(c).alias(f"_also{i}") for i, c in enumerate(also)))
     docs = docs.withColumn("_d", F.xxhash64(F.to_json(F.struct("_id")), F.coalesce("_t", F.lit(""))))
     every = docs.select("_id", "_d", F.posexplode(F.split(F.coalesce("_t", F.lit("")), "\n")).alias("no", "_l")).withColumn("line", F.btrim("_l", F.lit(SPACES))).where(F.char_length("line") >= min_chars)
     place = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_d").alias("d"), F.col("no").alias("no"))
@@ -220,4 +220,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     out = docs.join(gone, (docs["_d"] == gone["_d"]) & docs["_id"].eqNullSafe(gone["_i"]), "left")
     filled = F.size(F.filter(F.split(F.coalesce("_t", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
-    return out.select(F.col("_id").alias(id_col), filled.alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"), rest("_t", "removed").alias("text"))
+    return out.select(F.col("_id").alias(id_col), filled.alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"), rest("_t", "removed").alias("text"), *(F.col(f"_also{i}").alias(c) for i, c in enumerate(also)))

@@ -28,9 +28,9 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their kept lines; one whose lines all go (nothing but repeats) goes too."""
-    lines = line_dedup.line_dedup(docs.select("*", F.struct("doc_id", "lang", "source", "n_chars").alias("_row")), "_row")
+    lines = line_dedup.line_dedup(docs, also=("lang", "source", "n_chars"))
     kept = lines.where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    return kept.select("_row.doc_id", "text", "_row.lang", "_row.source", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("_row.n_chars")).alias("n_chars"))
+    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
