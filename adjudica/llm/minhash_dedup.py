@@ -182,3 +182,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = named.join(least, "root", "left").select("node", F.coalesce("least", "rep").alias("least"))
     out = rows.drop("sig").join(named, "node", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("least", "_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+
+
+def duckdb_sql(percent: int = PERCENT) -> str:
+    """Brute force for two-word shingles: all pairs that share a shingle, and the closure of their links."""
+    capitals = "".join(map(chr, range(65, 91)))
+    return rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{capitals}', '{capitals.lower()}'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, unnest(case when len(w) < 2 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end) as g from d),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n a on x = a.doc_id join n b on y = b.doc_id where 100 * c >= {percent} * (a.n + b.n - c)),
+u as (select x, y from l union all select y, x from l),
+r(a, b) as (select doc_id, doc_id from n union select r.a, u.y from r join u on r.b = u.x),
+m as (select a as doc_id, min(b) as component_id from r group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.component_id, d.doc_id) as component_id, d.doc_id = coalesce(m.component_id, d.doc_id) as kept
+from d left join n using (doc_id) left join m using (doc_id)"""

@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": op7.duckdb_sql()}
+    return {"op1_suffix_dedup": op1.duckdb_sql(), "op4_minhash_dedup": op4.duckdb_sql(), "op7_quality_rules": op7.duckdb_sql()}

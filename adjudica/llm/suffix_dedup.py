@@ -258,3 +258,21 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     ]
     return out.select(*columns, F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept_bytes")) if with_text else out.select(*columns)
+
+
+def duckdb_sql(length: int = LENGTH) -> str:
+    """Brute force: every string of ``length`` bytes by its digest, runs of repeated ones, and what is left between them."""
+    return f"""
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+b as (select r, n, x * 500 as base, substr(h, x * 1000 + 1, {1000 + 2 * length}) as part from d, unnest(range(0, n // 500 + 1)) as v(x) where n >= {length}),
+w as (select r, base, part, unnest(range(0, least(500, n - {length} + 1 - base))) as j from b),
+k as (select r, base + j as p, md5(substr(part, 2 * j + 1, {2 * length})) as s from w),
+c as (select s from k group by s having count(*) > 1),
+e as (select r, p, case when p - lag(p) over (partition by r order by p) <= {length} then 0 else 1 end as first from k semi join c using (s)),
+g as (select r, p, sum(first) over (partition by r order by p) as run from e),
+i as (select r, min(p) as a, max(p) + {length} as b from g group by r, run),
+o as (select i.r, a, b, coalesce(lag(b) over (partition by i.r order by a), 0) as before from i),
+q as (select r, sum(b - a) as removed, count(*) as spans, max(b) as last, string_agg(substr(d.h, 2 * before + 1, 2 * (a - before)), '' order by a) as head from o join d using (r) group by r)
+select doc_id, n as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans,
+  sha256(unhex(case when q.r is null then h else head || substr(h, 2 * last + 1) end)) as kept_sha256
+from d left join q using (r)"""
