@@ -34,12 +34,13 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id."""
+    """One document of each group of near duplicates: the one with the least id (of equal rows, one)."""
     groups = minhash_dedup.near_duplicates(docs)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
     some = F.col("doc_id").isNotNull()
-    return kept.where(some).dropDuplicates(["doc_id"]).unionByName(kept.where(~some))
+    once = kept.where(some).withColumn("_text", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return once.unionByName(kept.where(~some))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
