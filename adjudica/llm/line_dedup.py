@@ -7,9 +7,10 @@ the first occurrence (least id, then line number; ids that are null last) stays,
 1. A line is cut into ``edits + 1`` segments; a line within ``edits`` holds one of them
    unchanged. Each line indexes its segments by its length, and probes, for each length that
    is not above its own, only the substrings that a multi-match-aware window allows.
-2. Keys meet in sorted partitions. A key with few lines gives its pairs; one with many gives
-   a chain of lines, linear in its size. Regions of chained lines are compared in full, and
-   hot regions are dealt over many tasks, so no pair is lost.
+2. Keys meet in sorted partitions. A key with few lines gives its pairs. The lines of a crowded
+   key meet again under keys with a second piece of the line, of which linked lines share two.
+   What is crowded even there gives a chain of lines, linear in its size; regions of chained
+   lines are compared in full, and hot regions are dealt over many tasks, so no pair is lost.
 3. Pairs are verified by a banded bit-parallel edit distance on the whole lines.
 
 A text that is null has no lines. Rows with equal id and text are one document: each of its
@@ -47,18 +48,40 @@ def segments(length: int, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def keys(line: str, edits: int) -> tuple[list[int], list[int]]:
-    """Hashes that a line indexes, and those that it probes besides (its own stand for both)."""
+def code(*parts: object, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest("|".join(map(str, parts)).encode("utf-8", "surrogatepass"), seed) - 2**63
+
+
+def keyed(line: str, edits: int) -> dict[int, tuple[int, int, bool]]:
+    """Key hashes of a line: indexed length, segment, and whether the line indexes it (its own also probe)."""
     n, size = edits + 1, len(line)
-    code = lambda length, i, s: xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), length * 64 + i) - 2**63
-    own = [code(size, i, line[p : p + k]) for i, (p, k) in enumerate(segments(size, n))]
-    probes = set()
+    out = {code(line[p : p + k], seed=size * 64 + i): (size, i, True) for i, (p, k) in enumerate(segments(size, n))}
     for length in range(max(n, size - edits), size + 1):
         gap = size - length
         for i, (p, k) in enumerate(segments(length, n)):
             low, high = max(p - i, p + gap - (edits - i), 0), min(p + i, p + gap + (edits - i), size - k)
-            probes.update(code(length, i, line[q : q + k]) for q in range(low, high + 1))
-    return own, list(probes.difference(own))
+            for q in range(low, high + 1):
+                out.setdefault(code(line[q : q + k], seed=length * 64 + i), (length, i, False))
+    return out
+
+
+def pieces(length: int, i: int, edits: int) -> list[tuple[int, int]]:
+    """Places of ``edits + 2`` pieces of an indexed line besides its segment i; two of them are unchanged in a linked line."""
+    p, k = segments(length, edits + 1)[i]
+    left, right, n = p, length - p - k, edits + 2
+    m = 0 if not left else n if not right else min(n - 1, max(1, round(n * left / (left + right))))
+    return [*(segments(left, m) if m else []), *((p + k + at, size) for at, size in (segments(right, n - m) if n - m else []))]
+
+
+def keyed_again(line: str, key: int, edits: int) -> dict[int, bool]:
+    """Keys below a crowded key: one piece of the rest as well, wherever it may have moved."""
+    length, i, own = keyed(line, edits)[key]
+    out: dict[int, bool] = {}
+    for j, (p, k) in enumerate(pieces(length, i, edits)):
+        for q in range(max(0, p - edits), min(len(line) - k, p + edits) + 1):
+            c = code(key, line[q : q + k], seed=j)
+            out[c] = out.get(c, False) or (own and q == p)
+    return out
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -118,10 +141,13 @@ def line_linker(edits: int):
 def near_links(lines: DataFrame, edits: int, many: int = MANY, region: int = REGION) -> DataFrame:
     """Links ``a``-``b`` (digests) that span the classes of ``line``s."""
 
+    def frame(key: list[int], node: list[int], own: list[bool], sizes: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"key": np.array(key, np.int64), "node": np.repeat(np.array(node, np.int64), np.array(sizes, np.int64)), "own": np.array(own, bool)})
+
     def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[int] = set()
         for x in batches:
-            key, node, sizes = [], [], []
+            key, node, own, sizes = [], [], [], []
             for line in x["line"]:
                 number = int.from_bytes(md5(line.encode("utf-8", "surrogatepass")).digest()[:8], "big", signed=True)
                 if number in done:
@@ -129,21 +155,35 @@ def near_links(lines: DataFrame, edits: int, many: int = MANY, region: int = REG
                 if len(done) > 300_000:
                     done.clear()
                 done.add(number)
-                own, probes = keys(line, edits)
-                key += own
-                key += probes
+                got = keyed(line, edits)
+                key += got
+                own += [v[2] for v in got.values()]
                 node.append(number)
-                sizes += (len(own), len(probes))
-            sizes = np.array(sizes, np.int64)
-            yield pd.DataFrame({"key": np.array(key, np.int64), "node": np.repeat(np.repeat(np.array(node, np.int64), 2), sizes), "own": np.repeat(np.arange(len(sizes)) % 2 == 0, sizes)})
+                sizes.append(len(got))
+            yield frame(key, node, own, sizes)
 
-    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pairs of a small key, a chain of a large one. Only as many lines as ``many`` are held.
+    def emitted_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            key, node, own, sizes = [], [], [], []
+            for k, number, body in zip(x["x"].tolist(), x["y"].tolist(), x["body"], strict=True):
+                line = body.decode("utf-8", "surrogatepass")
+                if k in keyed(line, edits):
+                    got = keyed_again(line, k, edits)
+                    key += got
+                    own += got.values()
+                    node.append(number)
+                    sizes.append(len(got))
+            yield frame(key, node, own, sizes)
+
+    def met(batches: Iterator[pd.DataFrame], deep: bool) -> Iterator[pd.DataFrame]:
+        """Pairs (kind 0) of a small key; of a crowded one its members (kind 2), or below that a chain (kind 1).
+
+        Only as many lines as ``many`` are held.
 
         Rows come by key and node. A key that stands alone in its batch is passed over at once;
         the last key of a batch waits for the next one.
         """
-        out: list[tuple[int, int, bool]] = []
+        out: list[tuple[int, int, int]] = []
         key = last = None
         lines_of: dict[int, bool] = {}  # of the open key: whether the line owns it
         chained = False
@@ -152,7 +192,7 @@ def near_links(lines: DataFrame, edits: int, many: int = MANY, region: int = REG
             if not chained and len(lines_of) > 1:
                 for a, b in combinations(sorted(lines_of), 2):
                     if lines_of[a] or lines_of[b]:
-                        out.append((a, b, False))
+                        out.append((a, b, 0))
 
         for x in batches:
             k, node, own = x["key"].to_numpy(), x["node"].to_numpy(), x["own"].to_numpy()
@@ -169,36 +209,42 @@ def near_links(lines: DataFrame, edits: int, many: int = MANY, region: int = REG
                     key, lines_of, chained, last = kk, {}, False, None
                 if chained:
                     if n != last:
-                        out.append((min(last, n), max(last, n), True))
+                        out.append((min(last, n), max(last, n), 1) if deep else (kk, n, 2))
                         last = n
                     continue
                 lines_of[n] = lines_of.get(n, False) or mine
                 if len(lines_of) > many:
                     chained, chain = True, sorted(lines_of)
-                    out.extend((a, b, True) for a, b in pairwise(chain))
+                    out.extend(((a, b, 1) for a, b in pairwise(chain)) if deep else ((kk, a, 2) for a in chain))
                     last = chain[-1]
                     lines_of = {}
-            yield pd.DataFrame(out, columns=["x", "y", "chain"])
+            yield pd.DataFrame(out, columns=["x", "y", "kind"])
             out.clear()
         close()
-        yield pd.DataFrame(out, columns=["x", "y", "chain"])
+        yield pd.DataFrame(out, columns=["x", "y", "kind"])
+
+    def meet(rows: DataFrame, deep: bool) -> DataFrame:
+        by_key = rows.repartition("key").sortWithinPartitions("key", "node")
+        return cut(by_key.mapInPandas(lambda batches: met(batches, deep), "x long, y long, kind int").distinct())
 
-    rows = lines.select("line").mapInPandas(emitted, "key long, node long, own boolean")
-    found = cut(rows.repartition("key").sortWithinPartitions("key", "node").mapInPandas(met, "x long, y long, chain boolean").distinct())
+    schema = "key long, node long, own boolean"
+    found = meet(lines.select("line").mapInPandas(emitted, schema), False)
 
     # Lines of candidates; a number that two lines share only makes more candidates.
     number = F.conv(F.substring(F.md5("line"), 1, 16), 16, -10).cast("long")
-    asked = found.select(F.explode(F.array("x", "y")).alias("number")).distinct()
+    asked = found.select(F.explode(F.when(F.col("kind") == 2, F.array("y")).otherwise(F.array("x", "y"))).alias("number")).distinct()
     named = cut(lines.select("line", number.alias("number")).join(asked, "number", "left_semi").distinct().select("number", F.unhex(F.md5("line")).alias("node"), F.encode("line", "UTF-8").alias("body")))
+    members = found.where("kind = 2").join(named.select(F.col("number").alias("y"), "body"), "y").select("x", "y", "body")
+    found = found.where("kind = 0").unionByName(meet(members.mapInPandas(emitted_again, schema), True))
     side = lambda n, x: named.select(F.col("number").alias(n), F.col("node").alias(x), F.col("body").alias(f"{x}_body"))
-    both = found.join(side("x", "a"), "x").join(side("y", "b"), "y")
+    both = found.distinct().join(side("x", "a"), "x").join(side("y", "b"), "y")
 
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([within(p.decode("utf-8", "surrogatepass"), q.decode("utf-8", "surrogatepass"), edits) for p, q in zip(a, b, strict=True)], dtype=bool)
 
-    direct = both.where("not chain").where(close("a_body", "b_body")).select("a", "b")
-    chained = regions_of(both.where("chain").select("a", "b"), region).join(named.select("node", "body"), "node")
+    direct = both.where("kind = 0").where(close("a_body", "b_body")).select("a", "b")
+    chained = regions_of(both.where("kind = 1").select("a", "b"), region).join(named.select("node", "body"), "node")
     return direct.unionByName(region_links(chained, line_linker(edits), region))
 
 
