@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_of
 
-LENGTH, GRAM, HOT = 400, 128, 4096
+LENGTH, GRAM, HOT = 400, 128, 65_536
 BASE = 0x5851F42D4C957F2D
 INVERSE = pow(BASE, -1, 2**64)
 POWERS: dict[int, np.ndarray] = {}
