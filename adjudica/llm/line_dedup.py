@@ -55,13 +55,14 @@ def code(*parts: object, seed: int = 0) -> int:
 def keyed(line: str, edits: int) -> dict[int, tuple[int, int, bool]]:
     """Key hashes of a line: indexed length, segment, and whether the line indexes it (its own also probe)."""
     n, size = edits + 1, len(line)
-    out = {code(line[p : p + k], seed=size * 64 + i): (size, i, True) for i, (p, k) in enumerate(segments(size, n))}
+    h = lambda s, seed: xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), seed) - 2**63
+    out = {h(line[p : p + k], size * 64 + i): (size, i, True) for i, (p, k) in enumerate(segments(size, n))}
     for length in range(max(n, size - edits), size + 1):
         gap = size - length
         for i, (p, k) in enumerate(segments(length, n)):
             low, high = max(p - i, p + gap - (edits - i), 0), min(p + i, p + gap + (edits - i), size - k)
             for q in range(low, high + 1):
-                out.setdefault(code(line[q : q + k], seed=length * 64 + i), (length, i, False))
+                out.setdefault(h(line[q : q + k], length * 64 + i), (length, i, False))
     return out
 
 
@@ -178,7 +179,7 @@ def near_links(lines: DataFrame, edits: int, many: int = MANY, region: int = REG
     def met(batches: Iterator[pd.DataFrame], deep: bool) -> Iterator[pd.DataFrame]:
         """Pairs (kind 0) of a small key; of a crowded one its members (kind 2), or below that a chain (kind 1).
 
-        Only as many lines as ``many`` are held.
+        Only as many lines as ``many`` are held. Owners of a key come first, so one without is known at once.
 
         Rows come by key and node. A key that stands alone in its batch is passed over at once;
         the last key of a batch waits for the next one.
@@ -202,19 +203,23 @@ def near_links(lines: DataFrame, edits: int, many: int = MANY, region: int = REG
             differ = (k[1:] == k[:-1]) & (node[1:] != node[:-1])
             same = np.concatenate([[True], k[1:] != k[:-1]]).cumsum() - 1
             twin = (np.bincount(same[1:], differ, minlength=same[-1] + 1) > 0)[same]
+            twin &= (np.bincount(same, own, minlength=same[-1] + 1) > 0)[same]
             twin |= (same == 0) | (same == same[-1])
             for kk, n, mine in zip(k[twin].tolist(), node[twin].tolist(), own[twin].tolist(), strict=True):
                 if kk != key:
                     close()
                     key, lines_of, chained, last = kk, {}, False, None
                 if chained:
-                    if n != last:
+                    if n != last and last is not None:
                         out.append((min(last, n), max(last, n), 1) if deep else (kk, n, 2))
                         last = n
                     continue
                 lines_of[n] = lines_of.get(n, False) or mine
                 if len(lines_of) > many:
                     chained, chain = True, sorted(lines_of)
+                    if not any(lines_of.values()):
+                        last, lines_of = None, {}  # nobody owns this key: no pair can come of it
+                        continue
                     out.extend(((a, b, 1) for a, b in pairwise(chain)) if deep else ((kk, a, 2) for a in chain))
                     last = chain[-1]
                     lines_of = {}
@@ -224,7 +229,7 @@ def near_links(lines: DataFrame, edits: int, many: int = MANY, region: int = REG
         yield pd.DataFrame(out, columns=["x", "y", "kind"])
 
     def meet(rows: DataFrame, deep: bool) -> DataFrame:
-        by_key = rows.repartition("key").sortWithinPartitions("key", "node")
+        by_key = rows.repartition("key").sortWithinPartitions("key", F.desc("own"), "node")
         return cut(by_key.mapInPandas(lambda batches: met(batches, deep), "x long, y long, kind int").distinct())
 
     schema = "key long, node long, own boolean"
