@@ -1,8 +1,9 @@
 """Line dedup: a segment-partition edit join over distinct lines.
 
-Lines are trimmed of spaces; shorter ones than ``min_chars`` code points stay as they are. Two
-lines are linked when their edit distance is at most ``edits``. Of each class of linked lines
-the first occurrence (least id, then line number; ids that are null last) stays, all others go.
+Lines are trimmed of spaces. Two lines of ``min_chars`` code points or more are linked when their
+edit distance is at most ``edits``; shorter ones, down to ``exact_chars``, only when they are
+equal (a few edits would turn one short line into an unlike one), and what is shorter still
+stays as it is. Blank lines always stay. Of each class of linked lines the first occurrence (least id, then line number; ids that are null last) stays, all others go.
 
 1. A line is cut into ``edits + 1`` segments; a line within ``edits`` holds one of them
    unchanged. Each line indexes its segments by its length, and probes, for each length that
@@ -253,15 +254,19 @@ def near_links(lines: DataFrame, edits: int, many: int = MANY, region: int = REG
     return direct.unionByName(region_links(chained, line_linker(edits), region))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, also: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, ``n_lines`` (non-blank), ``n_removed``, ``removed`` (line numbers), ``text`` (the rest) and the columns ``also``."""
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, also: tuple[str, ...] = (), exact_chars: int | None = None) -> DataFrame:
+    """``id_col``, ``n_lines`` (non-blank), ``n_removed``, ``removed`` (line numbers), ``text`` (the rest) and the columns ``also``.
+
+    ``exact_chars`` is ``min_chars`` unless given; with 1, equal lines of every length are found.
+    """
+    exact_chars = min_chars if exact_chars is None else max(1, min(exact_chars, min_chars))
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"), *(F.col(c).alias(f"_also{i}") for i, c in enumerate(also)))
     docs = docs.withColumn("_d", F.xxhash64(F.to_json(F.struct("_id")), F.coalesce("_t", F.lit(""))))
-    every = docs.select("_id", "_d", F.posexplode(F.split(F.coalesce("_t", F.lit("")), "\n")).alias("no", "_l")).withColumn("line", F.btrim("_l", F.lit(SPACES))).where(F.char_length("line") >= min_chars)
+    every = docs.select("_id", "_d", F.posexplode(F.split(F.coalesce("_t", F.lit("")), "\n")).alias("no", "_l")).withColumn("line", F.btrim("_l", F.lit(SPACES))).where(F.char_length("line") >= exact_chars)
     place = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_d").alias("d"), F.col("no").alias("no"))
     lines = every.select(F.unhex(F.md5("line")).alias("node"), place.alias("place"))
     first = cut(lines.groupBy("node").agg(F.min("place").alias("first"), F.count("*").alias("n")))
-    classes = connected_components(near_links(every.select("line"), edits))
+    classes = connected_components(near_links(every.where(F.char_length("line") >= min_chars).select("line"), edits))
     joined = classes.join(first, "node")
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
     shared = joined.join(least, "root").select("node", "least").unionByName(first.where("n > 1").join(classes, "node", "left_anti").select("node", F.col("first").alias("least")))

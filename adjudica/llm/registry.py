@@ -60,7 +60,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op9.line_dedup(table(spark, sf_dir, "documents"))
+    return op9.line_dedup(table(spark, sf_dir, "documents"), exact_chars=1)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their kept lines; one whose lines all go (nothing but repeats) goes too."""
-    lines = line_dedup.line_dedup(docs, also=("lang", "source", "n_chars"))
+    lines = line_dedup.line_dedup(docs, also=("lang", "source", "n_chars"), exact_chars=1)
     kept = lines.where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

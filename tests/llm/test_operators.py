@@ -6,11 +6,13 @@ import re
 import zlib
 from itertools import combinations
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from adjudica.llm import decontamination, graph, html_text, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_counts
+from adjudica.llm import registry
 from adjudica.llm.registry import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -271,6 +273,23 @@ def test_line_dedup(spark, monkeypatch, many):
     assert got[1].text is None and got[1].n_lines == 0
 
 
+def test_line_dedup_short(spark):
+    long = prose(77, 9)
+    rows = [(1, f"one\n \nChapter 1\n{long}\n\n}}"), (2, f"Chapter 2\n one\t\n\n}}\n{long}x"), (3, "Chapter 1\n\nown"), (4, "own")]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed, r.removed) for r in line_dedup.line_dedup(docs(spark, rows), exact_chars=1).collect()}
+    assert got == {1: (rows[0][1], 4, 0, None), 2: ("Chapter 2\n", 4, 3, "1,3,4"), 3: ("\nown", 2, 1, "0"), 4: ("", 1, 1, "0")}
+
+
+@pytest.mark.parametrize("query", ["op9_line_dedup", "line_dedup"])
+def test_line_dedup_queries(spark, tmp_path, query):
+    spark.createDataFrame([(1, "one", "en", "web", 3), (2, "one\ntwo", "en", "web", 7)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    if query == "op9_line_dedup":
+        rows = registry.queries()[query](spark, str(tmp_path)).collect()
+    else:
+        rows = dict(corpus_pipeline.STAGES)[query](spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in rows} == {1: "one", 2: "two"}
+
+
 def test_mixing(spark):
     words = {"a": "alpha beta gamma delta".split(), "b": "uno dos tres cuatro".split()}
     r = random.Random(2)
