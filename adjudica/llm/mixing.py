@@ -3,10 +3,14 @@
 1. A classifier learnt from a labelled table gives each document posteriors over the domains:
    naive Bayes over hashed words (mean log-likelihood of the whole text, sharpened by its word
    count up to ``SHARP`` words), fitted by summed counts per partition. Every labelled row counts.
-2. Document rates r >= 0 minimise |sum_d r_d tokens_d p_d - T|^2 / N + ridge * sum_d tokens_d
-   (r_d - 1)^2, where T are the targets times N, the number of tokens. Each step of the
+2. Document rates r >= 0 minimise |W (sum_d r_d tokens_d p_d - T)|^2 / N + ridge * sum_d tokens_d
+   (r_d - 1)^2, where T are the targets times N, the number of tokens. W evens out the domains
+   (W'W is the inverse of sum_d tokens_d p_d p_d' / N + floor), so a rare one is met as fast as
+   a common one, and the ridge is so small that it only breaks ties. Each step of the
    accelerated projected gradient is one distributed sum of a vector over domains. A rate
    is a function of a row and of the residuals so far, so no state of rows is kept.
+   Steps end when all domain totals are within ``tolerance`` of their targets (as shares of N),
+   or when they stand still (targets that no rates reach), or after ``steps``.
 3. ``copies`` rounds a rate to whole copies without bias, by a hash of the id and text.
 
 Domains are the keys of ``targets``; labelled rows of other or null domains are not learnt from.
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import cut, text_of
 from .minhash_dedup import WordHashes
 
-BUCKETS, SHARP, STEPS, RIDGE = 1 << 13, 40, 30, 0.02
+BUCKETS, SHARP, STEPS, RIDGE, FLOOR, TOLERANCE = 1 << 13, 40, 300, 1e-9, 1e-6, 1e-4
 #: Equal shares for the languages of the corpus.
 TARGETS = {"de": 0.25, "en": 0.25, "es": 0.25, "fr": 0.25}
 
@@ -58,7 +62,7 @@ def log_likelihoods(known: DataFrame, domains: list[str]) -> tuple[np.ndarray, n
 
 
 def rates(tokens: np.ndarray, p: np.ndarray, residuals: list[np.ndarray], step: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after ``len(residuals)`` projected steps, and the point where the next residual is taken."""
+    """Rates after ``len(residuals)`` projected steps (residuals times W'W), and the point where the next residual is taken."""
     r = y = np.ones(len(p))
     t = 1.0
     for e in residuals:
@@ -68,7 +72,7 @@ def rates(tokens: np.ndarray, p: np.ndarray, residuals: list[np.ndarray], step:
     return r, y
 
 
-def mixing(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", steps: int = STEPS, ridge: float = RIDGE) -> DataFrame:
+def mixing(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", steps: int = STEPS, ridge: float = RIDGE, tolerance: float = TOLERANCE) -> DataFrame:
     """``id_col``, ``n_tokens``, ``domain`` (likeliest), ``posterior`` (in the order of domains), ``rate`` and ``copies``."""
     targets = TARGETS if targets is None else targets
     domains = sorted(targets)
@@ -112,17 +116,21 @@ def mixing(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | Non
 
     gram = summed(True, [], 0.0).reshape(k, k)
     total = max(gram.sum(), 1.0)  # posteriors add up to one: the number of tokens
-    step = 1 / (np.linalg.eigvalsh(gram / total).max() + ridge)
+    weight = np.linalg.inv(gram / total + FLOOR * np.eye(k))
+    step = 1 / (1 + ridge)  # W gram W' has no eigenvalue above one
     residuals: list[np.ndarray] = []
-    for _ in range(steps):
+    before = None
+    while len(residuals) < steps:
         e = summed(False, residuals, step) / total - share
-        residuals.append(e)
-        if np.abs(residuals[-1] - residuals[-2]).max() < 1e-7 if len(residuals) > 1 else False:
+        # The residual is that of the point a further step would start from; rates are taken there.
+        if np.abs(e).max() < tolerance or (before is not None and np.abs(e - before).max() < 1e-7):
             break
+        residuals.append(weight @ e)
+        before = e
 
     @F.pandas_udf("double")
     def rated(n: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series(rates(n.to_numpy(float), np.stack(p.to_numpy()), residuals, step, ridge)[0] if len(n) else [], dtype="float64")
+        return pd.Series(rates(n.to_numpy(float), np.stack(p.to_numpy()), residuals, step, ridge)[1] if len(n) else [], dtype="float64")
 
     out = rows.withColumn("rate", rated("n", "p"))
     whole = F.floor("rate")

@@ -303,6 +303,20 @@ def test_mixing(spark):
     assert sum(x.domain == ("a" if x.doc_id % 5 else "b") for x in got if x.doc_id < 400) == 400
 
 
+@pytest.mark.parametrize(("rare", "targets"), [(100, [1, 1, 1]), (100, [5, 3, 2]), (7, [2, 1, 1]), (3, [8, 1, 1])])
+def test_mixing_meets_targets(spark, rare, targets):
+    words = ["alpha beta gamma delta".split(), "uno dos tres cuatro".split(), "eins zwei drei vier".split()]
+    r, n = random.Random(4), 600
+    kind = [1 if i % rare == 1 else 2 if i % rare == 2 else 0 for i in range(n)]
+    rows = [(i, " ".join(r.choices(words[kind[i]], k=r.randint(20, 60)) + r.choices(words[(kind[i] + 1) % 3], k=i % 4))) for i in range(n)]
+    known = spark.createDataFrame([(i, "abc"[kind[i]]) for i in range(n)], "doc_id long, domain string")
+    got = mixing.mixing(docs(spark, rows), known, dict(zip("abc", targets, strict=True))).collect()
+    total = sum(x.n_tokens for x in got)
+    for k in range(3):
+        assert abs(sum(x.n_tokens * x.rate * x.posterior[k] for x in got) / total - targets[k] / sum(targets)) < 1e-3
+    assert all(x.rate >= 0 for x in got)
+
+
 @pytest.mark.parametrize("operator", [suffix_dedup.suffix_dedup, minhash_dedup.near_duplicates, secret_scan.secret_scan, quality_rules.quality_rules, line_dedup.line_dedup])
 def test_empty_tables(spark, operator):
     assert operator(docs(spark, EDGES).where(F.lit(False))).count() == 0
