@@ -2,8 +2,10 @@
 
 All visible text comes out: block elements on lines of their own (paragraph-like ones with a
 blank line between), list items behind ``- `` or their number and indented by depth, table
-rows as lines with cells padded to columns, preformatted text as it stands. Not visible:
-comments, head, script, style, template and the like, and elements with ``hidden`` or an inline
+rows as lines with cells padded to columns, preformatted text as it stands but for spaces at
+the end of a line. Texts of math and svg are inline. Not visible: comments, head, script, style,
+template and the like, fallbacks of audio, video, canvas and object, in svg and math what they
+only define or annotate (``FOREIGN_UNSEEN``), and elements with ``hidden`` or an inline
 ``display:none`` or ``visibility:hidden``. Missing end tags are implied (p, li, dt, dd, option,
 table parts); stray end tags are ignored. Null and empty pages give an empty text.
 Work and memory are linear in the page; nesting has no limit. No shuffle.
@@ -25,9 +27,11 @@ HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collap
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style template noscript iframe noembed noframes xmp".split())
-UNSEEN = RAW | frozenset("head title datalist audio video canvas object svg math".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure article section hr".split())
+RAW = frozenset("script style template noscript iframe noembed noframes".split())
+UNSEEN = RAW | frozenset("head title datalist audio video canvas object".split())
+FOREIGN = frozenset(["svg", "math"])
+FOREIGN_UNSEEN = frozenset("desc metadata defs symbol annotation annotation-xml".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre xmp table figure article section hr".split())
 BLOCK = SPACED | frozenset("html body div li dt dd tr header footer nav main aside form fieldset legend address figcaption details summary caption option center dir menu thead tbody tfoot td th".split())
 #: Start tag: (open elements that it ends, elements beyond which it does not look).
 _TABLE = frozenset(["table"])
@@ -55,10 +59,11 @@ class Lines:
         self.breaks = self.depth = 0
         self.space = False
         self.mark = ""
+        self.blank = ""  # preformatted spaces that stay if the line goes on
         self.fresh = True
 
     def block(self, n: int) -> None:
-        self.breaks, self.space = max(self.breaks, n), False
+        self.breaks, self.space, self.blank = max(self.breaks, n), False, ""
 
     def begin(self) -> None:
         if not self.fresh and self.breaks:
@@ -74,7 +79,8 @@ class Lines:
         if not words:
             self.space = self.space or bool(s)
             return
-        lead = self.space or s[0].isspace()
+        lead = self.space or self.blank or s[0].isspace()
+        self.blank = ""
         was = self.fresh or self.breaks
         self.begin()
         self.out.append((" " if lead and not was else "") + " ".join(words))
@@ -83,10 +89,14 @@ class Lines:
     def verbatim(self, s: str) -> None:
         for i, line in enumerate(s.split("\n")):
             if i:
-                self.breaks = self.breaks + 1
-            if line.strip():
+                self.breaks, self.blank, self.space = self.breaks + 1, "", False
+            if said := line.rstrip():
+                lead = " " if self.space and not (self.fresh or self.breaks) else ""
                 self.begin()
-                self.out.append(line.rstrip())
+                self.out.append(lead + self.blank + said)
+                self.blank, self.space = line[len(said) :], False
+            else:
+                self.blank += line
 
     def done(self) -> str:
         return "".join(self.out)
@@ -121,16 +131,19 @@ def hidden(attributes: str) -> bool:
 def extract(page: str) -> str:
     """The visible text of a page."""
     sinks, tables, lists = [Lines()], [], []  # of the open cells, tables and lists
-    stack: list[tuple[str, bool, bool]] = []  # open elements: tag, unseen, preformatted
+    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: tag, unseen, preformatted, foreign
 
     def seen() -> bool:
         return not (stack and stack[-1][1])
 
     def close() -> None:
-        tag, unseen, _ = stack.pop()
+        tag, unseen, _, foreign = stack.pop()
         if unseen:
             return
         sink = sinks[-1]
+        if foreign:
+            sink.space = sink.space or tag == "text"  # texts of a picture stand apart
+            return
         if tag in ("td", "th", "caption") and len(sinks) > 1:
             sinks.pop()
             said = " ".join(sink.done().split())
@@ -184,6 +197,9 @@ def extract(page: str) -> str:
             if seen():
                 sinks[-1].block(min(2, sinks[-1].breaks + 1))
             continue
+        foreign = tag in FOREIGN or (bool(stack) and stack[-1][3] and tag not in BLOCK)
+        if foreign and attributes.endswith("/"):
+            continue
         if tag in IMPLIED:
             end(*IMPLIED[tag])
         if tag in NO_P:
@@ -192,23 +208,34 @@ def extract(page: str) -> str:
             if tag == "hr" and seen():
                 sinks[-1].block(2)
             continue
-        unseen = not seen() or tag in UNSEEN or hidden(attributes)
+        unseen = not seen() or tag in UNSEEN or (foreign and tag in FOREIGN_UNSEEN) or hidden(attributes)
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = stop.end() if stop else len(page)
             continue
+        if tag == "xmp":  # neither tags nor entities in it
+            stop = re.compile(r"</xmp(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            if not unseen:
+                sinks[-1].block(2)
+                sinks[-1].verbatim(page[at : stop.start() if stop else len(page)])
+                sinks[-1].block(2)
+            at = stop.end() if stop else len(page)
+            continue
         if not unseen and tag in ("td", "th", "caption", "tr", "thead", "tbody", "tfoot"):
             if not tables:  # a table part alone opens a table
-                stack.append(("table", False, False))
+                stack.append(("table", False, False, False))
                 sinks[-1].block(2)
                 tables.append(Table())
             if tag == "tr" or (tag in ("td", "th") and not any(t == "tr" for t, *_ in stack[-1:])):
                 tables[-1].rows.append([])
                 if tag != "tr":
-                    stack.append(("tr", False, False))
-        stack.append((tag, unseen, (bool(stack) and stack[-1][2]) or tag in ("pre", "textarea")))
+                    stack.append(("tr", False, False, False))
+        stack.append((tag, unseen, (bool(stack) and stack[-1][2]) or tag in ("pre", "textarea"), foreign and tag != "foreignobject"))
         if unseen:
             continue
+        if foreign and tag == "text":
+            sinks[-1].space = True
+            continue
         if tag == "table":
             sinks[-1].block(2)
             tables.append(Table())

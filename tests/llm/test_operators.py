@@ -198,6 +198,15 @@ HTML = {
     "plain": "plain",
     "<p>unclosed <b>tag": "unclosed tag",
     "<head><title>t</title></head><body>b": "b",
+    "<p>let <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>\\tex</annotation></math> be": "let a+b be",
+    "<svg><title>no</title><style>x{}</style><defs><text>no</text></defs><text>one</text><text x=1>two</text></svg> end": "one two end",
+    "<body>a <svg class=icon/> b<math/> c<p>d</body>": "a b c\n\nd",
+    "<svg><defs/><style/><path d='M0 0'/><text>x</text></svg>y<svg hidden/>z": "x yz",
+    "<svg><foreignObject><p>a<p>b</foreignObject></svg>c": "a\n\nb\n\nc",
+    "<svg hidden><text>no</text></svg>yes<math style='display:none'><mi>n</mi></math>": "yes",
+    "a<xmp>x <b>y</b> &amp;\n  z</xmp>b": "a\n\nx <b>y</b> &amp;\n  z\n\nb",
+    "<pre><span>def</span> <span>f</span></pre>": "def f",
+    "<pre>if x: <b>y</b>  \n    <b>z</b> \n  \n<i>w</i>   </pre>q": "if x: y\n    z\n\nw\n\nq",
 }
 
 
