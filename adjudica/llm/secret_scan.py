@@ -2,15 +2,15 @@
 
 Base spans (leftmost, not overlapping, for each kind; ends exclusive, in code points) are
 always reported. Weak parts - an account name, a bare mixed token, an endpoint - are
-candidates only: an interval join (a range window over the parts of a text, by start) shows
-which other parts begin within ``REACH`` code points in the same scope, and a weak part is
-reported when its complement is there:
+candidates only: an interval join (windows over the parts of a text) shows which other parts
+stand in the same scope, and a weak part is reported when its complement is there:
 
 * an account name with a secret,
 * a bare token with an identifier or an endpoint,
 * an endpoint with both an identifier and a secret.
 
-A scope is a run of lines without a blank line between. Only parts, never texts, are
+A scope is a run of lines without a blank line between, of any length. A ``reach``, if given,
+bounds the gap between two linked parts (end of the earlier to start of the later). Only parts, never texts, are
 shuffled. Null and empty texts have no spans (the digest is that of an empty string).
 Rows with equal id and text are scanned alike, each keeps its own result row.
 """
@@ -35,7 +35,6 @@ WEAK = (
 )
 KINDS = [kind for kind, *_ in BASE + WEAK]
 SPAN = "array<struct<s:int,k:int,e:int>>"
-REACH = 300
 
 
 def spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
@@ -69,19 +68,28 @@ def written(found: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(found), one), ",")
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = None) -> DataFrame:
     """``id_col``, counts of base spans, ``base_sha256``, ``spans`` and ``n_linked`` (weak parts reported)."""
     text, scope = F.col("_t"), r"\n[\x20\t\r]*\n"
     df = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
     df = df.select("_id", F.md5(F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("-")), F.lit(":"), text)).alias("_key"), *(spans(text, i, *rest).alias(kind) for i, (kind, *rest) in enumerate(BASE + WEAK)), spans(text, 9, scope, 0, 0).alias("_cuts"))
     df = df.select("_id", "_key", *KINDS[:3], F.concat(*KINDS[:3]).alias("_base"), F.concat(*KINDS[3:]).alias("_weak"), "_cuts")
 
-    # The interval join: each part sees which others begin within reach, in its own scope.
+    # The interval join: each part sees which others stand in its own scope, and within reach.
     parts = df.where(F.size("_weak") > 0).dropDuplicates(["_key"]).select("_key", F.explode(F.concat("_base", "_weak", "_cuts")).alias("x")).select("_key", "x.*")
     by_start = Window.partitionBy("_key").orderBy("s", "k", "e").rowsBetween(Window.unboundedPreceding, 0)
     parts = parts.withColumn("scope", F.sum((F.col("k") == 9).cast("int")).over(by_start)).where("k < 9")
-    near = Window.partitionBy("_key", "scope").orderBy("s").rangeBetween(-reach, reach)
-    has = lambda kinds: F.max(F.col("k").isin(kinds).cast("int")).over(near)
+    scope_of = Window.partitionBy("_key", "scope")
+    before = scope_of.orderBy("s", "k", "e").rowsBetween(Window.unboundedPreceding, -1)
+    after = scope_of.orderBy(F.desc("s"), F.desc("k"), F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
+
+    def has(kinds: list[int]) -> Column:
+        some = F.col("k").isin(kinds)
+        if reach is None:
+            return F.max(some.cast("int")).over(scope_of)
+        gap = F.least(F.col("s") - F.max(F.when(some, F.col("e"))).over(before), F.min(F.when(some, F.col("s"))).over(after) - F.col("e"))
+        return (some | F.coalesce(gap <= reach, F.lit(False))).cast("int")
+
     k = lambda name: KINDS.index(name)
     parts = parts.select("_key", "s", "k", "e", has([k("access"), k("account")]).alias("ids"), has([k("assign"), k("hex"), k("bare")]).alias("secrets"), has([k("endpoint")]).alias("ends"))
     shown = F.when(F.col("k") == k("account"), F.col("secrets") == 1).when(F.col("k") == k("bare"), F.col("ids") + F.col("ends") > 0).when(F.col("k") == k("endpoint"), F.col("ids") + F.col("secrets") == 2)

@@ -119,6 +119,24 @@ def test_secret_scan(spark):
     assert set(linked) == {32} and {s.split(":")[0] for s in linked[32].split(",")} == {"account", "bare", "endpoint"}
 
 
+def test_secret_scan_links_whole_scopes(spark):
+    token, url = "Ab3x9Z" * 70, "https://h.example.com/" + "p" * 400
+    rows = [
+        (1, f"{token} user: alice"),
+        (2, f"user: alice {token}"),
+        (3, f"{url} user: alice secret=abcdefgh"),
+        (4, "user: alice\n" + "calm words\n" * 90 + token),
+        (5, f"user: alice\n\n{token}"),
+        (6, f"user: alice " + "calm " * 4 + token),
+    ]
+    kinds = lambda **more: {r.doc_id: {x.split(":")[0] for x in r.spans.split(",") if x} for r in secret_scan.secret_scan(docs(spark, rows), **more).collect()}
+    both = {"account", "bare"}
+    assert kinds() == {1: both, 2: both, 3: {"endpoint", "account", "assign"}, 4: both, 5: set(), 6: both}
+    assert kinds(reach=1) == {1: both, 2: both, 3: {"endpoint", "account", "assign"} - {"endpoint"}, 4: set(), 5: set(), 6: set()}
+    assert kinds(reach=21)[6] == both and kinds(reach=20)[6] == set()
+    assert kinds(reach=900)[4] == set() and kinds(reach=1000)[4] == both and kinds(reach=20)[3] == {"endpoint", "account", "assign"}
+
+
 def test_quality_rules_edges(spark):
     got = quality_rules.quality_rules(docs(spark, [*EDGES, (9, "the cat sat on the mat " * 30), (10, prose(3, 60) + " the of")]))
     by = {r.doc_id: r for r in got.collect() if r.doc_id is not None}
