@@ -3,87 +3,140 @@
 Lines are trimmed of spaces. Two lines of ``min_chars`` code points or more are linked when their
 edit distance is at most ``edits``; shorter ones, down to ``exact_chars``, only when they are
 equal (a few edits would turn one short line into an unlike one), and what is shorter still
-stays as it is. Blank lines always stay. Of each class of linked lines the first occurrence (least id, then line number; ids that are null last) stays, all others go.
+stays as it is. Blank lines always stay. Of each class of linked lines the first occurrence
+(least id, then line number; ids that are null last) stays, all others go.
 
 1. A line is cut into ``edits + 1`` segments; a line within ``edits`` holds one of them
    unchanged. Each line indexes its segments by its length, and probes, for each length that
-   is not above its own, only the substrings that a multi-match-aware window allows.
-2. Keys meet in sorted partitions. A key with few lines gives its pairs. The lines of a crowded
-   key meet again under keys with a second piece of the line, of which linked lines share two.
-   What is crowded even there gives a chain of lines, linear in its size; regions of chained
-   lines are compared in full, and hot regions are dealt over many tasks, so no pair is lost.
+   is not above its own, only the substrings that a multi-match-aware window allows. The hashes
+   of all substrings of a batch of lines come from one running sum.
+2. Lines that share a key are a group; groups of equal members are one. The members of a group
+   of up to ``GROUP`` lines are compared, and only links that span what is linked leave it. The
+   lines of a larger group meet again under keys with a second piece of the line, of which
+   linked lines share two. What is larger even there gives a star of candidates, linear in its
+   size; regions of such candidates are compared in full, and hot regions are dealt over many
+   tasks, so no pair is lost.
 3. Pairs are verified by a banded bit-parallel edit distance on the whole lines.
 
 A text that is null has no lines. Rows with equal id and text are one document: each of its
-rows gets the same result. An empty table gives no rows.
+rows gets the same result. Rows without an id are documents like any other, after all that have
+one. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import md5
-from itertools import combinations, pairwise
 from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, BinaryType, StructField, StructType
 
-from .common import SPACES, cut, text_of
+from .common import SPACES, cut
 from .graph import connected_components
-from .regions import Union, region_links, regions_of, streamed
-
-EDITS, MIN_CHARS, MANY, REGION = 2, 25, 48, 512
-
-
-def segments(length: int, n: int) -> list[tuple[int, int]]:
-    """(start, size) of n nearly equal segments, the longer ones last."""
-    base, more = divmod(length, n)
-    out, at = [], 0
-    for i in range(n):
-        size = base + (i >= n - more)
-        out.append((at, size))
-        at += size
-    return out
-
-
-def code(*parts: object, seed: int = 0) -> int:
-    return xxhash.xxh64_intdigest("|".join(map(str, parts)).encode("utf-8", "surrogatepass"), seed) - 2**63
-
-
-def keyed(line: str, edits: int) -> dict[int, tuple[int, int, bool]]:
-    """Key hashes of a line: indexed length, segment, and whether the line indexes it (its own also probe)."""
-    n, size = edits + 1, len(line)
-    h = lambda s, seed: xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), seed) - 2**63
-    out = {h(line[p : p + k], size * 64 + i): (size, i, True) for i, (p, k) in enumerate(segments(size, n))}
-    for length in range(max(n, size - edits), size + 1):
-        gap = size - length
-        for i, (p, k) in enumerate(segments(length, n)):
-            low, high = max(p - i, p + gap - (edits - i), 0), min(p + i, p + gap + (edits - i), size - k)
-            for q in range(low, high + 1):
-                out.setdefault(h(line[q : q + k], length * 64 + i), (length, i, False))
-    return out
-
-
-def pieces(length: int, i: int, edits: int) -> list[tuple[int, int]]:
-    """Places of ``edits + 2`` pieces of an indexed line besides its segment i; two of them are unchanged in a linked line."""
-    p, k = segments(length, edits + 1)[i]
-    left, right, n = p, length - p - k, edits + 2
-    m = 0 if not left else n if not right else min(n - 1, max(1, round(n * left / (left + right))))
-    return [*(segments(left, m) if m else []), *((p + k + at, size) for at, size in (segments(right, n - m) if n - m else []))]
-
-
-def keyed_again(line: str, key: int, edits: int) -> dict[int, bool]:
-    """Keys below a crowded key: one piece of the rest as well, wherever it may have moved."""
-    length, i, own = keyed(line, edits)[key]
-    out: dict[int, bool] = {}
-    for j, (p, k) in enumerate(pieces(length, i, edits)):
-        for q in range(max(0, p - edits), min(len(line) - k, p + edits) + 1):
-            c = code(key, line[q : q + k], seed=j)
-            out[c] = out.get(c, False) or (own and q == p)
-    return out
+from .regions import Union, group_links, region_links, regions_of
+
+EDITS, MIN_CHARS, GROUP, REGION = 2, 25, 512, 512
+#: Code points hashed at once, and lines that a task remembers as emitted.
+SLICE, SEEN = 1 << 19, 300_000
+BASE, INVERSE = np.uint64(0x5851F42D4C957F2D), np.uint64(pow(0x5851F42D4C957F2D, -1, 2**64))
+MIX = np.uint64(0xBF58476D1CE4E5B9)
+POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base^0 ... base^(n-1) mod 2^64, kept for the longest slice so far."""
+    if len(POWERS.get(int(base), ())) < n:
+        p = np.full(max(n, SLICE), base, np.uint64)
+        p[0] = 1
+        POWERS[int(base)] = np.cumprod(p)
+    return POWERS[int(base)][:n]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * MIX
+    return h ^ (h >> np.uint64(29))
+
+
+class Substrings:
+    """Hashes of substrings of several lines, from the running sum over their joined code points."""
+
+    def __init__(self, lines: list[str]):
+        points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.size = np.array([len(x) for x in lines], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.total = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum((points + np.uint64(1)) * powers(BASE, len(points)), out=self.total[1:])
+
+    def hashes(self, line: np.ndarray, at: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        a = self.start[line] + at
+        h = (self.total[a + size] - self.total[a]) * powers(INVERSE, len(self.total))[a]
+        return mixed(mixed(h) + seed.astype(np.uint64) * BASE).view(np.int64)
+
+
+def segment(length: np.ndarray, i: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of the i-th of n nearly equal segments, the longer ones last."""
+    base, short = length // n, n - length % n
+    return i * base + np.maximum(0, i - short), base + (i >= short)
+
+
+def keys_of(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of lines, the line of each, whether it indexes the key (or only probes it), and the indexed length and segment as one number."""
+    text, n, every = Substrings(lines), edits + 1, np.arange(len(lines))
+    out = []
+    for gap in range(edits + 1):
+        some = every[text.size - gap >= n]
+        length = text.size[some] - gap
+        for i in range(n):
+            p, k = segment(length, i, n)
+            low = np.maximum(np.maximum(p - i, p + gap - (edits - i)), 0)
+            high = np.minimum(np.minimum(p + i, p + gap + (edits - i)), length + gap - k)
+            for move in range(-i, i + 1):
+                q = p + move
+                fits = (q >= low) & (q <= high)
+                which = (length * 64 + i)[fits]
+                out.append((text.hashes(some[fits], q[fits], k[fits], which), some[fits], np.full(len(which), gap == 0 and move == 0), which))
+    key, line, own, which = map(np.concatenate, zip(*out, strict=True))
+    return key, line, own, which
+
+
+def keys_again(lines: list[str], crowded: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys below one crowded key of each line: one piece of the rest of the indexed line as well, wherever it may have moved.
+
+    The indexed line has ``edits + 2`` pieces besides its segment, two of which are unchanged in a linked line.
+    """
+    key, line, own, which = keys_of(lines, edits)
+    held = key == crowded[line]
+    table = np.unique(np.stack([line[held], which[held], own[held].astype(np.int64)]), axis=1)
+    line, which, own = table[0], table[1], table[2] > 0
+    text, n, out = Substrings(lines), edits + 2, []
+    for i in range(edits + 1):
+        rows = np.flatnonzero(which % 64 == i)
+        length = which[rows] // 64
+        p, k = segment(length, i, edits + 1)
+        left, right = p, length - p - k
+        m = np.where(left == 0, 0, np.where(right == 0, n, np.clip(np.round(n * left / np.maximum(left + right, 1)).astype(np.int64), 1, n - 1)))
+        for before in np.unique(m):
+            part = np.flatnonzero(m == before)
+            for j in range(n):
+                if j < before:
+                    at, size = segment(left[part], j, int(before))
+                else:
+                    at, size = segment(right[part], j - int(before), n - int(before))
+                    at = at + p[part] + k[part]
+                r = rows[part]
+                for move in range(-edits, edits + 1):
+                    q = at + move
+                    fits = (q >= 0) & (q + size <= text.size[line[r]])
+                    f = r[fits]
+                    seed = crowded[line[f]].view(np.uint64) + np.uint64(j)
+                    out.append((text.hashes(line[f], q[fits], size[fits], seed), line[f], own[f] & (move == 0)))
+    key, line, own = map(np.concatenate, zip(*out, strict=True))
+    return key, line, own
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -123,6 +176,10 @@ def line_linker(edits: int):
 
     def link(bodies: list[bytes], side: list[int], found: Union) -> None:
         lines, mixed = [b.decode("utf-8", "surrogatepass") for b in bodies], any(side)
+        if len(lines) == 2:
+            if within(lines[0], lines[1], edits) and (not mixed or side[0] != side[1]):
+                found.join(0, 1)
+            return
         order = sorted(range(len(lines)), key=lambda i: len(lines[i]))
         size = np.array([len(lines[i]) for i in order])
         counts = np.array([np.bincount(np.frombuffer(lines[i].encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64) for i in order], np.int32)
@@ -140,117 +197,171 @@ def line_linker(edits: int):
     return link
 
 
-def near_links(lines: DataFrame, edits: int, many: int = MANY, region: int = REGION) -> DataFrame:
-    """Links ``a``-``b`` (digests) that span the classes of ``line``s."""
+def stripped(texts: pa.Array, least: int) -> Iterator[tuple[int, int, str]]:
+    """(row, line number, trimmed line) of the lines of ``least`` code points or more."""
+    for i, t in enumerate(texts.to_pylist()):
+        if t:
+            for no, x in enumerate(t.split("\n")):
+                x = x.strip(SPACES)
+                if len(x) >= least:
+                    yield i, no, x
 
-    def frame(key: list[int], node: list[int], own: list[bool], sizes: list[int]) -> pd.DataFrame:
-        return pd.DataFrame({"key": np.array(key, np.int64), "node": np.repeat(np.array(node, np.int64), np.array(sizes, np.int64)), "own": np.array(own, bool)})
 
-    def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done: set[int] = set()
-        for x in batches:
-            key, node, own, sizes = [], [], [], []
-            for line in x["line"]:
-                number = int.from_bytes(md5(line.encode("utf-8", "surrogatepass")).digest()[:8], "big", signed=True)
-                if number in done:
-                    continue
-                if len(done) > 300_000:
-                    done.clear()
-                done.add(number)
-                got = keyed(line, edits)
-                key += got
-                own += [v[2] for v in got.values()]
-                node.append(number)
-                sizes.append(len(got))
-            yield frame(key, node, own, sizes)
-
-    def emitted_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            key, node, own, sizes = [], [], [], []
-            for k, number, body in zip(x["x"].tolist(), x["y"].tolist(), x["body"], strict=True):
-                line = body.decode("utf-8", "surrogatepass")
-                if k in keyed(line, edits):
-                    got = keyed_again(line, k, edits)
-                    key += got
-                    own += got.values()
-                    node.append(number)
-                    sizes.append(len(got))
-            yield frame(key, node, own, sizes)
-
-    def met(batches: Iterator[pd.DataFrame], deep: bool) -> Iterator[pd.DataFrame]:
-        """Pairs (kind 0) of a small key; of a crowded one its members (kind 2), or below that a chain (kind 1).
-
-        Only as many lines as ``many`` are held. Owners of a key come first, so one without is known at once.
-
-        Rows come by key and node. A key that stands alone in its batch is passed over at once;
-        the last key of a batch waits for the next one.
-        """
-        out: list[tuple[int, int, int]] = []
-        key = last = None
-        lines_of: dict[int, bool] = {}  # of the open key: whether the line owns it
-        chained = False
-
-        def close() -> None:
-            if not chained and len(lines_of) > 1:
-                for a, b in combinations(sorted(lines_of), 2):
-                    if lines_of[a] or lines_of[b]:
-                        out.append((a, b, 0))
+def digest(line: str) -> bytes:
+    return md5(line.encode("utf-8", "surrogatepass")).digest()
+
+
+def number_of(digests: list[bytes]) -> np.ndarray:
+    """The upper 63 bits of digests; the lowest bit is free."""
+    return np.frombuffer(b"".join(digests), ">i8")[::2].astype(np.int64) & np.int64(-2)
+
+
+def unseen(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[str], list[bytes]]]:
+    """Slices of lines that this task has not lately met, with their digests."""
+    done: set[bytes] = set()
+    lines, digests, size = [], [], 0
+    for x in batches:
+        for _, _, line in stripped(x.column("_t"), least):
+            d = digest(line)
+            if d in done:
+                continue
+            if len(done) > SEEN:
+                done.clear()
+            done.add(d)
+            lines.append(line)
+            digests.append(d)
+            size += len(line)
+            if size >= SLICE:
+                yield lines, digests
+                lines, digests, size = [], [], 0
+    if lines:
+        yield lines, digests
+
+
+def meet(rows: DataFrame, group: int, deep: bool) -> DataFrame:
+    """Groups of ``rows`` (``key``; ``node``: a number, its lowest bit set where the line indexes the key).
+
+    ``kind`` 0: ``node`` is of group ``g``, which has an owner and 2 to ``group`` members; groups of
+    equal members have one ``g``. Of a larger one, ``kind`` 2: its members, ``g`` being the
+    key, or if ``deep``, 1: edges ``g``-``node`` from one of them. Rows arrive by key; more than
+    a batch and the members of one such group are never held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node = np.empty(0, np.int64), np.empty(0, np.int64)
+        crowded = pivot = None  # the open key, if it has too many members
+
+        def closed(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
+            size = np.diff(np.append(first, len(k)))
+            good = size > 1
+            if len(k):
+                good &= np.bitwise_or.reduceat(n & 1, first) > 0
+            g = np.add.reduceat(mixed(n.view(np.uint64) >> np.uint64(1)), first) if len(k) else np.empty(0, np.uint64)
+            keep = np.repeat(good, size)
+            return np.repeat(mixed(g + size.astype(np.uint64)).view(np.int64), size)[keep], n[keep] & -2, np.zeros(int(keep.sum()), np.int32)
+
+        def distinct(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rows by key and node, once each; an owner's row stands for its others."""
+            by = np.lexsort((-(n & 1), n >> 1, k))
+            k, n = k[by], n[by]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (n[1:] >> 1 != n[:-1] >> 1)])
+            return k[new], n[new]
+
+        def batch(*parts: tuple) -> pa.RecordBatch:
+            g, n, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(n), pa.array(kind)], ["g", "node", "kind"])
+
+        def many(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            nonlocal pivot
+            if not deep:
+                return np.full(len(n), crowded), n, np.full(len(n), 2, np.int32)
+            pivot = n[0] & -2 if pivot is None else pivot
+            return np.full(len(n), pivot), n & -2, np.full(len(n), 1, np.int32)
 
         for x in batches:
-            k, node, own = x["key"].to_numpy(), x["node"].to_numpy(), x["own"].to_numpy()
-            if not len(k):
+            if not x.num_rows:
                 continue
-            twin = np.zeros(len(k), bool)
-            differ = (k[1:] == k[:-1]) & (node[1:] != node[:-1])
-            same = np.concatenate([[True], k[1:] != k[:-1]]).cumsum() - 1
-            twin = (np.bincount(same[1:], differ, minlength=same[-1] + 1) > 0)[same]
-            twin &= (np.bincount(same, own, minlength=same[-1] + 1) > 0)[same]
-            twin |= (same == 0) | (same == same[-1])
-            for kk, n, mine in zip(k[twin].tolist(), node[twin].tolist(), own[twin].tolist(), strict=True):
-                if kk != key:
-                    close()
-                    key, lines_of, chained, last = kk, {}, False, None
-                if chained:
-                    if n != last and last is not None:
-                        out.append((min(last, n), max(last, n), 1) if deep else (kk, n, 2))
-                        last = n
+            k, n = x.column("key").to_numpy(), x.column("node").to_numpy()
+            parts = []
+            if crowded is not None:
+                end = int(np.searchsorted(k, crowded, "right"))
+                if end:
+                    parts.append(many(distinct(k[:end], n[:end])[1]))
+                if end == len(k):
+                    yield batch(*parts)
                     continue
-                lines_of[n] = lines_of.get(n, False) or mine
-                if len(lines_of) > many:
-                    chained, chain = True, sorted(lines_of)
-                    if not any(lines_of.values()):
-                        last, lines_of = None, {}  # nobody owns this key: no pair can come of it
-                        continue
-                    out.extend(((a, b, 1) for a, b in pairwise(chain)) if deep else ((kk, a, 2) for a in chain))
-                    last = chain[-1]
-                    lines_of = {}
-            yield pd.DataFrame(out, columns=["x", "y", "kind"])
-            out.clear()
-        close()
-        yield pd.DataFrame(out, columns=["x", "y", "kind"])
-
-    def meet(rows: DataFrame, deep: bool) -> DataFrame:
-        by_key = rows.repartition("key").sortWithinPartitions("key", F.desc("own"), "node")
-        return cut(by_key.mapInPandas(lambda batches: met(batches, deep), "x long, y long, kind int").distinct())
-
-    schema = "key long, node long, own boolean"
-    found = meet(lines.select("line").mapInPandas(emitted, schema), False)
-
-    # Lines of candidates; a number that two lines share only makes more candidates.
-    number = F.conv(F.substring(F.md5("line"), 1, 16), 16, -10).cast("long")
-    asked = found.select(F.explode(F.when(F.col("kind") == 2, F.array("y")).otherwise(F.array("x", "y"))).alias("number")).distinct()
-    named = cut(lines.select("line", number.alias("number")).join(asked, "number", "left_semi").distinct().select("number", F.unhex(F.md5("line")).alias("node"), F.encode("line", "UTF-8").alias("body")))
-    members = found.where("kind = 2").join(named.select(F.col("number").alias("y"), "body"), "y").select("x", "y", "body")
-    found = found.where("kind = 0").unionByName(meet(members.mapInPandas(emitted_again, schema), True))
-    side = lambda n, x: named.select(F.col("number").alias(n), F.col("node").alias(x), F.col("body").alias(f"{x}_body"))
-    both = found.distinct().join(side("x", "a"), "x").join(side("y", "b"), "y")
-
-    @F.pandas_udf("boolean")
-    def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([within(p.decode("utf-8", "surrogatepass"), q.decode("utf-8", "surrogatepass"), edits) for p, q in zip(a, b, strict=True)], dtype=bool)
-
-    direct = both.where("kind = 0").where(close("a_body", "b_body")).select("a", "b")
-    chained = regions_of(both.where("kind = 1").select("a", "b"), region).join(named.select("node", "body"), "node")
+                crowded = pivot = None
+                k, n = k[end:], n[end:]
+            k, n = np.concatenate([key, k]), np.concatenate([node, n])
+            # Most keys stand alone: they are passed over before anything is sorted.
+            alone = np.ones(len(k), bool)
+            alone[1:] &= k[1:] != k[:-1]
+            alone[:-1] &= k[1:] != k[:-1]
+            alone[-1] = False
+            k, n = distinct(k[~alone], n[~alone])
+            open_at = int(np.searchsorted(k, k[-1]))
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            size = np.diff(np.append(first, len(k)))
+            for at in first[(size > group) & (first < open_at)]:  # a whole key within the batch
+                crowded, pivot, end = k[at], None, int(np.searchsorted(k, k[at], "right"))
+                parts.append(many(n[at:end]))
+            small = np.repeat(size <= group, size)
+            small[open_at:] = False
+            parts.append(closed(k[small], n[small]))
+            crowded = pivot = None
+            key, node = k[open_at:], n[open_at:]
+            if len(key) > group:
+                crowded = key[0]
+                parts.append(many(node))
+                key, node = key[:0], node[:0]
+            yield batch(*parts)
+        if len(key):
+            yield batch(closed(key, node))
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "g long, node long, kind int").distinct()
+
+
+def near_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, group: int = GROUP, region: int = REGION) -> DataFrame:
+    """Links ``a``-``b`` (digests) that span the classes of the lines of texts ``_t``."""
+
+    def keyed(key: np.ndarray, node: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node | own)], ["key", "node"])
+
+    def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lines, digests in unseen(batches, min_chars):
+            key, line, own, _ = keys_of(lines, edits)
+            yield keyed(key, number_of(digests)[line], own)
+
+    def emitted_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            lines = [b.decode("utf-8", "surrogatepass") for b in x.column("body").to_pylist()]
+            crowded, node = x.column("g").to_numpy(), x.column("number").to_numpy()
+            for i in range(0, len(lines), 1000):
+                key, line, own = keys_again(lines[i : i + 1000], crowded[i : i + 1000], edits)
+                yield keyed(key, node[i : i + 1000][line], own)
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lines, digests in unseen(batches, min_chars):
+            yield pa.RecordBatch.from_arrays([pa.array(number_of(digests)), pa.array(digests, pa.binary()), pa.array([x.encode("utf-8", "surrogatepass") for x in lines], pa.binary())], ["number", "node", "body"])
+
+    texts, schema = docs.select("_t"), "key long, node long"
+    met = cut(meet(texts.mapInArrow(emitted, schema), group, False))
+    # An owner's lowest bit is set in the rows of crowded keys only. A number that two lines share only makes more candidates.
+    owned = met.where("kind = 2 and node & 1 = 1").select("g").distinct()
+    members = met.where("kind = 0").unionByName(met.where("kind = 2").join(owned, "g", "left_semi")).select("g", F.expr("node & -2").alias("number"), "kind").distinct()
+    asked = members.select("number").distinct()
+    named = cut(texts.mapInArrow(bodies, "number long, node binary, body binary").join(asked, "number", "left_semi").distinct())
+    again = meet(members.where("kind = 2").join(named, "number").select("g", "number", "body").mapInArrow(emitted_again, schema), group, True)
+    again = cut(again.withColumnRenamed("node", "number"))
+    small = members.where("kind = 0").unionByName(again.where("kind = 0")).select("g", "number")
+    direct = group_links(small.join(named, "number").select(F.col("g").cast("string").alias("g"), F.lit(0).alias("side"), "node", "body"), line_linker(edits))
+    stars = again.where("kind = 1")
+    if not stars.limit(1).count():
+        return direct
+    name = lambda c, x: named.select(F.col("number").alias(c), F.col("node").alias(x))
+    edges = stars.select("g", "number").join(name("g", "a"), "g").join(name("number", "b"), "number").select("a", "b")
+    chained = regions_of(edges, region).join(named.select("node", "body"), "node")
     return direct.unionByName(region_links(chained, line_linker(edits), region))
 
 
@@ -258,31 +369,50 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``id_col``, ``n_lines`` (non-blank), ``n_removed``, ``removed`` (line numbers), ``text`` (the rest) and the columns ``also``.
 
     ``exact_chars`` is ``min_chars`` unless given; with 1, equal lines of every length are found.
+    ``min_chars`` is above ``edits``, or there is no segment to look for.
     """
+    if min_chars <= edits:
+        raise ValueError("min_chars must be above edits")
     exact_chars = min_chars if exact_chars is None else max(1, min(exact_chars, min_chars))
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"), *(F.col(c).alias(f"_also{i}") for i, c in enumerate(also)))
-    docs = docs.withColumn("_d", F.xxhash64(F.to_json(F.struct("_id")), F.coalesce("_t", F.lit(""))))
-    every = docs.select("_id", "_d", F.posexplode(F.split(F.coalesce("_t", F.lit("")), "\n")).alias("no", "_l")).withColumn("line", F.btrim("_l", F.lit(SPACES))).where(F.char_length("line") >= exact_chars)
-    place = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_d").alias("d"), F.col("no").alias("no"))
-    lines = every.select(F.unhex(F.md5("line")).alias("node"), place.alias("place"))
-    first = cut(lines.groupBy("node").agg(F.min("place").alias("first"), F.count("*").alias("n")))
-    classes = connected_components(near_links(every.where(F.char_length("line") >= min_chars).select("line"), edits))
-    joined = classes.join(first, "node")
-    least = joined.groupBy("root").agg(F.min("first").alias("least"))
-    shared = joined.join(least, "root").select("node", "least").unionByName(first.where("n > 1").join(classes, "node", "left_anti").select("node", F.col("first").alias("least")))
-    gone = lines.join(shared, "node").where("place <> least").groupBy(F.col("place.i").alias("_i"), F.col("place.d").alias("_d")).agg(F.sort_array(F.collect_set("place.no")).alias("removed"))
-
-    @F.pandas_udf("string")
-    def rest(texts: pd.Series, removed: pd.Series) -> pd.Series:
-        out = []
+    docs = docs.withColumn("_d", F.xxhash64("_id", F.coalesce("_t", F.lit(""))))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for i in range(0, x.num_rows, 500):
+                part = x.slice(i, 500)
+                found = list(stripped(part.column("_t"), exact_chars))
+                row = pa.array([r for r, _, _ in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([digest(line) for _, _, line in found], pa.binary()), part.column("_id").take(row), part.column("_d").take(row), pa.array([no for _, no, _ in found], pa.int32())], ["node", "i", "d", "no"])
+
+    schema = StructType([StructField("node", BinaryType()), StructField("i", docs.schema["_id"].dataType), StructField("d", LongType()), StructField("no", IntegerType())])
+    lines = cut(docs.select("_id", "_d", "_t").mapInArrow(placed, schema))
+    classes = cut(connected_components(near_links(docs, edits, min_chars)))
+    equal = lines.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").join(classes, "node", "left_anti").select("node", F.col("node").alias("root"))
+    place = F.struct(F.col("i").isNull().alias("z"), "i", "d", "no")
+    shared = cut(lines.join(classes.unionByName(equal), "node").select("root", place.alias("place")))
+    # Dealt at random first: both sides of the join are then exchanges, which a hot root may split.
+    least = shared.groupBy("root").agg(F.min("place").alias("least")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    gone = shared.join(least, "root").where("place <> least").groupBy(F.col("place.i").alias("_i"), F.col("place.d").alias("_d")).agg(F.sort_array(F.collect_set("place.no")).alias("removed"))
+
+    @F.pandas_udf("struct<n:long,text:string>")
+    def rest(texts: pd.Series, removed: pd.Series) -> pd.DataFrame:
+        n, out = [], []
         for t, r in zip(texts, removed, strict=True):
-            if t is None or r is None:
-                out.append(t)
-            else:
+            parts = t.split("\n") if t else []
+            n.append(sum(1 for x in parts if x.strip(SPACES)))
+            if t is not None and r is not None:
                 drop = set(r.tolist())
-                out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop))
-        return pd.Series(out, dtype=object)
-
-    out = docs.join(gone, (docs["_d"] == gone["_d"]) & docs["_id"].eqNullSafe(gone["_i"]), "left")
-    filled = F.size(F.filter(F.split(F.coalesce("_t", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
-    return out.select(F.col("_id").alias(id_col), filled.alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"), rest("_t", "removed").alias("text"), *(F.col(f"_also{i}").alias(c) for i, c in enumerate(also)))
+                t = "\n".join(x for i, x in enumerate(parts) if i not in drop)
+            out.append(t)
+        return pd.DataFrame({"n": n, "text": pd.Series(out, dtype=object)})
+
+    out = docs.join(gone, (docs["_d"] == gone["_d"]) & docs["_id"].eqNullSafe(gone["_i"]), "left").withColumn("x", rest("_t", "removed"))
+    return out.select(
+        F.col("_id").alias(id_col),
+        F.col("x.n").alias("n_lines"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"),
+        F.col("x.text").alias("text"),
+        *(F.col(f"_also{i}").alias(c) for i, c in enumerate(also)),
+    )
