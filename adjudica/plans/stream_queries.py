@@ -16,8 +16,7 @@ from .fixtures import duck, table
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in the cluster's shared place."""
-    home = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/adjudica"
-    return f"{home}/stream-{uuid4()}"
+    return f"{io.shared_folder(spark)}/stream-{uuid4()}"
 
 
 def _attempts(spark, sf_dir) -> DataFrame:

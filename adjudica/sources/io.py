@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,17 @@ TABLES = {
 }
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``. Where that is unset, one process has a folder of its own and a cluster gets an error."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or "/tmp/checkpoints/adjudica")
+    return context.getCheckpointDir()
+
+
 def read_judgments(spark: SparkSession, path: str) -> DataFrame:
     """Raw judgements with their nested conversations; broken lines fail the read."""
     return spark.read.schema(JUDGMENTS).option("mode", "FAILFAST").json(path)

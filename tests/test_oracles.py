@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -23,7 +24,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
         return "-"
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return str(bool(v))
