@@ -145,10 +145,12 @@ def crowded_reach(unique: DataFrame, length: int, width: int) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot_strips: int = HOT, with_text: bool = False) -> DataFrame:
-    """``id_col``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``; a row for each row."""
+    """``id_col``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``touched`` (a byte was removed); a row for each row."""
     width = length - gram
     docs = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_k"), text_of(text_col).alias("_t"))
-    texts = docs.select("_k", "_t")
+    # Texts are dealt by their digest, so rows without an id or with one id are no group.
+    texts = docs.select(F.unhex(F.substring(F.sha2("_t", 256), 1, 32)).alias("text"), "_k", "_t")
+    spread = lambda df: df.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # noqa: E731  both sides of a join are then exchanges, which a hot key may split
     # A text goes by the first half of its SHA-256.
     rows = docs.select("_id", "_k", F.octet_length("_t").cast("long").alias("n"), F.sha2("_t", 256).alias("sha")).withColumn("text", F.unhex(F.substring("sha", 1, 32)))
 
@@ -169,26 +171,29 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = docs.select("_t").mapInPandas(found, "gram long, at long, text binary, strip binary")
     place = F.xxhash64("text", "at")
     hot = places.groupBy("gram").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x < y").select("gram")
-    hot = cut(places.join(hot, "gram").dropDuplicates(["text", "at"]))
+    hot = cut(places.join(spread(hot), "gram").dropDuplicates(["text", "at"]))
     copies = rows.groupBy("text").agg(F.min("_k").alias("_k"), F.count("*").alias("copies"))
 
     # Strips at several places are covered whole; single ones of a gram with other strips need their bytes.
     known = cut(hot.groupBy("strip").agg(F.min(F.struct("text", "at")).alias("rep"), F.count("*").alias("n"), F.first("gram").alias("gram")))
     mixed = known.groupBy("gram").agg(F.count("*").alias("strips"), F.min("n").alias("least")).where("strips > 1 and least = 1").select("gram", "strips")
-    asked = known.join(mixed, "gram").select(F.col("rep.text").alias("text"), F.struct(F.col("rep.at").alias("at"), (F.col("n") > 1).alias("twice"), (F.col("strips") > hot_strips).alias("crowded")).alias("x"))
+    asked = known.join(spread(mixed), "gram").select(F.col("rep.text").alias("text"), F.struct(F.col("rep.at").alias("at"), (F.col("n") > 1).alias("twice"), (F.col("strips") > hot_strips).alias("crowded")).alias("x"))
     asked = asked.groupBy("text").agg(F.collect_list("x").alias("xs")).join(copies, "text").select("text", "_k", "xs")
 
     def fetched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
         for x in batches:
             out = []
             for t, text, xs in zip(x["_t"], x["text"], x["xs"], strict=True):
-                raw = t.encode("utf-8", "surrogatepass")
-                if sha256(raw).digest()[:16] == text:
-                    for i, twice, crowded in ((r["at"], r["twice"], r["crowded"]) for r in xs):
-                        out.append((strip_of(raw, i, width, length), raw[max(0, i - width) : i], raw[i : i + length], raw[i : i + gram], twice, crowded))
+                if text == last:  # a repeated row
+                    continue
+                last, raw = text, t.encode("utf-8", "surrogatepass")
+                for i, twice, crowded in ((r["at"], r["twice"], r["crowded"]) for r in xs):
+                    out.append((strip_of(raw, i, width, length), raw[max(0, i - width) : i], raw[i : i + length], raw[i : i + gram], twice, crowded))
             yield pd.DataFrame(out, columns=["strip", "pre", "suffix", "gram", "twice", "crowded"])
 
-    unique = texts.join(asked, "_k").select("_t", "text", "xs").mapInPandas(fetched, "strip binary, pre binary, suffix binary, gram binary, twice boolean, crowded boolean")
+    # Rows that are equal in id and text stand together and count once; a strip that comes twice all the same only meets itself.
+    unique = texts.join(asked, ["text", "_k"]).select("_t", "text", "xs").mapInPandas(fetched, "strip binary, pre binary, suffix binary, gram binary, twice boolean, crowded boolean")
 
     def bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def solve(held: list[pd.DataFrame]) -> pd.DataFrame:
@@ -236,8 +241,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             got = []
             for t, text, spans in zip(x["_t"], x["text"], x["spans"], strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
-                if sha256(raw).digest()[:16] != text:
-                    continue
                 runs = spans_of([(s["s"], s["e"]) for s in spans], len(raw))
                 at, left = 0, []
                 for s, e in runs:
@@ -247,7 +250,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 got.append((text, sum(e - s for s, e in runs), len(runs), sha256(rest).hexdigest(), rest if with_text else b""))
             yield pd.DataFrame(got, columns=["text", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    partly = texts.join(single, "_k").mapInPandas(kept, "text binary, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["text"])
+    partly = texts.join(single, ["text", "_k"]).mapInPandas(kept, "text binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
     out = rows.join(copies.where("copies > 1").select("text", "copies"), "text", "left").join(partly, "text", "left")
     gone = F.col("copies").isNotNull() & (F.col("n") >= length)
     columns = [
@@ -256,6 +259,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(gone, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        (gone | F.coalesce(F.col("n_removed") > 0, F.lit(False))).alias("touched"),
     ]
     return out.select(*columns, F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept_bytes")) if with_text else out.select(*columns)
 
@@ -274,5 +278,5 @@ i as (select r, min(p) as a, max(p) + {length} as b from g group by r, run),
 o as (select i.r, a, b, coalesce(lag(b) over (partition by i.r order by a), 0) as before from i),
 q as (select r, sum(b - a) as removed, count(*) as spans, max(b) as last, string_agg(substr(d.h, 2 * before + 1, 2 * (a - before)), '' order by a) as head from o join d using (r) group by r)
 select doc_id, n as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans,
-  sha256(unhex(case when q.r is null then h else head || substr(h, 2 * last + 1) end)) as kept_sha256
+  sha256(unhex(case when q.r is null then h else head || substr(h, 2 * last + 1) end)) as kept_sha256, coalesce(removed, 0) > 0 as touched
 from d left join q using (r)"""

@@ -51,7 +51,7 @@ def test_suffix_dedup(spark):
                 hit[p : p + 400] = True
         rest = bytes(np.frombuffer(b, np.uint8)[~hit[:-1]])
         runs = int((np.diff(np.concatenate([[0], hit.astype(int)])) == 1).sum())
-        want.append((i, len(b), int(hit.sum()), runs, hashlib.sha256(rest).hexdigest()))
+        want.append((i, len(b), int(hit.sum()), runs, hashlib.sha256(rest).hexdigest(), bool(hit.any())))
     key = lambda r: (str(r[0]), r[1], r[4])
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert sorted(map(tuple, crowded), key=key) == sorted(want, key=key)
