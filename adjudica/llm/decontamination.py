@@ -14,7 +14,9 @@ all items at ``least`` or more are retrieved:
 
 The index is broadcast in blocks of at most ``ITEMS`` items and ``TERMS`` words in all, one
 scan of the texts for each block, so its size is bounded whatever the benchmark's. Items with
-under ``min_words`` words cannot be told from chance and are left out. Null texts hold nothing.
+under ``min_words`` words have too few for shares: a text holds one if all its words stand
+in the text in a row (where letters of an unspaced script make up an item, if its characters
+do), with 1 as its score and shares. Items without a word and null texts hold nothing.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,6 +39,8 @@ from .common import text_of
 K1, B, BLOCK, ITEMS, TERMS = 1.2, 0.75, 16, 20_000, 2_000_000
 TERM = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Scripts written without spaces: Thai to Khmer, kana, Chinese characters.
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def terms(text: str) -> list[str]:
@@ -56,6 +61,29 @@ def pairs(w: list[str]) -> set:
     return set(zip(w, w[1:], strict=False)) if len(w) > 1 else set(w)
 
 
+class Phrases:
+    """Short items, looked up whole: one pass over a text finds all of them."""
+
+    def __init__(self, items: list[tuple]):
+        self.found: dict[str, list] = defaultdict(list)
+        for i, text in items:
+            w = terms(text)
+            self.found["".join(w) if UNSPACED.search(text) else f" {' '.join(w)} "].append(i)
+        self.spaced, self.unspaced = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for phrase in self.found:
+            (self.spaced if phrase[0] == " " else self.unspaced).add_word(phrase, phrase)
+        self.spaced.make_automaton()
+        self.unspaced.make_automaton()
+
+    def search(self, text: str) -> list[tuple]:
+        if not self.found:
+            return []
+        w = terms(text)
+        hits = {p for _, p in self.spaced.iter(f" {' '.join(w)} ")} if len(self.spaced) else set()
+        hits |= {p for _, p in self.unspaced.iter("".join(w))} if len(self.unspaced) else set()
+        return sorted(((i, 1.0, 1.0, 1.0) for p in hits for i in self.found[p]), key=lambda x: (x[0] is None, x[0]))
+
+
 class Index:
     """Postings of one block of items: for each term items, relative scores and block maxima."""
 
@@ -168,7 +196,7 @@ class Index:
         return [(self.ids[i], *v) for i, v in sorted(best.items())]
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, min_words: int) -> Iterator[tuple[list, dict, float, int]]:
+def blocks_of(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list, dict, float, int]]:
     """Bounded blocks of items, with the statistics of the whole benchmark for their terms."""
     items = benchmark.select(F.col(item_col).alias("_item"), text_of(text_col).alias("_t"))
 
@@ -176,7 +204,7 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, min_words: int
     def tokens(t: pd.Series) -> pd.Series:
         return t.map(terms)
 
-    rows = items.select("_item", "_t", tokens("_t").alias("w")).where(F.size("w") >= min_words)
+    rows = items.select("_item", "_t", tokens("_t").alias("w")).where(F.size("w") > 0)
     n, total, longest = rows.agg(F.count("*"), F.sum(F.size("w")), F.max(F.size("w"))).first()
     if not n:
         return
@@ -198,14 +226,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     id_type, item_type = texts.schema["_id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"_id {id_type}, _item {item_type}, score double, question_share double, answer_share double"
     found = []
-    for items, idf, mean, longest in blocks_of(benchmark, item_col, item_text_col, min_words):
+    for items, idf, mean, longest in blocks_of(benchmark, item_col, item_text_col):
         shared = spark.sparkContext.broadcast((items, idf, mean, longest))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             items, idf, mean, longest = shared.value
-            index = Index(items, idf, mean, least, longest)
+            short = [x for x in items if len(terms(x[1])) < min_words]
+            phrases = Phrases(short)
+            index = Index([x for x in items if len(terms(x[1])) >= min_words], idf, mean, least, longest)
             for x in batches:
-                got = [(i, *hit) for i, t in zip(x["_id"], x["_t"], strict=True) for hit in index.search(t, question, answer)]
+                got = [(i, *hit) for i, t in zip(x["_id"], x["_t"], strict=True) for hit in [*index.search(t, question, answer), *phrases.search(t)]]
                 yield pd.DataFrame(got, columns=["_id", "_item", "score", "question_share", "answer_share"])
 
         found.append(texts.mapInPandas(run, schema))
@@ -214,6 +244,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold a test item (rows without an id stay)."""
-    bad = contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
+    """``docs`` without those that hold a test item. Rows are judged by their text: of rows that share an id, or have none, only those go that hold one."""
+    text_col = options.get("text_col", "text")
+    key = F.struct(F.col(id_col).cast("string").alias("i"), F.xxhash64(text_of(text_col)).alias("h"))
+    bad = contaminated(docs.select(F.to_json(key).alias("_key"), F.col(text_col)), benchmark, "_key", **options).select(F.col("_key").alias("_bad")).distinct()
+    return docs.join(bad, F.to_json(key) == bad["_bad"], "left_anti")
