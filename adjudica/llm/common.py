@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adjudica.sources.io import shared_folder
+
 #: The characters that part words (space and U+0009 to U+000D).
 SPACES = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -21,12 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the cluster's shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (as in
-    tests) a folder of our own is taken.
+    Spark removes the files with ``spark.cleaner.referenceTracking.cleanCheckpoints``; without it they stay until the folder is cleared.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/adjudica")
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

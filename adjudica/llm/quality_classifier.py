@@ -46,14 +46,14 @@ def describe(text: str) -> tuple[float, ...]:
     )
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_id`` and ``_x``, the statistics of each row's text."""
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """``_id``, ``_x``, the statistics of each row's text, and ``_also0``, ..."""
 
     @F.pandas_udf("array<double>")
     def described(texts: pd.Series) -> pd.Series:
         return pd.Series([np.array(describe(t), dtype=float) for t in texts])
 
-    return docs.select(F.col(id_col).alias("_id"), described(text_of(text_col)).alias("_x"))
+    return docs.select(F.col(id_col).alias("_id"), described(text_of(text_col)).alias("_x"), *(F.col(c).alias(f"_also{i}") for i, c in enumerate(also)))
 
 
 def draw(n: int, features: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,11 +108,15 @@ def fit(rows: DataFrame, features: int = FEATURES, seed: int = SEED, ridge: floa
             if len(b):
                 z = fourier(np.stack(b["_x"].to_numpy()), mean, scale, features, seed)
                 a += z.T @ np.hstack([z, b[["_y"]].to_numpy(float)])
-        yield pd.DataFrame({"i": np.repeat(np.arange(features + 1), features + 2), "j": np.tile(np.arange(features + 2), features + 1), "v": a.ravel()})
+        yield pd.DataFrame({"i": np.arange(features + 1), "v": list(a)})
 
+    def added(x: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": x["i"].iloc[:1], "v": [np.sum(np.stack(x["v"].to_numpy()), 0)]})
+
+    # A row of the matrix from each partition, packed; a task adds those of one row.
     total = np.zeros((features + 1, features + 2))
-    for r in rows.select("_x", "_y").mapInPandas(sums, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
-        total[r.i, r.j] = r.v
+    for r in rows.select("_x", "_y").mapInPandas(sums, "i int, v array<double>").groupBy("i").applyInPandas(added, "i int, v array<double>").collect():
+        total[r.i] = r.v
     n = total[features, features]
     beta = np.linalg.solve(total[:, :-1] + ridge * n * np.diag([*np.ones(features), 1e-9]), total[:, -1])
     model = Scorer(mean, scale, beta, None, None, features, seed)
@@ -129,9 +133,9 @@ def fit(rows: DataFrame, features: int = FEATURES, seed: int = SEED, ridge: floa
     return model
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, threshold: float = 0.3, features: int = FEATURES) -> DataFrame:
-    """``id_col``, ``held_out``, ``score``, ``predicted``: labels are learnt outside fold 0 of crc32(id)."""
-    df = cut(statistics(docs, id_col, text_col))  # narrow: texts are read once and never shuffled
+def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, threshold: float = 0.3, features: int = FEATURES, also: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, ``held_out``, ``score``, ``predicted`` and the columns ``also``: labels are learnt outside fold 0 of crc32(id)."""
+    df = cut(statistics(docs, id_col, text_col, also))  # narrow: texts are read once and never shuffled
     held = F.coalesce(F.crc32(F.col("_id").cast("string")) % folds == 0, F.lit(False))
     y = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").where(~held)
     model = fit(cut(df.join(y, "_id").select("_x", "_y")), features)
@@ -142,5 +146,5 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
             yield pd.Series(model.score(np.stack(x.to_numpy())) if len(x) else [], dtype="float64")
 
     score = F.lit(0.5) if model is None else scored("_x")
-    df = df.select(F.col("_id").alias(id_col), held.alias("held_out"), score.alias("score"))
-    return df.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    df = df.select(F.col("_id").alias(id_col), held.alias("held_out"), score.alias("score"), *(F.col(f"_also{i}").alias(c) for i, c in enumerate(also)))
+    return df.select(id_col, "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *also)
