@@ -2,8 +2,13 @@
 
 Each stage takes ``(spark, docs, sf_dir)``, works on all rows that its predecessor kept and
 returns the columns of ``documents`` (the last adds its own). ``run`` writes every stage as
-Parquet into the cluster's shared folder and rereads it as the next one's input.
-Rows without an id cannot be named by a decision, so they pass every stage unchanged.
+Parquet into the cluster's shared folder and rereads it as the next one's input; the folder of a
+run stays as its result.
+
+Decisions bind a row by its id and text together, so rows that share an id, or have none, each
+get their own: they are classified, lose their repeated lines, hold benchmark items and get
+a rate like any others. Near-dedup alone needs an id to name a group: rows without one stay there.
+A null text is kept by every stage that does not reject empty texts. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -15,15 +20,22 @@ from pyspark.sql import functions as F
 
 from adjudica.llm import decontamination, line_dedup, minhash_dedup, mixing, quality_classifier
 from adjudica.llm.common import table
+from adjudica.sources.io import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_name``, a hash of id and text; a null of either has a place of its own."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text")]
+    return docs.withColumn("_name", F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), *parts))
+
+
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    verdict = quality_classifier.quality_classifier(docs, table(spark, sf_dir, "labels"))
-    bad = verdict.where("predicted = 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    verdict = quality_classifier.quality_classifier(named(docs), table(spark, sf_dir, "labels"), also=("_name",))
+    bad = verdict.where("predicted = 0").select("_name").distinct()
+    return named(docs).join(bad, "_name", "left_anti").select(*COLUMNS)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +47,11 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least id (of equal rows, one)."""
-    groups = minhash_dedup.near_duplicates(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    groups = minhash_dedup.near_duplicates(named(docs), also=("_name",))
+    gone = groups.where("doc_id <> component_id").select("_name").distinct()
+    kept = named(docs).join(gone, "_name", "left_anti")
     some = F.col("doc_id").isNotNull()
-    once = kept.where(some).withColumn("_text", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return once.unionByName(kept.where(~some))
+    return kept.where(some).dropDuplicates(["_name"]).select(*COLUMNS).unionByName(kept.where(~some).select(*COLUMNS))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +62,10 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their rate and number of copies; the labelled table is the language of labelled documents."""
     labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
-    labelled = docs.join(labels, "doc_id", "left_semi").select("doc_id", F.col("lang").alias("domain"))
-    out = mixing.mixing(docs, labelled)
-    return docs.join(out.dropDuplicates(["doc_id"]), "doc_id", "left").select(*COLUMNS, "domain", "rate", "copies")
+    every = named(docs)
+    labelled = every.join(labels, "doc_id", "left_semi").select("_name", F.col("lang").alias("domain"))
+    out = mixing.mixing(every, labelled, id_col="_name").select("_name", "domain", "rate", "copies").dropDuplicates(["_name"])
+    return every.join(out, "_name").select(*COLUMNS, "domain", "rate", "copies")
 
 
 STAGES = [
@@ -70,8 +82,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, over ``documents``."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/adjudica"
-    docs, home = table(spark, sf_dir, "documents"), f"{shared}/pipeline-{uuid4()}"
+    docs, home = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid4()}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{name}")
         docs = spark.read.parquet(f"{home}/{name}")
