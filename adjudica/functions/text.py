@@ -27,6 +27,7 @@ ROUTE_ALIASES = {
     "deepinfra/turbo": ["deepinfra/turbo", "deepinfra/turbo-instruct", "deepinfra/llama-3.3-70b-instruct"],
 }
 FAMILY_WORDS = [("gpt", ["gpt", "openai"]), ("llama", ["llama", "meta"]), ("deepseek", ["deepseek"]), ("claude", ["claude", "anthropic"]), ("vicuna", ["vicuna"]), ("mistral", ["mistral", "mixtral"]), ("google", ["palm", "gemini", "bison"])]
+#: The patterns that decide what counts as markdown, as a verdict and as list syntax.
 MARKDOWN = [(r"(?m)^#{1,6}\s", 1), (r"\*\*.*?\*\*", 1), (r"(?m)^\s*[*\-]\s", 1), (r"(?m)^\s*\d+\.\s", 1), (r"```", 2)]
 VERDICT = r"(?i)(?:WINNER|VERDICT)\s*:\s*(?:\*\*)?\s*(?:CANDIDATE|ANSWER)?\s*(A|B|TIE)\b"
 BOLD_VERDICT = r"(?i)\bWINNER\s*:\s*\**\s*(A|B|TIE)\b"
@@ -34,6 +35,22 @@ CHOICE = r"(?i)(?:prefer|choose|select|winner is)\s+(?:candidate|answer)?\s*\**\
 LIST_SYNTAX = r"^\s*(?:[-*+] |\d+[.)] |#{1,6}\s+)"
 
 
+#: What counts as white space in a text, and what ends a line of it.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = f"[{WHITE}]+"
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
+def trimmed(c: Column | str) -> Column:
+    return F.btrim(col(c), F.lit(WHITE))
+
+
+def text_lines(c: Column | str) -> Column:
+    """Lines without their ends; an end at the end of the text opens no further line."""
+    parts = F.split(col(c), LINE_END)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
 def looked_up(c: Column | str, table: dict[str, str]) -> Column:
     return cases(*((col(c) == k, v) for k, v in table.items()))
 
@@ -56,19 +73,19 @@ def canonical_model(c: Column | str) -> Column:
 
 def normalize_model_id(c: Column | str, default: str = "gpt-4o-mini") -> Column:
     """By alias, then by the last path segment's alias, else trimmed; null and empty are the default."""
-    t = F.trim(col(c))
+    t = trimmed(c)
     return cases((F.coalesce(col(c), F.lit("")) == "", default), otherwise=F.coalesce(by_alias(t, JUDGE_ALIASES), by_alias(F.element_at(F.split(t, "/"), -1), JUDGE_ALIASES), t))
 
 
 def model_family(c: Column | str) -> Column:
-    n = F.trim(F.lower(col(c)))
+    n = trimmed(F.lower(col(c)))
     hit = lambda words: reduce(or_, (n.contains(w) for w in words))
     return cases((F.coalesce(n, F.lit("")) == "", "unknown"), *((hit(words), name) for name, words in FAMILY_WORDS), otherwise=F.element_at(F.split(F.element_at(F.split(n, "/"), 1), "-"), 1))
 
 
 def word_count(c: Column | str) -> Column:
     """White-space tokens; null and empty have none."""
-    return F.size(F.array_remove(F.split(F.coalesce(col(c), F.lit("")), r"\s+"), ""))
+    return F.size(F.array_remove(F.split(F.coalesce(col(c), F.lit("")), SPACES), ""))
 
 
 def token_estimate(c: Column | str) -> Column:
@@ -98,13 +115,18 @@ def pair_digest(prompt: str, a: str, b: str) -> Column:
     return digest(F.lit("pair"), F.col(prompt), F.least(a, b), F.greatest(a, b))
 
 
-def unit_fingerprint(fields: list[str]) -> Column:
+#: The configuration fields of a unit, in the order in which they are hashed.
+UNIT_FIELDS = ("rq_code", "base_pair_key", "prompt_id", "answer_a_id", "answer_b_id", "judge_name", "provider", "requested_model", "condition", "presentation_order", "repetition_index", "pass_count", "temperature", "variant_checksum", "protocol_version", "routing_policy", "routing_fingerprint")
+
+
+def unit_fingerprint(fields: list[str] = UNIT_FIELDS) -> Column:
+    """Digest of all configuration fields of a unit; nulls print as None."""
     return digest(*fields)
 
 
 def verbosity_variant(c: Column | str) -> Column:
     """The text twice, a blank line between; null for a blank text."""
-    return F.when(F.trim(col(c)) != "", F.concat(col(c), F.lit("\n\n"), col(c)))
+    return F.when(trimmed(c) != "", F.concat(col(c), F.lit("\n\n"), col(c)))
 
 
 def validate_verbosity(original: Column | str, variant: Column | str) -> Column:
@@ -113,20 +135,20 @@ def validate_verbosity(original: Column | str, variant: Column | str) -> Column:
 
 def format_variant(c: Column | str) -> Column:
     """A list prefix before each line that is not blank; null for a blank text."""
-    lines = F.transform(F.split(col(c), "\n"), lambda x: F.when(F.trim(x) != "", F.concat(F.lit("- "), x)).otherwise(x))
-    return F.when(F.trim(col(c)) != "", F.array_join(lines, "\n"))
+    lines = F.transform(text_lines(c), lambda x: F.when(trimmed(x) != "", F.concat(F.lit("- "), x)).otherwise(x))
+    return F.when(trimmed(c) != "", F.array_join(lines, "\n"))
 
 
 def strip_formatting(c: Column | str) -> Column:
-    return F.array_join(F.transform(F.split(col(c), "\n"), lambda x: F.regexp_replace(x, LIST_SYNTAX, "")), "\n")
+    return F.array_join(F.transform(text_lines(c), lambda x: F.regexp_replace(x, LIST_SYNTAX, "")), "\n")
 
 
 def folded(c: Column | str) -> Column:
-    return F.lower(F.trim(F.regexp_replace(col(c), r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(col(c), SPACES, " ")))
 
 
 def validate_format(original: Column | str, variant: Column | str) -> Column:
-    return F.coalesce((F.trim(col(original)) != "") & (folded(original) == folded(strip_formatting(variant))), F.lit(False))
+    return F.coalesce((trimmed(original) != "") & (trimmed(variant) != "") & (folded(original) == folded(strip_formatting(variant))), F.lit(False))
 
 
 def format_type(c: Column | str) -> Column:
@@ -158,14 +180,14 @@ def parse_judgement(c: Column | str) -> Column:
         & scores.rlike(r"^\{(?:\"[a-z_]+\":[1-5],?){5}\}$")
         & get("$.confidence").rlike(r"^(?:0(?:\.\d+)?|1(?:\.0+)?)$")
         & raw.rlike(r'"confidence"\s*:\s*[\d.]')
-        & (F.trim(get("$.explanation")) != "")
+        & (trimmed(get("$.explanation")) != "")
     )
     w = get("$.winner")
     return cases((F.coalesce(good, F.lit(False)), F.when(w == "TIE", "TIE").otherwise(F.concat(F.lit("ANSWER_"), w))), otherwise="INVALID_RESPONSE")
 
 
 def normalize_route(c: Column | str) -> Column:
-    t = F.lower(F.trim(col(c)))
+    t = F.lower(trimmed(c))
     return F.coalesce(by_alias(t, ROUTE_ALIASES), t)
 
 

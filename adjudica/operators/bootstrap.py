@@ -82,20 +82,65 @@ def poisson_weight(unit: Column, replicate: Column, seed: int) -> Column:
     return w
 
 
+#: Kappa of a 3 x 3 table of counts ``n_<human>_<judge>``; null without rows and where the expected agreement is one.
+CLASSES = ("a", "b", "t")
+_TOTAL = "(" + " + ".join(f"n_{h}_{j}" for h in CLASSES for j in CLASSES) + ")"
+_AGREED = "(" + " + ".join(f"n_{c}_{c}" for c in CLASSES) + ")"
+_CHANCE = "(" + " + ".join(f"cast({' + '.join(f'n_{c}_{x}' for x in CLASSES)} as double) * ({' + '.join(f'n_{x}_{c}' for x in CLASSES)})" for c in CLASSES) + f") / (cast({_TOTAL} as double) * {_TOTAL})"
+KAPPA = f"case when {_TOTAL} > 0 and {_CHANCE} <> 1 then ({_AGREED} / cast({_TOTAL} as double) - {_CHANCE}) / (1 - {_CHANCE}) end"
+AGREEMENT = f"case when {_TOTAL} > 0 then {_AGREED} / cast({_TOTAL} as double) end"
+
+
+def table_cells(human: str, judge: str) -> list[Column]:
+    """The nine counts of the table of two labels, as aggregates for ``KAPPA`` and ``AGREEMENT``."""
+    names = dict(zip(CLASSES, ("ANSWER_A", "ANSWER_B", "TIE"), strict=True))
+    return [F.count_if((F.col(human) == names[h]) & (F.col(judge) == names[j])).alias(f"n_{h}_{j}") for h in CLASSES for j in CLASSES]
+
+
+def table_interval(df: DataFrame, human: str, judge: str, statistic: str, by: list[str] = (), iterations: int = 10_000, seed: int = 20260818) -> DataFrame:
+    """Interval over independent units of a statistic (SQL text) of the nine cells: a multinomial over the cells of each group."""
+    group = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in by)) if by else F.lit("all")
+    names = [f"n_{h}_{j}" for h in CLASSES for j in CLASSES]
+    packed = df.groupBy(group.alias("group_id")).agg(*table_cells(human, judge)).select("group_id", F.array(*names).alias("cells"))
+    work = packed.select("group_id", "cells", F.explode(F.sequence(F.lit(0), F.lit(-(-iterations // BLOCK) - 1))).alias("block")).repartition("group_id", "block")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for g, c, b in zip(x["group_id"], x["cells"], x["block"], strict=True):
+                n, k = np.array(c, np.int64), min(BLOCK, iterations - b * BLOCK)
+                if n.sum():
+                    drawn = np.random.default_rng(_seed(seed, g, b)).multinomial(n.sum(), n / n.sum(), size=k)
+                    yield pd.DataFrame({"group_id": g, "replicate": b * BLOCK + np.arange(k), "units": int(n.sum()), **{name: drawn[:, i] for i, name in enumerate(names)}})
+
+    reps = work.mapInPandas(run, "group_id string, replicate long, units long, " + ", ".join(f"{n} long" for n in names))
+    return interval(reps.select("group_id", "replicate", "units", F.expr(statistic).alias("stat")))
+
+
+def clustered_statistic(df: DataFrame, cluster: str, sums: list[Column], statistic: str, iterations: int, seed: int) -> DataFrame:
+    """Replicates of an estimator that is applied anew to whole resampled clusters: ``replicate``, the weighted sums and ``stat``.
+
+    ``sums``: named aggregates that say all of a cluster that the estimator needs (counts after its own eligibility).
+    ``statistic``: its SQL text over their weighted sums; null where it cannot be estimated.
+    """
+    c = df.groupBy(cluster).agg(*sums)
+    names = [x for x in c.columns if x != cluster]
+    w = poisson_weight(F.col(cluster), F.col("replicate"), seed)
+    reps = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("replicate")).withColumn("_w", w)
+    g = reps.groupBy("replicate").agg(*(F.sum(F.col("_w") * F.col(n)).alias(n) for n in names))
+    return g.select("replicate", *names, F.expr(statistic).alias("stat"))
+
+
 def clustered_bootstrap(df: DataFrame, cluster: str, value: str, iterations: int, seed: int) -> DataFrame:
     """Weighted replicate means over whole clusters: one row of sums for each cluster, then weights.
 
     ``value`` is a small integer (0/1, or a delta); a replicate without weight is null and counted.
     """
-    c = df.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(F.col(value).cast("long")).alias("s"), F.count("*").alias("n"))
-    reps = c.select(cluster, "s", "n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("replicate"))
-    w = poisson_weight(F.col(cluster), F.col("replicate"), seed)
-    g = reps.select("replicate", (w * F.col("s")).alias("ws"), (w * F.col("n")).alias("wn")).groupBy("replicate").agg(F.sum("ws").alias("ws"), F.sum("wn").alias("wn"))
-    return g.select("replicate", "ws", "wn", F.when(F.col("wn") > 0, F.col("ws") / F.col("wn")).alias("stat"))
+    sums = [F.sum(F.col(value).cast("long")).alias("ws"), F.count("*").alias("wn")]
+    return clustered_statistic(df.where(F.col(value).isNotNull()), cluster, sums, "case when wn > 0 then ws / cast(wn as double) end", iterations, seed)
 
 
 def clustered_interval(reps: DataFrame, clusters: int) -> DataFrame:
-    """Interval with valid and non-estimable replicates."""
+    """Interval over ``clusters`` clusters, with valid and non-estimable replicates."""
     ci = interval(reps.select(F.lit("clustered").alias("group_id"), "replicate", "stat", F.lit(clusters).alias("units")))
     lost = reps.agg(F.count_if(F.col("stat").isNull()).alias("non_estimable"))
     return ci.crossJoin(F.broadcast(lost))

@@ -48,7 +48,7 @@ def reconcile(records: DataFrame, source: DataFrame, overrides: DataFrame | None
     by_label = direct.union(turned).groupBy("question_id", "model_a", "model_b", "label").agg(F.sort_array(F.collect_set("turn")).alias("label_turns"))
     j = records.join(by_text, ["question_id", "prompt_sha"], "left").join(by_label, ["question_id", "model_a", "model_b", "label"], "left")
     if overrides is not None:
-        j = j.join(F.broadcast(overrides.select("question_id", F.col("turn").alias("override"))), "question_id", "left")
+        j = j.join(overrides.select("question_id", F.col("turn").alias("override")), "question_id", "left")
     else:
         j = j.withColumn("override", F.lit(None).cast("int"))
     empty = F.array().cast("array<int>")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import VALID, cases
+from ..sources.io import settled
 from .metrics import by_groups, n_if
 
 
@@ -139,11 +140,15 @@ def batch_complete(slots: DataFrame) -> DataFrame:
     return slots.agg(F.count("*").alias("slots"), n_if(s.isin("PENDING", "RUNNING")).alias("pending"), n_if(s.isin("COMPLETED", "FAILED", "AMBIGUOUS")).alias("terminal")).withColumn("complete", (F.col("pending") == 0) & (F.col("terminal") == F.col("slots")))
 
 
-def dense_ids(df: DataFrame, keys: list[str], name: str, buckets: int = 64) -> DataFrame:
-    """Ids 1..n in key order: ranks within range buckets plus the sizes of those before, so no task sorts all."""
-    b = df.select(*keys).distinct().withColumn("_b", F.substring(F.sha2(F.concat_ws("|", *(F.col(k).cast("string") for k in keys[:1])), 256), 1, 1))
+def dense_ids(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Ids 1..n in key order: ranks within range partitions plus the sizes of those before, so no task sorts all.
+
+    The partitions are settled first, as their bounds come from a sample that another run would draw anew.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    b = settled(df.select(*keys).distinct().repartitionByRange(parts, *keys).withColumn("_b", F.spark_partition_id()))
     sizes = b.groupBy("_b").agg(F.count("*").alias("c"))
-    starts = sizes.select("_b", (F.sum("c").over(Window.orderBy("_b")) - F.col("c")).alias("_start"))
+    starts = sizes.select("_b", (F.sum("c").over(Window.orderBy("_b")) - F.col("c")).alias("_start"))  # a row for each partition
     return b.join(F.broadcast(starts), "_b").withColumn(name, F.row_number().over(Window.partitionBy("_b").orderBy(*keys)) + F.col("_start")).drop("_b", "_start")
 
 
@@ -167,33 +172,82 @@ def together(*found: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def validate_units(units: DataFrame) -> DataFrame:
-    """Repeated ids, incomplete swaps, unbalanced slots of a judge, unmatched strategies."""
-    u = F.col("unit_id")
-    swaps = units.where(F.col("rq_code").isin("RQ3", "RQ4", "RQ5") & ((F.col("presentation_order") != "AB_BA") | (F.col("pass_count") != 2)))
-    slots = units.where("rq_code = 'RQ6'").groupBy("judge").agg((n_if(F.col("presentation_order") == "SELF_A") - n_if(F.col("presentation_order") == "SELF_B")).alias("gap")).where("abs(gap) > 1")
-    pairs = units.where("rq_code = 'RQ7'").groupBy("pair_key", "judge").agg(n_if(F.col("condition") == "BASELINE_STANDARD").alias("b"), n_if(F.col("condition") == "DUAL_SWAP").alias("d")).where("b = 0 or d = 0")
-    return together(repeated(units, ["unit_id"], "duplicate_unit_id"), broken(swaps, "incomplete_swap_pair", u), broken(slots, "unbalanced_rq6_slots", F.col("judge"), F.col("gap")), broken(pairs, "unmatched_rq7_strategy", F.concat_ws(":", "pair_key", "judge")))
+def validate_units(units: DataFrame, allocation: DataFrame | None = None) -> DataFrame:
+    """Broken rules of planned units: ids, answers, configuration, variants, swaps, slots, strategies and (with ``allocation``: ``judge, provider``) models.
 
+    Rules about columns that ``units`` lacks are left out.
+    """
+    u, has = F.col("unit_id"), lambda *c: set(c) <= set(units.columns)
+    wrong = lambda condition, rule: broken(units.where(F.coalesce(condition, F.lit(True))), rule, u)  # noqa: E731  an unknown is an error
+    rq, passes = F.col("rq_code"), F.col("pass_count")
+    found = [repeated(units, ["unit_id"], "duplicate_unit_id")]
+    if has("answer_a_id", "answer_b_id"):
+        found.append(wrong((F.col("answer_a_id") <= 0) | (F.col("answer_b_id") <= 0) | (F.col("answer_a_id") == F.col("answer_b_id")), "invalid_answer_identity"))
+    if has("repetition_index"):
+        found.append(wrong((F.col("repetition_index") < 0) | (passes < 1) | (F.col("condition") == ""), "missing_or_invalid_configuration"))
+    if has("variant_checksum"):
+        found.append(broken(units.where(rq.isin("RQ4", "RQ5") & (F.coalesce("variant_checksum", F.lit("")) == "")), "invalid_variant_linkage", u))
+    if allocation is not None:
+        found.append(broken(units.join(allocation, ["judge", "provider"], "left_anti"), "inconsistent_model_allocation", u))
+    found.append(broken(units.where(rq.isin("RQ3", "RQ4", "RQ5") & ((F.col("presentation_order") != "AB_BA") | (passes != 2))), "incomplete_swap_pair", u))
+    found.append(broken(units.where((rq == "RQ7") & (F.col("condition") == "DUAL_SWAP") & (passes != 2)), "incomplete_mitigation_swap", u))
+    slots = units.where("rq_code = 'RQ6'").groupBy("judge").agg((n_if(F.col("presentation_order") == "SELF_A") - n_if(F.col("presentation_order") == "SELF_B")).alias("gap")).where("abs(gap) > 1")
+    known = F.col("condition").isin("BASELINE_STANDARD", "DUAL_SWAP")
+    pairs = units.where("rq_code = 'RQ7'").groupBy("pair_key", "judge").agg(n_if(F.col("condition") == "BASELINE_STANDARD").alias("b"), n_if(F.col("condition") == "DUAL_SWAP").alias("d"), n_if(~F.coalesce(known, F.lit(False))).alias("x")).where("b = 0 or d = 0 or x > 0")
+    return together(*found, broken(slots, "unbalanced_rq6_slots", F.col("judge"), F.col("gap")), broken(pairs, "unmatched_rq7_strategy", F.concat_ws(":", "pair_key", "judge")))
 
-def validate_counterbalance(units: DataFrame) -> DataFrame:
-    """Repeated (pair, judge) and cells whose human strata are not equal."""
-    cells = units.groupBy("judge", "other_family", "category").agg((n_if(F.col("stratum") == "SAME") - n_if(F.col("stratum") == "OTHER")).alias("gap")).where("gap <> 0")
-    return together(repeated(units, ["pair_id", "judge"], "duplicate_unit"), broken(cells, "unequal_strata", F.concat_ws(":", "judge", "other_family", "category"), F.col("gap")))
 
+def validate_counterbalance(units: DataFrame, passes: DataFrame | None = None) -> DataFrame:
+    """Broken rules of a counterbalanced design.
 
-def validate_schedule(schedule: DataFrame, judges: int = 4) -> DataFrame:
-    """Pairs without exactly one pass for each judge, half of them AB; repeated keys."""
+    ``units``: ``pair_id, judge, other_family, category, stratum``. ``passes`` (``pair_id, judge,
+    presentation, displayed_a, displayed_b, answer_a_id, answer_b_id, same_id``) adds the schedule: AB and BA of
+    each unit, displayed answers that reverse, and the same family as often in A as in B.
+    """
+    gap = n_if(F.col("stratum") == "SAME") - n_if(F.col("stratum") == "OTHER")
+    cells = units.groupBy("judge", "other_family", "category").agg(gap.alias("gap")).where("gap <> 0")
+    judges = units.groupBy("judge").agg(gap.alias("gap")).where("gap <> 0")
+    found = [
+        repeated(units, ["pair_id", "judge"], "duplicate_unit"),
+        broken(judges, "unequal_strata_of_judge", F.col("judge"), F.col("gap")),
+        broken(cells, "unequal_strata", F.concat_ws(":", "judge", "other_family", "category"), F.col("gap")),
+    ]
+    if passes is not None:
+        key, ab = F.concat_ws(":", "pair_id", "judge"), F.col("presentation") == "AB"
+        both = passes.groupBy("pair_id", "judge").agg(n_if(ab).alias("ab"), n_if(F.col("presentation") == "BA").alias("ba"), F.count("*").alias("n"))
+        both = units.select("pair_id", "judge").distinct().join(both, ["pair_id", "judge"], "left").where("n is null or ab <> 1 or ba <> 1 or n <> 2")
+        first, second = F.when(ab, F.col("answer_a_id")).otherwise(F.col("answer_b_id")), F.when(ab, F.col("answer_b_id")).otherwise(F.col("answer_a_id"))
+        turned = passes.where((F.col("displayed_a") != first) | (F.col("displayed_b") != second))
+        in_a, in_b = F.col("displayed_a") == F.col("same_id"), F.col("displayed_b") == F.col("same_id")
+        sides = passes.groupBy("judge").agg(n_if(in_a).alias("a"), n_if(in_b).alias("b"), n_if(~in_a & ~in_b).alias("none"))
+        found += [
+            broken(both, "missing_ab_ba_schedule", key),
+            broken(turned, "irreversible_answer_mapping", F.concat_ws(":", "pair_id", "judge", "presentation")),
+            broken(sides.where("none > 0"), "same_family_answer_missing", F.col("judge"), F.col("none")),
+            broken(sides.where("a <> b"), "presentation_not_counterbalanced", F.col("judge"), F.col("a") - F.col("b")),
+        ]
+    return together(*found)
+
+
+def validate_schedule(schedule: DataFrame, judges: int = 4, pairs: DataFrame | None = None) -> DataFrame:
+    """Pairs without exactly one pass for each judge, half of them AB; repeated keys; with ``pairs``, displayed ids that do not follow the presentation."""
     g = schedule.groupBy("pair_id").agg(F.count_distinct("judge").alias("j"), n_if(F.col("presentation") == "AB").alias("ab"), F.count("*").alias("n"))
-    return together(broken(g.where((F.col("j") != judges) | (F.col("n") != judges)), "judge_population", F.col("pair_id"), F.col("j")), broken(g.where(2 * F.col("ab") != F.col("n")), "unbalanced_presentation", F.col("pair_id"), F.col("ab")), repeated(schedule, ["idempotency_key"], "duplicate_key"))
+    found = [broken(g.where((F.col("j") != judges) | (F.col("n") != judges)), "judge_population", F.col("pair_id"), F.col("j")), broken(g.where(2 * F.col("ab") != F.col("n")), "unbalanced_presentation", F.col("pair_id"), F.col("ab")), repeated(schedule, ["idempotency_key"], "duplicate_key")]
+    if pairs is not None:
+        s = schedule.join(pairs.select("pair_id", F.least("answer_a_id", "answer_b_id").alias("lo"), F.greatest("answer_a_id", "answer_b_id").alias("hi")), "pair_id", "left")
+        ab = F.col("presentation") == "AB"
+        drift = (F.col("displayed_a") != F.when(ab, F.col("lo")).otherwise(F.col("hi"))) | (F.col("displayed_b") != F.when(ab, F.col("hi")).otherwise(F.col("lo")))
+        found.append(broken(s.where(F.coalesce(drift, F.lit(True))), "displayed_answer_drift", F.concat_ws(":", "pair_id", "judge")))
+    return together(*found)
 
 
 def validate_ledger(slots: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Orphan attempts, repeated attempts, counts that differ from the slot's, attempts after completion."""
+    """Orphan attempts, repeated attempts, counts that differ from the slot's, attempts after completion, and (with ``started_at`` and ``completed_at``) completion before the start."""
     g = attempts.groupBy("pass_id").agg(F.count("*").alias("n"), F.max("attempt_index").alias("last"), F.min(F.when(F.col("state") == "COMPLETED", F.col("attempt_index"))).alias("done"))
     j = slots.select("pass_id", "attempt_count").join(g, "pass_id")
     p = F.col("pass_id")
-    return together(broken(attempts.join(slots.select("pass_id"), "pass_id", "left_anti"), "orphan_attempt", p), repeated(attempts, ["pass_id", "attempt_index"], "duplicate_attempt"), broken(j.where("attempt_count <> n"), "attempt_count", p, F.col("n")), broken(j.where("done < last"), "replay_after_terminal", p, F.col("last")))
+    late = [broken(attempts.where("completed_at < started_at"), "completed_before_start", F.concat_ws(":", "pass_id", "attempt_index"))] if {"started_at", "completed_at"} <= set(attempts.columns) else []
+    return together(*late, broken(attempts.join(slots.select("pass_id"), "pass_id", "left_anti"), "orphan_attempt", p), repeated(attempts, ["pass_id", "attempt_index"], "duplicate_attempt"), broken(j.where("attempt_count <> n"), "attempt_count", p, F.col("n")), broken(j.where("done < last"), "replay_after_terminal", p, F.col("last")))
 
 
 def validate_triplets(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import SANDBOX, cases, winner_id_to_label
+from ..functions.text import trimmed
 from .metrics import n_if
 
 
@@ -54,7 +55,7 @@ def judge_vs_judge(decisions: DataFrame, first: str, second: str) -> DataFrame:
 
 def controlled_passes(passes: DataFrame, runs: DataFrame, units: DataFrame, manifests: DataFrame) -> DataFrame:
     """Passes of controlled runs with their unit and manifest."""
-    return passes.join(runs.where("evidence_class = 'CONTROLLED'"), "run_id").join(units, "unit_id").join(F.broadcast(manifests), "manifest_id")
+    return passes.join(runs.where("evidence_class = 'CONTROLLED'"), "run_id").join(units, "unit_id").join(manifests, "manifest_id")
 
 
 def logical_view(ledger: DataFrame, corrected: DataFrame, recovery: DataFrame) -> DataFrame:
@@ -75,7 +76,30 @@ def by_rq(logical: DataFrame, rq: str, manifests: DataFrame | None = None, inclu
     """Rows of a question (and of given manifests); reusable rows only on request."""
     df = logical.where(F.col("rq_code") == rq)
     df = df if include_reusable else df.where("source <> 'SOURCE_CORRECT_REUSABLE'")
-    return df if manifests is None else df.join(F.broadcast(manifests), "manifest_id", "left_semi")
+    return df if manifests is None else df.join(manifests, "manifest_id", "left_semi")
+
+
+def require_controlled(df: DataFrame, evidence: str = "evidence_class", unit: str = "unit_id") -> DataFrame:
+    """``df`` if all its evidence is controlled; else an error that names some units. Runs one bounded look-up."""
+    bad = rejected_evidence(df, evidence).select(unit).limit(5).collect()
+    if bad:
+        raise ValueError(f"controlled evidence only; rejected {[r[0] for r in bad]}")
+    return df
+
+
+def rejected_evidence(df: DataFrame, evidence: str = "evidence_class") -> DataFrame:
+    """The rows that the gate does not let through; a missing class is not controlled."""
+    return df.where(~F.coalesce(F.col(evidence) == "CONTROLLED", F.lit(False)))
+
+
+def search_records(df: DataFrame, text: str, columns: tuple[str, ...] = ("prompt_id", "model_names", "reasoning_text")) -> DataFrame:
+    """Rows that hold ``text`` in one of the columns, whatever the case; all rows for a blank one."""
+    if not text.strip():
+        return df
+    found = F.lit(False)
+    for c in columns:
+        found = found | F.coalesce(F.lower(F.col(c).cast("string")).contains(text.lower()), F.lit(False))
+    return df.where(found)
 
 
 def recovery_slots(slots: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -133,7 +157,7 @@ def freeze_pairs(preferences: DataFrame) -> DataFrame:
 
 def population_funnel(preferences: DataFrame, answers: DataFrame) -> DataFrame:
     """Records, groups, conflicts, groups with a blank answer and eligible groups."""
-    blank = answers.select("id", (F.trim("text") == "").alias("blank"))
+    blank = answers.select("id", (trimmed("text") == "").alias("blank"))
     g = _groups(preferences).join(blank.select(F.col("id").alias("lo_id"), F.col("blank").alias("b1")), "lo_id", "left").join(blank.select(F.col("id").alias("hi_id"), F.col("blank").alias("b2")), "hi_id", "left")
     conflict, empty = F.col("w") != F.col("w_hi"), F.coalesce("b1", F.lit(True)) | F.coalesce("b2", F.lit(True))
     return g.agg(F.sum("n_rows").alias("records"), F.count("*").alias("groups"), n_if(conflict).alias("conflicts"), n_if(~conflict & empty).alias("blank"), n_if(~conflict & ~empty).alias("eligible"))
@@ -167,10 +191,15 @@ def identity_diff(plan: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 
 
 def set_digest(df: DataFrame, key: str) -> DataFrame:
-    """Order-free digest of a large set: count, duplicates and an xor of hashes (partial aggregates only)."""
+    """Order-free digest of a large set: count, duplicates, and the sums of the four 60-bit quarters of each member's SHA-256.
+
+    Equal changes add up in a sum where they cancel in an xor; only partial aggregates leave a task. A
+    set with duplicates has no digest.
+    """
     k = F.col(key).cast("string")
     g = df.groupBy(k.alias("k")).agg(F.count("*").alias("n"))
-    return g.agg(F.count("*").alias("n"), n_if(F.col("n") > 1).alias("duplicates"), F.bit_xor(F.conv(F.substring(F.sha2("k", 256), 1, 8), 16, 10).cast("long")).alias("digest"))
+    part = lambda i: F.sum(F.conv(F.substring(F.sha2("k", 256), 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return g.agg(F.count("*").alias("n"), n_if(F.col("n") > 1).alias("duplicates"), F.concat_ws(":", *map(part, range(4))).alias("sums")).select("n", "duplicates", F.when(F.col("duplicates") == 0, F.col("sums")).alias("digest"))
 
 
 def long_sides(df: DataFrame, value: str = "residual") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import cases
-from ..functions.text import digest, format_variant, judge_family, source_family, validate_format, validate_verbosity, verbosity_variant
+from ..functions.text import digest, format_variant, judge_family, source_family, trimmed, validate_format, validate_verbosity, verbosity_variant
 from .metrics import by_groups, n_if
 
 #: Conditions, repetitions, passes and presentation of each research question.
@@ -23,7 +23,7 @@ PROTOCOLS = {
 
 def eligible(rq: str, judge: Column | None = None) -> Column:
     """Whether a pair (texts, models, human label) can serve a question; RQ6 also needs the judge."""
-    full = lambda c: F.coalesce(F.trim(F.col(c)) != "", F.lit(False))
+    full = lambda c: F.coalesce(trimmed(c) != "", F.lit(False))
     both, a = full("text_a") & full("text_b"), F.col("text_a")
     if rq in ("RQ1", "RQ7"):
         return both & F.col("human_label").isNotNull()
@@ -49,7 +49,8 @@ def eligibility_audit(pairs: DataFrame, judges: list[str]) -> DataFrame:
 
 def select_units(pairs: DataFrame, judges: DataFrame, rq: str, n: int, snapshot: str) -> DataFrame:
     """First n eligible pairs of each judge by digest; the rank filter prunes before the shuffle."""
-    df = pairs.crossJoin(F.broadcast(judges)).where(eligible(rq, F.col("judge"))).drop("text_a", "text_b")
+    variant = {"RQ4": verbosity_variant("text_a"), "RQ5": format_variant("text_a")}.get(rq, F.lit(None).cast("string"))
+    df = pairs.crossJoin(F.broadcast(judges)).where(eligible(rq, F.col("judge"))).withColumn("variant_checksum", F.sha2(variant, 256)).drop("text_a", "text_b")
     order = digest(F.lit(snapshot), F.lit(rq), F.col("judge"), F.col("pair_key"))
     ranked = df.withColumn("digest", order).withColumn("rank", F.row_number().over(Window.partitionBy("judge").orderBy("digest", "pair_key")))
     return ranked.where(F.col("rank") <= n)
@@ -63,7 +64,7 @@ def generate_units(selected: DataFrame, rq: str, snapshot: str) -> DataFrame:
     shown = F.when(F.col("rank") % 2 == 1, "SELF_A").otherwise("SELF_B") if order == "SELF" else F.lit(order)
     count = F.when(F.col("condition") == "DUAL_SWAP", 2).otherwise(passes)
     df = df.withColumn("presentation_order", shown).withColumn("pass_count", count)
-    return df.select("pair_key", "judge", F.lit(rq).alias("rq_code"), "condition", "presentation_order", "repetition_index", "pass_count", digest(F.lit(snapshot), F.lit(rq), F.col("pair_key"), F.col("judge"), F.col("condition"), F.col("presentation_order"), F.col("repetition_index")).alias("unit_id"))
+    return df.select("pair_key", "answer_a_id", "answer_b_id", "judge", F.lit(rq).alias("rq_code"), "condition", "presentation_order", "repetition_index", "pass_count", "variant_checksum", digest(F.lit(snapshot), F.lit(rq), F.col("pair_key"), F.col("judge"), F.col("condition"), F.col("presentation_order"), F.col("repetition_index")).alias("unit_id"))
 
 
 def call_plan(units: DataFrame) -> DataFrame:

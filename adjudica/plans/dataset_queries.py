@@ -50,7 +50,7 @@ def source_reconciliation(spark, sf_dir):
     return S.reconcile(records(spark, sf_dir), source(spark, sf_dir), overrides)
 
 
-@query(duck(f"with {_src}, p as (select question_id, turn, row_number() over (order by substr(sha256(cast(question_id as string)), 1, 1), question_id, turn) as prompt_id from (select distinct question_id, turn from src)), a as (select question_id, turn, model, row_number() over (order by substr(sha256(cast(question_id as string)), 1, 1), question_id, turn, model) as answer_id from (select question_id, turn, model_a as model from src union select question_id, turn, model_b from src)) select prompt_id, a.answer_id as answer_a_id, b.answer_id as answer_b_id, case label when 'ANSWER_A' then a.answer_id when 'ANSWER_B' then b.answer_id end as winner_id from src join p using (question_id, turn) join a on a.question_id = src.question_id and a.turn = src.turn and a.model = model_a join a b on b.question_id = src.question_id and b.turn = src.turn and b.model = model_b"))
+@query(duck(f"with {_src}, p as (select question_id, turn, row_number() over (order by question_id, turn) as prompt_id from (select distinct question_id, turn from src)), a as (select question_id, turn, model, row_number() over (order by question_id, turn, model) as answer_id from (select question_id, turn, model_a as model from src union select question_id, turn, model_b from src)) select prompt_id, a.answer_id as answer_a_id, b.answer_id as answer_b_id, case label when 'ANSWER_A' then a.answer_id when 'ANSWER_B' then b.answer_id end as winner_id from src join p using (question_id, turn) join a on a.question_id = src.question_id and a.turn = src.turn and a.model = model_a join a b on b.question_id = src.question_id and b.turn = src.turn and b.model = model_b"))
 def canonical_dataset(spark, sf_dir):
     return S.build_dataset(source(spark, sf_dir))["preferences"]
 

@@ -49,13 +49,13 @@ TABLES: dict[str, str] = {
     "repetitions": f"""select pair_id, question_id, category, judge, rep as repetition_index, s || ':' || judge as group_key, h('rt:' || s || judge || cast(rep as string)) % 3 as retry_count, human_label,
       {outcome("v", SHOWN)} as outcome, answer_a_id, answer_b_id, case when pair_id % 70 = 0 and rep = 4 then 'route-b' else 'route-a' end as route from (
         select p.*, j.judge, r.rep, 'AB' as presentation, case when h('rk:' || s || ':' || judge || ':' || cast(rep as string)) % 10 = 0 then h('o:' || s || ':' || judge || ':AB:' || cast(rep as string)) % 100 else h('o:' || s || ':' || judge || ':AB:0') % 100 end as v
-        from pairs p cross join {_JUDGES} cross join (values (0), (1), (2), (3), (4)) as r(rep) where p.pair_id % 10 = 0) x""",
+        from pairs p cross join {_JUDGES} cross join (values (0), (1), (2), (3), (4)) as r(rep)) x""",
     "baseline": f"select pair_id, judge, {outcome('vb', SHOWN)} as baseline_label from slots0 where presentation = 'AB'",
     "votes": """select pair_id, category, question_id, human_label, judge, judge_no, presentation, answer_a_id, answer_b_id, outcome, s from passes
       where (presentation = 'AB') = ((judge_no + h('pr:' || s) % 4) % 4 < 2)""",
     "decisions": """select pair_id as id, prompt_id, case when pair_id % 50 = 0 then 'live' else category end as category, judge as judge_model_name, answer_a_id, answer_b_id, model_a, model_b, wc_a, wc_b, human_label,
       case when h('pa:' || s) % 2 = 0 then answer_a_id else answer_b_id end as position_a_id, case outcome when 'ANSWER_A' then answer_a_id when 'ANSWER_B' then answer_b_id end as winner_id
-      from passes where presentation = 'AB' and pair_id % 2 = 0 and outcome in ('ANSWER_A', 'ANSWER_B', 'TIE')""",
+      from passes where presentation = 'AB' and outcome in ('ANSWER_A', 'ANSWER_B', 'TIE')""",
     "attempts": """select pass_id, pair_id, judge, case judge_no when 0 then 'openai' else 'openrouter' end as provider, i as attempt_index, n as attempt_count, case when i < n then 'FAILED' when outcome is null then 'AMBIGUOUS' when outcome in ('API_ERROR', 'TIMEOUT', 'REFUSAL') then 'FAILED' else 'COMPLETED' end as state,
       case when i < n then case h('fc:' || pass_id || cast(i as string)) % 3 when 0 then 'RATE_LIMIT' when 1 then 'HTTP_5XX' else 'TIMEOUT' end when outcome in ('API_ERROR', 'TIMEOUT', 'REFUSAL') then outcome end as failure_category,
       100 + h('ti:' || pass_id || cast(i as string)) % 900 as input_tokens, 10 + h('to:' || pass_id || cast(i as string)) % 200 as output_tokens,
@@ -64,6 +64,14 @@ TABLES: dict[str, str] = {
     "ledger": """select pass_id, s, pair_id, judge, presentation, outcome, case h('cl:' || pass_id) % 4 when 0 then 'CORRECTED_RERUN_REQUIRED' when 1 then 'HISTORICAL_ONLY_UNALIGNED' else 'SOURCE_CORRECT_REUSABLE' end as classification, case when h('rq:' || s) % 2 = 0 then 'RQ1' else 'RQ3' end as rq_code from passes""",
     "corrected": f"select pass_id as historical_identity, 'c:' || pass_id as planned_pass_id, rq_code, judge, presentation, case h('st:' || pass_id) % 10 when 0 then 'FAILED' when 1 then 'AMBIGUOUS' else 'COMPLETED' end as state, case h('co:' || pass_id) % 4 when 0 then 'ANSWER_A' when 1 then 'ANSWER_B' when 2 then 'TIE' end as final_outcome from ledger where classification = 'CORRECTED_RERUN_REQUIRED'",
     "recovery": "select planned_pass_id as original_planned_pass_id, 'r:' || planned_pass_id as planned_pass_id, case h('rs:' || planned_pass_id) % 5 when 0 then 'FAILED' else 'COMPLETED' end as state, case h('ro:' || planned_pass_id) % 3 when 0 then 'ANSWER_A' when 1 then 'ANSWER_B' else 'TIE' end as final_outcome from corrected where state <> 'COMPLETED' and h('rx:' || planned_pass_id) % 3 > 0",
+    "plan_rows": f"""select cast(pair_id as string) as unit_id, cast(pair_id as string) as pair_key, answer_a_id, case when pair_id % 12 = 5 then answer_a_id else answer_b_id end as answer_b_id, {pick("pair_id % 4", JUDGES)} as judge,
+      case when pair_id % 12 = 9 then 'nobody' when pair_id % 4 = 0 then 'openai' else 'openrouter' end as provider, case pair_id % 12 when 0 then 'RQ4' when 1 then 'RQ4' when 2 then 'RQ3' when 3 then 'RQ7' when 4 then 'RQ7' when 8 then 'RQ6' when 10 then 'RQ5' else 'RQ1' end as rq_code,
+      case pair_id % 12 when 3 then 'DUAL_SWAP' when 4 then 'BASELINE_STANDARD' when 11 then '' else 'CONTROL' end as condition, case when pair_id % 12 in (0, 1, 10) then 'AB_BA' when pair_id % 12 = 8 then 'SELF_A' else 'AB' end as presentation_order,
+      case when pair_id % 12 = 6 then -1 else 0 end as repetition_index, case when pair_id % 12 in (0, 1, 10) then 2 else 1 end as pass_count, case when pair_id % 12 in (0, 10) then 'v' end as variant_checksum, pair_id from pairs""",
+    "design_units": f"""select pair_id, {pick("pair_id % 4", JUDGES)} as judge, case pair_id % 3 when 0 then 'VICUNA' when 1 then 'ALPACA' else 'META_LLAMA' end as other_family, category, case when h('ds:' || s) % 2 = 0 then 'SAME' else 'OTHER' end as stratum, answer_a_id, answer_b_id from pairs
+      union all select pair_id, {pick("pair_id % 4", JUDGES)}, case pair_id % 3 when 0 then 'VICUNA' when 1 then 'ALPACA' else 'META_LLAMA' end, category, case when h('ds:' || s) % 2 = 0 then 'SAME' else 'OTHER' end, answer_a_id, answer_b_id from pairs where pair_id % 50 = 7""",
+    "design_passes": f"""select pair_id, {pick("pair_id % 4", JUDGES)} as judge, presentation, answer_a_id, answer_b_id, case when (presentation = 'AB') or pair_id % 10 = 2 then answer_a_id else answer_b_id end as displayed_a, case when (presentation = 'AB') or pair_id % 10 = 2 then answer_b_id else answer_a_id end as displayed_b,
+      case when pair_id % 10 = 3 then 0 else answer_a_id end as same_id from pairs cross join {_ORDERS} where not (presentation = 'BA' and pair_id % 10 = 1)""",
     "variants": """select doc_id, text, judge, s, v, order_no, case when (presentation = 'AB') then 'AB' else 'BA' end as presentation, case when v < 35 then 'ANSWER_A' when v < 70 then 'ANSWER_B' when v < 90 then 'TIE' when v < 95 then 'API_ERROR' end as outcome
       from (select doc_id, text, cast(doc_id as string) as s, judge, presentation, case presentation when 'AB' then 1 else 2 end as order_no, h('v:' || cast(doc_id as string) || ':' || judge || ':' || presentation) % 100 as v
       from documents cross join """ + _JUDGES + " cross join " + _ORDERS + ") x",

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import tails
 from ..functions.text import format_type
 from ..operators import bootstrap as B
+from ..operators import estimators as E
 from ..operators import diagnostics as D
 from ..operators import pairs as P
 from ..operators.estimators import KAPPA
+from . import core_queries as core
 from .catalog import query
 from .core_queries import kappa_sql
 from .fixtures import duck, table
@@ -149,9 +151,15 @@ def identity_diff(spark, sf_dir):
     return P.identity_diff(p, stored, "pass_id")
 
 
-@query(duck("with g as (select question_id as k, count(*) as n from pairs group by 1) select count(*) as n, count(*) filter (where n > 1) as duplicates, bit_xor(h(cast(k as string))) as digest from g"))
+_quarters = " || ':' || ".join(f"cast(sum(cast('0x' || substr(sha256(cast(k as string)), {1 + 15 * i}, 15) as bigint)) as string)" for i in range(4))
+
+
+@query(duck(f"with g as (select 'pair_id' as key, pair_id as k, count(*) as n from pairs group by 2 union all select 'question_id', question_id, count(*) from pairs group by 2) select key, count(*) as n, count(*) filter (where n > 1) as duplicates, case when count(*) filter (where n > 1) = 0 then {_quarters} end as digest from g group by key"))
 def set_digest(spark, sf_dir):
-    return P.set_digest(table(spark, sf_dir, "pairs"), "question_id")
+    """One key that is a set and one that repeats, which has no digest."""
+    p = table(spark, sf_dir, "pairs")
+    one, other = (P.set_digest(p, k).select(F.lit(k).alias("key"), "*") for k in ("pair_id", "question_id"))
+    return one.unionByName(other)
 
 
 # H1-H11, H21 ----------------------------------------------------------------------------------
@@ -329,3 +337,78 @@ def interval_comparison(spark, sf_dir):
     n = table(spark, sf_dir, "passes").groupBy("judge", "category").agg((F.count("*") - 60).alias("n"))
     a = n.groupBy(F.col("judge").alias("metric")).agg((F.min("n") / 100.0).alias("ci_low"), (F.max("n") / 100.0).alias("ci_high"))
     return B.compare_intervals(a, a.select("metric", (F.col("ci_low") / 2).alias("ci_low"), (F.col("ci_high") * 2).alias("ci_high")))
+
+
+# Estimators that are applied anew to resampled clusters ----------------------------------------
+def _clustered_sql(rows: str, cluster: str, sums: dict[str, str], statistic: str, iterations: int, seed: int, name: str) -> str:
+    """CTEs that end in ``name``: replicate, weighted sums and stat, with hash-Poisson weights."""
+    own = ", ".join(f"{e} as {n}" for n, e in sums.items())
+    weighted = ", ".join(f"cast(sum({_pw} * {n}) as bigint) as {n}" for n in sums)
+    return f"{name}_c as (select {cluster}, {own} from ({rows}) x group by {cluster}), {name}_r as (select *, h('{seed}:' || cast({cluster} as string) || ':' || cast(replicate as string)) as hh from {name}_c, range(0, {iterations}) as r(replicate)), {name}_w as (select replicate, {weighted} from {name}_r group by replicate), {name} as (select *, {statistic} as stat from {name}_w)"
+
+
+_tab = "select question_id, pair_id, human_label as hl, outcome as jl from passes where presentation = 'AB'"
+_LABEL = dict(zip(B.CLASSES, ("ANSWER_A", "ANSWER_B", "TIE"), strict=True))
+_cells = {f"n_{h}_{j}": f"count(*) filter (where hl = '{_LABEL[h]}' and jl = '{_LABEL[j]}')" for h in B.CLASSES for j in B.CLASSES}
+
+
+def _labels(spark, sf_dir):
+    return table(spark, sf_dir, "passes").where("presentation = 'AB'").select("question_id", "pair_id", "judge", F.col("human_label").alias("hl"), F.col("outcome").alias("jl"))
+
+
+@query(duck(f"with {_clustered_sql(_tab, 'question_id', _cells, B.KAPPA, 200, 7, 'st')} select * from st"))
+def clustered_kappa(spark, sf_dir):
+    return B.clustered_statistic(_labels(spark, sf_dir), "question_id", B.table_cells("hl", "jl"), B.KAPPA, 200, 7)
+
+
+@query()
+def kappa_intervals(spark, sf_dir):
+    return B.table_interval(_labels(spark, sf_dir), "hl", "jl", B.KAPPA, ["judge"], iterations=2000)
+
+
+_dec = "('ANSWER_A', 'ANSWER_B')"
+_swap = f"select pair_id, judge, question_id, max({core.CANON}) filter (where presentation = 'AB') as a, max({core.CANON}) filter (where presentation = 'BA') as b from passes group by 1, 2, 3"
+_flip = {"decisive": f"count(*) filter (where a in {_dec} and b in {_dec})", "flips": f"count(*) filter (where a in {_dec} and b in {_dec} and a <> b)"}
+_RATE = "case when decisive > 0 then flips / cast(decisive as double) end"
+
+
+@query(duck(f"with {_clustered_sql(_swap, 'question_id', _flip, _RATE, 200, 7, 'st')} select * from st"))
+def clustered_flip_rate(spark, sf_dir):
+    s = E.swap_pairs(core.canonical_passes(spark, sf_dir), ["pair_id", "judge", "question_id"])
+    both = F.col("pass_ab").isin("ANSWER_A", "ANSWER_B") & F.col("pass_ba").isin("ANSWER_A", "ANSWER_B")
+    return B.clustered_statistic(s, "question_id", [F.count_if(both).alias("decisive"), F.count_if(both & (F.col("pass_ab") != F.col("pass_ba"))).alias("flips")], _RATE, 200, 7)
+
+
+_v = "('ANSWER_A', 'ANSWER_B', 'TIE')"
+_cover = f"select d.*, baseline_label from ({_swap}) d join baseline using (pair_id, judge)"
+_coverage = {"n": "count(*)", "gain": f"count(*) filter (where a = b and a in {_v}) - count(*) filter (where baseline_label in {_v})"}
+_DELTA = "case when n > 0 then gain / cast(n as double) end"
+
+
+@query(duck(f"with {_clustered_sql(_cover, 'question_id', _coverage, _DELTA, 200, 7, 'st')} select * from st"))
+def clustered_coverage_delta(spark, sf_dir):
+    """Coverage of the stable label of a swap less that of the baseline."""
+    s = E.swap_pairs(core.canonical_passes(spark, sf_dir), ["pair_id", "judge", "question_id"]).join(table(spark, sf_dir, "baseline"), ["pair_id", "judge"])
+    valid = lambda c: F.col(c).isin("ANSWER_A", "ANSWER_B", "TIE")
+    stable = (F.col("pass_ab") == F.col("pass_ba")) & valid("pass_ab")
+    return B.clustered_statistic(s, "question_id", [F.count("*").alias("n"), (F.count_if(stable) - F.count_if(valid("baseline_label"))).alias("gain")], _DELTA, 200, 7)
+
+
+_METRICS = {"exact_agreement": B.AGREEMENT, "cohens_kappa": B.KAPPA}
+_ends = lambda st: f"select max(stat) filter (where k = cast(floor(0.025 * (n - 1)) as bigint)) as lo, max(stat) filter (where k = cast(floor(0.975 * (n - 1)) as bigint)) as hi from (select *, row_number() over (order by stat, replicate) - 1 as k, count(*) over () as n from {st} where stat is not null)"
+_both = ", ".join(_clustered_sql(_tab, unit, _cells, s, 60, 7, f"{m}_{unit}") for m, s in _METRICS.items() for unit in ("pair_id", "question_id"))
+
+
+@query(duck(f"with {_both} " + " union all ".join(f"select '{m}' as metric, a.hi - a.lo as official_width, b.hi - b.lo as clustered_width, b.hi - b.lo - a.hi + a.lo as width_difference, a.lo <= 0 and a.hi >= 0 as null_inside_official, b.lo <= 0 and b.hi >= 0 as null_inside_clustered, (a.lo <= 0 and a.hi >= 0) <> (b.lo <= 0 and b.hi >= 0) as changed from ({_ends(f'{m}_pair_id')}) a cross join ({_ends(f'{m}_question_id')}) b" for m in _METRICS)))
+def interval_changes(spark, sf_dir):
+    """Intervals of agreement and kappa over pairs, and over whole questions."""
+    rows = _labels(spark, sf_dir)
+
+    def of(unit):
+        made = []
+        for m, s in _METRICS.items():
+            reps = B.clustered_statistic(rows, unit, B.table_cells("hl", "jl"), s, 60, 7).select(F.lit(m).alias("group_id"), "replicate", "stat", F.lit(2).alias("units"))
+            made.append(B.interval(reps))
+        return made[0].unionByName(made[1]).withColumnRenamed("group_id", "metric")
+
+    return B.compare_intervals(of("pair_id"), of("question_id"))

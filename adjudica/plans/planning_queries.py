@@ -38,8 +38,13 @@ _ok = {"RQ1": "trim(text_a) <> '' and trim(text_b) <> '' and human_label is not
 _ok |= {"RQ7": _ok["RQ1"], "RQ2": _ok["RQ3"], "RQ5": _ok["RQ4"]}
 
 
+#: White space and line ends as DuckDB patterns.
+_GAP = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_END = r"(?:\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}])"
+
+
 # Text functions -------------------------------------------------------------------------------
-@query(duck(r"""select doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) as word_count, cast(ceil(length(text) / 4.0) as bigint) as tokens, sha256(text) as sha, sha256('doc|' || cast(doc_id as string) || '|None') as digest,
+@query(duck(r"""select doc_id, len(list_filter(regexp_split_to_array(text, '""" + _GAP + r"""'), lambda x: x <> '')) as word_count, cast(ceil(length(text) / 4.0) as bigint) as tokens, sha256(text) as sha, sha256('doc|' || cast(doc_id as string) || '|None') as digest,
   case when trim(text) <> '' then sha256(text || chr(10) || chr(10) || text) end as verbosity_sha, sha256(regexp_replace(text, '(^|\n)([^\n]*\S[^\n]*)', '\1- \2', 'g')) as format_sha,
   case when cast(regexp_matches(text, '(?m)^#{1,6}\s') as int) + cast(regexp_matches(text, '\*\*.*?\*\*') as int) + cast(regexp_matches(text, '(?m)^\s*[*\-]\s') as int) + cast(regexp_matches(text, '(?m)^\s*\d+\.\s') as int) + 2 * cast(regexp_matches(text, '```') as int) >= 2 then 'markdown_heavy' else 'plain_text' end as format_type from documents"""))
 def document_text_functions(spark, sf_dir):
@@ -47,7 +52,13 @@ def document_text_functions(spark, sf_dir):
     return d.select("doc_id", T.word_count("text").alias("word_count"), T.token_estimate("text").alias("tokens"), T.sha_text("text").alias("sha"), T.digest(F.lit("doc"), F.col("doc_id"), F.lit(None).cast("string")).alias("digest"), T.sha_text(T.verbosity_variant("text")).alias("verbosity_sha"), T.sha_text(T.format_variant("text")).alias("format_sha"), T.format_type("text").alias("format_type"))
 
 
-@query()
+_lines = lambda t: f"(case when {t} = '' then [] when regexp_matches({t}, '{_END}$') then list_slice(regexp_split_to_array({t}, '{_END}'), 1, -2) else regexp_split_to_array({t}, '{_END}') end)"
+_bare = lambda t: f"array_to_string(list_transform({_lines(t)}, lambda x: regexp_replace(x, '^\\s*([-*+] |[0-9]+[.)] |#{{1,6}}\\s+)', '')), chr(10))"
+_norm = lambda t: f"lower(trim(regexp_replace({t}, '{_GAP}', ' ', 'g')))"
+
+
+@query(duck(f"""with v as (select doc_id, text, case when trim(regexp_replace(text, '{_GAP}', ' ', 'g')) <> '' then array_to_string(list_transform({_lines('text')}, lambda x: case when trim(regexp_replace(x, '{_GAP}', ' ', 'g')) <> '' then '- ' || x else x end), chr(10)) end as f from documents)
+  select doc_id, coalesce(f is not null, false) as verbosity_valid, coalesce({_norm('text')} = {_norm(_bare('f'))}, false) as format_valid, {_bare('f')} = {_bare('text')} as strips_back from v"""))
 def variant_validity(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", T.validate_verbosity("text", T.verbosity_variant("text")).alias("verbosity_valid"), T.validate_format("text", T.format_variant("text")).alias("format_valid"), (T.strip_formatting(T.format_variant("text")) == T.strip_formatting("text")).alias("strips_back"))
@@ -97,7 +108,7 @@ def payloads_and_reuse(spark, sf_dir):
     return p.select("pass_id", T.payload_digest("p", "a", "b", "presentation").alias("payload_sha"), r["reuse_class"].alias("reuse_class"), r["reasons"].alias("reasons"))
 
 
-@query()
+@query(duck("select pair_id, case when pair_id % 3 = 0 then 'ANSWER_A' else 'INVALID_RESPONSE' end as outcome from pairs"))
 def judgement_json(spark, sf_dir):
     p = table(spark, sf_dir, "pairs")
     good = F.concat(F.lit('```json\n{"winner": "A", "scores": {"a":1,"b":2,"c":3,"d":4,"e":5}, "confidence": 0.'), (F.col("pair_id") % 10).cast("string"), F.lit(', "explanation": "x"}\n```'))
@@ -106,7 +117,7 @@ def judgement_json(spark, sf_dir):
 
 
 # W1-W12, A12 ----------------------------------------------------------------------------------
-_sel = lambda rq, n: f"sel as (select * from (select *, row_number() over (partition by judge order by digest, pair_key) as rank from (select pt.*, judge, {_dig(repr('s1'), repr(rq), 'judge', 'pair_key')} as digest from pt cross join {_JL}) x where {_own if rq == 'RQ6' else _ok[rq]}) y where rank <= {n})"
+_sel = lambda rq, n: f"sel as (select * from (select *, row_number() over (partition by judge order by digest, pair_key) as rank from (select pt.*, judge, {_dig(repr('s1'), repr(rq), 'judge', 'pair_key')} as digest from pt cross join {_JL}) x where {_ok['RQ3'] + ' and (' + JUDGE_FAMILY + ') is not null and ' + _own if rq == 'RQ6' else _ok[rq]}) y where rank <= {n})"
 
 
 @query(duck(f"with {_pt}, {_sel('RQ1', 50)} select judge, pair_key, digest, rank from sel"))
@@ -123,7 +134,25 @@ def _units(spark, sf_dir, rq="RQ7"):
 
 @query(duck(f"with {_pt}, {_sel('RQ7', 50)}, {_units7} select * from un"))
 def planned_units(spark, sf_dir):
-    return _units(spark, sf_dir)
+    return _units(spark, sf_dir).drop("answer_a_id", "answer_b_id", "variant_checksum")
+
+
+def _planned_sql(rq: str) -> str:
+    """Units of one question: conditions x repetitions of the selected pairs."""
+    conditions, repetitions, passes, order = W.PROTOCOLS[rq]
+    shown = "case when rank % 2 = 1 then 'SELF_A' else 'SELF_B' end" if order == "SELF" else f"'{order}'"
+    variant = {"RQ4": "sha256(text_a || chr(10) || chr(10) || text_a)", "RQ5": f"sha256(array_to_string(list_transform({_lines('text_a')}, lambda x: case when trim(x) <> '' then '- ' || x else x end), chr(10)))"}.get(rq, "cast(null as string)")
+    own = _sel(rq, 50).replace("sel as (", "", 1)[:-1]
+    return f"select pair_key, answer_a_id, answer_b_id, judge, '{rq}' as rq_code, condition, {shown} as presentation_order, rep as repetition_index, {passes} as pass_count, {variant} as variant_checksum, {_dig(repr('s1'), repr(rq), 'pair_key', 'judge', 'condition', shown, 'rep')} as unit_id from ({own}) q cross join (values {', '.join(f"('{c}')" for c in conditions)}) as c(condition) cross join (values {', '.join(f'({r})' for r in range(repetitions))}) as r(rep)"
+
+
+_controlled = ("RQ1", "RQ2", "RQ3", "RQ4", "RQ5", "RQ6")
+
+
+@query(duck(f"with {_pt} " + " union all ".join(map(_planned_sql, _controlled))))
+def planned_units_by_question(spark, sf_dir):
+    """Single passes, repetitions, swaps, both kinds of variant, and alternating slots of the judge's own family."""
+    return A.together(*(_units(spark, sf_dir, rq) for rq in _controlled))
 
 
 @query(duck(f"with {_pt}, {_sel('RQ7', 50)}, {_units7} select unit_id, judge, condition, presentation from un cross join (values ('AB'), ('BA')) as o(presentation) where pass_count = 2 or presentation = 'AB'"))
@@ -178,6 +207,22 @@ def schedule_violations(spark, sf_dir):
     return A.validate_schedule(pass_schedule(spark, sf_dir))
 
 
+_scheduled = f"sc as (select pair_id, judge, presentation, case presentation when 'AB' then answer_a_id else answer_b_id end as da, case presentation when 'AB' then answer_b_id else answer_a_id end as db, {_dig('pair_id', 'judge', 'presentation')} as k from asg where not (pair_id % 11 = 1 and judge = '{JUDGES[0]}')), bad as (select pair_id, judge, case when pair_id % 11 = 2 then 'AB' else presentation end as presentation, case when pair_id % 11 = 3 then db else da end as da, case when pair_id % 11 = 3 then da else db end as db, case when pair_id % 11 = 4 then 'same' else k end as k from sc)"
+
+
+@query(duck(f"""with {_as}, {_scheduled}, n as (select pair_id, count(*) as n, count(*) filter (where presentation = 'AB') as ab from bad group by 1)
+  select 'judge_population' as rule, cast(pair_id as string) as key, cast(n as string) as detail from n where n <> 4 union all select 'unbalanced_presentation', cast(pair_id as string), cast(ab as string) from n where 2 * ab <> n
+  union all select 'duplicate_key', k, cast(count(*) as string) from bad group by k having count(*) > 1
+  union all select 'displayed_answer_drift', cast(pair_id as string) || ':' || judge, '' from bad join (select pair_id, answer_a_id as lo, answer_b_id as hi from pairs) p using (pair_id) where (da, db) <> (case presentation when 'AB' then lo else hi end, case presentation when 'AB' then hi else lo end)"""))
+def schedule_rule_violations(spark, sf_dir):
+    """A schedule with a missing judge, one-sided presentations, swapped displayed answers and a repeated key."""
+    s, k = pass_schedule(spark, sf_dir), F.col("pair_id") % 11
+    s = s.where(~((k == 1) & (F.col("judge") == JUDGES[0]))).withColumn("presentation", F.when(k == 2, "AB").otherwise(F.col("presentation")))
+    a, b = F.col("displayed_a"), F.col("displayed_b")
+    s = s.withColumns({"displayed_a": F.when(k == 3, b).otherwise(a), "displayed_b": F.when(k == 3, a).otherwise(b), "idempotency_key": F.when(k == 4, "same").otherwise(F.col("idempotency_key"))})
+    return A.validate_schedule(s, pairs=table(spark, sf_dir, "pairs"))
+
+
 @query(duck("select p.pass_id, p.judge, sha256(case p.presentation when 'AB' then sha256(a.text) || '|' || sha256(b.text) else sha256(b.text) || '|' || sha256(a.text) end) as payload_sha, (length(a.text) + length(b.text) + 603) // 4 as tokens from passes p join ledger l on p.pass_id = l.pass_id join answers a on p.answer_a_id = a.id join answers b on p.answer_b_id = b.id where classification = 'CORRECTED_RERUN_REQUIRED'"))
 def rerun_plan(spark, sf_dir):
     return W.rerun_plan(table(spark, sf_dir, "passes"), table(spark, sf_dir, "ledger"), table(spark, sf_dir, "answers"))
@@ -339,7 +384,7 @@ def batch_complete(spark, sf_dir):
     return A.batch_complete(slots(spark, sf_dir))
 
 
-@query(duck("with k as (select distinct prompt_id, model_a from pairs) select prompt_id, model_a, row_number() over (order by substr(sha256(cast(prompt_id as string)), 1, 1), prompt_id, model_a) as answer_id from k"))
+@query(duck("with k as (select distinct prompt_id, model_a from pairs) select prompt_id, model_a, row_number() over (order by prompt_id, model_a) as answer_id from k"))
 def dense_ids(spark, sf_dir):
     return A.dense_ids(table(spark, sf_dir, "pairs"), ["prompt_id", "model_a"], "answer_id")
 
@@ -364,6 +409,58 @@ def counterbalance_violations(spark, sf_dir):
     return A.validate_counterbalance(W.balanced_units(_candidates(spark, sf_dir)))
 
 
+@query(duck("""with g as (select judge, other_family, category, count(*) filter (where stratum = 'SAME') - count(*) filter (where stratum = 'OTHER') as gap from design_units group by grouping sets ((judge), (judge, other_family, category))),
+  sd as (select judge, count(*) filter (where displayed_a = same_id) as a, count(*) filter (where displayed_b = same_id) as b, count(*) filter (where displayed_a <> same_id and displayed_b <> same_id) as x from design_passes group by 1)
+  select 'duplicate_unit' as rule, cast(pair_id as string) || ':' || judge as key, '2' as detail from design_units where pair_id % 50 = 7 group by 1, 2, 3
+  union all select 'unequal_strata_of_judge', judge, cast(gap as string) from g where other_family is null and gap <> 0
+  union all select 'unequal_strata', judge || ':' || other_family || ':' || category, cast(gap as string) from g where other_family is not null and gap <> 0
+  union all select distinct 'missing_ab_ba_schedule', cast(pair_id as string) || ':' || judge, '' from design_units where pair_id % 10 = 1
+  union all select 'irreversible_answer_mapping', cast(pair_id as string) || ':' || judge || ':BA', '' from design_passes where pair_id % 10 = 2 and presentation = 'BA'
+  union all select 'same_family_answer_missing', judge, cast(x as string) from sd where x > 0 union all select 'presentation_not_counterbalanced', judge, cast(a - b as string) from sd where a <> b"""))
+def counterbalance_rule_violations(spark, sf_dir):
+    """A design with repeated units, unequal strata, a missing BA pass, answers that do not turn and one that is not of the family."""
+    return A.validate_counterbalance(table(spark, sf_dir, "design_units"), table(spark, sf_dir, "design_passes"))
+
+
+_allocation = [(j, "openai" if i == 0 else "openrouter") for i, j in enumerate(JUDGES)]
+
+
+@query(duck("""with r as (select * from plan_rows union all select * from plan_rows where pair_id % 12 = 7), k as (select judge, count(*) as n from r where pair_id % 12 = 8 group by 1)
+  select 'duplicate_unit_id' as rule, unit_id as key, '2' as detail from plan_rows where pair_id % 12 = 7
+  union all select case pair_id % 12 when 1 then 'invalid_variant_linkage' when 2 then 'incomplete_swap_pair' when 3 then 'incomplete_mitigation_swap' when 5 then 'invalid_answer_identity' when 9 then 'inconsistent_model_allocation' else 'missing_or_invalid_configuration' end, unit_id, '' from plan_rows where pair_id % 12 in (1, 2, 3, 5, 6, 9, 11)
+  union all select 'unmatched_rq7_strategy', pair_key || ':' || judge, '' from plan_rows where pair_id % 12 in (3, 4) union all select 'unbalanced_rq6_slots', judge, cast(n as string) from k where n > 1"""))
+def unit_rule_violations(spark, sf_dir):
+    """A plan that breaks every rule of a unit: each by the rows of one remainder."""
+    r = table(spark, sf_dir, "plan_rows")
+    return A.validate_units(r.unionByName(r.where("pair_id % 12 = 7")), spark.createDataFrame(_allocation, "judge string, provider string"))
+
+
+@query(duck("select 'completed_before_start' as rule, pass_id || ':' || cast(attempt_index as string) as key, '' as detail from attempts where pair_id % 17 = 0"))
+def attempt_time_violations(spark, sf_dir):
+    a = table(spark, sf_dir, "attempts").withColumn("started_at", F.col("started_min")).withColumn("completed_at", F.col("started_min") + F.when(F.col("pair_id") % 17 == 0, -1).otherwise(1))
+    slots = a.groupBy("pass_id").agg(F.count("*").alias("attempt_count"))
+    return A.validate_ledger(slots, a)
+
+
+@query(duck(f"select unit_id, {_dig('rq_code', 'pair_key', 'answer_a_id', 'answer_b_id', 'judge', 'provider', 'condition', 'presentation_order', 'repetition_index', 'pass_count')} as fingerprint, sha256('{{\"answer_a_id\":' || cast(answer_a_id as string) || ',\"condition\":\"' || condition || '\",\"variant_checksum\":' || coalesce('\"' || variant_checksum || '\"', 'null') || '}}') as stable from plan_rows"))
+def unit_fingerprints(spark, sf_dir):
+    r = table(spark, sf_dir, "plan_rows")
+    return r.select("unit_id", T.unit_fingerprint(["rq_code", "pair_key", "answer_a_id", "answer_b_id", "judge", "provider", "condition", "presentation_order", "repetition_index", "pass_count"]).alias("fingerprint"), T.stable_sha("variant_checksum", "condition", "answer_a_id").alias("stable"))
+
+
+@query(duck("select pass_id, case when pair_id % 5 = 0 then 'LEGACY' end as evidence_class from passes where pair_id % 5 = 0 or pair_id % 7 = 0"))
+def rejected_evidence(spark, sf_dir):
+    k = F.col("pair_id")
+    p = table(spark, sf_dir, "passes").select("pass_id", L.cases((k % 5 == 0, "LEGACY"), (k % 7 != 0, "CONTROLLED")).alias("evidence_class"))
+    return P.rejected_evidence(p)
+
+
+@query(duck("select pair_id from pairs where cast(prompt_id as string) like '%gpt-4%' or lower(model_a || ' vs ' || model_b) like '%gpt-4%'"))
+def searched_records(spark, sf_dir):
+    p = table(spark, sf_dir, "pairs").select("pair_id", "prompt_id", F.upper(F.concat_ws(" vs ", "model_a", "model_b")).alias("model_names"), F.lit(None).cast("string").alias("reasoning_text"))
+    return P.search_records(p, "Gpt-4").select("pair_id")
+
+
 @query(duck(f"with {_slots}, a as (select pass_id, attempt_index, state, attempt_count, judge from attempts where not (pass_id like '%7:%' and attempt_index = 2)), o as (select pass_id from sl where pass_id like '1%'), g as (select pass_id, count(*) as n from a group by 1) select 'orphan_attempt' as rule, pass_id as key, '' as detail from a where pass_id like '1%' union all select 'attempt_count', sl.pass_id, cast(g.n as string) from sl join g using (pass_id) where sl.pass_id not like '1%' and attempt_count <> n"))
 def ledger_violations(spark, sf_dir):
     a = table(spark, sf_dir, "attempts").where("not (pass_id like '%7:%' and attempt_index = 2)")

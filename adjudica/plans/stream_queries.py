@@ -36,10 +36,11 @@ def stream_ingest(spark, sf_dir):
     return spark.read.schema("pass_id string, attempt_index int, state string").parquet(f"{home}/out")
 
 
-@query()
+@query(duck("select make_timestamp(cast(started_min // 5 as bigint) * 300000000) as window_start, judge, count(*) as attempts, count(*) filter (where state = 'COMPLETED') as completed, cast(sum(actual_micro_usd) as bigint) as actual_micro_usd from attempts group by 1, 2"))
 def stream_status(spark, sf_dir):
+    """A finished ledger: all its windows close."""
     home = shared_folder(spark)
-    a = _attempts(spark, sf_dir)
+    a = jobs.closed(_attempts(spark, sf_dir))
     a.write.parquet(f"{home}/in")
     stream = spark.readStream.schema(a.schema).parquet(f"{home}/in")
     status = jobs.stream_ledger_status(stream)
@@ -65,9 +66,61 @@ def manifest_pairs(spark, sf_dir):
     return io.explode_manifest(p, "pairs")
 
 
-@query(duck(f"select pair_id, judge, {core.CANON} as outcome from passes where pair_id % 3 = 0"))
+@query(duck(f"select pair_id, judge, {core.CANON} as outcome from passes"))
 def sink_round_trip(spark, sf_dir):
     home = shared_folder(spark)
-    p = core.canonical_passes(spark, sf_dir).where("pair_id % 3 = 0").select("pair_id", "judge", F.col("canonical").alias("outcome"), F.lit("RQ1").alias("rq"))
+    p = core.canonical_passes(spark, sf_dir).select("pair_id", "judge", F.col("canonical").alias("outcome"), F.lit("RQ1").alias("rq"))
     io.write_metrics(p, home, "json")
     return spark.read.schema("pair_id long, judge string, outcome string").json(home).drop("rq")
+
+
+@query(duck(f"select pair_id, judge, {core.CANON} as outcome from passes"))
+def csv_sink_round_trip(spark, sf_dir):
+    home = shared_folder(spark)
+    p = core.canonical_passes(spark, sf_dir).select("pair_id", "judge", F.col("canonical").alias("outcome"), F.lit("RQ1").alias("rq"))
+    io.write_metrics(p, home, "csv")
+    return spark.read.schema("pair_id long, judge string, outcome string").option("header", True).csv(home).drop("rq")
+
+
+@query(duck("select distinct question_id, category from pairs"))
+def question_source(spark, sf_dir):
+    home = shared_folder(spark)
+    table(spark, sf_dir, "pairs").select("question_id", "category").distinct().write.json(home)
+    return io.read_questions(spark, home)
+
+
+@query(duck("select question_id, 1 as turn, model_a, model_b, case human_label when 'ANSWER_A' then 'model_a' when 'ANSWER_B' then 'model_b' when 'TIE' then 'tie' end as winner, 'p' || cast(prompt_id as string) as prompt, 'a' || s as first, 'b' || s as second from pairs"))
+def judgment_source(spark, sf_dir):
+    """Raw judgements with nested conversations, written as JSON lines and read with the given schema."""
+    home = shared_folder(spark)
+    talk = lambda x: F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("p"), F.col("prompt_id").cast("string")).alias("content")), F.struct(F.lit("assistant").alias("role"), F.concat(F.lit(x), "s").alias("content")))
+    winner = F.expr("case human_label when 'ANSWER_A' then 'model_a' when 'ANSWER_B' then 'model_b' when 'TIE' then 'tie' end")
+    table(spark, sf_dir, "pairs").select("question_id", F.lit(1).alias("turn"), "model_a", "model_b", winner.alias("winner"), talk("a").alias("conversation_a"), talk("b").alias("conversation_b")).write.json(home)
+    j = io.read_judgments(spark, home)
+    return j.select("question_id", "turn", "model_a", "model_b", "winner", F.col("conversation_a")[0]["content"].alias("prompt"), F.col("conversation_a")[1]["content"].alias("first"), F.col("conversation_b")[1]["content"].alias("second"))
+
+
+@query(duck("select 'answers' as table_name, id, prompt_id from answers union all select 'human_preferences', preference_id, prompt_id from preferences union all select 'judge_decisions', id, prompt_id from decisions union all select 'prompts', id, cast(null as bigint) from prompts"))
+def relational_source(spark, sf_dir):
+    """The relational tables as Parquet folders, read by name and type."""
+    home = shared_folder(spark)
+    null = F.lit(None).cast("string")
+    made = {
+        "prompts": table(spark, sf_dir, "prompts"),
+        "answers": table(spark, sf_dir, "answers").withColumn("format_type", F.lit("plain_text")),
+        "human_preferences": table(spark, sf_dir, "preferences").withColumnRenamed("preference_id", "id"),
+        "judge_decisions": table(spark, sf_dir, "decisions").withColumn("reasoning", null),
+    }
+    for name, df in made.items():
+        df.write.parquet(f"{home}/{name}")
+    read = io.read_tables(spark, home)
+    return io.union_all([df.select(F.lit(name).alias("table_name"), "id", F.col("prompt_id") if "prompt_id" in df.columns else F.lit(None).cast("long").alias("prompt_id")) for name, df in sorted(read.items())])
+
+
+@query(duck("select pair_id as id, coalesce(human_label, '') as human_winner, case when wc_a > wc_b then 'long_first' else '' end as bucket, wc_a - wc_b as word_count_diff, model_a || ' vs ' || model_b as model_names from pairs"))
+def bucket_source(spark, sf_dir):
+    """A case bucket as CSV: null strings come back empty."""
+    home = shared_folder(spark)
+    p = table(spark, sf_dir, "pairs")
+    p.select(F.col("pair_id").alias("id"), F.when(F.col("wc_a") > F.col("wc_b"), "long_first").alias("bucket"), (F.col("wc_a") - F.col("wc_b")).alias("word_count_diff"), F.col("human_label").alias("human_winner"), F.lit(None).cast("string").alias("ai_winner"), F.concat_ws(" vs ", "model_a", "model_b").alias("model_names")).write.option("header", True).csv(home)
+    return io.read_bucket(spark, home).drop("ai_winner")

@@ -36,6 +36,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def read_judgments(spark: SparkSession, path: str) -> DataFrame:
     """Raw judgements with their nested conversations; broken lines fail the read."""
     return spark.read.schema(JUDGMENTS).option("mode", "FAILFAST").json(path)

@@ -19,6 +19,12 @@ def stream_ledger_status(stream: DataFrame, ts: str = "ts", delay: str = "10 min
     return out.select(F.col("window.start").alias("window_start"), "judge", "attempts", "completed", "actual_micro_usd")
 
 
+def closed(rows: DataFrame, ts: str = "ts", after: str = "1 day") -> DataFrame:
+    """``rows`` of a finished ledger and one that is null but for a time ``after`` the last: it lets the watermark pass every window, and its own never closes."""
+    end = rows.agg((F.max(ts) + F.expr(f"interval {after}")).alias(ts)).where(F.col(ts).isNotNull())
+    return rows.unionByName(end, allowMissingColumns=True)
+
+
 def to_parquet(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """All that is there now, then stop; the checkpoint makes a rerun exactly-once."""
     return stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
