@@ -2,11 +2,13 @@
 
 All visible text comes out: block elements on lines of their own (paragraph-like ones with a
 blank line between), list items behind ``- `` or their number and indented by depth, table
-rows as lines with cells padded to columns, preformatted text as it stands but for spaces at
-the end of a line. Texts of math and svg are inline. Not visible: comments, head, script, style,
+rows as lines with cells padded to columns (``colspan`` and ``rowspan`` hold their places; a cell of
+several lines, a nested table too, keeps them), preformatted text as it stands but for spaces at
+the end of a line. A line of a cell over ``WIDE`` characters widens no column, and beyond ``LINE``
+characters of a row cells are parted by two spaces, so padding stays in proportion. Texts of math and svg are inline. Not visible: comments, head, script, style,
 template and the like, fallbacks of audio, video, canvas and object, in svg and math what they
-only define or annotate (``FOREIGN_UNSEEN``), and elements with ``hidden`` or an inline
-``display:none`` or ``visibility:hidden``. Missing end tags are implied (p, li, dt, dd, option,
+only define or annotate (``FOREIGN_UNSEEN``), elements with ``hidden`` or an inline
+``display:none``, and what an inline ``visibility`` hides, up to where it shows again. Missing end tags are implied (p, li, dt, dd, option,
 table parts); stray end tags are ignored. Null and empty pages give an empty text.
 Work and memory are linear in the page; nesting has no limit. No shuffle.
 """
@@ -23,12 +25,19 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(hidden|collapse|visible)", re.I)
+SPAN = {name: re.compile(rf"\b{name}\s*=\s*[\"']?\s*(\d{{1,6}})", re.I) for name in ("colspan", "rowspan")}
+WIDE, LINE = 120, 400
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style template noscript iframe noembed noframes".split())
 UNSEEN = RAW | frozenset("head title datalist audio video canvas object".split())
+#: Elements whose content is text only, and whether entities in it count.
+PLAIN = {"xmp": False, "textarea": True}
+#: The largest spans that HTML knows.
+MOST = {"colspan": 1000, "rowspan": 65534}
 FOREIGN = frozenset(["svg", "math"])
 FOREIGN_UNSEEN = frozenset("desc metadata defs symbol annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre xmp table figure article section hr".split())
@@ -103,42 +112,103 @@ class Lines:
 
 
 class Table:
+    """Rows of cells: lines, columns and rows that a cell takes."""
+
     def __init__(self):
-        self.rows: list[list[str]] = []
+        self.rows: list[list[tuple[list[str], int, int]]] = []
         self.titles: list[str] = []
 
+    def placed(self) -> list[list[tuple[int, int, list[str]]]]:
+        """Start and end column and lines of the cells of each row, clear of cells that reach down from above."""
+        out, down = [], []  # down: (start, end, rows to come)
+        for cells in self.rows:
+            at, k, row, more = 0, 0, [], []
+            for lines, wide, tall in cells:
+                while k < len(down) and down[k][0] <= at:
+                    at, k = max(at, down[k][1]), k + 1
+                row.append((at, at + wide, lines))
+                if tall > 1:
+                    more.append((at, at + wide, tall))
+                at += wide
+            down = [(s, e, n - 1) for s, e, n in (sorted(down + more) if more else down) if n > 1]
+            out.append(row)
+        return out
+
     def lines(self) -> list[str]:
-        width: list[int] = []
-        for row in self.rows:
-            for i, cell in enumerate(row):
-                if i == len(width):
-                    width.append(0)
-                width[i] = max(width[i], len(cell))
-        rows = ["  ".join(c.ljust(width[i]) for i, c in enumerate(row)).rstrip() for row in self.rows]
-        return [*self.titles, *(r for r in rows if r)]
-
-
-def hidden(attributes: str) -> bool:
-    if "hidden" not in (low := attributes.lower()) and "none" not in low and "collapse" not in low:
-        return False
+        rows = self.placed()
+        edge = {c: i for i, c in enumerate(sorted({c for row in rows for s, e, _ in row for c in (s, e)}))}
+        width, spans = [0] * len(edge), []
+        for row in rows:
+            for s, e, lines in row:
+                n = max((len(x) for x in lines if len(x) <= WIDE), default=0)
+                if edge[e] == edge[s] + 1:
+                    width[edge[s]] = max(width[edge[s]], n)
+                else:
+                    spans.append((edge[s], edge[e], n))
+        place = self.offsets(width)
+        more = list(width)
+        for s, e, n in spans:
+            more[e - 1] = max(more[e - 1], width[e - 1] + n - (place[e] - place[s] - 2))
+        place, out = self.offsets(more), list(self.titles)
+        for row in rows:
+            for i in range(max((len(lines) for *_, lines in row), default=0)):
+                said, size = [], 0
+                for s, _, lines in row:
+                    if i < len(lines) and lines[i].strip():
+                        at = place[edge[s]]
+                        pad = max(at - size, 2 if said else 0) if at <= LINE else 2 * bool(said)
+                        said += [" " * pad, lines[i]]
+                        size += pad + len(lines[i])
+                if said:
+                    out.append("".join(said).rstrip())
+        return out
+
+    @staticmethod
+    def offsets(width: list[int]) -> list[int]:
+        """Where each column starts; one without text of its own takes no place."""
+        out = [0]
+        for w in width:
+            out.append(out[-1] + w + 2 * bool(w))
+        return out
+
+
+def span(name: str, attributes: str) -> int:
+    m = SPAN[name].search(attributes)
+    n = min(int(m[1]), MOST[name]) if m else 1
+    return n or (MOST[name] if name == "rowspan" else 1)  # rowspan=0: all rows that follow
+
+
+def hidden(attributes: str) -> tuple[bool, bool | None]:
+    """Whether an element is not displayed at all, and whether it is invisible (None: as its parent)."""
+    low = attributes.lower()
+    if "hidden" not in low and "style" not in low:
+        return False, None
+    gone, unseen = False, None
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if (name == "hidden" and value.lower() != "until-found") or (name == "style" and HIDDEN_STYLE.search(value)):
-            return True
-    return False
+        if name == "hidden":
+            gone = gone or value.lower() != "until-found"
+        elif name == "style":
+            gone = gone or bool(NO_DISPLAY.search(value))
+            for x in VISIBILITY.findall(value):
+                unseen = x.lower() != "visible"
+    return gone, unseen
 
 
 def extract(page: str) -> str:
     """The visible text of a page."""
     sinks, tables, lists = [Lines()], [], []  # of the open cells, tables and lists
-    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: tag, unseen, preformatted, foreign
+    stack: list[tuple] = []  # open elements: tag, not displayed, preformatted, foreign, invisible, attributes of a cell
 
-    def seen() -> bool:
+    def shown() -> bool:
         return not (stack and stack[-1][1])
 
+    def seen() -> bool:
+        return not (stack and (stack[-1][1] or stack[-1][4]))
+
     def close() -> None:
-        tag, unseen, _, foreign = stack.pop()
-        if unseen:
+        tag, gone, _, foreign, _, attributes = stack.pop()
+        if gone:
             return
         sink = sinks[-1]
         if foreign:
@@ -146,9 +216,11 @@ def extract(page: str) -> str:
             return
         if tag in ("td", "th", "caption") and len(sinks) > 1:
             sinks.pop()
-            said = " ".join(sink.done().split())
-            if tables:
-                (tables[-1].titles if tag == "caption" else tables[-1].rows[-1]).append(said)
+            if tables and tag == "caption":
+                tables[-1].titles.append(" ".join(sink.done().split()))
+            elif tables:
+                lines = [x.rstrip() for x in sink.done().split("\n") if x.strip()]
+                tables[-1].rows[-1].append((lines, span("colspan", attributes), span("rowspan", attributes)))
         elif tag == "table" and tables:
             done = tables.pop()
             for line in done.lines():
@@ -162,6 +234,7 @@ def extract(page: str) -> str:
             sink.depth = max(0, sink.depth - 1)
             sink.block(1 if sink.depth else 2)
         elif tag in BLOCK:
+            sink.mark = "" if tag == "li" else sink.mark
             sink.block(2 if tag in SPACED else 1)
 
     def end(tags, wall) -> None:
@@ -205,33 +278,38 @@ def extract(page: str) -> str:
         if tag in NO_P:
             end(("p",), P_WALL)
         if tag in VOID:
-            if tag == "hr" and seen():
+            if tag == "hr" and shown():
                 sinks[-1].block(2)
             continue
-        unseen = not seen() or tag in UNSEEN or (foreign and tag in FOREIGN_UNSEEN) or hidden(attributes)
+        off, invisible = hidden(attributes)
+        invisible = (bool(stack) and stack[-1][4]) if invisible is None else invisible
+        gone = not shown() or tag in UNSEEN or (foreign and tag in FOREIGN_UNSEEN) or off
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = stop.end() if stop else len(page)
             continue
-        if tag == "xmp":  # neither tags nor entities in it
-            stop = re.compile(r"</xmp(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            if not unseen:
-                sinks[-1].block(2)
-                sinks[-1].verbatim(page[at : stop.start() if stop else len(page)])
-                sinks[-1].block(2)
+        if tag in PLAIN:
+            stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            if not gone and not invisible:
+                inside = page[at : stop.start() if stop else len(page)]
+                if tag == "xmp":
+                    sinks[-1].block(2)
+                sinks[-1].verbatim(unescape(inside).removeprefix("\n") if PLAIN[tag] else inside)
+                if tag == "xmp":
+                    sinks[-1].block(2)
             at = stop.end() if stop else len(page)
             continue
-        if not unseen and tag in ("td", "th", "caption", "tr", "thead", "tbody", "tfoot"):
+        if not gone and tag in ("td", "th", "caption", "tr", "thead", "tbody", "tfoot"):
             if not tables:  # a table part alone opens a table
-                stack.append(("table", False, False, False))
+                stack.append(("table", False, False, False, False, ""))
                 sinks[-1].block(2)
                 tables.append(Table())
             if tag == "tr" or (tag in ("td", "th") and not any(t == "tr" for t, *_ in stack[-1:])):
                 tables[-1].rows.append([])
                 if tag != "tr":
-                    stack.append(("tr", False, False, False))
-        stack.append((tag, unseen, (bool(stack) and stack[-1][2]) or tag in ("pre", "textarea"), foreign and tag != "foreignobject"))
-        if unseen:
+                    stack.append(("tr", False, False, False, invisible, ""))
+        stack.append((tag, gone, (bool(stack) and stack[-1][2]) or tag == "pre", foreign and tag != "foreignobject", invisible, attributes))
+        if gone:
             continue
         if foreign and tag == "text":
             sinks[-1].space = True

@@ -224,6 +224,16 @@ HTML = {
     "<svg hidden><text>no</text></svg>yes<math style='display:none'><mi>n</mi></math>": "yes",
     "a<xmp>x <b>y</b> &amp;\n  z</xmp>b": "a\n\nx <b>y</b> &amp;\n  z\n\nb",
     "<pre><span>def</span> <span>f</span></pre>": "def f",
+    "<table><tr><th colspan=2>a wide head<th>h<tr><td>a<td>b<td>c<tr><td>dd<td>e<td>f</table>": "a wide head  h\na   b        c\ndd  e        f",
+    "<table><tr><td rowspan=2>R<td>b<tr><td>c<tr><td>long<td>d</table>": "R     b\n      c\nlong  d",
+    "<table><tr><td rowspan=0>R<td>b<tr><td>c<tr><td>d</table>": "R  b\n   c\n   d",
+    "<table><tr><td>x<br>yy<td><ul><li>p<li>q</ul></table>": "x   - p\nyy  - q",
+    "<table><tr><td>o<td><table><tr><td>a<td>bb<tr><td>ccc<td>d</table><td>z</table>": "o  a    bb  z\n   ccc  d",
+    "<table><caption>of <b>things</b></caption><tr><td><td>x</table>": "of things\nx",
+    "<div style='visibility:hidden'>no<p style='color:red; visibility: visible'>yes<b>!</b></p>no</div>z": "yes!\n\nz",
+    "<ul><li style=visibility:hidden>no<li>b</ul><p>c": "- b\n\nc",
+    "<div hidden><p style='visibility:visible'>no</p></div>x": "x",
+    "<p>box <textarea>\nta <b>x &amp; y</textarea> end": "box ta <b>x & y end",
     "<pre>if x: <b>y</b>  \n    <b>z</b> \n  \n<i>w</i>   </pre>q": "if x: y\n    z\n\nw\n\nq",
 }
 
