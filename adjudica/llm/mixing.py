@@ -8,7 +8,8 @@
    (W'W is the inverse of sum_d tokens_d p_d p_d' / N + floor), so a rare one is met as fast as
    a common one, and the ridge is so small that it only breaks ties. Each step of the
    accelerated projected gradient is one distributed sum of a vector over domains. A rate
-   is a function of a row and of the residuals so far, so no state of rows is kept.
+   is a function of a posterior and of the residuals so far, so no state of rows is kept, and
+   the steps run over the distinct posteriors (to six places) with their sums of tokens.
    Steps end when all domain totals are within ``tolerance`` of their targets (as shares of N),
    or when they stand still (targets that no rates reach), or after ``steps``.
 3. ``copies`` rounds a rate to whole copies without bias, by a hash of the id and text.
@@ -97,6 +98,7 @@ def mixing(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | Non
     unit = F.pmod(F.xxhash64("_id", "_t"), F.lit(1 << 20)) / float(1 << 20)
     rows = cut(docs.select("_id", soft("_t").alias("x"), unit.alias("u")).select("_id", "x.n", "x.p", "u"))
     k = len(domains)
+    cells = cut(rows.groupBy(F.transform("p", lambda v: F.round(v, 6)).alias("p")).agg(F.sum("n").alias("n")).select("n", "p"))
 
     def summed(outer: bool, residuals: list[np.ndarray], step: float) -> np.ndarray:
         """Sums over rows of tokens p p' (``outer``) or of tokens y p."""
@@ -110,7 +112,7 @@ def mixing(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | Non
             yield pd.DataFrame({"i": np.arange(v.size), "v": v.ravel()})
 
         out = np.zeros(k * k if outer else k)
-        for r in rows.select("n", "p").mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        for r in cells.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
             out[r.i] = r.v
         return out
 
