@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import cases, quality_tier, win_value
 from .estimators import KAPPA, kappa_counts
+from ..sources.io import settled
 from .metrics import by_groups, n_if
 
 
@@ -217,17 +218,51 @@ def fit_davidson(edges: pd.DataFrame, prior: float = 0.0, tol: float = 1e-10, st
     return dict(zip(names, theta.tolist(), strict=True)), math.log(nu) if nu > 0 else -math.inf, ll, done
 
 
+def spread_davidson(edges: DataFrame, prior: float = 0.0, tol: float = 1e-8, steps: int = 200) -> DataFrame:
+    """The fit of ``fit_davidson`` as joins and groupings: a step reads the settled edges once, and abilities are settled after it."""
+    e = settled(edges.select("m1", "m2", (F.col("w_ij") + prior).alias("w"), (F.col("w_ji") + prior).alias("v"), F.col("t_ij").cast("double").alias("t")))
+    both = lambda a, b: F.inline(F.array(F.struct(F.col("m1").alias("model"), a.alias("x")), F.struct(F.col("m2").alias("model"), b.alias("x"))))
+    score = settled(e.select(both(F.col("w") + F.col("t") / 2, F.col("v") + F.col("t") / 2)).groupBy("model").agg(F.sum("x").alias("score")))
+    ties = e.agg(F.coalesce(F.sum("t"), F.lit(0.0))).first()[0]
+    p, nu, done = score.select("model", "score", F.lit(1.0).alias("p")), 1.0, False
+    n, root = F.col("w") + F.col("v") + F.col("t"), F.sqrt(F.col("p1") * F.col("p2"))
+
+    def met(p: DataFrame) -> DataFrame:
+        side = lambda i: p.select(F.col("model").alias(f"m{i}"), F.col("p").alias(f"p{i}"))
+        return e.join(side(1), "m1").join(side(2), "m2")
+
+    for _ in range(steps):
+        j = met(p).withColumn("den", F.col("p1") + F.col("p2") + nu * root)
+        pull = lambda a, b: n / F.col("den") * (1 + nu / 2 * F.sqrt(F.col(b) / F.col(a)))
+        d = j.select(both(pull("p1", "p2"), pull("p2", "p1"))).groupBy("model").agg(F.sum("x").alias("d"))
+        new = settled(p.join(d, "model").select("model", "score", F.col("p").alias("old"), F.greatest(F.lit(1e-300), F.when(F.col("score") > 0, F.col("score") / F.col("d")).otherwise(F.col("p") / 2)).alias("p")))
+        mean = new.agg(F.avg(F.log("p"))).first()[0]
+        if mean is None:
+            return p.select("model", F.lit(0.0).alias("score"), F.lit(0.0).alias("tie_parameter"), F.lit(0.0).alias("log_likelihood"), F.lit(True).alias("converged"))
+        seen = j.agg(F.sum(n * root / F.col("den"))).first()[0]
+        moved = new.agg(F.max(F.abs(F.log("p") - mean - F.log("old")))).first()[0]
+        p, before, nu = new.select("model", "score", (F.col("p") / math.exp(mean)).alias("p")), nu, ties / seen if seen else 0.0
+        if max(moved, abs(nu - before)) < tol:
+            done = True
+            break
+    j = met(p).withColumn("den", F.col("p1") + F.col("p2") + nu * root)
+    gain = F.col("w") * F.log(F.col("p1") / F.col("den")) + F.col("v") * F.log(F.col("p2") / F.col("den")) + F.when(F.col("t") > 0, F.col("t") * F.log(nu * root / F.col("den"))).otherwise(0.0)
+    likelihood = j.agg(F.sum(gain)).first()[0]
+    zero = p.agg(F.min_by(F.log("p"), "model")).first()[0]
+    return p.select("model", (F.log("p") - zero).alias("score"), F.lit(math.log(nu) if nu > 0 else -math.inf).alias("tie_parameter"), F.lit(likelihood).alias("log_likelihood"), F.lit(done).alias("converged"))
+
+
 MAX_MODELS = 10_000
 
 
-def bradley_terry(edges: DataFrame, prior: float = 0.0) -> DataFrame:
-    """Scores of all models. The edge table has a row for each model pair, not for each decision.
+def bradley_terry(edges: DataFrame, prior: float = 0.0, most: int = MAX_MODELS) -> DataFrame:
+    """Scores of all models. The edge table has a row for each model pair, not for each decision; it is computed once.
 
-    Its models are counted first: over ``MAX_MODELS`` the fit is refused rather than pulled to one place.
+    Its models are counted: up to ``most`` one task fits them, more are fitted by joins over all executors.
     """
-    models = edges.select("m1").union(edges.select("m2")).distinct().count()
-    if models > MAX_MODELS:
-        raise ValueError(f"{models} models: the fit takes at most {MAX_MODELS}")
+    edges = settled(edges)
+    if edges.select("m1").union(edges.select("m2")).distinct().count() > most:
+        return spread_davidson(edges, prior)
     schema = "model string, score double, tie_parameter double, log_likelihood double, converged boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,9 +285,13 @@ def spearman(points: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks, from counts of distinct values only."""
 
     def ranks(c: str) -> DataFrame:
-        v = points.groupBy(F.col(c).alias(c)).agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return v.select(c, (2 * before + F.col("n") + 1).alias(f"r_{c}"))  # twice the rank: exact
+        """Twice the average rank of each distinct value: exact. Sums of range partitions come first, so no task sorts all values."""
+        parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        v = settled(points.groupBy(F.col(c).alias(c)).agg(F.count("*").alias("n")).repartitionByRange(parts, c).withColumn("_b", F.spark_partition_id()))
+        sums = v.groupBy("_b").agg(F.sum("n").alias("s"))
+        starts = sums.select("_b", (F.sum("s").over(Window.orderBy("_b")) - F.col("s")).alias("_start"))  # a row for each partition
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("_b").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_start")
+        return v.join(F.broadcast(starts), "_b").select(c, (2 * before + F.col("n") + 1).alias(f"r_{c}"))
 
     cells = points.groupBy(x, y).agg(F.count("*").alias("c")).join(ranks(x), x).join(ranks(y), y)
     a, b, c = F.col(f"r_{x}").cast("decimal(20,0)"), F.col(f"r_{y}").cast("decimal(20,0)"), F.col("c").cast("decimal(12,0)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import cases
 from ..functions.text import digest, format_variant, judge_family, source_family, trimmed, validate_format, validate_verbosity, verbosity_variant
+from ..sources.io import settled
 from .metrics import by_groups, n_if
 
 #: Conditions, repetitions, passes and presentation of each research question.
@@ -104,14 +105,17 @@ def balanced_units(candidates: DataFrame) -> DataFrame:
 COUPLES = ((0, 1), (2, 3), (0, 2), (1, 3), (0, 3), (1, 2))
 
 
+#: Part of the rule: the order of pairs in a category is by bucket, then by hash.
+PRESENTATION_BUCKETS = 64
+
+
 def assign_presentations(pairs: DataFrame, judges: list[str]) -> DataFrame:
     """Two judges see AB and two BA for each pair; by rank in the category, couples take turns.
 
     The rank comes in two levels (hash buckets of a category, then within a bucket), so a
     category of any size is ranked in parallel; buckets start where the one before ends.
     """
-    buckets = 64
-    base = pairs.select("pair_id", "category").withColumn("_h", F.sha2(F.col("pair_id").cast("string"), 256)).withColumn("_b", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int") % buckets)
+    base = pairs.select("pair_id", "category").withColumn("_h", F.sha2(F.col("pair_id").cast("string"), 256)).withColumn("_b", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int") % PRESENTATION_BUCKETS)
     sizes = base.groupBy("category", "_b").agg(F.count("*").alias("n"))
     starts = sizes.select("category", "_b", (F.sum("n").over(Window.partitionBy("category").orderBy("_b")) - F.col("n")).alias("_start"))
     ranked = base.join(F.broadcast(starts), ["category", "_b"]).withColumn("rank", F.row_number().over(Window.partitionBy("category", "_b").orderBy("_h", "pair_id")) - 1 + F.col("_start"))
@@ -144,16 +148,14 @@ def latest_attempts(attempts: DataFrame) -> DataFrame:
     return g.select("pass_id", "x.state", "x.failure_category", "retries")
 
 
-def budget_cutoff(plan: DataFrame, order: str, cost: str, cap: int, buckets: int = 64, by: list[str] = ()) -> DataFrame:
+def budget_cutoff(plan: DataFrame, order: str, cost: str, cap: int, by: list[str] = ()) -> DataFrame:
     """Running cost in plan order and whether a row is within the cap.
 
-    Two levels: sums of order buckets (a small window), then a window within each bucket. No
-    task sees more than one bucket.
+    Two levels: sums of range partitions of the order (a small window), then a window within each.
+    The plan is computed once; no task sees more than one partition, and there are as many as shuffles have.
     """
-    at = F.col(order)
-    lo, hi = plan.agg(F.min(at), F.max(at)).first()
-    width = 1 if lo is None else max(1, -(-(hi - lo + 1) // buckets))
-    df = plan.withColumn("_b", F.floor((at - F.lit(lo if lo is not None else 0)) / width))
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = settled(plan.repartitionByRange(parts, order).withColumn("_b", F.spark_partition_id()))
     sums = df.groupBy(*by, "_b").agg(F.sum(cost).alias("s"))
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b")
     starts = sums.select(*by, "_b", (F.sum("s").over(w) - F.col("s")).alias("_start"))
