@@ -148,13 +148,13 @@ def latest_attempts(attempts: DataFrame) -> DataFrame:
     return g.select("pass_id", "x.state", "x.failure_category", "retries")
 
 
-def budget_cutoff(plan: DataFrame, order: str, cost: str, cap: int, by: list[str] = ()) -> DataFrame:
+def budget_cutoff(plan: DataFrame, order: str, cost: str, cap: int, buckets: int | None = None, by: list[str] = ()) -> DataFrame:
     """Running cost in plan order and whether a row is within the cap.
 
     Two levels: sums of range partitions of the order (a small window), then a window within each.
-    The plan is computed once; no task sees more than one partition, and there are as many as shuffles have.
+    The plan is computed once; no task sees more than one partition, and there are as many as shuffles have unless ``buckets`` is given.
     """
-    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = buckets or int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df = settled(plan.repartitionByRange(parts, order).withColumn("_b", F.spark_partition_id()))
     sums = df.groupBy(*by, "_b").agg(F.sum(cost).alias("s"))
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b")
