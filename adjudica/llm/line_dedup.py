@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, BinaryType, StructField, StructType
 
-from .common import SPACES, cut
+from .common import SPACES, cut, spread
 from .graph import connected_components
 from .regions import Union, group_links, region_links, regions_of
 
@@ -391,8 +391,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal = lines.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").join(classes, "node", "left_anti").select("node", F.col("node").alias("root"))
     place = F.struct(F.col("i").isNull().alias("z"), "i", "d", "no")
     shared = cut(lines.join(classes.unionByName(equal), "node").select("root", place.alias("place")))
-    # Dealt at random first: both sides of the join are then exchanges, which a hot root may split.
-    least = shared.groupBy("root").agg(F.min("place").alias("least")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    least = spread(shared.groupBy("root").agg(F.min("place").alias("least")))
     gone = shared.join(least, "root").where("place <> least").groupBy(F.col("place.i").alias("_i"), F.col("place.d").alias("_d")).agg(F.sort_array(F.collect_set("place.no")).alias("removed"))
 
     @F.pandas_udf("struct<n:long,text:string>")

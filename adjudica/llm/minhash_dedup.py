@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, spread, text_of
 from .graph import connected_components
 from .regions import Union, deepened, region_links
 
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = connected_components(links)
     named = nodes.select("node", F.col("_id").alias("rep")).join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
-    named = named.join(least, "root").select("node", "least")
+    named = named.join(spread(least), "root").select("node", "least")
     out = rows.drop("sig").join(named, "node", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("least", "_id")).alias("component_id"), *(F.col(f"_also{i}").alias(c) for i, c in enumerate(also)))
     return out.select(id_col, "n_shingles", "component_id", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)).alias("kept"), *also)
 

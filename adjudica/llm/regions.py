@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread
 from .graph import connected_components
 
 #: (payloads, sides, join): calls join(i, j) for linked members; join says whether they were apart.
@@ -69,7 +69,7 @@ def regions_of(candidates: DataFrame, region: int) -> DataFrame:
     parts = connected_components(candidates)
     sizes = parts.groupBy("root").agg(F.count("*").alias("size"))
     chunk = lambda i: F.pmod(F.xxhash64("node", F.lit(i)), F.ceil(F.col("size") / region)).alias(f"c{i}")
-    return parts.join(sizes, "root").select("root", "node", "size", *map(chunk, range(3)))
+    return parts.join(spread(sizes), "root").select("root", "node", "size", *map(chunk, range(3)))
 
 
 def deepened(edges: DataFrame, region: int, depths: tuple[int, ...]) -> DataFrame:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, spread, text_of
 
 LENGTH, GRAM, HOT = 400, 128, 65_536
 BASE = 0x5851F42D4C957F2D
@@ -150,7 +150,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_k"), text_of(text_col).alias("_t"))
     # Texts are dealt by their digest, so rows without an id or with one id are no group.
     texts = docs.select(F.unhex(F.substring(F.sha2("_t", 256), 1, 32)).alias("text"), "_k", "_t")
-    spread = lambda df: df.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # noqa: E731  both sides of a join are then exchanges, which a hot key may split
     # A text goes by the first half of its SHA-256.
     rows = docs.select("_id", "_k", F.octet_length("_t").cast("long").alias("n"), F.sha2("_t", 256).alias("sha")).withColumn("text", F.unhex(F.substring("sha", 1, 32)))
 
