@@ -130,5 +130,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     names = needed(query)
     texts = [TABLES[n] for n in names]
     used = [s for s in SOURCES if any(re.search(rf"\b(?:from|join)\s+{s}\b", t) for t in texts)]
-    ctes = [f"{s} as (select * from parquet.`{sf_dir}/{s}.parquet`)" for s in used] + [f"{n} as ({TABLES[n]})" for n in names]
+    # An order becomes dozens of rows: a small file, which one task would read, is dealt to all before.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = {"orders": f"/*+ REPARTITION({parts}) */"}
+    ctes = [f"{s} as (select {dealt.get(s, '')} * from parquet.`{sf_dir}/{s}.parquet`)" for s in used] + [f"{n} as ({TABLES[n]})" for n in names]
     return spark.sql(hashed(f"with {', '.join(ctes)} {query}", SPARK_HASH))
