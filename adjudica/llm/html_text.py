@@ -16,6 +16,7 @@ Work and memory are linear in the page; nesting has no limit. No shuffle.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pandas as pd
@@ -200,6 +201,12 @@ def extract(page: str) -> str:
     sinks, tables, lists = [Lines()], [], []  # of the open cells, tables and lists
     stack: list[tuple] = []  # open elements: tag, not displayed, preformatted, foreign, invisible, attributes of a cell
 
+    opened: Counter = Counter()  # how many elements of a tag are open
+
+    def push(element: tuple) -> None:
+        stack.append(element)
+        opened[element[0]] += 1
+
     def shown() -> bool:
         return not (stack and stack[-1][1])
 
@@ -208,6 +215,7 @@ def extract(page: str) -> str:
 
     def close() -> None:
         tag, gone, _, foreign, _, attributes = stack.pop()
+        opened[tag] -= 1
         if gone:
             return
         sink = sinks[-1]
@@ -239,6 +247,8 @@ def extract(page: str) -> str:
 
     def end(tags, wall) -> None:
         """Close the nearest of ``tags`` and what is open in it, if no element of ``wall`` stands before it."""
+        if not any(opened[t] for t in tags):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in tags:
                 while len(stack) > i:
@@ -301,14 +311,14 @@ def extract(page: str) -> str:
             continue
         if not gone and tag in ("td", "th", "caption", "tr", "thead", "tbody", "tfoot"):
             if not tables:  # a table part alone opens a table
-                stack.append(("table", False, False, False, False, ""))
+                push(("table", False, False, False, False, ""))
                 sinks[-1].block(2)
                 tables.append(Table())
             if tag == "tr" or (tag in ("td", "th") and not any(t == "tr" for t, *_ in stack[-1:])):
                 tables[-1].rows.append([])
                 if tag != "tr":
-                    stack.append(("tr", False, False, False, invisible, ""))
-        stack.append((tag, gone, (bool(stack) and stack[-1][2]) or tag == "pre", foreign and tag != "foreignobject", invisible, attributes))
+                    push(("tr", False, False, False, invisible, ""))
+        push((tag, gone, (bool(stack) and stack[-1][2]) or tag == "pre", foreign and tag != "foreignobject", invisible, attributes))
         if gone:
             continue
         if foreign and tag == "text":
