@@ -193,7 +193,15 @@ def slot_totals(spark, sf_dir):
     return D.slot_totals(history(spark, sf_dir), ((), ("category",)))
 
 
-@query()
+#: The tail of a chi-square with one degree of freedom, as a mean over the angles of Craig's integral (DuckDB has no erfc).
+_TAIL = "(select avg(exp(-chi2 / 2 / pow(sin(pi() / 2 * (k + 0.5) / 20000), 2))) from range(0, 20000) as a(k))"
+
+
+@query(duck(f"""with {WIDE}, s as (select category, count(*) filter (where winner_id = position_a_id) as position_a, count(*) filter (where winner_id <> position_a_id) as position_b, count(*) filter (where winner_id is null) as tie from hd group by 1),
+  c as (select *, case when position_a + position_b > 0 then (position_a - position_b) * (position_a - position_b) / cast(position_a + position_b as double) else 0.0 end as chi2 from s),
+  p as (select *, {_TAIL} as p_value from c), r as (select *, row_number() over (order by p_value, category) as i, count(*) over () as m from p),
+  q as (select category, position_a, position_b, tie, chi2, p_value, least(1.0, min(p_value * m / i) over (order by p_value desc, category desc rows unbounded preceding)) as p_adjusted from r)
+  select *, p_adjusted < 0.05 as fdr_significant from q"""))
 def slot_chi2_adjusted(spark, sf_dir):
     d = D.slot_totals(history(spark, sf_dir), (("category",),)).withColumn("p_value", tails.chi2_p1(F.col("chi2")))
     return D.bh_adjust(d, "p_value", "category")
@@ -233,10 +241,16 @@ def length_regression(spark, sf_dir):
     return D.length_regression(D.length_points(history(spark, sf_dir)))
 
 
-@query()
+#: Two-sided p of Student's t: Simpson's rule over cos^(df - 1) beyond the angle of t, as a share of the whole quarter turn.
+_SIMPSON = "(case when k = 0 or k = 200000 then 1 when k % 2 = 1 then 4 else 2 end)"
+_T_P = f"""(select (pi() / 2 - low) * sum({_SIMPSON} * pow(cos(low + (pi() / 2 - low) * k / 200000), df - 1)) / (pi() / 2 * sum({_SIMPSON} * pow(cos(pi() / 2 * k / 200000), df - 1)))
+  from (select atan(abs(slope / slope_se) / sqrt(n - 2)) as low, n - 2 as df) as v, range(0, 200001) as a(k) group by low)"""
+
+
+@query(duck(f"with {WIDE}, {_reg}, l as (select n, " + ", ".join(f"{e} as {k}" for k, e in D.REGRESSION.items()) + f" from rg) select *, round({_T_P}, 9) as p_value from l"))
 def length_regression_test(spark, sf_dir):
     r = D.length_regression(D.length_points(history(spark, sf_dir)))
-    return r.withColumn("p_value", tails.t_p(F.col("slope") / F.col("slope_se"), (F.col("n") - 2).cast("double")))
+    return r.withColumn("p_value", F.round(tails.t_p(F.col("slope") / F.col("slope_se"), (F.col("n") - 2).cast("double")), 9))
 
 
 @query(duck(f"with {WIDE}, {_reg}, l as (select " + ", ".join(f"{e} as {k}" for k, e in D.REGRESSION.items()) + " from rg) select x, greatest(0.0, least(1.0, intercept + slope * x)) as y from l, (values (-400), (-100), (0), (100), (400)) as v(x)"))
@@ -302,19 +316,19 @@ def _correct(spark, sf_dir):
 
 @query()
 def bootstrap_by_judge(spark, sf_dir):
-    return B.bootstrap_ci(_correct(spark, sf_dir), "ok", ["judge"], iterations=2000)
+    return B.bootstrap_ci(_correct(spark, sf_dir), "ok", ["judge"])
 
 
 @query()
 def bootstrap_interpolated(spark, sf_dir):
-    return B.bootstrap_ci(_correct(spark, sf_dir), "ok", ["judge"], iterations=2000, interpolate=True)
+    return B.bootstrap_ci(_correct(spark, sf_dir), "ok", ["judge"], interpolate=True)
 
 
 @query()
 def stratified_bootstrap(spark, sf_dir):
     from .fixtures import JUDGES
 
-    return B.stratified_bootstrap(_correct(spark, sf_dir), "ok", "judge", list(JUDGES), iterations=2000)
+    return B.stratified_bootstrap(_correct(spark, sf_dir), "ok", "judge", list(JUDGES))
 
 
 _pw = "case " + " ".join(f"when hh < {t} then {k}" for k, t in enumerate(B.POISSON)) + f" else {len(B.POISSON)} end"
@@ -363,7 +377,7 @@ def clustered_kappa(spark, sf_dir):
 
 @query()
 def kappa_intervals(spark, sf_dir):
-    return B.table_interval(_labels(spark, sf_dir), "hl", "jl", B.KAPPA, ["judge"], iterations=2000)
+    return B.table_interval(_labels(spark, sf_dir), "hl", "jl", B.KAPPA, ["judge"])
 
 
 _dec = "('ANSWER_A', 'ANSWER_B')"
