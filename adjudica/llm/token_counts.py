@@ -7,7 +7,8 @@ Offline (once per worker, from the vocabulary alone) two facts are proved:
 2. Which vocabulary strings, encoded alone, come back as one token. Those pre-tokens count 1.
 
 Only other pre-tokens are merged by the library, once for each distinct one in a batch.
-If the first fact or the plain normaliser does not hold for a model, whole texts are encoded.
+If the first fact does not hold for a model, or its normaliser settings change more of a text than
+putting the mark for spaces and in front, whole texts are encoded.
 
 Null and empty texts have no tokens. Texts are never cut; repeated rows repeat.
 """
@@ -35,12 +36,15 @@ MEMO = 200_000
 def model(path: str):
     """(processor, lengths of the proven single tokens, whether the split is proven)."""
     import sentencepiece
+    from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
     apart = not any(a != MARK and b == MARK for p in pieces for a, b in zip(p, p[1:], strict=False))
-    probe = ["a  b", " a", "a ", "ﬁ…½Ａ", "é ​ x"]
-    plain = all(sp.decode(sp.encode(x)) == x for x in probe) and sp.encode("a", out_type=str) == [MARK + "a"]
+    proto = ModelProto.FromString(sp.serialized_model_proto())
+    norm = proto.normalizer_spec
+    # Text stays as it is, but for a mark in front and one for each space.
+    plain = not norm.precompiled_charsmap and norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces and not proto.trainer_spec.treat_whitespace_as_suffix
     # A pre-token is given without its first mark: the library puts one in front of each text.
     alone = [p[1:].replace(MARK, " ") for p in pieces if p[0] == MARK]
     single = frozenset(x for x, ids in zip(alone, sp.encode(alone), strict=True) if len(ids) == 1 and x)
