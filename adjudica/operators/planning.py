@@ -48,17 +48,50 @@ def eligibility_audit(pairs: DataFrame, judges: list[str]) -> DataFrame:
     return g.select(F.inline(F.array(*rows)))
 
 
-def select_units(pairs: DataFrame, judges: DataFrame, rq: str, n: int, snapshot: str) -> DataFrame:
-    """First n eligible pairs of each judge by digest; the rank filter prunes before the shuffle."""
+#: Leading digits of a digest that name its bucket: 4,096 buckets for each cell.
+BUCKET_DIGITS = 3
+
+
+def bucket_starts(df: DataFrame, cell: list[str], order: str) -> DataFrame:
+    """For each cell and bucket of the digest ``order``: ``_start`` (rows of the cell in the buckets before)."""
+    sizes = df.groupBy(*cell, F.substring(order, 1, BUCKET_DIGITS).alias("_b")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*cell).orderBy("_b"))  # at most 4,096 rows of a cell
+    return sizes.select(*cell, "_b", (before - F.col("_n")).alias("_start"))
+
+
+def ranks(df: DataFrame, starts: DataFrame, cell: list[str], order: str, tie: str) -> DataFrame:
+    """``rank`` from 1 in each cell by the digest ``order``, then ``tie``: places within a bucket after its ``_start``.
+
+    Digests spread evenly, so a cell of any size is sorted by up to 4,096 tasks. Buckets that ``starts`` lacks are
+    left out before the sort; its further columns are kept. Null cells are cells.
+    """
+    more = [c for c in starts.columns if c not in (*cell, "_b", "_start")]
+    at = starts.select(*(F.col(c).alias(f"_{c}") for c in cell), F.col("_b").alias("_sb"), "_start", *more)
+    df = df.withColumn("_b", F.substring(order, 1, BUCKET_DIGITS))
+    same = F.col("_b") == F.col("_sb")
+    for c in cell:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    place = F.row_number().over(Window.partitionBy(*cell, "_b").orderBy(order, tie))
+    return df.join(at, same).withColumn("rank", place + F.col("_start")).drop("_b", "_sb", "_start", *(f"_{c}" for c in cell))
+
+
+def eligible_units(pairs: DataFrame, judges: DataFrame, rq: str, snapshot: str) -> DataFrame:
+    """Every eligible pair of each judge with its digest and the checksum of its variant; no shuffle."""
     variant = {"RQ4": verbosity_variant("text_a"), "RQ5": format_variant("text_a")}.get(rq, F.lit(None).cast("string"))
     df = pairs.crossJoin(F.broadcast(judges)).where(eligible(rq, F.col("judge"))).withColumn("variant_checksum", F.sha2(variant, 256)).drop("text_a", "text_b")
-    order = digest(F.lit(snapshot), F.lit(rq), F.col("judge"), F.col("pair_key"))
-    ranked = df.withColumn("digest", order).withColumn("rank", F.row_number().over(Window.partitionBy("judge").orderBy("digest", "pair_key")))
-    return ranked.where(F.col("rank") <= n)
+    return df.withColumn("digest", digest(F.lit(snapshot), F.lit(rq), F.col("judge"), F.col("pair_key")))
+
+
+def select_units(pairs: DataFrame, judges: DataFrame, rq: str, n: int | None, snapshot: str) -> DataFrame:
+    """First n eligible pairs of each judge by digest; the rank filter prunes before the shuffle. None: all, with their ranks."""
+    df = eligible_units(pairs, judges, rq, snapshot)
+    if n is None:
+        return ranks(df, bucket_starts(df, ["judge"], "digest"), ["judge"], "digest", "pair_key")
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy("judge").orderBy("digest", "pair_key"))).where(F.col("rank") <= n)
 
 
 def generate_units(selected: DataFrame, rq: str, snapshot: str) -> DataFrame:
-    """Units of selected pairs: conditions x repetitions, presentation, passes and a unit id."""
+    """Units of selected pairs: conditions x repetitions, presentation, passes and a unit id; ``rank`` is needed for own-family slots alone."""
     conditions, repetitions, passes, order = PROTOCOLS[rq]
     df = selected.select("*", F.explode(F.array(*map(F.lit, conditions))).alias("condition"))
     df = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("repetition_index"))
@@ -93,32 +126,28 @@ def candidate_audit(candidates: DataFrame) -> DataFrame:
 
 
 def balanced_units(candidates: DataFrame) -> DataFrame:
-    """As many pairs of either human stratum in each judge x other family x category cell, first by digest."""
+    """As many pairs of either human stratum in each judge x other family x category cell, first by digest.
+
+    Both strata are counted by bucket first, so rows of buckets beyond the smaller stratum are never sorted.
+    """
     cell = ["judge", "other_family", "category"]
-    sizes = candidates.groupBy(*cell).agg(F.least(n_if(F.col("stratum") == "SAME"), n_if(F.col("stratum") == "OTHER")).alias("take"))
-    order = digest(F.col("judge"), F.col("pair_id"))
-    ranked = candidates.withColumn("rank", F.row_number().over(Window.partitionBy(*cell, "stratum").orderBy(order, "pair_id")))
-    return ranked.join(F.broadcast(sizes), cell).where("rank <= take").drop("take")
+    df = candidates.withColumn("_d", digest(F.col("judge"), F.col("pair_id")))
+    sizes = df.groupBy(*cell, F.substring("_d", 1, BUCKET_DIGITS).alias("_b")).agg(*(n_if(F.col("stratum") == s).alias(s) for s in ("SAME", "OTHER")))
+    whole, before = Window.partitionBy(*cell), Window.partitionBy(*cell).orderBy("_b")
+    take = F.least(F.sum("SAME").over(whole), F.sum("OTHER").over(whole)).alias("_take")
+    side = lambda s: F.struct(F.lit(s).alias("stratum"), (F.sum(s).over(before) - F.col(s)).alias("_start"))
+    starts = sizes.select(*cell, "_b", take, F.array(side("SAME"), side("OTHER")).alias("_s")).select(*cell, "_b", "_take", F.inline("_s")).where("_start < _take")
+    return ranks(df, starts, [*cell, "stratum"], "_d", "pair_id").where("rank <= _take").drop("_d", "_take")
 
 
 #: The six choices of two judges out of four, complements next to each other.
 COUPLES = ((0, 1), (2, 3), (0, 2), (1, 3), (0, 3), (1, 2))
 
 
-#: Part of the rule: the order of pairs in a category is by bucket, then by hash.
-PRESENTATION_BUCKETS = 64
-
-
 def assign_presentations(pairs: DataFrame, judges: list[str]) -> DataFrame:
-    """Two judges see AB and two BA for each pair; by rank in the category, couples take turns.
-
-    The rank comes in two levels (hash buckets of a category, then within a bucket), so a
-    category of any size is ranked in parallel; buckets start where the one before ends.
-    """
-    base = pairs.select("pair_id", "category").withColumn("_h", F.sha2(F.col("pair_id").cast("string"), 256)).withColumn("_b", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int") % PRESENTATION_BUCKETS)
-    sizes = base.groupBy("category", "_b").agg(F.count("*").alias("n"))
-    starts = sizes.select("category", "_b", (F.sum("n").over(Window.partitionBy("category").orderBy("_b")) - F.col("n")).alias("_start"))
-    ranked = base.join(F.broadcast(starts), ["category", "_b"]).withColumn("rank", F.row_number().over(Window.partitionBy("category", "_b").orderBy("_h", "pair_id")) - 1 + F.col("_start"))
+    """Two judges see AB and two BA for each pair; by rank in the category (from 0, by a digest of the id), couples take turns."""
+    base = pairs.select("pair_id", "category", F.sha2(F.col("pair_id").cast("string"), 256).alias("_h"))
+    ranked = ranks(base, bucket_starts(base, ["category"], "_h"), ["category"], "_h", "pair_id").withColumn("rank", F.col("rank") - 1)
     turn = F.col("rank") % len(COUPLES)
     rows = [F.struct(F.lit(j).alias("judge"), F.when(turn.isin([t for t, c in enumerate(COUPLES) if i in c]), "AB").otherwise("BA").alias("presentation")) for i, j in enumerate(judges)]
     return ranked.select("pair_id", "category", "rank", F.inline(F.array(*rows)))

@@ -117,7 +117,7 @@ def judgement_json(spark, sf_dir):
 
 
 # W1-W12, A12 ----------------------------------------------------------------------------------
-_sel = lambda rq, n: f"sel as (select * from (select *, row_number() over (partition by judge order by digest, pair_key) as rank from (select pt.*, judge, {_dig(repr('s1'), repr(rq), 'judge', 'pair_key')} as digest from pt cross join {_JL}) x where {_ok['RQ3'] + ' and (' + JUDGE_FAMILY + ') is not null and ' + _own if rq == 'RQ6' else _ok[rq]}) y where rank <= {n})"
+_sel = lambda rq, n=None: f"sel as (select * from (select *, row_number() over (partition by judge order by digest, pair_key) as rank from (select pt.*, judge, {_dig(repr('s1'), repr(rq), 'judge', 'pair_key')} as digest from pt cross join {_JL}) x where {_ok['RQ3'] + ' and (' + JUDGE_FAMILY + ') is not null and ' + _own if rq == 'RQ6' else _ok[rq]}) y{f' where rank <= {n}' if n else ''})"
 
 
 @query(duck(f"with {_pt}, {_sel('RQ1', 50)} select judge, pair_key, digest, rank from sel"))
@@ -129,10 +129,13 @@ _units7 = f"un as (select pair_key, judge, 'RQ7' as rq_code, condition, 'AB' as
 
 
 def _units(spark, sf_dir, rq="RQ7"):
-    return W.generate_units(W.select_units(pair_texts(spark, sf_dir), judges(spark), rq, 50, "s1"), rq, "s1")
+    """Units of all eligible pairs; only own-family slots take turns by rank."""
+    pt, js = pair_texts(spark, sf_dir), judges(spark)
+    chosen = W.select_units(pt, js, rq, None, "s1") if W.PROTOCOLS[rq][3] == "SELF" else W.eligible_units(pt, js, rq, "s1")
+    return W.generate_units(chosen, rq, "s1")
 
 
-@query(duck(f"with {_pt}, {_sel('RQ7', 50)}, {_units7} select * from un"))
+@query(duck(f"with {_pt}, {_sel('RQ7')}, {_units7} select * from un"))
 def planned_units(spark, sf_dir):
     return _units(spark, sf_dir).drop("answer_a_id", "answer_b_id", "variant_checksum")
 
@@ -142,7 +145,7 @@ def _planned_sql(rq: str) -> str:
     conditions, repetitions, passes, order = W.PROTOCOLS[rq]
     shown = "case when rank % 2 = 1 then 'SELF_A' else 'SELF_B' end" if order == "SELF" else f"'{order}'"
     variant = {"RQ4": "sha256(text_a || chr(10) || chr(10) || text_a)", "RQ5": f"sha256(array_to_string(list_transform({_lines('text_a')}, lambda x: case when trim(x) <> '' then '- ' || x else x end), chr(10)))"}.get(rq, "cast(null as string)")
-    own = _sel(rq, 50).replace("sel as (", "", 1)[:-1]
+    own = _sel(rq).replace("sel as (", "", 1)[:-1]
     return f"select pair_key, answer_a_id, answer_b_id, judge, '{rq}' as rq_code, condition, {shown} as presentation_order, rep as repetition_index, {passes} as pass_count, {variant} as variant_checksum, {_dig(repr('s1'), repr(rq), 'pair_key', 'judge', 'condition', shown, 'rep')} as unit_id from ({own}) q cross join (values {', '.join(f"('{c}')" for c in conditions)}) as c(condition) cross join (values {', '.join(f'({r})' for r in range(repetitions))}) as r(rep)"
 
 
@@ -155,12 +158,12 @@ def planned_units_by_question(spark, sf_dir):
     return A.together(*(_units(spark, sf_dir, rq) for rq in _controlled))
 
 
-@query(duck(f"with {_pt}, {_sel('RQ7', 50)}, {_units7} select unit_id, judge, condition, presentation from un cross join (values ('AB'), ('BA')) as o(presentation) where pass_count = 2 or presentation = 'AB'"))
+@query(duck(f"with {_pt}, {_sel('RQ7')}, {_units7} select unit_id, judge, condition, presentation from un cross join (values ('AB'), ('BA')) as o(presentation) where pass_count = 2 or presentation = 'AB'"))
 def planned_passes(spark, sf_dir):
     return W.explode_passes(_units(spark, sf_dir))
 
 
-@query(duck(f"with {_pt}, {_sel('RQ7', 50)}, {_units7} select rq_code, judge, count(*) as units, cast(sum(pass_count) as bigint) as calls from un group by rollup (rq_code, judge)"))
+@query(duck(f"with {_pt}, {_sel('RQ7')}, {_units7} select rq_code, judge, count(*) as units, cast(sum(pass_count) as bigint) as calls from un group by rollup (rq_code, judge)"))
 def call_plan(spark, sf_dir):
     return W.call_plan(_units(spark, sf_dir))
 
@@ -188,7 +191,7 @@ def balanced_units(spark, sf_dir):
 
 
 _AB = "case " + " ".join(f"when j = {i} then case when rank % 6 in ({', '.join(str(t) for t, c in enumerate(W.COUPLES) if i in c)}) then 'AB' else 'BA' end" for i in range(4)) + " end"
-_as = f"rk as (select pair_id, category, row_number() over (partition by category order by cast('0x' || substr(sha256(cast(pair_id as string)), 1, 2) as int) % 64, sha256(cast(pair_id as string)), pair_id) - 1 as rank, answer_a_id, answer_b_id from pairs), asg as (select pair_id, category, rank, judge, {_AB} as presentation, answer_a_id, answer_b_id from rk cross join (values " + ", ".join(f"('{x}', {i})" for i, x in enumerate(JUDGES)) + ") as j(judge, j))"
+_as = f"rk as (select pair_id, category, row_number() over (partition by category order by sha256(cast(pair_id as string)), pair_id) - 1 as rank, answer_a_id, answer_b_id from pairs), asg as (select pair_id, category, rank, judge, {_AB} as presentation, answer_a_id, answer_b_id from rk cross join (values " + ", ".join(f"('{x}', {i})" for i, x in enumerate(JUDGES)) + ") as j(judge, j))"
 
 
 @query(duck(f"with {_as} select pair_id, category, rank, judge, presentation from asg"))
@@ -396,7 +399,7 @@ def vote_accounting(spark, sf_dir):
 
 
 # V1-V7 ----------------------------------------------------------------------------------------
-@query(duck(f"with {_pt}, {_sel('RQ7', 50)} select 'unmatched_rq7_strategy' as rule, pair_key || ':' || judge as key, '' as detail from sel where substr(pair_key, 1, 1) = '0' union all select 'duplicate_unit_id', {_dig(repr('s1'), repr('RQ7'), 'pair_key', 'judge', repr('BASELINE_STANDARD'), repr('AB'), repr('0'))}, '2' from sel where substr(pair_key, 1, 1) = '1'"))
+@query(duck(f"with {_pt}, {_sel('RQ7')} select 'unmatched_rq7_strategy' as rule, pair_key || ':' || judge as key, '' as detail from sel where substr(pair_key, 1, 1) = '0' union all select 'duplicate_unit_id', {_dig(repr('s1'), repr('RQ7'), 'pair_key', 'judge', repr('BASELINE_STANDARD'), repr('AB'), repr('0'))}, '2' from sel where substr(pair_key, 1, 1) = '1'"))
 def unit_violations(spark, sf_dir):
     u = _units(spark, sf_dir)
     first = F.substring("pair_key", 1, 1)

@@ -206,3 +206,22 @@ def test_metric_files(spark, tmp_path):
     for fmt in ("csv", "json", "parquet"):
         io.write_metrics(df, str(tmp_path / fmt), fmt)
         assert spark.read.format(fmt).option("header", True).load(str(tmp_path / fmt)).count() == 2
+
+
+def test_ranks_of_buckets(spark):
+    rows = [(i, None if i % 3 == 0 else str(i % 3), i % 11) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, cell string, twin long").withColumn("d", F.sha2(F.col("twin").cast("string"), 256))
+    got = {r.id: r["rank"] for r in W.ranks(df, W.bucket_starts(df, ["cell"], "d"), ["cell"], "d", "id").collect()}
+    want = {}
+    for cell in (None, "1", "2"):
+        kept = sorted((r for r in df.collect() if r.cell == cell), key=lambda r: (r.d, r.id))
+        want |= {r.id: k + 1 for k, r in enumerate(kept)}
+    assert got == want and len(got) == 900
+    assert W.ranks(df.limit(0), W.bucket_starts(df.limit(0), ["cell"], "d"), ["cell"], "d", "id").count() == 0
+
+
+def test_balanced_units_take_the_smaller_stratum(spark):
+    rows = [(i, "j", "o", None if i < 300 else "x", "SAME" if i % 7 == 0 else "OTHER") for i in range(500)] + [(999, "j", "o", "y", "SAME")]
+    df = spark.createDataFrame(rows, "pair_id long, judge string, other_family string, category string, stratum string")
+    got = [(r.category, r.stratum, r.n) for r in W.balanced_units(df).groupBy("category", "stratum").agg(F.count("*").alias("n")).collect()]
+    assert sorted(got, key=str) == sorted([(None, "SAME", 43), (None, "OTHER", 43), ("x", "SAME", 29), ("x", "OTHER", 29)], key=str)
