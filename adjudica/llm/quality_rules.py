@@ -37,24 +37,37 @@ THRESHOLDS = (
 BASE = (("n_words", "one", 5000, None), ("n_repeat_words", "n_words", None, 50))
 
 
-def repeated(w: Column) -> tuple[Column, Column]:
-    """Windows of a text in order of their words (null where none repeats), and, from column
-    ``_sorted``, the places of those with an equal neighbour.
+def _size(w: Column) -> Column:
+    return F.size(w).cast("long")
 
-    Windows sort by (hash, words, place), so equal ones stand side by side; a cheap look at
-    distinct hashes spares the sort where no window can repeat.
-    """
-    at = lambda i: (F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    starts = F.sequence(F.lit(0), F.size(w) - 3)
-    window = lambda i: F.struct(F.xxhash64(*at(i)).alias("h"), F.concat_ws(" ", *at(i)).alias("g"), i.alias("i"))
-    s = F.sort_array(F.transform(starts, window))
 
-    def twin(x: Column, k: Column) -> Column:
-        same = lambda j: F.coalesce(F.get(s2, j)["g"] == x["g"], F.lit(False))
-        return same(k - 1) | same(k + 1)
+def window_keys(w: Column) -> Column:
+    """A number for each three-word window, in order: its hash, rounded down to a multiple of the number of words, plus its place (null under three words)."""
+    n = _size(w)
 
-    s2 = F.col("_sorted")
-    return F.when(F.size(w) < 3, F.lit(None)).when(F.size(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*at(i))))) == F.size(w) - 2, F.lit(None)).otherwise(s), F.sort_array(F.transform(F.filter(s2, twin), lambda x: x["i"]))
+    def key(i: Column) -> Column:
+        h = F.shiftright(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), 2)  # differences must not overflow
+        return F.coalesce(h - F.pmod(h, n) + i, F.lit(0).cast("long"))
+
+    return F.when(F.size(w) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), key)))
+
+
+def near_twins(keys: Column, w: Column) -> Column:
+    """Windows whose hash has a neighbour, as sorted (words, place): all that repeat, and the few whose hashes merely lie close."""
+    n = _size(w)
+    close = lambda x, k: F.coalesce(x - F.get(keys, k - 1) < n, F.lit(False)) | F.coalesce(F.get(keys, k + 1) - x < n, F.lit(False))
+
+    def window(x: Column) -> Column:
+        i = F.pmod(x, n).cast("int")
+        return F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i"))
+
+    return F.sort_array(F.transform(F.filter(keys, close), window))
+
+
+def repeat_places(found: Column) -> Column:
+    """The places, in order, of the windows that equal a neighbour word for word."""
+    same = lambda x, k: F.coalesce(F.get(found, k)["g"] == x["g"], F.lit(False))
+    return F.sort_array(F.transform(F.filter(found, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
 
 
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,7 +75,6 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     text = F.col("_t")
     df = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
     df = df.select("_id", "_t", words(text).alias("_w"), lines(text).alias("_l"))
-    first, places = repeated(F.col("_w"))
     stop = sorted(set(STOP_WORDS.split()))
     df = df.select(
         "_id",
@@ -72,9 +84,10 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("_w", lambda x: F.lower(x).isin(stop))).cast("long").alias("n_stop"),
-        first.alias("_sorted"),
+        "_w",
+        window_keys(F.col("_w")).alias("_k"),
     )
-    df = df.withColumn("_p", places)
+    df = df.withColumn("_f", near_twins(F.col("_k"), F.col("_w"))).withColumn("_p", repeat_places(F.col("_f")))
     gap = lambda p, k: F.least(F.lit(3), F.coalesce(F.get(F.col("_p"), k + 1) - p, F.lit(3)))
     covered = F.aggregate(F.transform("_p", gap), F.lit(0), lambda a, x: a + x)
     df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
