@@ -17,6 +17,7 @@ from . import quality_rules as op7
 from . import secret_scan as op5
 from . import suffix_dedup as op1
 from . import token_counts as op10
+from . import vector_codes as op13
 from .common import table
 
 
@@ -67,12 +68,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    own = {name: f for name, f in globals().items() if name.startswith("op") and "_" in name and callable(f)}
     return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": op1.duckdb_sql(), "op4_minhash_dedup": op4.duckdb_sql(), "op7_quality_rules": op7.duckdb_sql()}
+    return {"op1_suffix_dedup": op1.duckdb_sql(), "op4_minhash_dedup": op4.duckdb_sql(), "op7_quality_rules": op7.duckdb_sql(), "op13_vector_codes": op13.duckdb_sql()}
