@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import collocations as op12
 from . import decontamination as op6
 from . import html_text as op8
 from . import line_dedup as op9
@@ -68,6 +69,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13.vector_codes(table(spark, sf_dir, "embeddings"))
 
@@ -80,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": op1.duckdb_sql(), "op4_minhash_dedup": op4.duckdb_sql(), "op7_quality_rules": op7.duckdb_sql(), "op13_vector_codes": op13.duckdb_sql()}
+    return {"op1_suffix_dedup": op1.duckdb_sql(), "op4_minhash_dedup": op4.duckdb_sql(), "op7_quality_rules": op7.duckdb_sql(), "op12_collocations": op12.duckdb_sql(), "op13_vector_codes": op13.duckdb_sql()}
