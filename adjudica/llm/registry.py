@@ -19,6 +19,7 @@ from . import secret_scan as op5
 from . import suffix_dedup as op1
 from . import token_counts as op10
 from . import vector_codes as op13
+from . import vector_dedup as op11
 from .common import table
 
 
@@ -69,6 +70,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11.vector_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12.collocations(table(spark, sf_dir, "documents"))
 
@@ -85,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": op1.duckdb_sql(), "op4_minhash_dedup": op4.duckdb_sql(), "op7_quality_rules": op7.duckdb_sql(), "op12_collocations": op12.duckdb_sql(), "op13_vector_codes": op13.duckdb_sql()}
+    return {"op1_suffix_dedup": op1.duckdb_sql(), "op4_minhash_dedup": op4.duckdb_sql(), "op7_quality_rules": op7.duckdb_sql(), "op11_vector_dedup": op11.duckdb_sql(), "op12_collocations": op12.duckdb_sql(), "op13_vector_codes": op13.duckdb_sql()}
