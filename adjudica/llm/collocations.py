@@ -1,14 +1,16 @@
 """Phrase collocations, mined by Toivonen's sampling.
 
 A sample of the rows proposes: level by level, phrases that are frequent there at a lowered
-threshold. A full pass then counts exactly every word, and every longer phrase whose two shorter parts (without
+threshold. A full pass then counts every word, and every longer phrase whose two shorter parts (without
 its last, without its first word) are proposed: that is the proposal together with its negative border, as far as it occurs.
 A phrase of the border that turns out frequent is a failure: it joins the proposal, and a further
 full pass counts what the wider proposal adds. A pass without failures closes the search, after at most
 ``longest`` passes; every phrase that occurs ``least`` times has then been counted in full, whatever the sample was.
 
-A proposal is a Bloom filter for each level, of a size that ``bits`` fixes, so what tasks receive does
-not grow with the data. A false positive counts a phrase in vain; at no size does a filter lose one. Counts
+Most phrases of a border occur once or twice, so the first full pass counts 64-bit hashes, which can only
+join counts, never lose one; the second pass, which widens the border too, counts the phrases behind frequent hashes by their
+texts, and those counts are the result. A proposal, or a set of frequent hashes, is a Bloom filter for each level, of a size that ``bits`` fixes, so what tasks
+receive does not grow with the data. A false positive counts a phrase in vain; at no size does a filter lose one. Counts
 are summed in a task by blocks of text, then by Spark's partial aggregation, before the shuffle.
 
 Edges: a null text is empty, a null language is ``und``; ids only choose the sample. Texts of any length are
@@ -23,13 +25,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 #: Bits of a level's filter, and bytes of text that a task counts at a time.
-BITS, BLOCK = 1 << 26, 16 << 20
+BITS, BLOCK = 1 << 26, 6 << 20
 #: One row of ``every`` is in the sample; a phrase is proposed there at this share of the count to be expected.
 EVERY, EASE = 4, 0.75
 #: A-Z to a-z, a tab to a space, the characters that part pieces to a line end.
@@ -55,140 +57,181 @@ def places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(bits)).astype(np.int64), ((h >> np.uint64(32)) * MIX % np.uint64(bits)).astype(np.int64)
 
 
-def held(gate: np.ndarray | None, h: np.ndarray) -> np.ndarray:
-    """Which hashes a filter may hold; no filter holds nothing."""
-    if gate is None:
-        return np.zeros(len(h), bool)
+def held(gate: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes a filter may hold."""
     a, b = places(h, 8 * len(gate))
     return (gate[a >> 3] >> (a & 7).astype(np.uint8) & gate[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def counted(longest: int, lowest: int, new: list, old: list, block: int):
-    """Batches of language and text to counts of phrases of ``lowest`` to ``longest`` words; ``new`` and ``old`` are broadcasts of the filters of levels 1, 2, ...
+def sent(spark: SparkSession, filters: list[bytes]) -> list:
+    return [spark.sparkContext.broadcast(x) for x in filters]
 
-    Words are counted where there is no older filter. Row ``size`` 0 holds the number of words.
+
+class Block:
+    """Texts of one language as numbers of words, and their phrases level by level: hash, count, and whether its parts are proposed.
+
+    ``new`` and ``old`` are the filters of this pass and of the one before it, by level; a phrase was ``reached`` by an earlier pass
+    if the older filters held all its parts.
     """
 
-    def tally(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, lang: str, texts: list[bytes], new: list, old: list) -> None:
         tokens = b"\n".join(texts).translate(TABLE).replace(b"\n", b" . ").split()
         tokens.append(STOP)
         vocabulary = {w: i for i, w in enumerate(dict.fromkeys(tokens))}
-        ids = np.array(list(map(vocabulary.__getitem__, tokens)), np.int64)
-        names, stop, n = list(vocabulary), vocabulary[STOP], len(vocabulary)
-        del tokens
-        gates = [(np.frombuffer(a.value, np.uint8), np.frombuffer(b.value, np.uint8) if b else None) for a, b in zip(new, old, strict=True)]
-
-        def batch(size: int, phrases: list[bytes], count: np.ndarray) -> pa.RecordBatch:
-            k = len(phrases)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array([size] * k, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(count, pa.int64())], ["lang", "size", "phrase", "n"])
-
-        first = not any(old)
-        count = np.bincount(ids, minlength=n)
-        count[stop] = 0
-        if first and lowest == 1:
-            some = np.flatnonzero(count)
-            yield batch(0, [b""], [int(count.sum())])
-            yield batch(1, [names[i] for i in some], count[some])
-        if longest == 1:
-            return
-        # place p of level m holds the phrase of m words that starts there: its number, or -1
-        h, text, here = hashed(lang, names), names, np.where(ids == stop, -1, ids)
-        word_hash, reached = h, np.full(n, not first)
+        self.ids = np.array(list(map(vocabulary.__getitem__, tokens)), np.int64)
+        self.names, self.stop = list(vocabulary), vocabulary[STOP]
+        self.new, self.old, self.made = new, old, []
+        self.word_hash = hashed(lang, self.names)
+
+    def levels(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Size, hashes, counts and ``reached`` of the phrases of each size."""
+        n, h = len(self.names), self.word_hash
+        count = np.bincount(self.ids, minlength=n)
+        count[self.stop] = 0
+        reached = np.full(n, bool(self.old))
+        yield 1, h, count, reached
+        here = np.where(self.ids == self.stop, -1, self.ids)  # the phrase that starts at a place, -1 where there is none
         for m in range(2, longest + 1):
-            gate, before = gates[m - 2]
-            now = held(gate, h)
-            was = held(before, h) & reached  # an earlier pass came by this phrase and went on from it
-            left, right = here[:-1], here[1:]
+            now = held(self.new[m - 2], h)
+            was = held(self.old[m - 2], h) & reached if self.old else np.zeros(len(h), bool)
+            left, right, last = here[:-1], here[1:], self.ids[m - 1 :]
             ok = (left >= 0) & (right >= 0)
             ok[ok] = now[left[ok]] & now[right[ok]]
-            last = ids[m - 1 :]
             key, inverse, count = np.unique(left[ok] * n + last[ok], return_inverse=True, return_counts=True)
-            start, word = key // n, key % n
+            start, word, tail = key // n, key % n, np.zeros(len(key), np.int64)
+            tail[inverse] = right[ok]
             here = np.full(len(left), -1, np.int64)
             here[ok] = inverse
-            if m < longest or m >= lowest:
-                tail = np.zeros(len(key), np.int64)
-                tail[inverse] = right[ok]
-                reached = was[start] & was[tail]
-                fresh = ~reached
-                h = joined(h[start], word_hash[word])
-                text = [text[a] + b" " + names[b] for a, b in zip(start.tolist(), word.tolist(), strict=True)] if len(key) else []
-                if m >= lowest and fresh.any():
-                    yield batch(m, [text[i] for i in np.flatnonzero(fresh)] if not fresh.all() else text, count[fresh])
+            self.made.append((start, word))
+            reached = was[start] & was[tail]
+            h = joined(h[start], self.word_hash[word])
+            yield m, h, count, reached
+
+    def phrases(self, size: int, which: np.ndarray) -> list[bytes]:
+        words = []
+        for start, word in reversed(self.made[: size - 1]):
+            words.append([self.names[i] for i in word[which].tolist()])
+            which = start[which]
+        words.append([self.names[i] for i in which.tolist()])
+        return [b" ".join(x) for x in zip(*reversed(words), strict=True)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size = {}, 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, texts in waiting.items():
-                yield from tally(lang, texts)
-            waiting.clear()
+def over_blocks(count, block: int):
+    """``count(lang, texts)`` over batches of language and text, by blocks of a language."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[str, list[bytes]] = {}
+        size: dict[str, int] = {}
         for rows in batches:
             for lang, text in zip(rows["lang"].to_pylist(), rows["text"], strict=True):
                 text = text.as_py()
                 waiting.setdefault(lang, []).append(text)
-                size += len(text)
-                if size >= block:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+                size[lang] = size.get(lang, 0) + len(text)
+                if sum(size.values()) >= block:
+                    large = max(size, key=size.get)
+                    size.pop(large)
+                    yield from count(large, waiting.pop(large))
+        for lang in list(waiting):
+            yield from count(lang, waiting.pop(lang))
 
     return run
 
 
-def counts(rows: DataFrame, longest: int, new: list, old: list, lowest: int = 1, block: int = BLOCK) -> DataFrame:
-    found = rows.mapInArrow(counted(longest, lowest, new, old, block), "lang string, size int, phrase string, n long")
+def hash_counts(rows: DataFrame, sizes: tuple[int, int], new: list, block: int) -> DataFrame:
+    """``size``, ``hash`` and ``n`` of the phrases whose parts are proposed, from ``sizes[0]`` to ``sizes[1]`` words."""
+
+    def count(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        b = Block(lang, texts, [np.frombuffer(x.value, np.uint8) for x in new], [])
+        for size, h, n, _ in b.levels(sizes[1]):
+            some = np.flatnonzero(n) if size >= sizes[0] else []
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), size, np.int32)), pa.array(h[some].view(np.int64)), pa.array(n[some])], ["size", "hash", "n"])
+
+    return rows.mapInArrow(over_blocks(count, block), "size int, hash long, n long").groupBy("size", "hash").agg(F.sum("n").alias("n"))
+
+
+def phrase_counts(rows: DataFrame, longest: int, new: list, old: list, hot: list, block: int) -> DataFrame:
+    """``lang``, ``size``, ``phrase``, ``n`` of what the wider proposal adds and, with ``hot``, of the phrases whose hashes are frequent; the number of words as size 0."""
+
+    def count(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        filters = [[np.frombuffer(x.value, np.uint8) for x in part] for part in (new, old, hot)]
+
+        def batch(size: int, names: list[bytes], n: list[int]) -> pa.RecordBatch:
+            k = len(names)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array([size] * k, pa.int32()), pa.array(names, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "size", "phrase", "n"])
+
+        b = Block(lang, texts, filters[0], filters[1])
+        for size, h, n, reached in b.levels(longest):
+            if size == 1 and hot:
+                yield batch(0, [b""], [int(n.sum())])
+            some = np.flatnonzero((n > 0) & (~reached | held(filters[2][size - 1], h) if hot else ~reached))
+            if len(some):
+                yield batch(size, b.phrases(size, some), n[some].tolist())
+
+    found = rows.mapInArrow(over_blocks(count, block), "lang string, size int, phrase string, n long")
     return found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
 
-def bits_of(phrases: DataFrame, longest: int, bits: int) -> list[bytes]:
-    """Filters of levels 1 to ``longest - 1``: set words of bits, joined by Spark, so that the driver gets no more than the filters."""
+def bits_of(hashes: DataFrame, levels: int, bits: int) -> list[bytes]:
+    """Filters of levels 1 to ``levels``: words of bits, joined by Spark, so that the driver gets no more than the filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            at = {}
-            for lang, size, phrase in zip(rows["lang"].to_pylist(), rows["size"].to_pylist(), rows["phrase"].to_pylist(), strict=True):
-                at.setdefault((lang, size), []).append(phrase.encode().split(b" "))
-            for (lang, size), found in at.items():
-                h = hashed(lang, [w[0] for w in found])
-                for i in range(1, size):
-                    h = joined(h, hashed(lang, [w[i] for w in found]))
-                place = np.concatenate(places(h, bits))
+            sizes, hashes = rows["size"].to_numpy(), rows["hash"].to_numpy().view(np.uint64)
+            for size in np.unique(sizes):
+                place = np.concatenate(places(hashes[sizes == size], bits))
                 slot, where = np.unique(place >> 6, return_inverse=True)
                 mask = np.zeros(len(slot), np.uint64)
                 np.bitwise_or.at(mask, where, np.uint64(1) << (place & 63).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), size, np.int32)), pa.array(slot), pa.array(mask.view(np.int64))], ["size", "slot", "mask"])
 
-    words = phrases.where(F.col("size").between(1, longest - 1)).mapInArrow(run, "size int, slot long, mask long").groupBy("size", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    words = hashes.where(F.col("size").between(1, levels)).select("size", "hash").mapInArrow(run, "size int, slot long, mask long").groupBy("size", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
     size, slot, mask = (words[c].to_numpy() for c in ("size", "slot", "mask"))
-    out = [np.zeros(bits // 64, np.int64) for _ in range(1, longest)]
-    for m in range(1, longest):
-        out[m - 1][slot[size == m]] = mask[size == m]
+    out = [np.zeros(bits // 64, np.int64) for _ in range(levels)]
+    for m in range(levels):
+        out[m][slot[size == m + 1]] = mask[size == m + 1]
     return [x.tobytes() for x in out]
 
 
+def rehashed(phrases: DataFrame) -> DataFrame:
+    """``size`` and ``hash`` of counted phrases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            at: dict[tuple[str, int], list[list[bytes]]] = {}
+            for lang, size, phrase in zip(rows["lang"].to_pylist(), rows["size"].to_pylist(), rows["phrase"].to_pylist(), strict=True):
+                at.setdefault((lang, size), []).append(phrase.encode().split(b" "))
+            for (lang, size), found in at.items():
+                h = hashed(lang, [w[0] for w in found])
+                for i in range(1, size):
+                    h = joined(h, hashed(lang, [w[i] for w in found]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), size, np.int32)), pa.array(h.view(np.int64))], ["size", "hash"])
+
+    return phrases.where("size > 0").mapInArrow(run, "size int, hash long")
+
+
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", *, least: int = 10, longest: int = 3, every: int = EVERY, ease: float = EASE, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """``lang``, ``size``, ``phrase``, ``n`` of each phrase of up to ``longest`` words that occurs ``least`` times, and the number of words as size 0."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), F.pmod(F.xxhash64(id_col), F.lit(every)).alias("turn"))
     sample, rows = rows.where("turn = 0").select("lang", "text"), rows.select("lang", "text")
     enough = max(1, math.ceil(ease * least / every))
-    send = lambda parts: [spark.sparkContext.broadcast(x) for x in parts]
     proposal = [b"\0" * (bits // 8)] * (longest - 1)
     for m in range(1, longest):
-        found = counts(sample, m, send(proposal), [None] * (longest - 1), lowest=m, block=block).where(F.col("n") >= enough)
+        found = hash_counts(sample, (m, m), sent(spark, proposal), block).where(F.col("n") >= enough)
         proposal[m - 1] = bits_of(found, longest, bits)[m - 1]
-    known, old = None, None
+    old = proposal
+    hashes = cut(hash_counts(rows, (1, longest), sent(spark, proposal), block).where(F.col("n") >= least))
+    hot = bits_of(hashes, longest, bits)
+    wider = lambda a, b: [(np.frombuffer(x, np.int64) | np.frombuffer(y, np.int64)).tobytes() for x, y in zip(a, b, strict=False)]
+    proposal, known = wider(old, hot), None
     while True:
-        new = send(proposal)
-        found = cut(counts(rows, longest, new, old or [None] * (longest - 1), block=block).where((F.col("n") >= least) | (F.col("size") == 0)))
+        counted = phrase_counts(rows, longest, sent(spark, proposal), sent(spark, old), [] if known else sent(spark, hot), block)
+        found = cut(counted.where((F.col("n") >= least) | (F.col("size") == 0)))
         known = known.unionByName(found) if known else found
-        failed = bits_of(found, longest, bits)
-        wider = [(np.frombuffer(a, np.int64) | np.frombuffer(b, np.int64)).tobytes() for a, b in zip(proposal, failed, strict=True)]
-        if wider == proposal:
+        old, proposal = proposal, wider(proposal, bits_of(rehashed(found), longest - 1, bits))
+        if proposal == old:
             return known
-        proposal, old = wider, new
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", *, least: int = 10, longest: int = 3, top: int = 2000, inside: int = 50, **sampling) -> DataFrame:
