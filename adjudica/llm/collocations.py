@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Bits of a level's filter, and bytes of text that a task counts at a time.
-BITS, BLOCK = 1 << 26, 6 << 20
+BITS, BLOCK = 1 << 26, 3 << 19
 #: One row of ``every`` is in the sample; a phrase is proposed there at this share of the count to be expected.
 EVERY, EASE = 4, 0.75
 #: A-Z to a-z, a tab to a space, the characters that part pieces to a line end.
