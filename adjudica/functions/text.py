@@ -106,24 +106,10 @@ def digest(*cols: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", *(F.coalesce(col(c).cast("string"), F.lit("None")) for c in cols)), 256)
 
 
-def stable_sha(*names: str) -> Column:
-    """SHA-256 of the compact JSON of columns in name order, nulls kept."""
-    return F.sha2(F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"}), 256)
-
-
 def pair_digest(prompt: str, a: str, b: str) -> Column:
     return digest(F.lit("pair"), F.col(prompt), F.least(a, b), F.greatest(a, b))
 
 
-#: The configuration fields of a unit, in the order in which they are hashed.
-UNIT_FIELDS = ("rq_code", "base_pair_key", "prompt_id", "answer_a_id", "answer_b_id", "judge_name", "provider", "requested_model", "condition", "presentation_order", "repetition_index", "pass_count", "temperature", "variant_checksum", "protocol_version", "routing_policy", "routing_fingerprint")
-
-
-def unit_fingerprint(fields: list[str] = UNIT_FIELDS) -> Column:
-    """Digest of all configuration fields of a unit; nulls print as None."""
-    return digest(*fields)
-
-
 def verbosity_variant(c: Column | str) -> Column:
     """The text twice, a blank line between; null for a blank text."""
     return F.when(trimmed(c) != "", F.concat(col(c), F.lit("\n\n"), col(c)))
@@ -164,28 +150,6 @@ def parse_winner(c: Column | str) -> Column:
     return F.coalesce(F.upper(last), F.upper(once(BOLD_VERDICT)), F.upper(once(CHOICE)), F.lit("UNKNOWN"))
 
 
-def parse_judgement(c: Column | str) -> Column:
-    """Winner of a judgement JSON, checked on the raw values so that no type is coerced; else INVALID_RESPONSE.
-
-    Keys: winner (A, B or TIE), scores (five integers 1-5), confidence in [0, 1], explanation (not blank).
-    """
-    raw = F.regexp_extract(col(c), r"(?s)(\{.*\})", 1)
-    get = lambda p: F.get_json_object(raw, p)
-    scores = get("$.scores")
-    keys = F.json_object_keys(raw)
-    good = (
-        (F.size(F.array_intersect(keys, F.array(*map(F.lit, ("winner", "scores", "confidence", "explanation"))))) == 4)
-        & (F.size(keys) == 4)
-        & get("$.winner").isin("A", "B", "TIE")
-        & scores.rlike(r"^\{(?:\"[a-z_]+\":[1-5],?){5}\}$")
-        & get("$.confidence").rlike(r"^(?:0(?:\.\d+)?|1(?:\.0+)?)$")
-        & raw.rlike(r'"confidence"\s*:\s*[\d.]')
-        & (trimmed(get("$.explanation")) != "")
-    )
-    w = get("$.winner")
-    return cases((F.coalesce(good, F.lit(False)), F.when(w == "TIE", "TIE").otherwise(F.concat(F.lit("ANSWER_"), w))), otherwise="INVALID_RESPONSE")
-
-
 def normalize_route(c: Column | str) -> Column:
     t = F.lower(trimmed(c))
     return F.coalesce(by_alias(t, ROUTE_ALIASES), t)
@@ -222,15 +186,3 @@ def turn_prompt(conversation: Column | str, turn: Column | str) -> Column:
 
 def turn_answer(conversation: Column | str, turn: Column | str) -> Column:
     return F.get(col(conversation), (2 * col(turn) - 1).cast("int"))["content"]
-
-
-def payload_digest(prompt: str, first: str, second: str, presentation: str) -> Column:
-    """Digest of a rendered payload from the digests of its parts: long texts are hashed once, not per pass."""
-    ab = F.col(presentation) == "AB"
-    return digest(F.col(prompt), F.when(ab, F.col(first)).otherwise(F.col(second)), F.when(ab, F.col(second)).otherwise(F.col(first)))
-
-
-def classify_reuse(dimensions: list[str]) -> Column:
-    """Struct: EXACT_REUSE if all dimensions are there, else EXPLORATORY_ONLY with the missing ones."""
-    missing = F.array_compact(F.array(*(F.when(F.col(d).isNull(), F.lit(f"missing_{d}")) for d in dimensions)))
-    return F.struct(F.when(F.size(missing) == 0, "EXACT_REUSE").otherwise("EXPLORATORY_ONLY").alias("reuse_class"), F.array_join(missing, ",").alias("reasons"))

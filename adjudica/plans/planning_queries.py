@@ -99,23 +99,6 @@ def conversation_turns(spark, sf_dir):
     return m.select("conv_id", T.turn_prompt("m", one).alias("prompt_1"), T.turn_answer("m", one).alias("answer_1"), T.turn_prompt("m", two).alias("prompt_2"), T.turn_answer("m", two).alias("answer_2"))
 
 
-@query(duck(f"select pass_id, sha256(case when presentation = 'AB' then p || '|' || a || '|' || b else p || '|' || b || '|' || a end) as payload_sha, case when pair_id % 9 = 0 then 'EXPLORATORY_ONLY' else 'EXACT_REUSE' end as reuse_class, case when pair_id % 9 = 0 then 'missing_route,missing_seed' else '' end as reasons from (select pass_id, pair_id, presentation, sha256(cast(prompt_id as string)) as p, sha256(cast(answer_a_id as string)) as a, sha256(cast(answer_b_id as string)) as b from passes)"))
-def payloads_and_reuse(spark, sf_dir):
-    sha = lambda c: F.sha2(F.col(c).cast("string"), 256)
-    known = F.when(F.col("pair_id") % 9 != 0, F.lit("x"))
-    p = table(spark, sf_dir, "passes").select("pass_id", "pair_id", "presentation", sha("prompt_id").alias("p"), sha("answer_a_id").alias("a"), sha("answer_b_id").alias("b"), F.lit("m").alias("model"), known.alias("route"), known.alias("seed"))
-    r = T.classify_reuse(["model", "route", "seed"])
-    return p.select("pass_id", T.payload_digest("p", "a", "b", "presentation").alias("payload_sha"), r["reuse_class"].alias("reuse_class"), r["reasons"].alias("reasons"))
-
-
-@query(duck("select pair_id, case when pair_id % 3 = 0 then 'ANSWER_A' else 'INVALID_RESPONSE' end as outcome from pairs"))
-def judgement_json(spark, sf_dir):
-    p = table(spark, sf_dir, "pairs")
-    good = F.concat(F.lit('```json\n{"winner": "A", "scores": {"a":1,"b":2,"c":3,"d":4,"e":5}, "confidence": 0.'), (F.col("pair_id") % 10).cast("string"), F.lit(', "explanation": "x"}\n```'))
-    text = L.cases((F.col("pair_id") % 3 == 0, good), (F.col("pair_id") % 3 == 1, F.replace(good, F.lit('"a":1'), F.lit('"a":"1"'))), otherwise=F.lit("none"))
-    return p.select("pair_id", T.parse_judgement(text).alias("outcome"))
-
-
 # W1-W12, A12 ----------------------------------------------------------------------------------
 _sel = lambda rq, n=None: f"sel as (select * from (select *, row_number() over (partition by judge order by digest, pair_key) as rank from (select pt.*, judge, {_dig(repr('s1'), repr(rq), 'judge', 'pair_key')} as digest from pt cross join {_JL}) x where {_ok['RQ3'] + ' and (' + JUDGE_FAMILY + ') is not null and ' + _own if rq == 'RQ6' else _ok[rq]}) y{f' where rank <= {n}' if n else ''})"
 
@@ -445,12 +428,6 @@ def attempt_time_violations(spark, sf_dir):
     return A.validate_ledger(slots, a)
 
 
-@query(duck(f"select unit_id, {_dig('rq_code', 'pair_key', 'answer_a_id', 'answer_b_id', 'judge', 'provider', 'condition', 'presentation_order', 'repetition_index', 'pass_count')} as fingerprint, sha256('{{\"answer_a_id\":' || cast(answer_a_id as string) || ',\"condition\":\"' || condition || '\",\"variant_checksum\":' || coalesce('\"' || variant_checksum || '\"', 'null') || '}}') as stable from plan_rows"))
-def unit_fingerprints(spark, sf_dir):
-    r = table(spark, sf_dir, "plan_rows")
-    return r.select("unit_id", T.unit_fingerprint(["rq_code", "pair_key", "answer_a_id", "answer_b_id", "judge", "provider", "condition", "presentation_order", "repetition_index", "pass_count"]).alias("fingerprint"), T.stable_sha("variant_checksum", "condition", "answer_a_id").alias("stable"))
-
-
 @query(duck("select pass_id, case when pair_id % 5 = 0 then 'LEGACY' end as evidence_class from passes where pair_id % 5 = 0 or pair_id % 7 = 0"))
 def rejected_evidence(spark, sf_dir):
     k = F.col("pair_id")

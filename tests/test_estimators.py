@@ -167,13 +167,6 @@ def test_verdicts_and_formats(spark):
     assert [tuple(r) for r in ok] == [(True, True), (False, False), (False, False)]
 
 
-def test_judgement(spark):
-    good = '```{"winner": "B", "scores": {"a":1,"b":2,"c":3,"d":4,"e":5}, "confidence": 0.5, "explanation": "x"}```'
-    rows = [(good,), (good.replace('"a":1', '"a":6'),), (good.replace("0.5", '"0.5"'),), (good.replace('"x"', '" "'),), (None,)]
-    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(T.parse_judgement("t")).collect()]
-    assert got == ["ANSWER_B"] + ["INVALID_RESPONSE"] * 4
-
-
 def test_schedule_is_balanced(spark):
     pairs = spark.range(600).select(F.col("id").alias("pair_id"), (F.col("id") % 7).cast("string").alias("category"), (2 * F.col("id")).alias("answer_a_id"), (2 * F.col("id") + 1).alias("answer_b_id"))
     a = W.assign_presentations(pairs, list("wxyz"))
