@@ -8,14 +8,13 @@ documents are linked when 100 * intersection >= percent * union.
    in a partially aggregated grouping; from here on a node is a distinct set.
 2. Forest: each of 24 orders starts at another 4 of the minhashes and goes on with the next
    ones. Nodes are range-partitioned and sorted by the order; neighbours whose longest common
-   prefix is ``DEPTH`` or more are candidates with that prefix's length, and the boundaries of
-   partitions are compared as well. A pair at 0.8 shares no such prefix in any order
-   with probability (1 - 0.8^4)^24 = 3e-6. Components of candidates are regions.
+   prefix is 4 or more are candidates, and the boundaries of partitions are compared as well. A
+   pair at 0.8 shares no such prefix in any order with probability (1 - 0.8^4)^24 = 3e-6. Components of candidates are regions.
 3. Depth adapts to the region. In one of up to ``REGION`` nodes all pairs of full sets are
-   compared. A larger one descends: only prefixes of 6, then of 8 minhashes bind it, which parts
-   texts that merely share a template (of pairs at 0.8 in such a region, 1e-3 and then about
-   0.02 share none; copies that are closer, or linked through others, are still found). What is
-   large even there is dealt out three times over chunks by different minhashes, which joins
+   compared. A larger one descends to prefixes of 8 minhashes, which part texts that merely share a template (at a similarity of
+   0.3 one pair in 200 meets there, where one in six met before), and takes as many more orders as keep what it may
+   miss as small: 72, in which a pair at 0.8 shares no prefix with probability (1 - 0.8^8)^72 = 2e-6. The 576 minhashes
+   are drawn for its nodes only. What is large even there is dealt out three times over chunks by different minhashes, which joins
    its core; then what is outside the core is compared, in blocks, with all chunks of its region.
 4. Components of confirmed links. Nulls: a null text has no words, a row without an id is
    returned with a null component. Rows that share an id are separate documents with one id.
@@ -35,10 +34,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, spread, text_of
 from .graph import connected_components
-from .regions import Union, deepened, region_links
+from .regions import Union, region_links, regions_of
 
-TREES, DEPTH, SEED, REGION, PERCENT = 24, 4, 7, 512, 80
-DEEPER = (6, 8)
+SEED, REGION, PERCENT = 7, 512, 80
+#: Orders and length of the prefix that binds: at first, and in large regions.
+SHALLOW, DEEP = (24, 4), (72, 8)
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -67,7 +67,8 @@ def shingles(text: str, k: int, memo: WordHashes) -> np.ndarray:
     return np.unique(g ^ (g >> np.uint64(32)))
 
 
-def draws(n: int = TREES * DEPTH) -> np.ndarray:
+def draws(orders: int, depth: int) -> np.ndarray:
+    n = orders * depth
     return np.random.default_rng(SEED).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -87,7 +88,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
 
     @F.pandas_udf("struct<n:long,node:binary,sig:binary>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        memo, a = WordHashes(), draws()
+        memo, a = WordHashes(), draws(*SHALLOW)
         for texts in batches:
             sets = [shingles(t, k, memo) for t in texts]
             yield pd.DataFrame({"n": [len(g) for g in sets], "node": [digest(g) if len(g) else None for g in sets], "sig": [minhashes(g, a).tobytes() if len(g) else None for g in sets]})
@@ -96,55 +97,44 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(*rest, sign("_t").alias("x")).select(*rest, "x.*")
 
 
-def common(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Minhashes in the common prefix of paths that share the first ``DEPTH``; a path is 16 bits of each of the next ``DEPTH``."""
-    x = p.astype(np.int64).view(np.uint64) ^ q.astype(np.int64).view(np.uint64)
-    return sum(((x >> np.uint64(16 * i)) == 0).astype("int32") for i in range(DEPTH)) + np.int32(DEPTH)
-
-
-def forest(nodes: DataFrame) -> DataFrame:
-    """Candidate edges ``a``-``b``: neighbours in each sorted order, with their common prefix ``lcp`` of ``DEPTH`` to twice as many minhashes."""
+def forest(nodes: DataFrame, trees: int, depth: int) -> DataFrame:
+    """Candidate edges ``a``-``b``: neighbours in each of ``trees`` sorted orders that share a prefix of ``depth`` minhashes."""
 
     @F.pandas_udf("array<struct<bucket:long,path:long>>")
     def orders(sigs: pd.Series) -> pd.Series:
         out = []
         for s in sigs:
-            s2 = s + s[: 4 * DEPTH]
-            # The first DEPTH minhashes by their hash, half of each of the next ones as they are.
-            out.append([{"bucket": xxhash.xxh64_intdigest(s[4 * i : 4 * (i + DEPTH)], i) - 2**63, "path": int.from_bytes(s2[4 * (i + DEPTH) : 4 * (i + 2 * DEPTH) : 2], "big", signed=True)} for i in range(0, TREES * DEPTH, DEPTH)])
+            s2 = s + s[: 4 * depth + 16]
+            # The prefix by its hash, half of each of the next four minhashes as they are.
+            out.append([{"bucket": xxhash.xxh64_intdigest(s[4 * i : 4 * (i + depth)], i) - 2**63, "path": int.from_bytes(s2[4 * (i + depth) : 4 * (i + depth) + 16 : 2], "big", signed=True)} for i in range(0, trees * depth, depth)])
         return pd.Series(out)
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, step, last, part = None, None, None, TaskContext.get().partitionId()
-        edge = lambda bucket, path, a, b, lcp, end: pd.DataFrame({"bucket": bucket, "path": path, "a": a, "b": b, "lcp": lcp, "part": end})
+        at, last, part = None, None, TaskContext.get().partitionId()
+        edge = lambda bucket, a, b, end: pd.DataFrame({"bucket": bucket, "a": a, "b": b, "part": end})
         for x in batches:
             if not len(x):
                 continue
-            bucket, path, node = x["bucket"].to_numpy(), x["path"].to_numpy(), x["node"].to_numpy()
+            bucket, node = x["bucket"].to_numpy(), x["node"].to_numpy()
             if at is None:
-                yield edge([bucket[0]], [path[0]], [node[0]], [None], [0], [2 * part])
+                yield edge([bucket[0]], [node[0]], [None], [2 * part])
             else:
-                bucket, path, node = np.concatenate([[at], bucket]), np.concatenate([[step], path]), np.concatenate([np.array([last], object), node])
-            at, step, last = bucket[-1], path[-1], node[-1]
+                bucket, node = np.concatenate([[at], bucket]), np.concatenate([np.array([last], object), node])
+            at, last = bucket[-1], node[-1]
             k = np.flatnonzero(bucket[1:] == bucket[:-1])
-            yield edge(bucket[k], path[k], node[k], node[k + 1], common(path[k], path[k + 1]), -1)
+            yield edge(bucket[k], node[k], node[k + 1], -1)
         if at is not None:
-            yield edge([at], [step], [last], [None], [0], [2 * part + 1])
+            yield edge([at], [last], [None], [2 * part + 1])
 
     rows = nodes.select("node", F.explode(orders("sig")).alias("x")).select("x.bucket", "x.path", "node")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, "bucket", "path", "node").sortWithinPartitions("bucket", "path", "node")
-    found = cut(rows.mapInPandas(pairs, "bucket long, path long, a binary, b binary, lcp int, part int"))
+    found = cut(rows.mapInPandas(pairs, "bucket long, a binary, b binary, part int"))
 
     # Two rows a partition: the last of one and the first of the next that has rows.
     order = Window.partitionBy(F.lit(0)).orderBy("part")
-    ends = found.where("part >= 0").select("bucket", "path", "a", *(F.lag(c).over(order).alias(f"{c}_before") for c in ("bucket", "path", "a"))).where("bucket = bucket_before")
-
-    @F.pandas_udf("int")
-    def prefix(p: pd.Series, q: pd.Series) -> pd.Series:
-        return pd.Series(common(p.to_numpy(), q.to_numpy()))
-
-    return found.where("part < 0").select("a", "b", "lcp").unionByName(ends.select("a", F.col("a_before").alias("b"), prefix("path", "path_before").alias("lcp")))
+    ends = found.where("part >= 0").select("bucket", "a", *(F.lag(c).over(order).alias(f"{c}_before") for c in ("bucket", "a"))).where("bucket = bucket_before")
+    return found.where("part < 0").select("a", "b").unionByName(ends.select("a", F.col("a_before").alias("b")))
 
 
 def set_linker(percent: int):
@@ -180,7 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(signed(docs, k))
     # A node's text is that of one row, named by its id and the hash of its text, as many rows may share an id.
     nodes = cut(rows.where("node is not null and _id is not null").groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("rep"), F.first("sig").alias("sig")).select("node", "rep._id", "rep._h", "sig"))
-    regions = deepened(forest(nodes), region, DEEPER).join(nodes.drop("sig"), "node")
+    regions = cut(regions_of(forest(nodes, *SHALLOW), region))
 
     # Full sets of the nodes of all regions. A map over batches stays above the join, so only those texts are shingled again.
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,9 +180,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             y = pd.DataFrame({"node": [digest(g) for g in sets], "set": [g.tobytes() for g in sets]})
             yield y[(x["_want"] == y["node"]).to_numpy()]
 
-    wanted = regions.select("_id", "_h", F.col("node").alias("_want"))
+    @F.pandas_udf("binary")
+    def deep_sig(sets: pd.Series) -> pd.Series:
+        a = draws(*DEEP)
+        return pd.Series([minhashes(np.frombuffer(x, np.uint64), a).tobytes() for x in sets])
+
+    wanted = regions.join(nodes.drop("sig"), "node").select("_id", "_h", F.col("node").alias("_want"))
     texts = docs.join(wanted, ["_id", "_h"]).select("_want", "_t").mapInPandas(whole, "node binary, set binary").dropDuplicates(["node"])
-    links = region_links(cut(regions.join(texts.withColumnRenamed("set", "body"), "node")), set_linker(percent), region)
+    members = cut(regions.join(texts.withColumnRenamed("set", "body"), "node"))
+    hot = members.where(F.col("size") > region)
+    if hot.limit(1).count():
+        parted = regions_of(forest(hot.select("node", deep_sig("body").alias("sig")), *DEEP), region)
+        members = cut(members.where(F.col("size") <= region).unionByName(parted.join(hot.select("node", "body"), "node")))
+    links = region_links(members, set_linker(percent), region)
     comp = connected_components(links)
     named = nodes.select("node", F.col("_id").alias("rep")).join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("least"))

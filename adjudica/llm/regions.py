@@ -72,20 +72,6 @@ def regions_of(candidates: DataFrame, region: int) -> DataFrame:
     return parts.join(spread(sizes), "root").select("root", "node", "size", *map(chunk, range(3)))
 
 
-def deepened(edges: DataFrame, region: int, depths: tuple[int, ...]) -> DataFrame:
-    """``regions_of`` the edges ``a``-``b``, where a region of more than ``region`` nodes keeps only edges whose common prefix ``lcp`` is ``depths[0]`` or more, and so on."""
-    edges = cut(edges.groupBy("a", "b").agg(F.max("lcp").alias("lcp")))
-    parts = cut(regions_of(edges.select("a", "b"), region))
-    for depth in depths:
-        hot = parts.where(F.col("size") > region)
-        if not hot.limit(1).count():
-            break
-        # Both ends of an edge are in one region.
-        inner = edges.where(F.col("lcp") >= depth).join(hot.select(F.col("node").alias("a")), "a", "left_semi")
-        parts = cut(parts.where(F.col("size") <= region).unionByName(regions_of(inner.select("a", "b"), region)))
-    return parts
-
-
 def region_links(members: DataFrame, linker: Linker, region: int) -> DataFrame:
     """Links that span what is linked in each region; ``members``: ``regions_of`` with a ``body``.
 

@@ -88,32 +88,39 @@ def test_near_duplicates_of_one_id(spark):
     assert len(got) == 3001 and {r.component_id for r in got} == {5}
 
 
-def test_forest_descends_and_finds_nearly_all_links(spark, monkeypatch):
-    """Texts of one template make one region; deeper prefixes part it, and pairs at 0.8 or more are still found."""
-    r, rows, pairs = random.Random(8), [], []
-    template = prose(1, 60).split()
-    for i in range(120):
+def test_forest_descends_and_finds_all_links(spark, monkeypatch):
+    """Texts of one template make one region; deeper prefixes part it, and every pair at 0.80 to 0.82 is found all the same."""
+    r, rows, sets, linked = random.Random(8), [], {}, []
+    template = prose(1, 120).split()
+    for i in range(500):
         w = list(template)
-        for p in r.sample(range(60), 22):
+        for p in r.sample(range(120), 44):
             w[p] = f"own{i}x{p}"
         rows.append((2 * i, " ".join(w)))
-        w[r.randrange(60)] = "edit"
+        first = {tuple(w[j : j + 2]) for j in range(119)}
+        for p in r.sample(range(120), 12):  # word by word, down to the last step that leaves the pair linked
+            v = list(w)
+            v[p] = f"edit{i}x{p}"
+            both = {tuple(v[j : j + 2]) for j in range(119)}
+            if 100 * len(first & both) < 80 * len(first | both):
+                break
+            w, sets[i] = v, len(first & both) / len(first | both)
         rows.append((2 * i + 1, " ".join(w)))
-        pairs.append((2 * i, 2 * i + 1))
-    sizes = []
-    plain = minhash_dedup.deepened
+        linked.append((2 * i, 2 * i + 1))
+    assert all(0.8 <= s < 0.82 for s in sets.values())
+    sizes, plain = [], minhash_dedup.regions_of
 
-    def watched(edges, region, depths):
-        out = plain(edges, region, depths)
-        sizes.append((plain(edges, region, ()).agg(F.max("size")).first()[0], out.agg(F.max("size")).first()[0]))
+    def watched(edges, region):
+        out = plain(edges, region)
+        sizes.append(out.agg(F.max("size")).first()[0])
         return out
 
-    monkeypatch.setattr(minhash_dedup, "deepened", watched)
-    got = {x.doc_id: x.component_id for x in minhash_dedup.near_duplicates(docs(spark, rows), k=2, region=16).collect()}
-    sets = {i: {tuple(t.split()[j : j + 2]) for j in range(59)} for i, t in rows}
-    linked = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    assert len(linked) == 120 and sum(got[a] == got[b] for a, b in linked) >= 0.97 * len(linked)
-    assert sizes[0][1] < sizes[0][0] / 2
+    monkeypatch.setattr(minhash_dedup, "regions_of", watched)
+    run = lambda region: {x.doc_id: x.component_id for x in minhash_dedup.near_duplicates(docs(spark, rows), k=2, region=region).collect()}
+    got = run(64)
+    assert all(got[a] == got[b] for a, b in linked)
+    assert sizes[1] < sizes[0] / 2, sizes
+    assert got == run(10**9)
 
 
 def test_components_by_stars_equal_union_find(spark):
