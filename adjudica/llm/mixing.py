@@ -3,15 +3,16 @@
 1. A classifier learnt from a labelled table gives each document posteriors over the domains:
    naive Bayes over hashed words (mean log-likelihood of the whole text, sharpened by its word
    count up to ``SHARP`` words), fitted by summed counts per partition. Every labelled row counts.
-2. Document rates r >= 0 minimise |W (sum_d r_d tokens_d p_d - T)|^2 / N + ridge * sum_d tokens_d
-   (r_d - 1)^2, where T are the targets times N, the number of tokens. W evens out the domains
-   (W'W is the inverse of sum_d tokens_d p_d p_d' / N + floor), so a rare one is met as fast as
-   a common one, and the ridge is so small that it only breaks ties. Each step of the
-   accelerated projected gradient is one distributed sum of a vector over domains. A rate
-   is a function of a posterior and of the residuals so far, so no state of rows is kept, and
-   the steps run over the distinct posteriors (to six places) with their sums of tokens.
-   Steps end when all domain totals are within ``tolerance`` of their targets (as shares of N),
-   or when they stand still (targets that no rates reach), or after ``steps``.
+2. Document rates r >= 0 minimise |sum_d r_d tokens_d p_d / N - T|^2, where T are the targets and
+   N is the number of tokens, by projected gradient from rates of one. With e the gap of the domain totals, p_d.e is the
+   gradient of a token of d, and a step of length a leads to max(0, 1 - a p_d.e). Steps are implicit: e is the
+   gap at the rates that the step leads to, so a step may be as long as one likes, and at the end of a step of length a the rates are least
+   squares but for a pull of 1 / a towards one, which breaks ties. Lengths grow from 10^2 to 10^10 (``LENGTHS``). The e of a step is
+   found by Newton steps over the domains: one pass sums totals and second moments of the rows that are not at zero, at a ladder of
+   Newton lengths, of which the best is taken. A rate is a function of a posterior and of a e, so no state of rows is kept, and
+   the passes run over the distinct posteriors (to six places) with their sums of tokens.
+   It ends when all domain totals are within ``tolerance`` of their targets (as shares of N), or with the longest step: no rates come closer
+   to such targets. ``converged`` says whether one of both was reached within ``steps`` passes, ``miss`` the largest gap that is left.
 3. ``copies`` rounds a rate to whole copies without bias, by a hash of the id and text.
 
 Domains are the keys of ``targets``; labelled rows of other or null domains are not learnt from.
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import cut, text_of
 from .minhash_dedup import WordHashes
 
-BUCKETS, SHARP, STEPS, RIDGE, FLOOR, TOLERANCE = 1 << 13, 40, 300, 1e-9, 1e-6, 1e-4
+BUCKETS, SHARP, STEPS, TOLERANCE, STILL = 1 << 13, 40, 200, 1e-4, 1e-8
+LENGTHS, LADDER = (1e2, 1e4, 1e6, 1e8, 1e10), tuple(0.5**i for i in range(16))
 #: Equal shares for the languages of the corpus.
 TARGETS = {"de": 0.25, "en": 0.25, "es": 0.25, "fr": 0.25}
 
@@ -62,19 +64,59 @@ def log_likelihoods(known: DataFrame, domains: list[str]) -> tuple[np.ndarray, n
     return np.log(words / words.sum(1, keepdims=True)), np.log(rows / rows.sum())
 
 
-def rates(tokens: np.ndarray, p: np.ndarray, residuals: list[np.ndarray], step: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after ``len(residuals)`` projected steps (residuals times W'W), and the point where the next residual is taken."""
-    r = y = np.ones(len(p))
-    t = 1.0
-    for e in residuals:
-        new = np.maximum(0.0, y - step * (p @ e + ridge * (y - 1)))
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y, r, t = np.maximum(0.0, new + (t - 1) / t2 * (new - r)), new, t2
-    return r, y
+def moved(p: np.ndarray, pull: np.ndarray) -> np.ndarray:
+    """Rates of posteriors after a projected step from one; ``pull`` is the gap times the length of the step."""
+    return np.maximum(0.0, 1 - p @ pull)
 
 
-def mixing(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", steps: int = STEPS, ridge: float = RIDGE, tolerance: float = TOLERANCE) -> DataFrame:
-    """``id_col``, ``n_tokens``, ``domain`` (likeliest), ``posterior`` (in the order of domains), ``rate`` and ``copies``."""
+def fitted(cells: DataFrame, share: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray, bool]:
+    """``pull``, the gap it leaves, and whether the fit came to its end, over rows ``n`` (tokens) and ``p`` (posterior)."""
+    k = len(share)
+    width = 2 + k + k * k
+
+    def summed(pulls: list[np.ndarray]) -> np.ndarray:
+        """For each pull: tokens, tokens times squared rates, totals by domain, and second moments of what is not at zero."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            v = np.zeros((len(pulls), width))
+            for x in batches:
+                if len(x):
+                    p, n = np.stack(x["p"].to_numpy()), x["n"].to_numpy(float)
+                    for i, pull in enumerate(pulls):
+                        r = moved(p, pull)
+                        v[i] += np.concatenate([[n.sum(), n @ r**2], (n * r) @ p, ((p * (n * (r > 0))[:, None]).T @ p).ravel()])
+            yield pd.DataFrame({"i": np.arange(v.size), "v": v.ravel()})
+
+        out = np.zeros(len(pulls) * width)
+        for r in cells.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            out[r.i] = r.v
+        return out.reshape(-1, width) / max(out[0], 1.0)
+
+    pull, at, passes = np.zeros(k), summed([np.zeros(k)])[0], 1
+    gap = lambda s: s[2 : 2 + k] - share
+    for length in LENGTHS:
+        value = lambda s, x: s[1] / 2 + share @ x + x @ x / (2 * length)  # noqa: B023, E731
+        while True:
+            if np.abs(gap(at)).max() < tolerance:
+                return pull, gap(at), True
+            slope = pull / length - gap(at)
+            if np.abs(slope).max() < STILL:
+                break
+            if passes >= steps:
+                return pull, gap(at), False
+            newton = np.linalg.solve(at[2 + k :].reshape(k, k) + np.eye(k) / length, slope)
+            pulls = [pull - t * newton for t in LADDER]
+            found, passes = summed(pulls), passes + 1
+            values = [value(s, x) for s, x in zip(found, pulls, strict=True)]
+            best = int(np.argmin(values))
+            if values[best] >= value(at, pull):  # nothing left above rounding
+                break
+            pull, at = pulls[best], found[best]
+    return pull, gap(at), True
+
+
+def mixing(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``id_col``, ``n_tokens``, ``domain`` (likeliest), ``posterior`` (in the order of domains), ``rate``, ``copies``, ``converged`` and ``miss``."""
     targets = TARGETS if targets is None else targets
     domains = sorted(targets)
     share = np.array([targets[d] for d in domains], float) / sum(targets.values())
@@ -97,44 +139,14 @@ def mixing(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | Non
 
     unit = F.pmod(F.xxhash64("_id", "_t"), F.lit(1 << 20)) / float(1 << 20)
     rows = cut(docs.select("_id", soft("_t").alias("x"), unit.alias("u")).select("_id", "x.n", "x.p", "u"))
-    k = len(domains)
     cells = cut(rows.groupBy(F.transform("p", lambda v: F.round(v, 6)).alias("p")).agg(F.sum("n").alias("n")).select("n", "p"))
-
-    def summed(outer: bool, residuals: list[np.ndarray], step: float) -> np.ndarray:
-        """Sums over rows of tokens p p' (``outer``) or of tokens y p."""
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            v = np.zeros((k, k) if outer else k)
-            for x in batches:
-                if len(x):
-                    p, n = np.stack(x["p"].to_numpy()), x["n"].to_numpy(float)
-                    v += (p * n[:, None]).T @ p if outer else (n * rates(n, p, residuals, step, ridge)[1]) @ p
-            yield pd.DataFrame({"i": np.arange(v.size), "v": v.ravel()})
-
-        out = np.zeros(k * k if outer else k)
-        for r in cells.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-            out[r.i] = r.v
-        return out
-
-    gram = summed(True, [], 0.0).reshape(k, k)
-    total = max(gram.sum(), 1.0)  # posteriors add up to one: the number of tokens
-    weight = np.linalg.inv(gram / total + FLOOR * np.eye(k))
-    step = 1 / (1 + ridge)  # W gram W' has no eigenvalue above one
-    residuals: list[np.ndarray] = []
-    before = None
-    while len(residuals) < steps:
-        e = summed(False, residuals, step) / total - share
-        # The residual is that of the point a further step would start from; rates are taken there.
-        if np.abs(e).max() < tolerance or (before is not None and np.abs(e - before).max() < 1e-7):
-            break
-        residuals.append(weight @ e)
-        before = e
+    pull, gap, converged = fitted(cells, share, steps, tolerance)
 
     @F.pandas_udf("double")
-    def rated(n: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series(rates(n.to_numpy(float), np.stack(p.to_numpy()), residuals, step, ridge)[1] if len(n) else [], dtype="float64")
+    def rated(p: pd.Series) -> pd.Series:
+        return pd.Series(moved(np.stack(p.to_numpy()), pull) if len(p) else [], dtype="float64")
 
-    out = rows.withColumn("rate", rated("n", "p"))
+    out = rows.withColumn("rate", rated("p"))
     whole = F.floor("rate")
     likeliest = F.element_at(F.array(*map(F.lit, domains)), F.array_position("p", F.array_max("p")).cast("int"))
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_tokens"), likeliest.alias("domain"), F.col("p").alias("posterior"), "rate", (whole + (F.col("u") < F.col("rate") - whole).cast("long")).alias("copies"))
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_tokens"), likeliest.alias("domain"), F.col("p").alias("posterior"), "rate", (whole + (F.col("u") < F.col("rate") - whole).cast("long")).alias("copies"), F.lit(converged).alias("converged"), F.lit(float(np.abs(gap).max(initial=0.0))).alias("miss"))
