@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Bits of a level's filter, and bytes of text that a task counts at a time.
-BITS, BLOCK = 1 << 26, 3 << 19
+BITS, BLOCK = 1 << 25, 3 << 19
 #: One row of ``every`` is in the sample; a phrase is proposed there at this share of the count to be expected.
 EVERY, EASE = 4, 0.75
 #: A-Z to a-z, a tab to a space, the characters that part pieces to a line end.
@@ -63,8 +64,14 @@ def held(gate: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (gate[a >> 3] >> (a & 7).astype(np.uint8) & gate[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def sent(spark: SparkSession, filters: list[bytes]) -> list:
-    return [spark.sparkContext.broadcast(x) for x in filters]
+@contextmanager
+def sent(spark: SparkSession, *filters: list[bytes]) -> Iterator[list[list]]:
+    """Lists of filters as broadcasts, which executors forget afterwards: what is counted with them must be computed by then."""
+    out = [[spark.sparkContext.broadcast(x) for x in part] for part in filters]
+    yield out
+    for part in out:
+        for x in part:
+            x.unpersist()
 
 
 class Block:
@@ -218,16 +225,18 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     enough = max(1, math.ceil(ease * least / every))
     proposal = [b"\0" * (bits // 8)] * (longest - 1)
     for m in range(1, longest):
-        found = hash_counts(sample, (m, m), sent(spark, proposal), block).where(F.col("n") >= enough)
-        proposal[m - 1] = bits_of(found, longest, bits)[m - 1]
+        with sent(spark, proposal) as (new,):
+            found = hash_counts(sample, (m, m), new, block).where(F.col("n") >= enough)
+            proposal[m - 1] = bits_of(found, longest, bits)[m - 1]
     old = proposal
-    hashes = cut(hash_counts(rows, (1, longest), sent(spark, proposal), block).where(F.col("n") >= least))
+    with sent(spark, proposal) as (new,):
+        hashes = cut(hash_counts(rows, (1, longest), new, block).where(F.col("n") >= least))
     hot = bits_of(hashes, longest, bits)
     wider = lambda a, b: [(np.frombuffer(x, np.int64) | np.frombuffer(y, np.int64)).tobytes() for x, y in zip(a, b, strict=False)]
     proposal, known = wider(old, hot), None
     while True:
-        counted = phrase_counts(rows, longest, sent(spark, proposal), sent(spark, old), [] if known else sent(spark, hot), block)
-        found = cut(counted.where((F.col("n") >= least) | (F.col("size") == 0)))
+        with sent(spark, proposal, old, [] if known else hot) as filters:
+            found = cut(phrase_counts(rows, longest, *filters, block).where((F.col("n") >= least) | (F.col("size") == 0)))
         known = known.unionByName(found) if known else found
         old, proposal = proposal, wider(proposal, bits_of(rehashed(found), longest - 1, bits))
         if proposal == old:
