@@ -190,8 +190,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(regions.join(texts.withColumnRenamed("set", "body"), "node"))
     hot = members.where(F.col("size") > region)
     if hot.limit(1).count():
-        parted = regions_of(forest(hot.select("node", deep_sig("body").alias("sig")), *DEEP), region)
-        members = cut(members.where(F.col("size") <= region).unionByName(parted.join(hot.select("node", "body"), "node")))
+        parted = cut(regions_of(forest(hot.select("node", deep_sig("body").alias("sig")), *DEEP), region))
+        members = members.where(F.col("size") <= region).unionByName(parted.join(hot.select("node", "body"), "node"))
     links = region_links(members, set_linker(percent), region)
     comp = connected_components(links)
     named = nodes.select("node", F.col("_id").alias("rep")).join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
