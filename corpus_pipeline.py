@@ -46,8 +46,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id (of equal rows, one)."""
-    groups = minhash_dedup.near_duplicates(named(docs), also=("_name",))
+    """One document of each group of near duplicates by two-word shingles: the one with the least id (of equal rows, one)."""
+    groups = minhash_dedup.near_duplicates(named(docs), k=2, also=("_name",))
     gone = groups.where("doc_id <> component_id").select("_name").distinct()
     kept = named(docs).join(gone, "_name", "left_anti")
     some = F.col("doc_id").isNotNull()
