@@ -1,8 +1,12 @@
 """Bootstrap intervals from sufficient statistics.
 
 Resampling n independent units is a multinomial draw over the counts of their distinct
-values, so cost follows the number of cells, not of rows. Replicates are drawn in blocks that
-Spark deals out, each from a seed of its own, so results do not hang on partitioning.
+values, so cost follows the number of cells, not of rows. Cells are dealt over chunks by a hash; the share of a
+chunk comes from conditional binomials down a tree of chunks, which every chunk draws for itself along its own path, so
+no task sees a whole group. Seeds belong to groups, nodes and blocks of replicates: results do not hang on partitioning.
+
+Whole clusters are resampled by Poisson(1) weights that a hash alone decides: a task multiplies the matrix of weights, block of replicates by
+block of clusters, with the sums of its clusters, and sends one row a replicate.
 """
 
 from __future__ import annotations
@@ -15,7 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 500
+from ..sources.io import settled
+
+#: Replicates and clusters of a block, distinct values of a chunk, and groups that a task holds sums of.
+BLOCK, CLUSTERS, CHUNK, HELD = 500, 2048, 1024, 32
 #: Cumulative Poisson(1) probabilities in units of 2^-32.
 POISSON = (1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609777)
 
@@ -29,22 +36,62 @@ def cells(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
 
 
-def replicates(df: DataFrame, value: str, by: list[str], iterations: int, seed: int) -> DataFrame:
-    """Replicate means of each group: ``group_id``, ``replicate``, ``stat``; the cells of a group travel together."""
-    group = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in by)) if by else F.lit("all")
-    packed = cells(df, value, by).groupBy(group.alias("group_id")).agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("cells"))
-    blocks = -(-iterations // BLOCK)
-    work = packed.select("group_id", "cells", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).repartition("group_id", "block")
+def grouping(by: list[str]) -> Column:
+    return F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in by)) if by else F.lit("all")
+
+
+def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each chunk of a group its path down a binary tree of chunks: the units left of and right of each node, and its side."""
+    for x in batches:
+        for g, chunks in zip(x["group_id"], x["chunks"], strict=True):
+            number = [c["chunk"] for c in chunks]
+            before = np.concatenate([[0], np.cumsum([c["n"] for c in chunks])])
+            rows = []
+            for i in range(len(number)):
+                lo, hi, path = 0, len(number), []
+                while hi - lo > 1:
+                    mid = (lo + hi) // 2
+                    path.append({"node": lo * len(number) + hi, "left": int(before[mid] - before[lo]), "right": int(before[hi] - before[mid]), "goes_left": i < mid})
+                    lo, hi = (lo, mid) if i < mid else (mid, hi)
+                rows.append(path)
+            yield pd.DataFrame({"group_id": g, "chunk": number, "path": rows, "units": int(before[-1])})
+
+
+def replicates(df: DataFrame, value: str, by: list[str], iterations: int, seed: int, chunk: int = CHUNK) -> DataFrame:
+    """Replicate means of each group: ``group_id``, ``replicate``, ``stat`` and ``units``."""
+    each = cells(df, value, by).select(grouping(by).alias("group_id"), "value", "n")
+    size = each.groupBy("group_id").agg(F.ceil(F.count("*") / chunk).alias("parts"))
+    dealt = each.join(size, "group_id").withColumn("chunk", F.pmod(F.xxhash64("value"), F.col("parts")))
+    packed = dealt.groupBy("group_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("cells"), F.sum("n").alias("n"))
+    tree = dealt.groupBy("group_id", "chunk").agg(F.sum("n").alias("n")).groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "n"))).alias("chunks"))
+    ways = tree.mapInPandas(paths, "group_id string, chunk long, path array<struct<node:long,left:long,right:long,goes_left:boolean>>, units long")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, tuple[np.ndarray, int]] = {}
+
+        def flush() -> Iterator[pd.DataFrame]:
+            for g, (total, units) in held.items():
+                yield pd.DataFrame({"group_id": g, "replicate": np.arange(iterations), "s": total, "units": units})
+            held.clear()
+
         for x in batches:
-            for g, c, b in zip(x["group_id"], x["cells"], x["block"], strict=True):
+            for g, c, path, units in zip(x["group_id"], x["cells"], x["path"], x["units"], strict=True):
                 v, n = np.array([r["value"] for r in c]), np.array([r["n"] for r in c])
-                k = min(BLOCK, iterations - b * BLOCK)
-                drawn = np.random.default_rng(_seed(seed, g, b)).multinomial(n.sum(), n / n.sum(), size=k)
-                yield pd.DataFrame({"group_id": g, "replicate": b * BLOCK + np.arange(k), "stat": drawn @ v / n.sum(), "units": int(n.sum())})
-
-    return work.mapInPandas(run, "group_id string, replicate long, stat double, units long")
+                if g not in held and len(held) >= HELD:
+                    yield from flush()
+                total = held.setdefault(g, (np.zeros(iterations), int(units)))[0]
+                for b in range(-(-iterations // BLOCK)):
+                    k = min(BLOCK, iterations - b * BLOCK)
+                    drawn = np.full(k, units)
+                    for step in path:
+                        left = np.random.default_rng(_seed(seed, g, b, step["node"])).binomial(drawn, step["left"] / (step["left"] + step["right"]))
+                        drawn = left if step["goes_left"] else drawn - left
+                    own = _seed(seed, g, b) if not len(path) else _seed(seed, g, b, "chunk", path[-1]["node"], path[-1]["goes_left"])
+                    total[b * BLOCK : b * BLOCK + k] += np.random.default_rng(own).multinomial(drawn, n / n.sum()) @ v
+        yield from flush()
+
+    sums = packed.drop("n").join(ways, ["group_id", "chunk"]).repartition("group_id", "chunk").mapInPandas(run, "group_id string, replicate long, s double, units long")
+    return sums.groupBy("group_id", "replicate").agg((F.sum("s") / F.max("units")).alias("stat"), F.max("units").alias("units"))
 
 
 def interval(reps: DataFrame, confidence: float = 0.95, interpolate: bool = False) -> DataFrame:
@@ -99,9 +146,8 @@ def table_cells(human: str, judge: str) -> list[Column]:
 
 def table_interval(df: DataFrame, human: str, judge: str, statistic: str, by: list[str] = (), iterations: int = 10_000, seed: int = 20260818) -> DataFrame:
     """Interval over independent units of a statistic (SQL text) of the nine cells: a multinomial over the cells of each group."""
-    group = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in by)) if by else F.lit("all")
     names = [f"n_{h}_{j}" for h in CLASSES for j in CLASSES]
-    packed = df.groupBy(group.alias("group_id")).agg(*table_cells(human, judge)).select("group_id", F.array(*names).alias("cells"))
+    packed = df.groupBy(grouping(by).alias("group_id")).agg(*table_cells(human, judge)).select("group_id", F.array(*names).alias("cells"))
     work = packed.select("group_id", "cells", F.explode(F.sequence(F.lit(0), F.lit(-(-iterations // BLOCK) - 1))).alias("block")).repartition("group_id", "block")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,21 +162,73 @@ def table_interval(df: DataFrame, human: str, judge: str, statistic: str, by: li
     return interval(reps.select("group_id", "replicate", "units", F.expr(statistic).alias("stat")))
 
 
-def clustered_statistic(df: DataFrame, cluster: str, sums: list[Column], statistic: str, iterations: int, seed: int) -> DataFrame:
-    """Replicates of an estimator that is applied anew to whole resampled clusters: ``replicate``, the weighted sums and ``stat``.
+def hash_weights(units: list[str], replicates: range, seed: int) -> np.ndarray:
+    """``poisson_weight`` as a matrix, replicates by units."""
+    digits = np.array([[int.from_bytes(sha256(f"{seed}:{u}:{r}".encode()).digest()[:4], "big") for u in units] for r in replicates], np.int64)
+    return np.searchsorted(np.array(POISSON), digits, side="right")
+
+
+def mixed_weights(units: list[str], replicates: range, seed: int) -> np.ndarray:
+    """Poisson(1) weights from one digest a unit and a 64-bit mix: for many clusters."""
+    h = np.array([int.from_bytes(sha256(f"{seed}:{u}".encode()).digest()[:8], "big") for u in units], np.uint64)
+    x = h[None, :] + np.arange(replicates.start + 1, replicates.stop + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x = (x ^ (x >> np.uint64(31))) >> np.uint64(32)
+    return sum((x >= np.uint64(t)).astype(np.int64) for t in POISSON)
 
-    ``sums``: named aggregates that say all of a cluster that the estimator needs (counts after its own eligibility).
-    ``statistic``: its SQL text over their weighted sums; null where it cannot be estimated.
+
+WEIGHTS = {"sha256": hash_weights, "mixed": mixed_weights}
+
+
+def clustered_sums(df: DataFrame, cluster: str, sums: list[Column], iterations: int, seed: int, weights: str = "sha256") -> DataFrame:
+    """Weighted sums of each replicate over whole resampled clusters: ``replicate`` and the names of ``sums``.
+
+    ``sums``: named aggregates, whole numbers, that say all of a cluster that an estimator needs (counts after its own eligibility).
+    Without clusters there are no rows. A null cluster is one of its own. The result of ``sha256`` weights is that of ``poisson_weight`` row by row;
+    ``mixed`` weights cost a digest a cluster instead of one a cluster and replicate.
     """
     c = df.groupBy(cluster).agg(*sums)
     names = [x for x in c.columns if x != cluster]
-    w = poisson_weight(F.col(cluster), F.col("replicate"), seed)
-    reps = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("replicate")).withColumn("_w", w)
-    g = reps.groupBy("replicate").agg(*(F.sum(F.col("_w") * F.col(n)).alias(n) for n in names))
-    return g.select("replicate", *names, F.expr(statistic).alias("stat"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = c.select(F.coalesce(F.col(cluster).cast("string"), F.lit("None")).alias("_unit"), *(F.coalesce(F.col(n).cast("long"), F.lit(0)).alias(n) for n in names)).repartition(parts)
 
-
-def clustered_bootstrap(df: DataFrame, cluster: str, value: str, iterations: int, seed: int) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for x in batches:
+            for at in range(0, len(x), CLUSTERS):
+                part = x.iloc[at : at + CLUSTERS]
+                units, values = part["_unit"].tolist(), part[names].to_numpy(np.int64)
+                total = np.zeros((iterations, len(names)), np.int64) if total is None else total
+                for b in range(0, iterations, BLOCK):
+                    block = range(b, min(b + BLOCK, iterations))
+                    total[block.start : block.stop] += WEIGHTS[weights](units, block, seed) @ values
+        if total is not None:
+            yield pd.DataFrame({"replicate": np.arange(iterations), **{n: total[:, i] for i, n in enumerate(names)}})
+
+    sent = rows.mapInPandas(run, "replicate long, " + ", ".join(f"{n} long" for n in names))
+    return sent.groupBy("replicate").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def clustered_statistic(df: DataFrame, cluster: str, sums: list[Column], statistic: str, iterations: int = 10_000, seed: int = 20260818, weights: str = "sha256") -> DataFrame:
+    """``clustered_sums`` and ``stat``, an estimator (SQL text over the sums) that is applied anew to each replicate; null where it cannot be estimated."""
+    return clustered_sums(df, cluster, sums, iterations, seed, weights).select("*", F.expr(statistic).alias("stat"))
+
+
+def clustered_report(df: DataFrame, cluster: str, sums: list[Column], statistics: dict[str, str], iterations: int = 10_000, seed: int = 20260818, weights: str = "sha256") -> DataFrame:
+    """One row for each of several estimators over the same replicates: point, interval, clusters, replicates, valid and non-estimable ones, and the most rows of a cluster."""
+    reps = settled(clustered_sums(df, cluster, sums, iterations, seed, weights))
+    long = reps.select("replicate", F.explode(F.map_from_arrays(F.array(*map(F.lit, statistics)), F.array(*map(F.expr, statistics.values())))).alias("group_id", "stat"))
+    size = df.groupBy(cluster).agg(F.count("*").alias("n")).agg(F.count("*").alias("clusters"), F.max("n").alias("multiplicity"))
+    total = df.agg(*sums)
+    points = total.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, statistics)), F.array(*map(F.expr, statistics.values())))).alias("metric", "point"))
+    ci = interval(long.join(F.broadcast(size.select(F.col("clusters").alias("units")))))
+    valid = long.groupBy(F.col("group_id").alias("metric")).agg(F.count("*").alias("bootstrap_replicates"), F.count_if(F.col("stat").isNotNull() & ~F.isnan("stat")).alias("valid_replicates"))
+    out = points.join(valid, "metric", "left").join(ci.select(F.col("group_id").alias("metric"), "ci_low", "ci_high"), "metric", "left").join(F.broadcast(size))
+    return out.withColumn("non_estimable_replicates", F.col("bootstrap_replicates") - F.col("valid_replicates"))
+
+
+def clustered_bootstrap(df: DataFrame, cluster: str, value: str, iterations: int = 10_000, seed: int = 20260818) -> DataFrame:
     """Weighted replicate means over whole clusters: one row of sums for each cluster, then weights.
 
     ``value`` is a small integer (0/1, or a delta); a replicate without weight is null and counted.
@@ -147,7 +245,10 @@ def clustered_interval(reps: DataFrame, clusters: int) -> DataFrame:
 
 
 def compare_intervals(official: DataFrame, clustered: DataFrame, null_value: float = 0.0) -> DataFrame:
-    """Widths, their difference, and whether the null value changes sides."""
-    j = official.select("metric", F.col("ci_low").alias("lo1"), F.col("ci_high").alias("hi1")).join(clustered.select("metric", F.col("ci_low").alias("lo2"), F.col("ci_high").alias("hi2")), "metric")
+    """Widths, their difference, and whether the null value changes sides; further columns of ``clustered`` (counts of replicates, clusters, multiplicity) stay."""
+    more = [c for c in clustered.columns if c not in ("metric", "ci_low", "ci_high")]
+    j = official.select("metric", F.col("ci_low").alias("lo1"), F.col("ci_high").alias("hi1")).join(clustered.select("metric", F.col("ci_low").alias("lo2"), F.col("ci_high").alias("hi2"), *more), "metric")
     inside = lambda lo, hi: (F.col(lo) <= null_value) & (F.col(hi) >= null_value)
-    return j.select("metric", (F.col("hi1") - F.col("lo1")).alias("official_width"), (F.col("hi2") - F.col("lo2")).alias("clustered_width"), (F.col("hi2") - F.col("lo2") - F.col("hi1") + F.col("lo1")).alias("width_difference"), inside("lo1", "hi1").alias("null_inside_official"), inside("lo2", "hi2").alias("null_inside_clustered"), (inside("lo1", "hi1") != inside("lo2", "hi2")).alias("changed"))
+    widths = ((F.col("hi1") - F.col("lo1")).alias("official_width"), (F.col("hi2") - F.col("lo2")).alias("clustered_width"), (F.col("hi2") - F.col("lo2") - F.col("hi1") + F.col("lo1")).alias("width_difference"))
+    changed = F.coalesce(inside("lo1", "hi1") != inside("lo2", "hi2"), F.lit(False))
+    return j.select("metric", *widths, inside("lo1", "hi1").alias("null_inside_official"), inside("lo2", "hi2").alias("null_inside_clustered"), changed.alias("changed"), *more)

@@ -332,18 +332,18 @@ def stratified_bootstrap(spark, sf_dir):
 
 
 _pw = "case " + " ".join(f"when hh < {t} then {k}" for k, t in enumerate(B.POISSON)) + f" else {len(B.POISSON)} end"
-_cl = f"cl as (select question_id, cast(sum(cast(outcome = human_label as int)) as bigint) as s, count(*) as n from passes where presentation = 'AB' and human_label is not null and outcome in ('ANSWER_A', 'ANSWER_B', 'TIE') group by 1), rep as (select question_id, s, n, replicate, h('7:' || cast(question_id as string) || ':' || cast(replicate as string)) as hh from cl, range(0, 200) as r(replicate)), wt as (select replicate, cast(sum({_pw} * s) as bigint) as ws, cast(sum({_pw} * n) as bigint) as wn from rep group by 1), st as (select replicate, ws, wn, case when wn > 0 then ws / cast(wn as double) end as stat from wt)"
+_cl = f"cl as (select question_id, cast(sum(cast(outcome = human_label as int)) as bigint) as s, count(*) as n from passes where presentation = 'AB' and human_label is not null and outcome in ('ANSWER_A', 'ANSWER_B', 'TIE') group by 1), rep as (select question_id, s, n, replicate, h('7:' || cast(question_id as string) || ':' || cast(replicate as string)) as hh from cl, range(0, 10000) as r(replicate)), wt as (select replicate, cast(sum({_pw} * s) as bigint) as ws, cast(sum({_pw} * n) as bigint) as wn from rep group by 1), st as (select replicate, ws, wn, case when wn > 0 then ws / cast(wn as double) end as stat from wt)"
 
 
 @query(duck(f"with {_cl} select * from st"))
 def clustered_bootstrap(spark, sf_dir):
-    return B.clustered_bootstrap(_correct(spark, sf_dir), "question_id", "ok", 200, 7)
+    return B.clustered_bootstrap(_correct(spark, sf_dir), "question_id", "ok", 10_000, 7)
 
 
 @query(duck(f"with {_cl}, k as (select *, row_number() over (order by stat, replicate) - 1 as k, count(*) over () as n from st where stat is not null) select 'clustered' as group_id, count(*) as replicates, max(stat) filter (where k = cast(floor(0.025 * (n - 1)) as bigint)) as ci_low, max(stat) filter (where k = cast(floor(0.975 * (n - 1)) as bigint)) as ci_high, (select count(*) from st where stat is null) as non_estimable from k"))
 def clustered_interval(spark, sf_dir):
     df = _correct(spark, sf_dir)
-    return B.clustered_interval(B.clustered_bootstrap(df, "question_id", "ok", 200, 7), 80)
+    return B.clustered_interval(B.clustered_bootstrap(df, "question_id", "ok", 10_000, 7), 80)
 
 
 @query(duck("with a as (select judge as metric, min(outcome_n) / 100.0::double as lo, max(outcome_n) / 100.0::double as hi from (select judge, category, count(*) - 60 as outcome_n from passes group by 1, 2) group by 1), b as (select metric, lo / 2 as lo2, hi * 2 as hi2 from a) select a.metric, hi - lo as official_width, hi2 - lo2 as clustered_width, hi2 - lo2 - hi + lo as width_difference, lo <= 0 and hi >= 0 as null_inside_official, lo2 <= 0 and hi2 >= 0 as null_inside_clustered, (lo <= 0 and hi >= 0) <> (lo2 <= 0 and hi2 >= 0) as changed from a join b on a.metric = b.metric"))
@@ -370,9 +370,9 @@ def _labels(spark, sf_dir):
     return table(spark, sf_dir, "passes").where("presentation = 'AB'").select("question_id", "pair_id", "judge", F.col("human_label").alias("hl"), F.col("outcome").alias("jl"))
 
 
-@query(duck(f"with {_clustered_sql(_tab, 'question_id', _cells, B.KAPPA, 200, 7, 'st')} select * from st"))
+@query(duck(f"with {_clustered_sql(_tab, 'question_id', _cells, B.KAPPA, 10_000, 7, 'st')} select * from st"))
 def clustered_kappa(spark, sf_dir):
-    return B.clustered_statistic(_labels(spark, sf_dir), "question_id", B.table_cells("hl", "jl"), B.KAPPA, 200, 7)
+    return B.clustered_statistic(_labels(spark, sf_dir), "question_id", B.table_cells("hl", "jl"), B.KAPPA, 10_000, 7)
 
 
 @query()
@@ -386,11 +386,11 @@ _flip = {"decisive": f"count(*) filter (where a in {_dec} and b in {_dec})", "fl
 _RATE = "case when decisive > 0 then flips / cast(decisive as double) end"
 
 
-@query(duck(f"with {_clustered_sql(_swap, 'question_id', _flip, _RATE, 200, 7, 'st')} select * from st"))
+@query(duck(f"with {_clustered_sql(_swap, 'question_id', _flip, _RATE, 10_000, 7, 'st')} select * from st"))
 def clustered_flip_rate(spark, sf_dir):
     s = E.swap_pairs(core.canonical_passes(spark, sf_dir), ["pair_id", "judge", "question_id"])
     both = F.col("pass_ab").isin("ANSWER_A", "ANSWER_B") & F.col("pass_ba").isin("ANSWER_A", "ANSWER_B")
-    return B.clustered_statistic(s, "question_id", [F.count_if(both).alias("decisive"), F.count_if(both & (F.col("pass_ab") != F.col("pass_ba"))).alias("flips")], _RATE, 200, 7)
+    return B.clustered_statistic(s, "question_id", [F.count_if(both).alias("decisive"), F.count_if(both & (F.col("pass_ab") != F.col("pass_ba"))).alias("flips")], _RATE, 10_000, 7)
 
 
 _v = "('ANSWER_A', 'ANSWER_B', 'TIE')"
@@ -399,30 +399,21 @@ _coverage = {"n": "count(*)", "gain": f"count(*) filter (where a = b and a in {_
 _DELTA = "case when n > 0 then gain / cast(n as double) end"
 
 
-@query(duck(f"with {_clustered_sql(_cover, 'question_id', _coverage, _DELTA, 200, 7, 'st')} select * from st"))
+@query(duck(f"with {_clustered_sql(_cover, 'question_id', _coverage, _DELTA, 10_000, 7, 'st')} select * from st"))
 def clustered_coverage_delta(spark, sf_dir):
     """Coverage of the stable label of a swap less that of the baseline."""
     s = E.swap_pairs(core.canonical_passes(spark, sf_dir), ["pair_id", "judge", "question_id"]).join(table(spark, sf_dir, "baseline"), ["pair_id", "judge"])
     valid = lambda c: F.col(c).isin("ANSWER_A", "ANSWER_B", "TIE")
     stable = (F.col("pass_ab") == F.col("pass_ba")) & valid("pass_ab")
-    return B.clustered_statistic(s, "question_id", [F.count("*").alias("n"), (F.count_if(stable) - F.count_if(valid("baseline_label"))).alias("gain")], _DELTA, 200, 7)
+    return B.clustered_statistic(s, "question_id", [F.count("*").alias("n"), (F.count_if(stable) - F.count_if(valid("baseline_label"))).alias("gain")], _DELTA, 10_000, 7)
 
 
 _METRICS = {"exact_agreement": B.AGREEMENT, "cohens_kappa": B.KAPPA}
-_ends = lambda st: f"select max(stat) filter (where k = cast(floor(0.025 * (n - 1)) as bigint)) as lo, max(stat) filter (where k = cast(floor(0.975 * (n - 1)) as bigint)) as hi from (select *, row_number() over (order by stat, replicate) - 1 as k, count(*) over () as n from {st} where stat is not null)"
-_both = ", ".join(_clustered_sql(_tab, unit, _cells, s, 60, 7, f"{m}_{unit}") for m, s in _METRICS.items() for unit in ("pair_id", "question_id"))
 
 
-@query(duck(f"with {_both} " + " union all ".join(f"select '{m}' as metric, a.hi - a.lo as official_width, b.hi - b.lo as clustered_width, b.hi - b.lo - a.hi + a.lo as width_difference, a.lo <= 0 and a.hi >= 0 as null_inside_official, b.lo <= 0 and b.hi >= 0 as null_inside_clustered, (a.lo <= 0 and a.hi >= 0) <> (b.lo <= 0 and b.hi >= 0) as changed from ({_ends(f'{m}_pair_id')}) a cross join ({_ends(f'{m}_question_id')}) b" for m in _METRICS)))
+@query()
 def interval_changes(spark, sf_dir):
-    """Intervals of agreement and kappa over pairs, and over whole questions."""
+    """Intervals of agreement and kappa over independent passes, and over whole questions."""
     rows = _labels(spark, sf_dir)
-
-    def of(unit):
-        made = []
-        for m, s in _METRICS.items():
-            reps = B.clustered_statistic(rows, unit, B.table_cells("hl", "jl"), s, 60, 7).select(F.lit(m).alias("group_id"), "replicate", "stat", F.lit(2).alias("units"))
-            made.append(B.interval(reps))
-        return made[0].unionByName(made[1]).withColumnRenamed("group_id", "metric")
-
-    return B.compare_intervals(of("pair_id"), of("question_id"))
+    one = lambda m: B.table_interval(rows, "hl", "jl", _METRICS[m]).select(F.lit(m).alias("metric"), "ci_low", "ci_high")
+    return B.compare_intervals(one("exact_agreement").unionByName(one("cohens_kappa")), B.clustered_report(rows, "question_id", B.table_cells("hl", "jl"), _METRICS, seed=7))
