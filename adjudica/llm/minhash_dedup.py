@@ -27,6 +27,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -100,14 +101,20 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
 def forest(nodes: DataFrame, trees: int, depth: int) -> DataFrame:
     """Candidate edges ``a``-``b``: neighbours in each of ``trees`` sorted orders that share a prefix of ``depth`` minhashes."""
 
-    @F.pandas_udf("array<struct<bucket:long,path:long>>")
-    def orders(sigs: pd.Series) -> pd.Series:
-        out = []
-        for s in sigs:
-            s2 = s + s[: 4 * depth + 16]
-            # The prefix by its hash, half of each of the next four minhashes as they are.
-            out.append([{"bucket": xxhash.xxh64_intdigest(s[4 * i : 4 * (i + depth)], i) - 2**63, "path": int.from_bytes(s2[4 * (i + depth) : 4 * (i + depth) + 16 : 2], "big", signed=True)} for i in range(0, trees * depth, depth)])
-        return pd.Series(out)
+    def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sig = np.frombuffer(b"".join(part["sig"].to_pylist()), ">u4").astype(np.uint64).reshape(part.num_rows, -1)
+                for i in range(0, trees * depth, depth):
+                    # The prefix by its hash, the upper half of each of the next four minhashes as it is.
+                    bucket, path = np.full(len(sig), i + 1, np.uint64), np.zeros(len(sig), np.uint64)
+                    for j in range(depth):
+                        bucket = (bucket ^ sig[:, i + j]) * MIX
+                        bucket ^= bucket >> np.uint64(29)
+                    for j in range(4):
+                        path = path << np.uint64(16) | sig[:, (i + depth + j) % (trees * depth)] >> np.uint64(16)
+                    yield pa.RecordBatch.from_arrays([pa.array((bucket * MIX2).view(np.int64)), pa.array(path.view(np.int64)), part["node"]], ["bucket", "path", "node"])
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, last, part = None, None, TaskContext.get().partitionId()
@@ -126,7 +133,7 @@ def forest(nodes: DataFrame, trees: int, depth: int) -> DataFrame:
         if at is not None:
             yield edge([at], [last], [None], [2 * part + 1])
 
-    rows = nodes.select("node", F.explode(orders("sig")).alias("x")).select("x.bucket", "x.path", "node")
+    rows = nodes.select("node", "sig").mapInArrow(orders, "bucket long, path long, node binary")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, "bucket", "path", "node").sortWithinPartitions("bucket", "path", "node")
     found = cut(rows.mapInPandas(pairs, "bucket long, a binary, b binary, part int"))
