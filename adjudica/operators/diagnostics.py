@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +11,6 @@ from ..sources.io import settled
 from .metrics import by_groups, n_if
 
 
-
 def model_pair() -> list[Column]:
     return [F.least("model_a", "model_b").alias("m1"), F.greatest("model_a", "model_b").alias("m2")]
 
@@ -180,100 +174,6 @@ def pair_edges(d: DataFrame) -> DataFrame:
     return rows.groupBy("m1", "m2").agg(n_if(F.col("o") == "i").alias("w_ij"), n_if(F.col("o") == "j").alias("w_ji"), n_if(F.col("o") == "t").alias("t_ij"))
 
 
-def fit_davidson(edges: pd.DataFrame, prior: float = 0.0, tol: float = 1e-10, steps: int = 20_000) -> tuple[dict[str, float], float, float, bool]:
-    """Davidson's tie model by minorise-maximise: scores (first model 0), tie parameter, log-likelihood, converged.
-
-    A model that never loses has no finite score: ``prior`` adds wins to both sides of each edge.
-    """
-    names = sorted({*edges["m1"], *edges["m2"]})
-    at = {m: i for i, m in enumerate(names)}
-    i, j = edges["m1"].map(at).to_numpy(int), edges["m2"].map(at).to_numpy(int)
-    w, v, t = (edges[c].to_numpy(float) for c in ("w_ij", "w_ji", "t_ij"))
-    w, v = w + prior, v + prior
-    n = w + v + t
-    score = np.zeros(len(names))
-    np.add.at(score, i, w + t / 2)
-    np.add.at(score, j, v + t / 2)
-    p, nu, done = np.ones(len(names)), 1.0, not len(names)
-    for _ in range(steps if len(names) else 0):
-        root = np.sqrt(p[i] * p[j])
-        den = p[i] + p[j] + nu * root
-        d = np.zeros(len(names))
-        np.add.at(d, i, n / den * (1 + nu / 2 * np.sqrt(p[j] / p[i])))
-        np.add.at(d, j, n / den * (1 + nu / 2 * np.sqrt(p[i] / p[j])))
-        new = np.where(score > 0, score / np.maximum(d, 1e-300), p * 0.5)
-        new /= np.exp(np.log(np.maximum(new, 1e-300)).mean())
-        ties = (n * root / den).sum()
-        new_nu = t.sum() / ties if ties > 0 else 0.0
-        moved = max(np.abs(np.log(np.maximum(new, 1e-300)) - np.log(np.maximum(p, 1e-300))).max(), abs(new_nu - nu))
-        p, nu = new, new_nu
-        if moved < tol:
-            done = True
-            break
-    theta = np.log(np.maximum(p, 1e-300))
-    root = np.sqrt(p[i] * p[j])
-    den = p[i] + p[j] + nu * root
-    ll = float((w * np.log(p[i] / den) + v * np.log(p[j] / den)).sum() + (t[t > 0] * np.log((nu * root / den)[t > 0])).sum()) if len(names) else 0.0
-    theta = theta - theta[0] if len(names) else theta
-    return dict(zip(names, theta.tolist(), strict=True)), math.log(nu) if nu > 0 else -math.inf, ll, done
-
-
-def spread_davidson(edges: DataFrame, prior: float = 0.0, tol: float = 1e-8, steps: int = 200) -> DataFrame:
-    """The fit of ``fit_davidson`` as joins and groupings: a step reads the settled edges once, and abilities are settled after it."""
-    e = settled(edges.select("m1", "m2", (F.col("w_ij") + prior).alias("w"), (F.col("w_ji") + prior).alias("v"), F.col("t_ij").cast("double").alias("t")))
-    both = lambda a, b: F.inline(F.array(F.struct(F.col("m1").alias("model"), a.alias("x")), F.struct(F.col("m2").alias("model"), b.alias("x"))))
-    score = settled(e.select(both(F.col("w") + F.col("t") / 2, F.col("v") + F.col("t") / 2)).groupBy("model").agg(F.sum("x").alias("score")))
-    ties = e.agg(F.coalesce(F.sum("t"), F.lit(0.0))).first()[0]
-    p, nu, done = score.select("model", "score", F.lit(1.0).alias("p")), 1.0, False
-    n, root = F.col("w") + F.col("v") + F.col("t"), F.sqrt(F.col("p1") * F.col("p2"))
-
-    def met(p: DataFrame) -> DataFrame:
-        side = lambda i: p.select(F.col("model").alias(f"m{i}"), F.col("p").alias(f"p{i}"))
-        return e.join(side(1), "m1").join(side(2), "m2")
-
-    for _ in range(steps):
-        j = met(p).withColumn("den", F.col("p1") + F.col("p2") + nu * root)
-        pull = lambda a, b: n / F.col("den") * (1 + nu / 2 * F.sqrt(F.col(b) / F.col(a)))
-        d = j.select(both(pull("p1", "p2"), pull("p2", "p1"))).groupBy("model").agg(F.sum("x").alias("d"))
-        new = settled(p.join(d, "model").select("model", "score", F.col("p").alias("old"), F.greatest(F.lit(1e-300), F.when(F.col("score") > 0, F.col("score") / F.col("d")).otherwise(F.col("p") / 2)).alias("p")))
-        mean = new.agg(F.avg(F.log("p"))).first()[0]
-        if mean is None:
-            return p.select("model", F.lit(0.0).alias("score"), F.lit(0.0).alias("tie_parameter"), F.lit(0.0).alias("log_likelihood"), F.lit(True).alias("converged"))
-        seen = j.agg(F.sum(n * root / F.col("den"))).first()[0]
-        moved = new.agg(F.max(F.abs(F.log("p") - mean - F.log("old")))).first()[0]
-        p, before, nu = new.select("model", "score", (F.col("p") / math.exp(mean)).alias("p")), nu, ties / seen if seen else 0.0
-        if max(moved, abs(nu - before)) < tol:
-            done = True
-            break
-    j = met(p).withColumn("den", F.col("p1") + F.col("p2") + nu * root)
-    gain = F.col("w") * F.log(F.col("p1") / F.col("den")) + F.col("v") * F.log(F.col("p2") / F.col("den")) + F.when(F.col("t") > 0, F.col("t") * F.log(nu * root / F.col("den"))).otherwise(0.0)
-    likelihood = j.agg(F.sum(gain)).first()[0]
-    zero = p.agg(F.min_by(F.log("p"), "model")).first()[0]
-    return p.select("model", (F.log("p") - zero).alias("score"), F.lit(math.log(nu) if nu > 0 else -math.inf).alias("tie_parameter"), F.lit(likelihood).alias("log_likelihood"), F.lit(done).alias("converged"))
-
-
-MAX_MODELS = 10_000
-
-
-def bradley_terry(edges: DataFrame, prior: float = 0.0, most: int = MAX_MODELS) -> DataFrame:
-    """Scores of all models. The edge table has a row for each model pair, not for each decision; it is computed once.
-
-    Its models are counted: up to ``most`` one task fits them, more are fitted by joins over all executors.
-    """
-    edges = settled(edges)
-    if edges.select("m1").union(edges.select("m2")).distinct().count() > most:
-        return spread_davidson(edges, prior)
-    schema = "model string, score double, tie_parameter double, log_likelihood double, converged boolean"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [b for b in batches if len(b)]
-        if got:
-            theta, gamma, ll, done = fit_davidson(pd.concat(got), prior)
-            yield pd.DataFrame({"model": list(theta), "score": list(theta.values()), "tie_parameter": gamma, "log_likelihood": ll, "converged": done})
-
-    return edges.coalesce(1).mapInPandas(run, schema)
-
-
 def rank_models(scores: DataFrame) -> DataFrame:
     """Rank by score, tier and provider bucket."""
     m = F.col("model")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import tails
 from ..functions.text import format_type
 from ..operators import bootstrap as B
+from ..operators import davidson as V
 from ..operators import estimators as E
 from ..operators import diagnostics as D
 from ..operators import pairs as P
@@ -294,13 +295,25 @@ def pair_edges(spark, sf_dir):
 
 @query()
 def bradley_terry(spark, sf_dir):
-    return D.rank_models(D.bradley_terry(D.pair_edges(history(spark, sf_dir))))
+    return D.rank_models(V.bradley_terry(D.pair_edges(history(spark, sf_dir))))
+
+
+_edges = "o as (select m1, m2, case when winner_id is null then 't' when (winner_id = answer_a_id) = (model_a < model_b) then 'i' else 'j' end as o from mp where model_a <> model_b)"
+
+
+@query(duck(f"with {WIDE}, {_edges}, s as (select m1 as model, case o when 'i' then 1.0 when 't' then 0.5 else 0.0 end as x from o union all select m2, case o when 'j' then 1.0 when 't' then 0.5 else 0.0 end from o) select model, cast(round(sum(x), 3) as double) as expected, cast(sum(x) as double) as won, true as converged from s group by 1"))
+def davidson_points(spark, sf_dir):
+    """At the maximum the points that the fit expects of a model are those it won: the gradient vanishes."""
+    edges = D.pair_edges(history(spark, sf_dir))
+    scores = V.bradley_terry(edges)
+    points = V.expected_points(edges, scores).join(scores.select("model", "converged"), "model")
+    return points.select("model", F.round("expected", 3).alias("expected"), "won", "converged")
 
 
 @query()
 def leaderboard(spark, sf_dir):
     d = history(spark, sf_dir)
-    return P.leaderboard(D.rank_models(D.bradley_terry(D.pair_edges(d))), D.neutralized_scores(D.cv_residuals(d)))
+    return P.leaderboard(D.rank_models(V.bradley_terry(D.pair_edges(d))), D.neutralized_scores(D.cv_residuals(d)))
 
 
 @query(duck(f"with {WIDE}, p as (select wc_a - wc_b as x, case when winner_id is null then 0.5 when winner_id = answer_a_id then 1.0 else 0.0 end as y from hd), r as (select 2 * rank() over (order by x) + count(*) over (partition by x) - 1 as a, 2 * rank() over (order by y) + count(*) over (partition by y) - 1 as b from p), s as (select cast(count(*) as double) as n, cast(sum(a) as double) as sa, cast(sum(b) as double) as sb, cast(sum(a * a) as double) as saa, cast(sum(b * b) as double) as sbb, cast(sum(a * b) as double) as sab from r) select n, round((n * sab - sa * sb) / sqrt((n * saa - sa * sa) * (n * sbb - sb * sb)), 10) as rho from s"))

@@ -75,29 +75,3 @@ def test_dense_ids_follow_the_keys(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 500).alias("k"), (F.col("id") % 2).cast("string").alias("s"))
     got = [tuple(r) for r in dense_ids(df, ["k", "s"], "n").select("n", "k", "s").collect()]
     assert sorted(got) == [(i, *k) for i, k in enumerate(sorted({(r.k, r.s) for r in df.collect()}), 1)]
-
-
-def test_spread_davidson_equals_the_local_fit(spark):
-    from adjudica.operators import diagnostics as D
-
-    rows = [(f"m{i}", f"m{j}", 3 + (7 * i + j) % 5, 2 + (i + 3 * j) % 4, (i * j) % 3) for i in range(6) for j in range(i + 1, 6)]
-    edges = spark.createDataFrame(rows, "m1 string, m2 string, w_ij long, w_ji long, t_ij long")
-    # The same iterates, step by step.
-    theta, gamma, ll, _ = D.fit_davidson(edges.toPandas(), steps=6)
-    for r in D.spread_davidson(edges, steps=6).collect():
-        assert abs(r.score - theta[r.model]) < 1e-9 and abs(r.tie_parameter - gamma) < 1e-9 and abs(r.log_likelihood - ll) < 1e-6 and not r.converged
-    assert D.bradley_terry(edges.where("m1 is null"), most=-1).count() == 0
-    one = sorted(map(tuple, D.bradley_terry(edges).collect()))
-    assert all(r[4] for r in one)
-    # At the maximum the gradient of the log-likelihood vanishes: expected points equal points won.
-    theta, nu = {r[0]: r[1] for r in one}, math.exp(one[0][2])
-    for m in theta:
-        gap = 0.0
-        for i, j, w, v, t in rows:
-            if m in (i, j):
-                p, q = math.exp(theta[i]), math.exp(theta[j])
-                tie = nu * math.sqrt(p * q)
-                den = p + q + tie
-                mine = (p if m == i else q) / den + tie / den / 2
-                gap += (w if m == i else v) + t / 2 - (w + v + t) * mine
-        assert abs(gap) < 1e-4
