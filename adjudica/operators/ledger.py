@@ -27,6 +27,32 @@ def complete_cases(logical: DataFrame, repetitions: DataFrame) -> DataFrame:
     return one.unionByName(five).unionByName(both)
 
 
+#: What makes a linked unit complete, by question: its size, and the key that links its passes.
+LINKED = {"RQ1": 1, "RQ2": 5, "RQ3": 2, "RQ4": 2, "RQ5": 2, "RQ7_PRIMARY": 3}
+
+
+def linked_populations(logical: DataFrame) -> DataFrame:
+    """Planned and complete units of each question in one pass, each linked by its own key.
+
+    RQ1 counts single observations; RQ2 cells of five repetitions of one pairing, judge, condition, temperature and top_p; RQ3 units with an
+    AB and a BA pass; RQ4 and RQ5 matched pairs of a unit; RQ7_PRIMARY triplets of a pairing and judge. A unit is complete if it has
+    exactly its size and no outcome is missing; RQ3 asks for both orders instead of a size. Questions without rows have zeros; others are left out.
+    """
+    q = F.col("rq_code")
+    text = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
+    unit = cases((q == "RQ2", text("pairing_key", "judge", "condition_code", "temperature", "top_p")), (q.isin("RQ3", "RQ4", "RQ5"), text("unit_id")), (q == "RQ7_PRIMARY", text("pairing_key", "judge")))
+    p, known = F.col("presentation"), F.col("outcome").isNotNull()
+    g = logical.where(q.isin(*LINKED)).groupBy("rq_code", unit.alias("unit")).agg(F.count("*").alias("n"), n_if(known).alias("known"), n_if(p == "AB").alias("ab"), n_if(p == "BA").alias("ba"))
+    size = cases(*((q == k, F.lit(n)) for k, n in LINKED.items()))
+    both = (F.col("ab") > 0) & (F.col("ba") > 0) & (F.col("ab") + F.col("ba") == F.col("n"))
+    whole = (F.col("known") == F.col("n")) & F.when(q == "RQ3", both).otherwise(F.col("n") == size)
+    one = q == "RQ1"
+    counts = g.groupBy("rq_code").agg(F.sum(F.when(one, F.col("n")).otherwise(1)).alias("planned"), F.sum(F.when(one, F.col("known")).otherwise(whole.cast("long"))).alias("complete"))
+    every = logical.sparkSession.createDataFrame([(k,) for k in LINKED], "rq_code string")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return every.join(counts, "rq_code", "left").select("rq_code", zero("planned"), zero("complete"))
+
+
 def lineage_counts(logical: DataFrame) -> DataFrame:
     return logical.groupBy("rq_code", "source").agg(F.count("*").alias("n"), n_if(F.col("outcome").isNull()).alias("terminal_missing"))
 
@@ -159,6 +185,27 @@ def vote_accounting(slots: DataFrame) -> DataFrame:
     return by_groups(slots, (("judge",), ("category",)), F.count("*").alias("planned"), n_if(done).alias("completed"), n_if(s == "FAILED").alias("failed"), n_if(s == "AMBIGUOUS").alias("ambiguous"), n_if(done & v.isNotNull()).alias("valid_votes"), n_if(done & (v == "TIE")).alias("ties"), n_if(done & v.isNull()).alias("non_votes"))
 
 
+#: Bits of what keeps a slot from being a vote.
+NON_VOTE, FAILURE, AMBIGUITY = 1, 2, 4
+
+
+def pair_causes(slots: DataFrame, votes: int = 4) -> DataFrame:
+    """Pairs by what their slots lack, overall and by category: a mask of causes folded by pair, counted once.
+
+    A pair counts under each cause that it has. ``four_valid`` pairs have ``votes`` valid votes and go into the primary analysis, those with one less into its
+    sensitivity; ``incomplete`` are all that have fewer. A slot that is neither completed, failed nor ambiguous is open: it makes a pair incomplete without a cause.
+    """
+    s, v = F.col("state"), F.col("vote")
+    done = F.coalesce(s == "COMPLETED", F.lit(False))
+    cause = cases((done & v.isNull(), NON_VOTE), (s == "FAILED", FAILURE), (s == "AMBIGUOUS", AMBIGUITY), otherwise=0)
+    pairs = slots.groupBy("category", "pair_id").agg(F.bit_or(cause).alias("mask"), n_if(done & v.isNotNull()).alias("valid"))
+    has = lambda bit: n_if(F.col("mask").bitwiseAND(bit) > 0)
+    return by_groups(
+        pairs, ((), ("category",)), F.count("*").alias("planned_pairs"), n_if(F.col("valid") == votes).alias("four_valid_pairs"), n_if(F.col("valid") == votes - 1).alias("exactly_three_valid_pairs"),
+        n_if(F.col("valid") < votes).alias("incomplete_pairs"), has(NON_VOTE).alias("non_vote_pairs"), has(FAILURE).alias("terminal_failure_pairs"), has(AMBIGUITY).alias("ambiguous_pairs"), n_if((F.col("valid") < votes) & (F.col("mask") == 0)).alias("open_pairs"),
+    )
+
+
 # Validation -----------------------------------------------------------------------------------
 def broken(df: DataFrame, rule: str, key: Column, detail: Column | None = None) -> DataFrame:
     return df.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"), (F.lit("") if detail is None else detail.cast("string")).alias("detail"))

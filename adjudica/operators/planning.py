@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,6 +196,48 @@ def budget_cutoff(plan: DataFrame, order: str, cost: str, cap: int, buckets: int
     return out.withColumn("included", F.col("running") <= cap).drop("_b", "_start")
 
 
+#: Counters of the guard: distinct passes, attempts, and sums of tokens and money.
+COUNTERS = ("passes", "attempts", "input_tokens", "output_tokens", "micro_usd")
+
+
+def budget_guard(plan: DataFrame, order: list[str], caps: dict[str, int], provider_caps: dict[str, int] | None = None, unit: tuple[str, ...] = ("run_id", "pass_number"), provider: str = "provider", buckets: int | None = None) -> DataFrame:
+    """Attempts in plan order with every running counter, and whether they are made: all before the first that would break a cap.
+
+    ``caps`` may name any of ``COUNTERS``; ``provider_caps`` caps ``micro_usd`` of each provider that it names (a provider it does not name has
+    no cap of its own). A retry of a ``unit`` is an attempt, not a further pass. ``broken`` names the caps that the first refused attempt would break.
+    ``order`` is unique. One two-level scan serves all counters: sums of range partitions, then windows within each. An unknown cap is an error; nulls cost nothing.
+    """
+    if unknown := set(caps) - set(COUNTERS):
+        raise ValueError(f"no such counter: {sorted(unknown)}")
+    parts = buckets or int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.struct(*order)
+    first = plan.groupBy(*unit).agg(F.min(place).alias("_first")).select(*(F.col(u).alias(f"_u{i}") for i, u in enumerate(unit)), "_first")
+    same = reduce(and_, (F.col(u).eqNullSafe(F.col(f"_u{i}")) for i, u in enumerate(unit)))
+    flagged = plan.join(first, same).withColumn("_passes", (place == F.col("_first")).cast("long")).drop("_first", *(f"_u{i}" for i in range(len(unit))))
+    df = settled(flagged.repartitionByRange(parts, *order).withColumn("_b", F.spark_partition_id()))
+    each = {"passes": F.col("_passes"), "attempts": F.lit(1).cast("long")} | {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in COUNTERS[2:]}
+    within = lambda *by: Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = df.groupBy("_b").agg(*(F.sum(each[c]).alias(c) for c in COUNTERS))
+    before = Window.orderBy("_b")  # a row for each partition
+    starts = sums.select("_b", *((F.sum(c).over(before) - F.col(c)).alias(f"_s_{c}") for c in COUNTERS))
+    out = df.join(F.broadcast(starts), "_b")
+    for c in COUNTERS:
+        out = out.withColumn(f"running_{c}", F.sum(each[c]).over(within()) + F.col(f"_s_{c}"))
+    checks = [F.when(F.col(f"running_{c}") > cap, c) for c, cap in caps.items()]
+    if provider_caps is not None:
+        by = df.groupBy(provider, "_b").agg(F.sum(each["micro_usd"]).alias("s"))
+        start = by.select(F.col(provider).alias("_p"), F.col("_b").alias("_pb"), (F.sum("s").over(Window.partitionBy(provider).orderBy("_b")) - F.col("s")).alias("_s_provider"))
+        out = out.join(F.broadcast(start), F.col(provider).eqNullSafe(F.col("_p")) & (F.col("_b") == F.col("_pb")))
+        out = out.withColumn("running_provider_micro_usd", F.sum(each["micro_usd"]).over(within(provider)) + F.col("_s_provider"))
+        limit = cases(*((F.col(provider) == p, F.lit(cap)) for p, cap in provider_caps.items())) if provider_caps else F.lit(None)
+        checks.append(F.when(F.col("running_provider_micro_usd") > limit, "provider_micro_usd"))
+    out = settled(out.withColumn("_why", F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")))
+    stop = out.where(F.size("_why") > 0).agg(F.min(place).alias("_stop"))
+    out = out.crossJoin(F.broadcast(stop))
+    made = F.col("_stop").isNull() | (place < F.col("_stop"))
+    return out.withColumn("included", made).withColumn("broken", F.when(place == F.col("_stop"), F.array_join("_why", ","))).drop(*(c for c in out.columns if c.startswith("_")))
+
+
 def resume_state(runs: DataFrame) -> DataFrame:
     s = F.col("status")
     state = cases((s == "SUCCEEDED", "completed"), (s.isin("PENDING", "RUNNING", "PARTIAL"), "pending"), (F.col("error_code").isin("TIMEOUT", "PROVIDER_ERROR"), "retryable"), otherwise="non_retryable")

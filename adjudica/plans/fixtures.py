@@ -64,6 +64,10 @@ TABLES: dict[str, str] = {
     "ledger": """select pass_id, s, pair_id, judge, presentation, outcome, case h('cl:' || pass_id) % 4 when 0 then 'CORRECTED_RERUN_REQUIRED' when 1 then 'HISTORICAL_ONLY_UNALIGNED' else 'SOURCE_CORRECT_REUSABLE' end as classification, case when h('rq:' || s) % 2 = 0 then 'RQ1' else 'RQ3' end as rq_code from passes""",
     "corrected": f"select pass_id as historical_identity, 'c:' || pass_id as planned_pass_id, rq_code, judge, presentation, case h('st:' || pass_id) % 10 when 0 then 'FAILED' when 1 then 'AMBIGUOUS' else 'COMPLETED' end as state, case h('co:' || pass_id) % 4 when 0 then 'ANSWER_A' when 1 then 'ANSWER_B' when 2 then 'TIE' end as final_outcome from ledger where classification = 'CORRECTED_RERUN_REQUIRED'",
     "recovery": "select planned_pass_id as original_planned_pass_id, 'r:' || planned_pass_id as planned_pass_id, case h('rs:' || planned_pass_id) % 5 when 0 then 'FAILED' else 'COMPLETED' end as state, case h('ro:' || planned_pass_id) % 3 when 0 then 'ANSWER_A' when 1 then 'ANSWER_B' else 'TIE' end as final_outcome from corrected where state <> 'COMPLETED' and h('rx:' || planned_pass_id) % 3 > 0",
+    "linked": """select case pair_id % 6 when 0 then 'RQ1' when 1 then 'RQ3' when 2 then 'RQ4' when 3 then 'RQ5' else 'RQ7_PRIMARY' end as rq_code, s || ':' || judge as unit_id, s as pairing_key, judge, 'DUAL_SWAP' as condition_code, 0.0 as temperature, 1.0 as top_p, presentation, outcome
+      from passes where pair_id % 6 < 5 and not (presentation = 'BA' and (pair_id % 6 = 0 or pair_id % 30 in (1, 2, 4)))
+      union all select 'RQ7_PRIMARY', p.s || ':' || b.judge || ':base', p.s, b.judge, 'BASELINE_STANDARD', 0.0, 1.0, 'AB', b.baseline_label from baseline b join pairs p on b.pair_id = p.pair_id where p.pair_id % 6 = 4
+      union all select 'RQ2', group_key || ':' || cast(repetition_index as string), group_key, judge, 'CONTROL', case when pair_id % 90 = 5 and repetition_index = 0 then 0.7 else 0.0 end, 1.0, 'AB', outcome from repetitions where pair_id % 6 = 5 and not (pair_id % 60 = 11 and repetition_index = 4)""",
     "plan_rows": f"""select cast(pair_id as string) as unit_id, cast(pair_id as string) as pair_key, answer_a_id, case when pair_id % 12 = 5 then answer_a_id else answer_b_id end as answer_b_id, {pick("pair_id % 4", JUDGES)} as judge,
       case when pair_id % 12 = 9 then 'nobody' when pair_id % 4 = 0 then 'openai' else 'openrouter' end as provider, case pair_id % 12 when 0 then 'RQ4' when 1 then 'RQ4' when 2 then 'RQ3' when 3 then 'RQ7' when 4 then 'RQ7' when 8 then 'RQ6' when 10 then 'RQ5' else 'RQ1' end as rq_code,
       case pair_id % 12 when 3 then 'DUAL_SWAP' when 4 then 'BASELINE_STANDARD' when 11 then '' else 'CONTROL' end as condition, case when pair_id % 12 in (0, 1, 10) then 'AB_BA' when pair_id % 12 = 8 then 'SELF_A' else 'AB' end as presentation_order,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -229,6 +232,39 @@ def budget_cutoff(spark, sf_dir):
     return W.budget_cutoff(plan, "pair_id", "cost", 400_000)
 
 
+_GUARDS = {
+    "passes": ({"passes": 1000, "attempts": 10**12}, None), "attempts": ({"attempts": 1500, "passes": 10**12}, None), "input_tokens": ({"input_tokens": 400_000, "micro_usd": 10**15}, None),
+    "output_tokens": ({"output_tokens": 60_000}, None), "micro_usd": ({"micro_usd": 2_000_000, "attempts": 10**12}, None), "provider": ({}, {"openai": 300_000}), "none": ({"passes": 10**12}, {"nobody": 1}),
+}
+
+
+def _guard_sql() -> str:
+    """Every counter by one window, then for each scenario the first row over a cap."""
+    run = lambda e, by="": f"sum({e}) over ({by}order by started_min, judge rows unbounded preceding)"
+    base = f"""g as (select pass_id, attempt_index, provider, started_min, judge, input_tokens, {run('f')} as running_passes, {run('1')} as running_attempts, {run('input_tokens')} as running_input_tokens,
+      {run('output_tokens')} as running_output_tokens, {run('m')} as running_micro_usd, {run('m', 'partition by provider ')} as running_provider
+      from (select *, coalesce(actual_micro_usd, 0) as m, cast(row_number() over (partition by pair_id, judge order by started_min) = 1 as int) as f from attempts) x), n as (select *, row_number() over (order by started_min, judge) as k from g)"""
+    parts = []
+    for name, (caps, by) in _GUARDS.items():
+        checks = [(f"running_{c} > {cap}", c) for c, cap in caps.items()] + [(f"provider = '{p}' and running_provider > {cap}", "provider_micro_usd") for p, cap in (by or {}).items()]
+        any_of, why = " or ".join(f"({c})" for c, _ in checks), " || ".join(f"case when {c} then ',{w}' else '' end" for c, w in checks)
+        parts.append(f"""select '{name}' as scenario, count(*) as included, cast(sum(input_tokens) as bigint) as input_tokens, max(b.pass_id) as stopped_at, max(b.why) as broken
+          from n left join (select k, pass_id, substr({why}, 2) as why from n where {any_of} order by k limit 1) b on true where b.k is null or n.k < b.k""")
+    return f"with {base} " + " union all ".join(parts)
+
+
+@query(duck(_guard_sql()))
+def budget_guard(spark, sf_dir):
+    """Each cap in turn is the one that bites: how many attempts are made, and which one is refused for what."""
+    a = table(spark, sf_dir, "attempts").withColumn("micro_usd", F.coalesce("actual_micro_usd", F.lit(0)))
+    out = []
+    for name, (caps, by) in _GUARDS.items():
+        g = W.budget_guard(a, ["started_min", "judge"], caps, by, unit=("pair_id", "judge"))
+        made = F.col("included")
+        out.append(g.agg(F.count_if(made).alias("included"), F.sum(F.when(made, F.col("input_tokens"))).alias("input_tokens"), F.max(F.when(F.col("broken").isNotNull(), F.col("pass_id"))).alias("stopped_at"), F.max("broken").alias("broken")).select(F.lit(name).alias("scenario"), "*"))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query(duck("select pass_id as idempotency_key, case when outcome in ('ANSWER_A', 'ANSWER_B', 'TIE', 'UNKNOWN') then 'completed' when outcome is null then 'pending' when outcome in ('TIMEOUT', 'API_ERROR') then 'retryable' else 'non_retryable' end as state from passes"))
 def resume_state(spark, sf_dir):
     o = F.col("outcome")
@@ -381,6 +417,20 @@ def vote_accounting(spark, sf_dir):
     return A.vote_accounting(core.ballots(spark, sf_dir).join(state, ["pair_id", "judge"]))
 
 
+@query(duck(f"with {core._ballots}, sv as (select b.pair_id, b.category, b.vote, case when v.outcome is null then 'AMBIGUOUS' when v.outcome in ('API_ERROR', 'TIMEOUT', 'REFUSAL') then 'FAILED' else 'COMPLETED' end as state from votes v join ballots b using (pair_id, judge)), p as (select category, pair_id, count(*) filter (where state = 'COMPLETED' and vote is not null) as valid, count(*) filter (where state = 'COMPLETED' and vote is null) as nv, count(*) filter (where state = 'FAILED') as fa, count(*) filter (where state = 'AMBIGUOUS') as am from sv group by 1, 2) select category, count(*) as planned_pairs, count(*) filter (where valid = 4) as four_valid_pairs, count(*) filter (where valid = 3) as exactly_three_valid_pairs, count(*) filter (where valid < 4) as incomplete_pairs, count(*) filter (where nv > 0) as non_vote_pairs, count(*) filter (where fa > 0) as terminal_failure_pairs, count(*) filter (where am > 0) as ambiguous_pairs, cast(0 as bigint) as open_pairs from p group by grouping sets ((), (category))"))
+def pair_causes(spark, sf_dir):
+    state = table(spark, sf_dir, "votes").select("pair_id", "judge", L.cases((F.col("outcome").isNull(), "AMBIGUOUS"), (F.col("outcome").isin("API_ERROR", "TIMEOUT", "REFUSAL"), "FAILED"), otherwise="COMPLETED").alias("state"))
+    return A.pair_causes(core.ballots(spark, sf_dir).join(state, ["pair_id", "judge"]))
+
+
+_rule = {"RQ2": ("pairing_key, judge, condition_code, temperature, top_p", "n = 5 and k = 5"), "RQ3": ("unit_id", "o = 2 and k = n"), "RQ4": ("unit_id", "n = 2 and k = 2"), "RQ5": ("unit_id", "n = 2 and k = 2"), "RQ7_PRIMARY": ("pairing_key, judge", "n = 3 and k = 3")}
+
+
+@query(duck("select 'RQ1' as rq_code, count(*) as planned, count(outcome) as complete from linked where rq_code = 'RQ1' " + " ".join(f"union all select '{q}', count(*), count(*) filter (where {ok}) from (select count(*) as n, count(outcome) as k, count(distinct presentation) as o from linked where rq_code = '{q}' group by {key}) x" for q, (key, ok) in _rule.items())))
+def linked_populations(spark, sf_dir):
+    return A.linked_populations(table(spark, sf_dir, "linked"))
+
+
 # V1-V7 ----------------------------------------------------------------------------------------
 @query(duck(f"with {_pt}, {_sel('RQ7')} select 'unmatched_rq7_strategy' as rule, pair_key || ':' || judge as key, '' as detail from sel where substr(pair_key, 1, 1) = '0' union all select 'duplicate_unit_id', {_dig(repr('s1'), repr('RQ7'), 'pair_key', 'judge', repr('BASELINE_STANDARD'), repr('AB'), repr('0'))}, '2' from sel where substr(pair_key, 1, 1) = '1'"))
 def unit_violations(spark, sf_dir):
