@@ -29,10 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
-#: Bits of a level's filter, and bytes of text that a task counts at a time.
-BITS, BLOCK = 1 << 25, 3 << 19
+#: Bits of a level's filter; bytes of text that a task counts at a time, and that it splits into words at a time.
+BITS, BLOCK, PIECE = 1 << 25, 3 << 20, 1 << 20
 #: One row of ``every`` is in the sample; a phrase is proposed there at this share of the count to be expected.
 EVERY, EASE = 4, 0.75
 #: A-Z to a-z, a tab to a space, the characters that part pieces to a line end.
@@ -81,14 +81,29 @@ class Block:
     if the older filters held all its parts.
     """
 
-    def __init__(self, lang: str, texts: list[bytes], new: list, old: list) -> None:
-        tokens = b"\n".join(texts).translate(TABLE).replace(b"\n", b" . ").split()
+    def __init__(self, lang: str) -> None:
+        self.lang, self.vocabulary, self.parts, self.texts, self.waiting, self.size = lang, {STOP: 0}, [], [], 0, 0
+
+    def add(self, text: bytes) -> None:
+        self.texts.append(text)
+        self.waiting, self.size = self.waiting + len(text), self.size + len(text)
+        if self.waiting >= PIECE:
+            self.split()
+
+    def split(self) -> None:
+        tokens = b"\n".join(self.texts).translate(TABLE).replace(b"\n", b" . ").split()
         tokens.append(STOP)
-        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(tokens))}
-        self.ids = np.array(list(map(vocabulary.__getitem__, tokens)), np.int64)
-        self.names, self.stop = list(vocabulary), vocabulary[STOP]
-        self.new, self.old, self.made = new, old, []
-        self.word_hash = hashed(lang, self.names)
+        known = self.vocabulary
+        for w in dict.fromkeys(tokens):
+            known.setdefault(w, len(known))
+        self.parts.append(np.array(list(map(known.__getitem__, tokens)), np.int32))
+        self.texts, self.waiting = [], 0
+
+    def begin(self, new: list, old: list) -> None:
+        self.split()
+        self.ids, self.names, self.stop = np.concatenate(self.parts).astype(np.int64), list(self.vocabulary), 0
+        self.new, self.old, self.made, self.parts = new, old, [], []
+        self.word_hash = hashed(self.lang, self.names)
 
     def levels(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Size, hashes, counts and ``reached`` of the phrases of each size."""
@@ -124,22 +139,22 @@ class Block:
 
 
 def over_blocks(count, block: int):
-    """``count(lang, texts)`` over batches of language and text, by blocks of a language."""
+    """``count(block)`` over batches of language and text, by blocks of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[str, list[bytes]] = {}
-        size: dict[str, int] = {}
+        blocks: dict[str, Block] = {}
+        size = 0
         for rows in batches:
             for lang, text in zip(rows["lang"].to_pylist(), rows["text"], strict=True):
                 text = text.as_py()
-                waiting.setdefault(lang, []).append(text)
-                size[lang] = size.get(lang, 0) + len(text)
-                if sum(size.values()) >= block:
-                    large = max(size, key=size.get)
-                    size.pop(large)
-                    yield from count(large, waiting.pop(large))
-        for lang in list(waiting):
-            yield from count(lang, waiting.pop(lang))
+                blocks.setdefault(lang, Block(lang)).add(text)
+                size += len(text)
+                if size >= block:
+                    large = blocks.pop(max(blocks, key=lambda x: blocks[x].size))
+                    size -= large.size
+                    yield from count(large)
+        for lang in list(blocks):
+            yield from count(blocks.pop(lang))
 
     return run
 
@@ -147,8 +162,8 @@ def over_blocks(count, block: int):
 def hash_counts(rows: DataFrame, sizes: tuple[int, int], new: list, block: int) -> DataFrame:
     """``size``, ``hash`` and ``n`` of the phrases whose parts are proposed, from ``sizes[0]`` to ``sizes[1]`` words."""
 
-    def count(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        b = Block(lang, texts, [np.frombuffer(x.value, np.uint8) for x in new], [])
+    def count(b: Block) -> Iterator[pa.RecordBatch]:
+        b.begin([np.frombuffer(x.value, np.uint8) for x in new], [])
         for size, h, n, _ in b.levels(sizes[1]):
             some = np.flatnonzero(n) if size >= sizes[0] else []
             if len(some):
@@ -160,14 +175,14 @@ def hash_counts(rows: DataFrame, sizes: tuple[int, int], new: list, block: int)
 def phrase_counts(rows: DataFrame, longest: int, new: list, old: list, hot: list, block: int) -> DataFrame:
     """``lang``, ``size``, ``phrase``, ``n`` of what the wider proposal adds and, with ``hot``, of the phrases whose hashes are frequent; the number of words as size 0."""
 
-    def count(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def count(b: Block) -> Iterator[pa.RecordBatch]:
         filters = [[np.frombuffer(x.value, np.uint8) for x in part] for part in (new, old, hot)]
 
         def batch(size: int, names: list[bytes], n: list[int]) -> pa.RecordBatch:
             k = len(names)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array([size] * k, pa.int32()), pa.array(names, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "size", "phrase", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([b.lang] * k, pa.string()), pa.array([size] * k, pa.int32()), pa.array(names, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "size", "phrase", "n"])
 
-        b = Block(lang, texts, filters[0], filters[1])
+        b.begin(filters[0], filters[1])
         for size, h, n, reached in b.levels(longest):
             if size == 1 and hot:
                 yield batch(0, [b""], [int(n.sum())])
@@ -249,7 +264,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     A phrase that occurs ``a`` times is cut where ``floor(1000000 a a / (l r))`` is lowest (then at the first such place). Phrases
     inside a longer one that occurs at least ``inside`` percent as often are dropped.
     """
-    known = frequent_phrases(docs, text_col, lang_col, id_col, least=least, longest=longest, **sampling)
+    with small_batches(docs.sparkSession):
+        known = frequent_phrases(docs, text_col, lang_col, id_col, least=least, longest=longest, **sampling)
     total = known.where("size = 0").groupBy("lang").agg(F.sum("n").alias("total"))
     part = known.where("size > 0").select("lang", F.col("phrase").alias("part"), F.col("n").alias("f"))
     candidates = known.where("size > 1").select("lang", "size", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, spread, text_of
+from .common import cut, small_batches, spread, text_of
 from .graph import connected_components
 from .regions import Union, region_links, regions_of
 
@@ -174,7 +174,8 @@ def set_linker(percent: int):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = PERCENT, region: int = REGION, also: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, ``n_shingles``, ``component_id`` (least id reachable by links), ``kept`` (it is that id) and the columns ``also``."""
     docs = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"), *(F.col(c).alias(f"_also{i}") for i, c in enumerate(also))).withColumn("_h", F.xxhash64("_t"))
-    rows = cut(signed(docs, k))
+    with small_batches(docs.sparkSession):
+        rows = cut(signed(docs, k))
     # A node's text is that of one row, named by its id and the hash of its text, as many rows may share an id.
     nodes = cut(rows.where("node is not null and _id is not null").groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("rep"), F.first("sig").alias("sig")).select("node", "rep._id", "rep._h", "sig"))
     regions = cut(regions_of(forest(nodes, *SHALLOW), region))
@@ -194,7 +195,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     wanted = regions.join(nodes.drop("sig"), "node").select("_id", "_h", F.col("node").alias("_want"))
     texts = docs.join(wanted, ["_id", "_h"]).select("_want", "_t").mapInPandas(whole, "node binary, set binary").dropDuplicates(["node"])
-    members = cut(regions.join(texts.withColumnRenamed("set", "body"), "node"))
+    with small_batches(docs.sparkSession):
+        members = cut(regions.join(texts.withColumnRenamed("set", "body"), "node"))
     hot = members.where(F.col("size") > region)
     if hot.limit(1).count():
         parted = cut(regions_of(forest(hot.select("node", deep_sig("body").alias("sig")), *DEEP), region))
