@@ -114,10 +114,14 @@ def hashed(text: str, form: str) -> str:
     return "".join([*out, text[at:]])
 
 
+#: Tables that others use several times: DuckDB makes them once.
+SHARED = ("ledger", "corrected", "recovery")
+
+
 def duck(query: str) -> str:
     """A DuckDB query over fixture tables, with their definitions in front."""
     names = needed(query)
-    ctes = [f"{n} as ({TABLES[n]})" for n in names]
+    ctes = [f"{n} as {'materialized ' if n in SHARED else ''}({TABLES[n]})" for n in names]
     own = re.match(r"\s*with\s+", query, re.I)
     body = query[own.end() :] if own else query
     return hashed(f"with {', '.join(ctes)}{', ' if own else ' '}{body}" if ctes else query, DUCK_HASH)

@@ -49,6 +49,48 @@ def stream_status(spark, sf_dir):
     return spark.read.schema(schema).parquet(f"{home}/out")
 
 
+_DELAY = 7200
+#: Each row is delivered in one of six turns by its time, or two turns late; some are delivered again a turn after.
+_DELIVERED = """dl as (select pass_id, judge, attempt_index, state, actual_micro_usd, started_min, f from (
+    select *, cast(started_min * 6 // (m + 1) as bigint) + case when h('lt:' || pass_id || cast(attempt_index as string)) % 20 = 0 then 2 else 0 end as f from attempts, (select max(started_min) as m from attempts) t) x
+  union all select pass_id, judge, attempt_index, state, actual_micro_usd, started_min, f + 1 from (
+    select *, cast(started_min * 6 // (m + 1) as bigint) as f from attempts, (select max(started_min) as m from attempts) t) y where h('rp:' || pass_id || cast(attempt_index as string)) % 7 = 0)"""
+_JUDGED = f"""with {_DELIVERED}, top as (select f, max(started_min) as last from dl group by f), bound as (select a.f, max(b.last) - {_DELAY} as low from top a join top b on b.f < a.f group by a.f),
+  j as (select dl.*, coalesce(started_min < low, false) as late from dl left join bound on dl.f = bound.f)"""
+
+
+def _turns(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The tables of a ledger whose files arrive in eight turns, each ingested by a start from the checkpoint."""
+    home = shared_folder(spark)
+    a = table(spark, sf_dir, "attempts").select("pass_id", "judge", "attempt_index", "state", "actual_micro_usd", "started_min")
+    number = lambda tag: F.conv(F.substring(F.sha2(F.concat(F.lit(tag), "pass_id", F.col("attempt_index").cast("string")), 256), 1, 8), 16, 10).cast("long")
+    turn = F.floor(F.col("started_min") * 6 / (F.col("m") + 1))
+    a = a.crossJoin(F.broadcast(a.agg(F.max("started_min").alias("m"))))
+    first = a.withColumn("f", turn + F.when(number("lt:") % 20 == 0, 2).otherwise(0))
+    again = a.where(number("rp:") % 7 == 0).withColumn("f", turn + 1)
+    columns = ("pass_id", "judge", "attempt_index", "state", "actual_micro_usd", F.timestamp_seconds(60 * F.col("started_min")).alias("ts"))
+    delivered = io.settled(first.unionByName(again).select("f", *columns))
+    schema = delivered.drop("f").schema
+    for k in range(8):
+        delivered.where(F.col("f") == k).drop("f").write.mode("append").parquet(f"{home}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{home}/in")
+        jobs.stream_ledger(stream, f"{home}/ledger", f"{home}/state", ["pass_id", "attempt_index"], delay=f"{_DELAY} minutes").awaitTermination()
+    return jobs.ledger_tables(spark, f"{home}/ledger", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema))
+
+
+@query(duck(f"{_JUDGED} select pass_id, attempt_index, 'KEPT' as fate, min(f) as batch from j where not late group by 1, 2 union all select pass_id, attempt_index, 'LATE', f from j where late"))
+def stream_late_rows(spark, sf_dir):
+    """Files that arrive in turns: rows kept once, and rows behind the watermark in a table of their own."""
+    kept, late = _turns(spark, sf_dir)
+    return kept.select("pass_id", "attempt_index", F.lit("KEPT").alias("fate"), "batch").unionByName(late.select("pass_id", "attempt_index", F.lit("LATE").alias("fate"), "batch"))
+
+
+@query(duck(f"{_JUDGED}, k as (select distinct pass_id, attempt_index, judge, state, actual_micro_usd, started_min from j where not late) select make_timestamp(cast(started_min // 1440 as bigint) * 86400000000) as window_start, judge, count(*) as attempts, count(*) filter (where state = 'COMPLETED') as completed, cast(sum(actual_micro_usd) as bigint) as actual_micro_usd from k group by 1, 2"))
+def stream_ledger_days(spark, sf_dir):
+    """Status by day of what the turns kept."""
+    return jobs.window_status(_turns(spark, sf_dir)[0], window="1 day")
+
+
 _flat = "with m as (" + core._AGREEMENT + ") select case when judge is null then metric_name else 'judge:' || judge || ':' || metric_name end as metric_key, judge, metric_name, cast(null as string) as condition, value from m where category is null"
 
 

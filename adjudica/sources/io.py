@@ -61,9 +61,25 @@ def read_tables(spark: SparkSession, folder: str, names: list[str] | None = None
     return out
 
 
-def read_jdbc(spark: SparkSession, url: str, name: str, lower: int, upper: int, partitions: int) -> DataFrame:
-    """A relational table over JDBC, dealt by ranges of its id."""
-    return spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn="id", lowerBound=lower, upperBound=upper, numPartitions=partitions).load()
+def read_jdbc(spark: SparkSession, url: str, name: str, partitions: int, column: str = "id", **options: str) -> DataFrame:
+    """A relational table over JDBC, dealt by ranges of a whole-number column whose bounds one small query takes from the table.
+
+    Filters and columns that are asked of the result go to the database. Rows with a null in ``column`` are read with the first range. An empty table, or
+    one with nulls only, is read as one range. ``options`` go to the reader (user, driver, fetchsize).
+    """
+    reader = lambda: spark.read.format("jdbc").options(url=url, **options)
+    whole = reader().option("dbtable", name).load()
+    stored = next(c for c in whole.columns if c.lower() == column.lower())
+    quoted = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(stored)
+    low, high = reader().option("query", f"select min({quoted}) as low_id, max({quoted}) as high_id from {name}").load().first()
+    if low is None or high <= low or partitions < 2:
+        return whole
+    return reader().options(dbtable=name, partitionColumn=stored, lowerBound=str(low), upperBound=str(high + 1), numPartitions=str(partitions)).load()
+
+
+def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "append", **options: str) -> None:
+    """Rows into a relational table; a partition is one transaction."""
+    df.write.format("jdbc").options(url=url, dbtable=name, **options).mode(mode).save()
 
 
 def explode_manifest(df: DataFrame, array_col: str) -> DataFrame:
