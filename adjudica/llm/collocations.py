@@ -75,7 +75,7 @@ def sent(spark: SparkSession, *filters: list[bytes]) -> Iterator[list[list]]:
 
 
 class Block:
-    """Texts of one language as numbers of words, and their phrases level by level: hash, count, and whether its parts are proposed.
+    """Texts of one language as numbers of words, and their phrases level by level.
 
     ``new`` and ``old`` are the filters of this pass and of the one before it, by level; a phrase was ``reached`` by an earlier pass
     if the older filters held all its parts.
@@ -101,41 +101,44 @@ class Block:
 
     def begin(self, new: list, old: list) -> None:
         self.split()
-        self.ids, self.names, self.stop = np.concatenate(self.parts).astype(np.int64), list(self.vocabulary), 0
-        self.new, self.old, self.made, self.parts = new, old, [], []
-        self.word_hash = hashed(self.lang, self.names)
-
-    def levels(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Size, hashes, counts and ``reached`` of the phrases of each size."""
-        n, h = len(self.names), self.word_hash
-        count = np.bincount(self.ids, minlength=n)
-        count[self.stop] = 0
-        reached = np.full(n, bool(self.old))
-        yield 1, h, count, reached
-        here = np.where(self.ids == self.stop, -1, self.ids)  # the phrase that starts at a place, -1 where there is none
+        self.ids, self.names = np.concatenate(self.parts).astype(np.int64), list(self.vocabulary)
+        self.new, self.old, self.parts = new, old, []
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each word of the vocabulary, and how often it occurs."""
+        count = np.bincount(self.ids, minlength=len(self.names))
+        count[0] = 0
+        return hashed(self.lang, self.names), count
+
+    def levels(self, longest: int, word_hash: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Size, places of the phrases of 2 words and more whose parts are proposed, their hashes, and ``reached``; all by place."""
+        now, was = held(self.new[0], word_hash)[self.ids], (held(self.old[0], word_hash) if self.old else np.zeros(len(word_hash), bool))[self.ids]
+        here, h, w = self.ids > 0, word_hash[self.ids], word_hash[self.ids]
         for m in range(2, longest + 1):
-            now = held(self.new[m - 2], h)
-            was = held(self.old[m - 2], h) & reached if self.old else np.zeros(len(h), bool)
-            left, right, last = here[:-1], here[1:], self.ids[m - 1 :]
-            ok = (left >= 0) & (right >= 0)
-            ok[ok] = now[left[ok]] & now[right[ok]]
-            key, inverse, count = np.unique(left[ok] * n + last[ok], return_inverse=True, return_counts=True)
-            start, word, tail = key // n, key % n, np.zeros(len(key), np.int64)
-            tail[inverse] = right[ok]
-            here = np.full(len(left), -1, np.int64)
-            here[ok] = inverse
-            self.made.append((start, word))
-            reached = was[start] & was[tail]
-            h = joined(h[start], self.word_hash[word])
-            yield m, h, count, reached
-
-    def phrases(self, size: int, which: np.ndarray) -> list[bytes]:
-        words = []
-        for start, word in reversed(self.made[: size - 1]):
-            words.append([self.names[i] for i in word[which].tolist()])
-            which = start[which]
-        words.append([self.names[i] for i in which.tolist()])
-        return [b" ".join(x) for x in zip(*reversed(words), strict=True)]
+            here = here[:-1] & here[1:] & now[:-1] & now[1:]
+            reached = was[:-1] & was[1:]
+            at = np.flatnonzero(here)
+            found = joined(h[at], w[at + m - 1])
+            yield m, at, found, reached[at]
+            if m < longest:
+                h = np.zeros(len(here), np.uint64)
+                now, was = np.zeros(len(here), bool), np.zeros(len(here), bool)
+                h[at], now[at] = found, held(self.new[m - 1], found)
+                if self.old:
+                    was[at] = reached[at] & held(self.old[m - 1], found)
+
+    def counted(self, size: int, at: np.ndarray) -> tuple[list[bytes], list[int]]:
+        """Texts and counts of the phrases at some places, told apart by their words."""
+        n, words = len(self.names), [self.ids[at + j] for j in range(size)]
+        if n**size < 1 << 63:
+            key = words[0]
+            for x in words[1:]:
+                key = key * n + x
+            _, first, count = np.unique(key, return_index=True, return_counts=True)
+        else:
+            _, first, count = np.unique(np.column_stack(words), axis=0, return_index=True, return_counts=True)
+        parts = [[self.names[i] for i in x[first].tolist()] for x in words]
+        return [b" ".join(x) for x in zip(*parts, strict=True)], count.tolist()
 
 
 def over_blocks(count, block: int):
@@ -162,12 +165,17 @@ def over_blocks(count, block: int):
 def hash_counts(rows: DataFrame, sizes: tuple[int, int], new: list, block: int) -> DataFrame:
     """``size``, ``hash`` and ``n`` of the phrases whose parts are proposed, from ``sizes[0]`` to ``sizes[1]`` words."""
 
+    def batch(size: int, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), size, np.int32)), pa.array(h.view(np.int64)), pa.array(n)], ["size", "hash", "n"])
+
     def count(b: Block) -> Iterator[pa.RecordBatch]:
         b.begin([np.frombuffer(x.value, np.uint8) for x in new], [])
-        for size, h, n, _ in b.levels(sizes[1]):
-            some = np.flatnonzero(n) if size >= sizes[0] else []
-            if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), size, np.int32)), pa.array(h[some].view(np.int64)), pa.array(n[some])], ["size", "hash", "n"])
+        h, n = b.words()
+        if sizes[0] == 1:
+            yield batch(1, h[n > 0], n[n > 0])
+        for size, _, found, _ in b.levels(sizes[1], h):
+            if size >= sizes[0] and len(found):
+                yield batch(size, *np.unique(found, return_counts=True))
 
     return rows.mapInArrow(over_blocks(count, block), "size int, hash long, n long").groupBy("size", "hash").agg(F.sum("n").alias("n"))
 
@@ -183,12 +191,15 @@ def phrase_counts(rows: DataFrame, longest: int, new: list, old: list, hot: list
             return pa.RecordBatch.from_arrays([pa.array([b.lang] * k, pa.string()), pa.array([size] * k, pa.int32()), pa.array(names, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "size", "phrase", "n"])
 
         b.begin(filters[0], filters[1])
-        for size, h, n, reached in b.levels(longest):
-            if size == 1 and hot:
-                yield batch(0, [b""], [int(n.sum())])
-            some = np.flatnonzero((n > 0) & (~reached | held(filters[2][size - 1], h) if hot else ~reached))
-            if len(some):
-                yield batch(size, b.phrases(size, some), n[some].tolist())
+        h, n = b.words()
+        if hot:
+            yield batch(0, [b""], [int(n.sum())])
+            some = np.flatnonzero((n > 0) & held(filters[2][0], h)).tolist()
+            yield batch(1, [b.names[i] for i in some], n[some].tolist())
+        for size, at, found, reached in b.levels(longest, h):
+            at = at[~reached | held(filters[2][size - 1], found)] if hot else at[~reached]
+            if len(at):
+                yield batch(size, *b.counted(size, at))
 
     found = rows.mapInArrow(over_blocks(count, block), "lang string, size int, phrase string, n long")
     return found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
