@@ -163,14 +163,24 @@ def pass_schedule(assigned: DataFrame, pairs: DataFrame) -> DataFrame:
     return df.select("pair_id", "judge", "presentation", F.when(ab, F.col("lo")).otherwise(F.col("hi")).alias("displayed_a"), F.when(ab, F.col("hi")).otherwise(F.col("lo")).alias("displayed_b"), digest(F.col("pair_id"), F.col("judge"), F.col("presentation")).alias("idempotency_key"))
 
 
-def rerun_plan(passes: DataFrame, ledger: DataFrame, answers: DataFrame) -> DataFrame:
-    """Passes that need a rerun, with payload digest and token estimate from per-answer digests and lengths."""
+def rerun_plan(passes: DataFrame, ledger: DataFrame, answers: DataFrame, prices: DataFrame | None = None) -> DataFrame:
+    """Passes that need a rerun, with payload digest and token estimate from per-answer digests and lengths.
+
+    With ``prices`` (``judge``, ``input_per_million``, ``output_per_million``, ``max_output_tokens``; one row a judge) also ``output_tokens``, reserved
+    in full, and ``expected_usd``; both are null for a judge without a price.
+    """
     side = lambda s: answers.select(F.col("id").alias(f"answer_{s}_id"), F.sha2("text", 256).alias(f"sha_{s}"), F.length("text").alias(f"len_{s}"))
     todo = passes.join(ledger.where("classification = 'CORRECTED_RERUN_REQUIRED'").select("pass_id"), "pass_id", "left_semi")
     df = todo.select("pass_id", "judge", "presentation", "answer_a_id", "answer_b_id").join(side("a"), "answer_a_id").join(side("b"), "answer_b_id")
     ab = F.col("presentation") == "AB"
     first, second = F.when(ab, F.col("sha_a")).otherwise(F.col("sha_b")), F.when(ab, F.col("sha_b")).otherwise(F.col("sha_a"))
-    return df.select("pass_id", "judge", digest(first, second).alias("payload_sha"), F.floor((F.col("len_a") + F.col("len_b") + 603) / 4).cast("long").alias("tokens"))
+    out = df.select("pass_id", "judge", digest(first, second).alias("payload_sha"), F.floor((F.col("len_a") + F.col("len_b") + 603) / 4).cast("long").alias("tokens"))
+    if prices is None:
+        return out
+    money = lambda n, rate: F.col(n).cast("decimal(12,0)") * F.col(rate).cast("decimal(12,6)")
+    expected = ((money("tokens", "input_per_million") + money("output_tokens", "output_per_million")) / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(20,12)")
+    rates = prices.select("judge", "input_per_million", "output_per_million", F.col("max_output_tokens").alias("output_tokens"))
+    return out.join(rates, "judge", "left").select("pass_id", "judge", "payload_sha", "tokens", "output_tokens", expected.alias("expected_usd"))
 
 
 def latest_attempts(attempts: DataFrame) -> DataFrame:

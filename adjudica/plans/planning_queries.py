@@ -212,9 +212,11 @@ def schedule_rule_violations(spark, sf_dir):
     return A.validate_schedule(s, pairs=table(spark, sf_dir, "pairs"))
 
 
-@query(duck("select p.pass_id, p.judge, sha256(case p.presentation when 'AB' then sha256(a.text) || '|' || sha256(b.text) else sha256(b.text) || '|' || sha256(a.text) end) as payload_sha, (length(a.text) + length(b.text) + 603) // 4 as tokens from passes p join ledger l on p.pass_id = l.pass_id join answers a on p.answer_a_id = a.id join answers b on p.answer_b_id = b.id where classification = 'CORRECTED_RERUN_REQUIRED'"))
+@query(duck("select p.pass_id, p.judge, sha256(case p.presentation when 'AB' then sha256(a.text) || '|' || sha256(b.text) else sha256(b.text) || '|' || sha256(a.text) end) as payload_sha, (length(a.text) + length(b.text) + 603) // 4 as tokens, 600 as output_tokens, cast(((length(a.text) + length(b.text) + 603) // 4 * 15 + 600 * 60) / 100000000.0 as double) as expected_usd from passes p join ledger l on p.pass_id = l.pass_id join answers a on p.answer_a_id = a.id join answers b on p.answer_b_id = b.id where classification = 'CORRECTED_RERUN_REQUIRED'"))
 def rerun_plan(spark, sf_dir):
-    return W.rerun_plan(table(spark, sf_dir, "passes"), table(spark, sf_dir, "ledger"), table(spark, sf_dir, "answers"))
+    prices = judges(spark).select("judge", F.lit("0.15").alias("input_per_million"), F.lit("0.60").alias("output_per_million"), F.lit(600).alias("max_output_tokens"))
+    plan = W.rerun_plan(table(spark, sf_dir, "passes"), table(spark, sf_dir, "ledger"), table(spark, sf_dir, "answers"), prices)
+    return plan.withColumn("expected_usd", F.col("expected_usd").cast("double"))
 
 
 @query(duck("select pass_id, max_by(state, attempt_index) as state, arg_max_null(failure_category, attempt_index) as failure_category, max(attempt_index) - 1 as retries from attempts group by 1"))
