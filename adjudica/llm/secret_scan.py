@@ -35,13 +35,16 @@ WEAK = (
 )
 KINDS = [kind for kind, *_ in BASE + WEAK]
 SPAN = "array<struct<s:int,k:int,e:int>>"
+#: Matches whose offsets are summed in one go.
+BLOCK = 256
 
 
 def spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
     """Spans of a pattern: the pieces between matches and the matches give all offsets.
 
     The base quantifiers are folded into the pattern only where that selects the same
-    matches (maximal runs); the assigned value is tested after matching.
+    matches (maximal runs); the assigned value is tested after matching. Offsets are summed by
+    blocks of matches, so that no long list is copied for each match: work follows the number of matches.
     """
     hits = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
     widths = F.zip_with(
@@ -49,7 +52,6 @@ def spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Colu
         hits(group),
         lambda x, g: F.struct(x["p"].alias("p"), x["h"].alias("h"), F.coalesce(F.length(g), F.lit(0)).alias("g")),
     )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("got"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["p"]
@@ -58,7 +60,15 @@ def spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Colu
         good = (x["h"] >= 0) & (x["g"] >= least)
         return F.struct(e.alias("at"), F.when(good, F.concat(acc["got"], one)).otherwise(acc["got"]).alias("got"))
 
-    found = F.aggregate(F.filter(widths, lambda x: x["h"] >= 0), zero, step, lambda acc: acc["got"])
+    def block_step(acc: Column, block: Column) -> Column:
+        done = F.aggregate(block, F.struct(acc["at"].alias("at"), F.array().cast(SPAN).alias("got")), step)
+        return F.get(F.transform(F.array(done), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["got"], F.array(x["got"])).alias("got"))), F.lit(0))
+
+    def by_blocks(hits: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(hits) - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.slice(hits, i + 1, F.lit(BLOCK)))
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("got")), block_step, lambda acc: F.flatten(acc["got"]))
+
+    found = F.get(F.transform(F.array(F.filter(widths, lambda x: x["h"] >= 0)), by_blocks), F.lit(0))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
