@@ -96,3 +96,9 @@ def test_linked_populations_by_hand(spark):
     want = {"RQ1": (2, 1), "RQ2": (3, 1), "RQ3": (3, 1), "RQ4": (1, 1), "RQ5": (1, 0), "RQ7_PRIMARY": (2, 1)}
     assert {r.rq_code: (r.planned, r.complete) for r in A.linked_populations(df).collect()} == want
     assert {tuple(r)[1:] for r in A.linked_populations(df.where("false")).collect()} == {(0, 0)}
+
+
+def test_units_of_all_questions_read_the_pairs_thrice(spark):
+    """Ranked slots are counted and placed, all else is one reading; each question joined the texts on its own before (14 joins of them)."""
+    plan = queries.planned_units_by_question(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join Inner" in line for line in plan.splitlines()) <= 7
