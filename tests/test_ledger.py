@@ -4,8 +4,10 @@ import random
 
 import pytest
 
+from adjudica.operators import estimators as E
 from adjudica.operators import ledger as A
 from adjudica.operators import planning as W
+from adjudica.plans import core_queries as core
 from adjudica.plans import planning_queries as queries
 from adjudica.plans.fixtures import table
 from adjudica.sources import io
@@ -119,3 +121,17 @@ def test_triplets_break_both_rules(spark):
     rows = [(1, "j", "BASELINE", "AB", "TIE"), (1, "j", "DUAL", "AB", "TIE"), (1, "j", "DUAL", "BA", "TIE"), (2, "j", "DUAL", "AB", "TIE"), (2, "j", "DUAL", "BA", None), (3, "j", "BASELINE", "AB", "TIE"), (3, "j", "DUAL", "AB", "TIE"), (3, "j", "DUAL", "BA", "ANSWER_A")]
     got = A.validate_triplets(spark.createDataFrame(rows, "pair_id long, judge string, condition string, presentation string, human_label string"))
     assert sorted(map(tuple, got.collect())) == [("label_drift", "2:j", "2"), ("label_drift", "3:j", "2"), ("linked_structure", "2:j", "")]
+
+
+@pytest.mark.parametrize("index", [0, 100])
+def test_repetition_indices_of_any_size(spark, index):
+    """Repeated, missing and large indices, and two identities in one group; equal to a distinct count."""
+    rows = [("a", i + index, "r") for i in range(3)] + [("b", index, "r"), ("b", index, "r"), ("c", None, "r"), ("c", index, "r"), ("d", index, "r"), ("d", index + 1, "q"), ("e", None, "r")]
+    df = spark.createDataFrame([(g, i, r, "j", "TIE", 1) for g, i, r in rows], "group_key string, repetition_index int, route string, judge string, outcome string, retry_count int")
+    got = {x.group_key: (x.n_repetitions, x.exact, x.retries, x.modal) for x in E.repetition_groups(df, ["route"]).collect()}
+    assert got == {"a": (3, True, 3, 3), "b": (2, False, 2, 2), "c": (2, False, 2, 2), "d": (2, False, 2, 2), "e": (1, False, 1, 1)}
+
+
+def test_repetitions_are_folded_before_they_are_sent(spark):
+    plan = core.repetition_groups(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "Expand" not in plan and plan.count("HashAggregate") >= 2
