@@ -135,3 +135,12 @@ def test_repetition_indices_of_any_size(spark, index):
 def test_repetitions_are_folded_before_they_are_sent(spark):
     plan = core.repetition_groups(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     assert "Expand" not in plan and plan.count("HashAggregate") >= 2
+
+
+def test_complete_cases_read_the_ledger_once(spark):
+    df = spark.createDataFrame([(1, "j", "AB", "TIE"), (1, "j", "BA", "TIE"), (2, "j", "AB", "TIE"), (3, "j", "AB", None), (3, "j", "BA", "TIE")], "pair_id long, judge string, presentation string, outcome string")
+    five = spark.createDataFrame([("a", None if i == 9 else "TIE") for i in range(5)] + [("b", "TIE")], "group_key string, outcome string")
+    got = A.complete_cases(df, five)
+    assert sorted(map(tuple, got.collect())) == [("both_orders", 3, 1), ("five_repetitions", 2, 1), ("observations", 5, 4)]
+    assert sorted(map(tuple, A.complete_cases(df.limit(0), five.limit(0)).collect())) == [("both_orders", 0, 0), ("five_repetitions", 0, 0), ("observations", 0, 0)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
