@@ -152,6 +152,16 @@ def fit(total: Callable[[Terms, int, int], tuple[np.ndarray, np.ndarray]], model
     return theta, float(x[-1]) if tied else -math.inf, float(value), done
 
 
+def fit_davidson(edges: pd.DataFrame) -> tuple[dict[str, float], float, float, bool]:
+    """Score of each model (in order of name, the first's is zero), tie parameter, log-likelihood and whether it converged, from rows ``m1``, ``m2``, ``w_ij``, ``w_ji``, ``t_ij`` of one task."""
+    names = sorted({*edges["m1"], *edges["m2"]})
+    at = {m: k for k, m in enumerate(names)}
+    w, v, t = (edges[c].to_numpy(float) for c in ("w_ij", "w_ji", "t_ij"))
+    arrays = (edges["m1"].map(at).to_numpy(np.int64), edges["m2"].map(at).to_numpy(np.int64), w, v, t)
+    theta, gamma, value, done = fit(over_arrays(arrays), len(names), float((w + v + t).sum()), float(t.sum()))
+    return dict(zip(names, theta.tolist(), strict=True)), gamma, value, done
+
+
 def bradley_terry(edges: DataFrame, prior: float = 0.0, local: int = LOCAL) -> DataFrame:
     """``model``, ``score``, ``tie_parameter``, ``log_likelihood`` and ``converged`` from rows ``m1``, ``m2``, ``w_ij``, ``w_ji``, ``t_ij``, one for each pair of models."""
     spark = edges.sparkSession
@@ -161,13 +171,8 @@ def bradley_terry(edges: DataFrame, prior: float = 0.0, local: int = LOCAL) -> D
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = [b for b in batches if len(b)]
             if rows:
-                e = pd.concat(rows)
-                names = sorted({*e["m1"], *e["m2"]})
-                at = {m: k for k, m in enumerate(names)}
-                w, v, t = (e[c].to_numpy(float) for c in ("w", "v", "t"))
-                arrays = (e["m1"].map(at).to_numpy(np.int64), e["m2"].map(at).to_numpy(np.int64), w, v, t)
-                theta, gamma, value, done = fit(over_arrays(arrays), len(names), float((w + v + t).sum()), float(t.sum()))
-                yield pd.DataFrame({"model": names, "score": theta, "tie_parameter": gamma, "log_likelihood": value, "converged": done})
+                theta, gamma, value, done = fit_davidson(pd.concat(rows).rename(columns={"w": "w_ij", "v": "w_ji", "t": "t_ij"}))
+                yield pd.DataFrame({"model": list(theta), "score": list(theta.values()), "tie_parameter": gamma, "log_likelihood": value, "converged": done})
 
         return edges.coalesce(1).mapInPandas(run, SCHEMA)
     models = edges.select("m1").union(edges.select("m2")).distinct()

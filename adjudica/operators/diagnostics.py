@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import cases, quality_tier, win_value
+from .davidson import fit_davidson  # noqa: F401
 from .estimators import KAPPA, kappa_counts
 from ..sources.io import settled
 from .metrics import by_groups, n_if
