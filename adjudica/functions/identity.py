@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .labels import cases, col
+from .labels import cases, col, let
 from .text import digest, trimmed
 
 # Canonical JSON ---------------------------------------------------------------------------------
@@ -16,11 +14,6 @@ from .text import digest, trimmed
 ESCAPES = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
 
 
-def let(c: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(c)`` with ``c`` computed once, however often it is used: nested uses keep the expression linear in size."""
-    return F.get(F.transform(F.array(c), use), F.lit(0))
-
-
 def json_string(c: Column) -> Column:
     """A text as JSON: quotes, backslashes and control characters escaped, everything else as it is."""
     escaped = F.when(c.rlike(r'[\x00-\x1f"\\]'), _escaped(c)).otherwise(c)

@@ -75,3 +75,13 @@ def test_dense_ids_follow_the_keys(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 500).alias("k"), (F.col("id") % 2).cast("string").alias("s"))
     got = [tuple(r) for r in dense_ids(df, ["k", "s"], "n").select("n", "k", "s").collect()]
     assert sorted(got) == [(i, *k) for i, k in enumerate(sorted({(r.k, r.s) for r in df.collect()}), 1)]
+
+
+def test_validation_computes_a_variant_once(spark):
+    f, odd = T.format_variant("t"), ["A  b", " a\t\x1cB ", "x 　y z", "a b  c\n\n d", " ", "Q̇ İ\x85\x85 r", "one\r\n- two", "  1. x"]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    plan = df.select(T.validate_format("t", f))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 12
+    same = df.select(T.folded("t").alias("got"), F.lower(F.trim(F.regexp_replace("t", T.SPACES, " "))).alias("want")).collect()
+    assert [r.got for r in same] == [r.want for r in same]
+    assert [r[0] for r in df.select(T.validate_format("t", f)).collect()] == [True] * 4 + [False] + [True] * 3
