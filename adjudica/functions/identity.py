@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,12 +23,16 @@ def json_string(c: Column) -> Column:
 
 
 def _escaped(c: Column) -> Column:
-    out = c
+    common = c
     for plain, escaped in ESCAPES.items():
-        out = F.replace(out, F.lit(plain), F.lit(escaped))
-    for code in sorted(set(range(32)) - {ord(x) for x in ESCAPES}):
-        out = F.replace(out, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
-    return out
+        common = F.replace(common, F.lit(plain), F.lit(escaped))
+
+    def rare(x: Column) -> Column:
+        for code in sorted(set(range(32)) - {ord(x) for x in ESCAPES}):
+            x = F.replace(x, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+        return x
+
+    return let(common, lambda x: F.when(x.rlike(r"[\x00-\x1f]"), rare(x)).otherwise(x))
 
 
 def json_double(c: Column) -> Column:
@@ -134,11 +140,21 @@ def prompt_hash() -> Column:
     return stable_sha(F.struct(F.lit(TEMPLATE_VERSION).alias("version"), F.lit(SYSTEM_TEXT).alias("system"), F.array(*map(F.lit, CRITERIA)).alias("criteria")), T.StructType([T.StructField("version", T.StringType()), T.StructField("system", T.StringType()), T.StructField("criteria", T.ArrayType(T.StringType()))]))
 
 
+def payload_json(messages: Column, fields: dict[str, tuple[Column, T.DataType]]) -> Column:
+    """Canonical JSON of a payload from that of its messages and named fields with their types."""
+    parts = {"messages": messages} | {n: canonical_json(c, k) for n, (c, k) in fields.items()}
+    return F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(json.dumps(n, ensure_ascii=False) + ":"), parts[n]) for n in sorted(parts))), F.lit("}"))
+
+
 def payload_sha(messages: Column | str, fields: dict[str, tuple[Column, T.DataType]]) -> Column:
     """Digest of a payload: its messages and named fields with their types; null where the messages were rejected."""
-    parts = {"messages": (col(messages), _MESSAGES)} | fields
-    kind = T.StructType([T.StructField(n, k) for n, (_, k) in parts.items()])
-    return F.when(col(messages).isNotNull(), stable_sha(F.struct(*(c.alias(n) for n, (c, _) in parts.items())), kind))
+    return F.when(col(messages).isNotNull(), F.sha2(payload_json(canonical_json(messages, _MESSAGES), fields), 256))
+
+
+def judge_payload_sha(user: Column | str, fields: dict[str, tuple[Column, T.DataType]]) -> Column:
+    """``payload_sha`` of ``judge_messages`` from the user message as JSON, which several judges share; null where it is null."""
+    before = '[{"content":' + json.dumps(SYSTEM_TEXT, ensure_ascii=False) + ',"role":"system"},{"content":'
+    return F.when(col(user).isNotNull(), F.sha2(payload_json(F.concat(F.lit(before), col(user), F.lit(',"role":"user"}]')), fields), 256))
 
 
 def message_tokens(messages: Column | str) -> Column:

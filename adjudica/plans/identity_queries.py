@@ -113,12 +113,15 @@ def payloads_and_reuse(spark, sf_dir):
     a = table(spark, sf_dir, "answers")
     text = lambda s: a.select(F.col("id").alias(f"answer_{s}_id"), F.col("text").alias(s))
     p = table(spark, sf_dir, "passes").select("pass_id", "pair_id", "judge", "presentation", "prompt_id", "answer_a_id", "answer_b_id")
-    p = p.join(table(spark, sf_dir, "prompts").select(F.col("id").alias("prompt_id"), F.col("text").alias("question")), "prompt_id").join(text("a"), "answer_a_id").join(text("b"), "answer_b_id")
-    x, y = I.displayed("a", "b", "presentation")
-    p = p.withColumn("messages", I.judge_messages("question", x, y))
+    # judges are shown the same texts: these are joined and written once for each answer pair and order
+    case = ["prompt_id", "answer_a_id", "answer_b_id", "presentation"]
+    shown = p.select(*case).distinct().join(table(spark, sf_dir, "prompts").select(F.col("id").alias("prompt_id"), F.col("text").alias("question")), "prompt_id").join(text("a"), "answer_a_id").join(text("b"), "answer_b_id")
+    shown = shown.withColumn("messages", I.judge_messages("question", *I.displayed("a", "b", "presentation")))
+    shown = shown.select(*case, I.message_tokens("messages").alias("tokens"), I.let(F.get("messages", F.lit(1))["content"], I.json_string).alias("user"))
     string = T.StringType()
-    sha = I.payload_sha("messages", {"judge": (F.col("judge"), string), "presentation": (F.col("presentation"), string), "seed": (F.lit(None).cast("int"), T.IntegerType())})
+    sha = I.judge_payload_sha("user", {"judge": (F.col("judge"), string), "presentation": (F.col("presentation"), string), "seed": (F.lit(None).cast("int"), T.IntegerType())})
+    p = p.join(shown, case)
     k = F.col("pair_id")
     known = {d: F.lit("x") for d in I.FROZEN_DIMENSIONS} | {"seed": F.when(k % 9 != 0, F.lit("7")), "provider": F.when(k % 9 == 1, "").otherwise("x")}
     p = p.withColumns(known).withColumn("r", I.classify_reuse(k % 10 == 0, k % 11 == 0))
-    return p.select("pass_id", sha.alias("payload_sha"), I.message_tokens("messages").alias("tokens"), "r.reuse_class", F.array_join("r.reasons", ",").alias("reasons"))
+    return p.select("pass_id", sha.alias("payload_sha"), "tokens", "r.reuse_class", F.array_join("r.reasons", ",").alias("reasons"))

@@ -80,6 +80,16 @@ def test_messages_and_payload(spark):
     assert spark.range(1).select(I.prompt_hash()).first()[0] == hashlib.sha256(material.encode()).hexdigest()
 
 
+def test_judges_share_a_written_message(spark):
+    rows = [("q \x01\t?", 'one "1"\\', "two\x1f"), ("q?", " \n", "two")]
+    df = spark.createDataFrame(rows, "q string, a string, b string").select(I.judge_messages("q", "a", "b").alias("m"))
+    df = df.withColumn("user", I.let(F.get("m", F.lit(1))["content"], I.json_string))
+    fields = {"judge": (F.lit('j"'), T.StringType()), "zeal": (F.lit(None).cast("int"), T.IntegerType())}
+    got = df.select("m", I.payload_sha("m", fields).alias("whole"), I.judge_payload_sha("user", fields).alias("shared")).collect()
+    text = json.dumps({"messages": [m.asDict() for m in got[0].m], "judge": 'j"', "zeal": None}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    assert got[0].whole == got[0].shared == hashlib.sha256(text.encode()).hexdigest() and (got[1].whole, got[1].shared) == (None, None)
+
+
 def test_reuse_classes(spark):
     full = {d: "x" for d in I.FROZEN_DIMENSIONS}
     cases = [(full, False, False), (full, True, False), (full, False, True), (full | {"seed": None}, False, False), (full | {"top_p": ""}, False, False), (full | {"seed": None}, True, False), (full, None, None)]
