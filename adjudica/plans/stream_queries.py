@@ -28,8 +28,9 @@ def _attempts(spark, sf_dir) -> DataFrame:
 def stream_ingest(spark, sf_dir):
     """Each attempt written twice: the replays must go."""
     home = shared_folder(spark)
-    a = _attempts(spark, sf_dir)
-    a.unionByName(a).write.parquet(f"{home}/in")
+    a = _attempts(spark, sf_dir).select("pass_id", "attempt_index", "state", "ts")
+    # a replay is a copy: attempts are derived once
+    a.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy").write.parquet(f"{home}/in")
     stream = spark.readStream.schema(a.schema).parquet(f"{home}/in")
     kept = jobs.stream_ingest_passes(stream, ["pass_id", "attempt_index"])
     jobs.to_parquet(kept, f"{home}/out", f"{home}/state").awaitTermination()
@@ -66,11 +67,14 @@ def _turns(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     number = lambda tag: F.conv(F.substring(F.sha2(F.concat(F.lit(tag), "pass_id", F.col("attempt_index").cast("string")), 256), 1, 8), 16, 10).cast("long")
     turn = F.floor(F.col("started_min") * 6 / (F.col("m") + 1))
     a = a.crossJoin(F.broadcast(a.agg(F.max("started_min").alias("m"))))
-    first = a.withColumn("f", turn + F.when(number("lt:") % 20 == 0, 2).otherwise(0))
-    again = a.where(number("rp:") % 7 == 0).withColumn("f", turn + 1)
+    first = turn + F.when(number("lt:") % 20 == 0, 2).otherwise(0)
+    again = F.when(number("rp:") % 7 == 0, F.array(turn + 1)).otherwise(F.array().cast("array<bigint>"))
     columns = ("pass_id", "judge", "attempt_index", "state", "actual_micro_usd", F.timestamp_seconds(60 * F.col("started_min")).alias("ts"))
-    delivered = io.settled(first.unionByName(again).select("f", *columns))
+    # attempts are derived once, with all turns of each; a turn then reads its own files
+    delivered = a.select(F.explode(F.concat(F.array(first), again)).alias("f"), *columns)
     schema = delivered.drop("f").schema
+    delivered.write.partitionBy("f").parquet(f"{home}/delivered")
+    delivered = spark.read.schema(delivered.schema).parquet(f"{home}/delivered")
     for k in range(8):
         delivered.where(F.col("f") == k).drop("f").write.mode("append").parquet(f"{home}/in")
         stream = spark.readStream.schema(schema).parquet(f"{home}/in")

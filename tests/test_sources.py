@@ -89,3 +89,17 @@ def test_one_batch_of_everything_keeps_first_rows(spark, tmp_path):
     run(spark, tmp_path, [[r for turn in TURNS for r in turn]])
     kept, late = tables(spark, tmp_path)
     assert kept == [(1, "a"), (2, "b"), (3, "c"), (4, "in time"), (5, "late"), (6, "edge"), (7, "d")] and late == [(9, "no time", "NO_TIME")]
+
+
+def test_streamed_attempts_are_derived_once(spark, tmp_path, monkeypatch):
+    from adjudica.plans import stream_queries as Q
+
+    data, homes = "/root/testdata/sf0.001", iter([str(tmp_path / "ingest"), str(tmp_path / "turns")])
+    monkeypatch.setattr(Q, "shared_folder", lambda s: next(homes))
+    kept = Q.stream_ingest(spark, data)
+    sent = spark.read.parquet(str(tmp_path / "ingest" / "in"))
+    assert sent.columns == ["pass_id", "attempt_index", "state", "ts"]
+    assert sent.groupBy(*sent.columns).count().where("count <> 2").count() == 0 and sent.count() == 2 * kept.count()
+    Q._turns(spark, data)
+    turns = spark.read.parquet(str(tmp_path / "turns" / "delivered")).groupBy("pass_id", "attempt_index").count()
+    assert {r[0] for r in turns.select("count").distinct().collect()} == {1, 2} and turns.count() == kept.count()
