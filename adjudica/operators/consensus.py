@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import DECISIVE, VOTES, cases, col, dual_swap_label, is_valid
 from .estimators import KAPPA, kappa_counts
-from .metrics import Metric, by_groups, metric_rows, n_if
+from .metrics import FIELDS, Metric, by_groups, metric_rows, n_if
 
 
 # Mitigation -----------------------------------------------------------------------------------
@@ -32,19 +32,23 @@ POINTS = [
 ]
 
 
-def _strategy(obs: DataFrame, label: str, strategy: str, groups) -> DataFrame:
+STABILITY = [Metric("dual_pass_disagreement", "differ", "pair_n"), Metric("dual_pass_stability", "same", "pair_n")]
+
+
+def _label_counts(label: str) -> Column:
     valid, c = is_valid("human_label") & is_valid(label), col(label)
-    wide = by_groups(obs, groups, F.count("*").alias("eligible_n"), *kappa_counts("human_label", label, valid), n_if(is_valid(c)).alias("label_n"), n_if(c == "TIE").alias("tie_n"), n_if(~is_valid(c)).alias("fail_n"), n_if(c.isin(*DECISIVE)).alias("decisive_n"))
-    return metric_rows(wide, [k for g in groups for k in g], POINTS).withColumn("strategy", F.lit(strategy))
+    return F.struct(*kappa_counts("human_label", label, valid), n_if(is_valid(c)).alias("label_n"), n_if(c == "TIE").alias("tie_n"), n_if(~is_valid(c)).alias("fail_n"), n_if(c.isin(*DECISIVE)).alias("decisive_n"))
 
 
 def operating_points(obs: DataFrame, groups=((), ("judge",))) -> DataFrame:
-    """Agreement, kappa, tie and failure rates and coverages of both strategies, and dual-pass stability."""
+    """Agreement, kappa, tie and failure rates and coverages of both strategies, and dual-pass stability, from one reading of ``obs``."""
     a, b = F.col("dual_ab_label"), F.col("dual_ba_label")
-    both = is_valid(a) & is_valid(b)
-    wide = by_groups(obs, groups, F.count("*").alias("eligible_n"), n_if(both).alias("pair_n"), n_if(both & (a != b)).alias("differ"), n_if(both & (a == b)).alias("same"))
-    dual = metric_rows(wide, [k for g in groups for k in g], [Metric("dual_pass_disagreement", "differ", "pair_n"), Metric("dual_pass_stability", "same", "pair_n")]).withColumn("strategy", F.lit("dual_swap"))
-    return _strategy(obs, "baseline_label", "baseline", groups).unionByName(_strategy(obs, "dual_label", "dual_swap", groups)).unionByName(dual)
+    both, keys = is_valid(a) & is_valid(b), list(dict.fromkeys(k for g in groups for k in g))
+    stable = [n_if(both).alias("pair_n"), n_if(both & (a != b)).alias("differ"), n_if(both & (a == b)).alias("same")]
+    wide = by_groups(obs, groups, F.count("*").alias("eligible_n"), *stable, _label_counts("baseline_label").alias("baseline"), _label_counts("dual_label").alias("dual_swap"))
+    strategies = F.array(*(F.struct(F.lit(s).alias("strategy"), F.col(f"{s}.*")) for s in ("baseline", "dual_swap")))
+    rows = metric_rows(wide.select(*keys, "eligible_n", "pair_n", "differ", "same", F.inline(strategies)), [*keys, "strategy"], POINTS + STABILITY)
+    return rows.where((F.col("strategy") == "dual_swap") | ~F.col("metric_name").isin(*(m.name for m in STABILITY))).select(*keys, *FIELDS, "strategy")
 
 
 def strategy_deltas(points: DataFrame, keys=("judge",)) -> DataFrame:

@@ -218,3 +218,14 @@ def test_balanced_units_take_the_smaller_stratum(spark):
     df = spark.createDataFrame(rows, "pair_id long, judge string, other_family string, category string, stratum string")
     got = [(r.category, r.stratum, r.n) for r in W.balanced_units(df).groupBy("category", "stratum").agg(F.count("*").alias("n")).collect()]
     assert sorted(got, key=str) == sorted([(None, "SAME", 43), (None, "OTHER", 43), ("x", "SAME", 29), ("x", "OTHER", 29)], key=str)
+
+
+def test_operating_points_read_once(spark):
+    rows = [("j", A_, A_, A_, A_, A_), ("j", B_, A_, B_, B_, B_), ("j", TIE, None, "TIE", A_, B_), ("k", None, B_, None, A_, None)]
+    obs = spark.createDataFrame(rows, "judge string, human_label string, baseline_label string, dual_label string, dual_ab_label string, dual_ba_label string")
+    points = C.operating_points(obs)
+    assert points._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    got = {(r.judge, r.strategy, r.metric_name): (r.numerator, r.denominator) for r in points.collect()}
+    assert len(got) == 3 * (2 * len(C.POINTS) + 2)
+    assert got[None, "baseline", "agreement"] == (1, 2) and got["j", "dual_swap", "agreement"] == (3, 3) and got["j", "dual_swap", "dual_pass_disagreement"] == (1, 3)
+    assert got["k", "baseline", "failure_rate"] == (0, 1) and got["k", "dual_swap", "failure_rate"] == (1, 1)
