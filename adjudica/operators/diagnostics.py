@@ -183,21 +183,22 @@ def rank_models(scores: DataFrame) -> DataFrame:
 
 
 def spearman(points: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation with average ranks, from counts of distinct values only."""
+    """Rank correlation with average ranks, from counts of distinct pairs of values only; ``points`` is read once."""
+    cells = settled(points.groupBy(x, y).agg(F.count("*").alias("c")))
 
     def ranks(c: str) -> DataFrame:
         """Twice the average rank of each distinct value: exact. Sums of range partitions come first, so no task sorts all values."""
         parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        v = settled(points.groupBy(F.col(c).alias(c)).agg(F.count("*").alias("n")).repartitionByRange(parts, c).withColumn("_b", F.spark_partition_id()))
+        v = settled(cells.groupBy(F.col(c).alias(c)).agg(F.sum("c").alias("n")).repartitionByRange(parts, c).withColumn("_b", F.spark_partition_id()))
         sums = v.groupBy("_b").agg(F.sum("n").alias("s"))
         starts = sums.select("_b", (F.sum("s").over(Window.orderBy("_b")) - F.col("s")).alias("_start"))  # a row for each partition
         before = F.coalesce(F.sum("n").over(Window.partitionBy("_b").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_start")
         return v.join(F.broadcast(starts), "_b").select(c, (2 * before + F.col("n") + 1).alias(f"r_{c}"))
 
-    cells = points.groupBy(x, y).agg(F.count("*").alias("c")).join(ranks(x), x).join(ranks(y), y)
+    ranked = cells.join(ranks(x), x).join(ranks(y), y)
     a, b, c = F.col(f"r_{x}").cast("decimal(20,0)"), F.col(f"r_{y}").cast("decimal(20,0)"), F.col("c").cast("decimal(12,0)")
     d = lambda e: F.sum(e).cast("double")
-    s = cells.agg(d(c).alias("n"), d(c * a).alias("sa"), d(c * b).alias("sb"), d((c * a).cast("decimal(30,0)") * a).alias("saa"), d((c * b).cast("decimal(30,0)") * b).alias("sbb"), d((c * a).cast("decimal(30,0)") * b).alias("sab"))
+    s = ranked.agg(d(c).alias("n"), d(c * a).alias("sa"), d(c * b).alias("sb"), d((c * a).cast("decimal(30,0)") * a).alias("saa"), d((c * b).cast("decimal(30,0)") * b).alias("sbb"), d((c * a).cast("decimal(30,0)") * b).alias("sab"))
     return s.select("n", F.expr("(n * sab - sa * sb) / sqrt((n * saa - sa * sa) * (n * sbb - sb * sb))").alias("rho"))
 
 

@@ -229,3 +229,11 @@ def test_operating_points_read_once(spark):
     assert len(got) == 3 * (2 * len(C.POINTS) + 2)
     assert got[None, "baseline", "agreement"] == (1, 2) and got["j", "dual_swap", "agreement"] == (3, 3) and got["j", "dual_swap", "dual_pass_disagreement"] == (1, 3)
     assert got["k", "baseline", "failure_rate"] == (0, 1) and got["k", "dual_swap", "failure_rate"] == (1, 1)
+
+
+def test_spearman_reads_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda v: seen.add(1) or v, "long")
+    points = spark.range(50).select(counted("id").alias("x"), (F.col("id") % 3).alias("y"), (2 * F.col("id")).alias("z"))
+    r = D.spearman(points, "x", "z").first()
+    assert (r.n, round(r.rho, 12), seen.value) == (50.0, 1.0, 50)
