@@ -1,6 +1,7 @@
 """The budget guard against a plain loop, and the accounting of pairs and linked units by hand."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -144,3 +145,36 @@ def test_complete_cases_read_the_ledger_once(spark):
     assert sorted(map(tuple, got.collect())) == [("both_orders", 3, 1), ("five_repetitions", 2, 1), ("observations", 5, 4)]
     assert sorted(map(tuple, A.complete_cases(df.limit(0), five.limit(0)).collect())) == [("both_orders", 0, 0), ("five_repetitions", 0, 0), ("observations", 0, 0)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+
+
+SLOTS = [("a", 2), ("b", 3), ("b", 3), ("c", 1), ("d", None), ("none", 1), (None, 1), ("x", 1), ("x", 2)]
+TRIED = [("a", 0, "FAILED"), ("a", 1, "COMPLETED"), ("b", 1, "COMPLETED"), ("b", 1, "FAILED"), ("b", 2, "FAILED"), ("b", 9, "FAILED"), ("b", 9, None), ("c", -1, "COMPLETED"), ("c", None, "FAILED"), ("c", None, "FAILED"), ("d", 7, "FAILED"), ("d", 8, "FAILED"), (None, 3, "FAILED"), (None, 3, "FAILED"), ("o", 5, "COMPLETED"), ("o", 6, "FAILED"), ("x", 4, "FAILED"), ("x", 4, "COMPLETED")]
+
+
+def looped_violations(slots, tried):
+    """The rules of ``validate_ledger``, each over plain lists."""
+    named = {p for p, _ in slots}
+    out = [("orphan_attempt", p, "") for p, _, _ in tried if p is None or p not in named]
+    times = Counter((p, i) for p, i, _ in tried)
+    out += [("duplicate_attempt", ":".join(str(x) for x in key if x is not None), str(n)) for key, n in times.items() if n > 1]
+    for p, planned in slots:
+        own = [(i, s) for q, i, s in tried if q == p and p is not None]
+        done, last = min((i for i, s in own if s == "COMPLETED" and i is not None), default=None), max((i for i, _ in own if i is not None), default=None)
+        out += [("attempt_count", p, str(len(own)))] if own and planned is not None and planned != len(own) else []
+        out += [("replay_after_terminal", p, str(last))] if done is not None and done < last else []
+    return out
+
+
+def test_ledger_rules_equal_a_loop(spark):
+    """Slots listed twice, attempts without a slot or a key, numbers without a counter; more orphans of one key than an array of copies holds."""
+    tried = TRIED + [("lost", i % 3, "FAILED") for i in range(2500)]
+    got = A.validate_ledger(spark.createDataFrame(SLOTS, "pass_id string, attempt_count long"), spark.createDataFrame(tried, "pass_id string, attempt_index int, state string")).collect()
+    assert Counter(map(tuple, got)) == Counter(looped_violations(SLOTS, tried))
+
+
+def test_ledger_rules_read_attempts_once(spark, tmp_path):
+    """All rules share one reading, one grouping and one join with the slots; the second reading holds numbers without a counter alone."""
+    spark.createDataFrame(SLOTS, "pass_id string, attempt_count long").write.parquet(f"{tmp_path}/slots")
+    spark.createDataFrame(TRIED, "pass_id string, attempt_index int, state string").write.parquet(f"{tmp_path}/tried")
+    plan = A.validate_ledger(spark.read.parquet(f"{tmp_path}/slots"), spark.read.parquet(f"{tmp_path}/tried"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Relation ") == 3
