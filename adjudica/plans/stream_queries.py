@@ -6,6 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources import io
 from ..streaming import jobs
@@ -158,7 +159,7 @@ def relational_source(spark, sf_dir):
         "judge_decisions": table(spark, sf_dir, "decisions").withColumn("reasoning", null),
     }
     for name, df in made.items():
-        df.write.parquet(f"{home}/{name}")
+        df.select(T.StructType.fromDDL(io.TABLES[name]).fieldNames()).write.parquet(f"{home}/{name}")
     read = io.read_tables(spark, home)
     return io.union_all([df.select(F.lit(name).alias("table_name"), "id", F.col("prompt_id") if "prompt_id" in df.columns else F.lit(None).cast("long").alias("prompt_id")) for name, df in sorted(read.items())])
 

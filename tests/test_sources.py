@@ -7,6 +7,7 @@ from uuid import uuid4
 import pytest
 from pyspark.sql import functions as F
 
+from adjudica.plans import fixtures
 from adjudica.sources import io
 from adjudica.streaming import jobs
 
@@ -103,3 +104,23 @@ def test_streamed_attempts_are_derived_once(spark, tmp_path, monkeypatch):
     Q._turns(spark, data)
     turns = spark.read.parquet(str(tmp_path / "turns" / "delivered")).groupBy("pass_id", "attempt_index").count()
     assert {r[0] for r in turns.select("count").distinct().collect()} == {1, 2} and turns.count() == kept.count()
+
+
+def test_relational_tables_hold_their_columns(spark, tmp_path, monkeypatch):
+    from adjudica.plans import stream_queries as Q
+
+    monkeypatch.setattr(Q, "shared_folder", lambda s: str(tmp_path))
+    assert Q.relational_source(spark, "/root/testdata/sf0.001").count() > 0
+    for name, ddl in io.TABLES.items():
+        assert spark.read.parquet(f"{tmp_path}/{name}").columns == [c.split()[0] for c in ddl.split(", ")]
+
+
+def test_filtered_outcomes_are_hashed_once(spark):
+    """The filter of decisions stays above the outcome, so no join or filter has hashes of its own; null outcomes are kept where nothing filters them."""
+    plan = fixtures.table(spark, "/root/testdata/sf0.001", "decisions")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "sha2(" in x and not x.lstrip(" :+-").startswith("Project")]
+    rows = [(1, "TIE"), (2, None), (2, None)]
+    df = fixtures.once(spark.createDataFrame(rows, "k int, outcome string"), "outcome")
+    assert df.columns == ["k", "outcome"] and sorted(map(tuple, df.collect()), key=str) == sorted(rows, key=str)
+    p = fixtures.table(spark, "/root/testdata/sf0.001", "passes").where("presentation = 'AB' and outcome in ('ANSWER_A', 'ANSWER_B', 'TIE')")
+    assert fixtures.table(spark, "/root/testdata/sf0.001", "decisions").count() == p.count()
