@@ -58,8 +58,8 @@ def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def replicates(df: DataFrame, value: str, by: list[str], iterations: int, seed: int, chunk: int = CHUNK) -> DataFrame:
-    """Replicate means of each group: ``group_id``, ``replicate``, ``stat`` and ``units``."""
-    each = cells(df, value, by).select(grouping(by).alias("group_id"), "value", "n")
+    """Replicate means of each group: ``group_id``, ``replicate``, ``stat`` and ``units``. Reads ``df`` at once, for the table of its cells, which sizes, chunks and paths all start from."""
+    each = settled(cells(df, value, by).select(grouping(by).alias("group_id"), "value", "n"))
     size = each.groupBy("group_id").agg(F.ceil(F.count("*") / chunk).alias("parts"))
     dealt = each.join(size, "group_id").withColumn("chunk", F.pmod(F.xxhash64("value"), F.col("parts")))
     packed = dealt.groupBy("group_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("cells"), F.sum("n").alias("n"))

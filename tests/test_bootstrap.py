@@ -81,3 +81,12 @@ def test_empty_groups(spark):
     df = spark.createDataFrame([(None, 1), (None, 2)], "v double, g int")
     assert B.bootstrap_ci(df, "v", ["g"], iterations=10).count() == 0
     assert B.clustered_bootstrap(spark.createDataFrame([], "c long, v int"), "c", "v", 10, 1).count() == 0
+
+
+def test_cells_are_read_once(spark, tmp_path):
+    """Sizes, chunks and paths start from one table of cells: nothing after it reads the rows, and the filter on outcomes adds no hashes to a join."""
+    rows(spark, 300, 5).write.parquet(f"{tmp_path}/rows")
+    plan = B.replicates(spark.read.parquet(f"{tmp_path}/rows"), "v", ["c"], 20, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation " not in plan and "LogicalRDD" in plan
+    plan = H._correct(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "sha2(" in x and "Join" in x]
