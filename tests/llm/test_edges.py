@@ -82,6 +82,63 @@ def test_suffix_dedup_without_ids(spark):
     assert max(took[1:]) < 4 * took[0] + 10
 
 
+def removed(texts):
+    """Bytes and runs covered by strings of 400 bytes that start twice, by brute force."""
+    seen, out = {}, []
+    for b in texts:
+        for p in range(len(b) - 399):
+            seen[b[p : p + 400]] = seen.get(b[p : p + 400], 0) + 1
+    for b in texts:
+        hit = [False] * len(b)
+        for p in range(len(b) - 399):
+            if seen[b[p : p + 400]] > 1:
+                hit[p : p + 400] = [True] * 400
+        out.append((sum(hit), sum(x and not y for x, y in zip(hit, [False, *hit], strict=False))))
+    return out
+
+
+def test_suffix_dedup_of_crowded_grams(spark):
+    """Grams of many strips: passages that are too short, long enough, at the edge of a text, and shared by some in different parts."""
+    shared, other = prose(3, 200), prose(4, 200)
+    texts = [prose(i, 20) + shared[:390] + prose(700 + i, 20) for i in range(30)]
+    texts += [prose(40 + i, 20) + other[i % 7 * 11 : 480 + i % 5 * 13] + prose(800 + i, 20) for i in range(30)]
+    texts += [shared[i * 9 : 395 + i * 10] + prose(900 + i, 9) for i in range(12)] + [prose(950 + i, 9) + other[i * 20 : 460] for i in range(8)] + [other[:470], other[:470]]
+    want = removed([t.encode() for t in texts])
+    assert 0 < sum(n > 0 for n, _ in want) < len(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (1, 3, 8, 500):
+        got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.suffix_dedup(rows, hot_strips=hot).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_suffix_dedup_spreads_crowded_grams(spark):
+    """No strip of a gram that many share goes on where no longer leading bytes are shared, and elsewhere only its bands that are."""
+    r = random.Random(5)
+    noise = lambda n: bytes(r.randrange(256) for _ in range(n))
+    short, long = noise(380), noise(420)
+    rows = [(noise(16), noise(172) + short[:100], short[100:] + noise(120)) for _ in range(800)] + [(noise(16), noise(172) + long[:100], long[100:] + noise(80)) for _ in range(600)]
+    got = suffix_dedup.shared_bands(spark.createDataFrame(rows, "strip binary, pre binary, suffix binary"), 400, 272).collect()
+    bands = {(x.low, x.high, x.n) for x in got}
+    assert {x.strip for x in got} == {x[0] for x in rows[800:]} and bands == {(63, 83, 600), (84, 104, 600)} and len(got) == 1200
+
+
+def test_suffix_dedup_of_grams_that_end_in_zero_bytes(spark):
+    """A gram that ends in NUL and has more strips than a slice of a bucket: slices end where it does, so no pair is parted."""
+
+    def anchored(seed):
+        """A passage whose anchor, in nearly any text, is a gram that ends in NUL."""
+        r = random.Random(seed)
+        passage = "".join(r.choice("abcdefghij") + "\0" for _ in range(150))
+        at, h = suffix_dedup.anchors(np.frombuffer((passage + "x" * 120).encode(), np.uint8), 400, 128)
+        return passage if at[0] <= 172 and passage[at[0] + 127] == "\0" and h.view(np.uint64)[0] >> np.uint64(32) < 2**32 // 20_000 else None
+
+    passage = next(x for x in map(anchored, range(10_000)) if x)
+    tails = [prose(i, 70)[:300] for i in range(1100)]
+    rows = [(i, "xy"[i // 1100] + passage + tails[i % 1100]) for i in range(2200)]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot_strips=65_536).collect()
+    assert len(got) == 2200 and {(x.n_removed, x.n_spans) for x in got} == {(600, 1)}
+
+
 def test_near_duplicates_of_one_id(spark):
     rows = [(5, prose(i, 40)) for i in range(3000)] + [(5, prose(1, 40) + " more")]
     got = minhash_dedup.near_duplicates(docs(spark, rows), k=2).collect()
