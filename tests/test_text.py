@@ -85,3 +85,21 @@ def test_validation_computes_a_variant_once(spark):
     same = df.select(T.folded("t").alias("got"), F.lower(F.trim(F.regexp_replace("t", T.SPACES, " "))).alias("want")).collect()
     assert [r.got for r in same] == [r.want for r in same]
     assert [r[0] for r in df.select(T.validate_format("t", f)).collect()] == [True] * 4 + [False] + [True] * 3
+
+
+def test_document_functions_equal_their_sql_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    from adjudica.plans.catalog import ORACLES, QUERIES
+
+    texts = [None, "", "a\n", "a\n\n", "a\r# b\n**x**", "x **y\rz**\n# b", "x\n\x0b- b **q**", "x **a\nb**\n1. c"]
+    for w in (*T.WHITE, "​", "﻿"):
+        texts += [w, w + w, f"a{w}b", f"a{w}", f"{w}a", f"a\n{w}\nb", f"a{w}# b\n**y**", f"#{w}b\n**y**", f"x **y{w}z** ```", f"x\n{w}- b **q**", f"x\n1.{w}b **q**"]
+    rows = [*enumerate(texts), (None, "a b")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.execute(ORACLES["document_text_functions"])
+    names = [c[0] for c in want.description]
+    got = QUERIES["document_text_functions"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
