@@ -31,11 +31,12 @@ def stream_ingest(spark, sf_dir):
     home = shared_folder(spark)
     a = _attempts(spark, sf_dir).select("pass_id", "attempt_index", "state", "ts")
     # a replay is a copy: attempts are derived once
-    a.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy").write.parquet(f"{home}/in")
+    a.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy").write.option("compression", "zstd").parquet(f"{home}/in")
     stream = spark.readStream.schema(a.schema).parquet(f"{home}/in")
-    kept = jobs.stream_ingest_passes(stream, ["pass_id", "attempt_index"])
-    jobs.to_parquet(kept, f"{home}/out", f"{home}/state").awaitTermination()
-    return spark.read.schema("pass_id string, attempt_index int, state string").parquet(f"{home}/out")
+    # the ledger, as a state would hold every key of a batch in memory and write it twice
+    jobs.stream_ledger(stream, f"{home}/ledger", f"{home}/state", ["pass_id", "attempt_index"]).awaitTermination()
+    kept, _ = jobs.ledger_tables(spark, f"{home}/ledger", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in a.schema))
+    return kept.select("pass_id", "attempt_index", "state")
 
 
 @query(duck("select make_timestamp(cast(started_min // 5 as bigint) * 300000000) as window_start, judge, count(*) as attempts, count(*) filter (where state = 'COMPLETED') as completed, cast(sum(actual_micro_usd) as bigint) as actual_micro_usd from attempts group by 1, 2"))

@@ -34,8 +34,8 @@ def stream_ledger(stream: DataFrame, home: str, checkpoint: str, keys: list[str]
     schema = stream.schema
 
     def ingest(batch: DataFrame, number: int) -> None:
-        rows = batch.persist()
-        write = lambda df, name: df.write.mode("overwrite").parquet(f"{home}/{name}/batch={number}")
+        rows = batch  # not kept: a source reads a batch again as it was, and a copy of all that is there now may not fit
+        write = lambda df, name: df.write.mode("overwrite").option("compression", "zstd").parquet(f"{home}/{name}/batch={number}")
         earlier = lambda name, kind: spark.read.schema(f"{kind}, batch long").parquet(f"{home}/{name}").where(F.col("batch") < number)
         time = F.col(ts)
         bound = None
@@ -54,7 +54,6 @@ def stream_ledger(stream: DataFrame, home: str, checkpoint: str, keys: list[str]
         first = fresh.groupBy(*keys).agg(F.min(F.struct(ts, *(c for c in rest if c != ts))).alias("_row"))
         write(first.select(*(F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in schema.names)), "kept")
         write(rows.agg(F.max(ts).alias("last")), "seen")
-        rows.unpersist()
 
     return stream.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

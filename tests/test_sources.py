@@ -106,6 +106,26 @@ def test_streamed_attempts_are_derived_once(spark, tmp_path, monkeypatch):
     assert {r[0] for r in turns.select("count").distinct().collect()} == {1, 2} and turns.count() == kept.count()
 
 
+def test_ingested_attempts_leave_no_state_and_one_copy(spark, tmp_path, monkeypatch):
+    from adjudica.plans import stream_queries as Q
+
+    monkeypatch.setattr(Q, "shared_folder", lambda s: str(tmp_path))
+    kept = Q.stream_ingest(spark, "/root/testdata/sf0.001")
+    assert kept.count() == kept.distinct().count() == fixtures.table(spark, "/root/testdata/sf0.001", "attempts").count()
+    folders = {d.name for d in (tmp_path / "state").iterdir() if d.is_dir()}
+    assert "commits" in folders and "state" not in folders
+    size = lambda d: sum(f.stat().st_size for f in d.rglob("*.parquet"))
+    assert size(tmp_path / "ledger") < 1.5 * size(tmp_path / "in")
+
+
+def test_replays_are_dropped_by_the_state_of_passes(spark, tmp_path):
+    for rows in TURNS[:2]:
+        spark.createDataFrame(rows[:3], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+        jobs.to_parquet(jobs.stream_ingest_passes(stream, ["k"], delay="4 hours"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert sorted(r.k for r in spark.read.schema(SCHEMA).parquet(f"{tmp_path}/out").collect()) == [1, 2, 3, 4]
+
+
 def test_relational_tables_hold_their_columns(spark, tmp_path, monkeypatch):
     from adjudica.plans import stream_queries as Q
 
