@@ -213,6 +213,27 @@ def test_ranks_of_buckets(spark):
     assert W.ranks(df.limit(0), W.bucket_starts(df.limit(0), ["cell"], "d"), ["cell"], "d", "id").count() == 0
 
 
+def test_ranked_rows_are_shuffled_once_without_their_digest(spark):
+    order, tie = F.sha2(F.col("twin").cast("string"), 256), F.concat(F.lit("t"), F.col("id").cast("string"))
+    df = spark.range(900).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("cell"), (F.col("id") % 11).alias("twin"))
+    plain = df.withColumn("d", order).withColumn("t", tie)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = W.ranks(df, W.bucket_starts(df, ["cell"], order), ["cell"], order, tie)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 4 and "sha2" not in plan[plan.index("SortMergeJoin") :].split("Exchange hashpartitioning")[0]
+        want = W.ranks(plain, W.bucket_starts(plain, ["cell"], "d"), ["cell"], "d", "t").drop("d", "t")
+        assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    texts = spark.createDataFrame([(7, 1, 2, "a", "b", "gpt-4", "claude-v1", "TIE"), (8, 3, 4, "a", "b", "vicuna-13b", "gpt-4", None)], "prompt_id long, answer_a_id long, answer_b_id long, text_a string, text_b string, model_a string, model_b string, human_label string")
+    key, judges = F.concat_ws("|", "prompt_id", "answer_a_id"), spark.createDataFrame([("gpt-4o-mini",)], "judge string")
+    keyed = texts.withColumn("pair_key", key)
+    units = [W.units_of_questions(keyed, judges, ["RQ1", "RQ6"], "s", k) for k in (None, key)]
+    assert units[0].columns == units[1].columns and len(set(map(tuple, units[1].collect()))) == 3 and units[0].exceptAll(units[1]).count() == 0
+
+
 def test_balanced_units_take_the_smaller_stratum(spark):
     rows = [(i, "j", "o", None if i < 300 else "x", "SAME" if i % 7 == 0 else "OTHER") for i in range(500)] + [(999, "j", "o", "y", "SAME")]
     df = spark.createDataFrame(rows, "pair_id long, judge string, other_family string, category string, stratum string")
